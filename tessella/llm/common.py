@@ -51,12 +51,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _sized(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+
+
 def keep_keys(big: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """Rows of ``big`` whose ``on`` is in ``keys`` (distinct), joined to the columns of ``keys``.
 
     The keys are broadcast only after a count shows at most ``BROADCAST_KEYS``; beyond
     that both sides are shuffled.
     """
-    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    return big.join(keys, on)
+    return big.join(_sized(keys), on)
+
+
+def drop_keys(big: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows of ``big`` whose ``on`` is not in ``keys``, broadcast like in keep_keys."""
+    return big.join(_sized(keys), on, "left_anti")
