@@ -51,7 +51,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _sized(keys: DataFrame) -> DataFrame:
+def sized(keys: DataFrame) -> DataFrame:
+    """``keys``, marked for broadcast only where a count shows at most ``BROADCAST_KEYS`` rows."""
     return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
 
 
@@ -61,9 +62,9 @@ def keep_keys(big: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     The keys are broadcast only after a count shows at most ``BROADCAST_KEYS``; beyond
     that both sides are shuffled.
     """
-    return big.join(_sized(keys), on)
+    return big.join(sized(keys), on)
 
 
 def drop_keys(big: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """Rows of ``big`` whose ``on`` is not in ``keys``, broadcast like in keep_keys."""
-    return big.join(_sized(keys), on, "left_anti")
+    return big.join(sized(keys), on, "left_anti")

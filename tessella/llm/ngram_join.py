@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep_keys, staged, tune
+from .common import keep_keys, sized, staged, tune
 from .graph import components
 from .words import U, mix, shingle_set, words
 
@@ -308,7 +308,7 @@ def links(docs: DataFrame, prof: DataFrame, classes: DataFrame, threshold: Thres
     sets = staged(texts.select(F.col("doc_id").alias("rep"), "key", "text").mapInArrow(_sets, "rep long, tokens binary"), "sets")
     parts = F.ceil(F.col("size") / CHUNK).cast("int")
     member = member.withColumn("part", F.pmod(F.xxhash64("block", "key"), parts).cast("int")).withColumn("asks", F.lit(False))
-    found = staged(_chunk_links(member.join(sets, "rep"), threshold), "links")
+    found = staged(_chunk_links(sets.join(sized(member), "rep"), threshold), "links")
     large = member.where(F.col("size") > CHUNK)
     if large.isEmpty():
         return found
@@ -319,7 +319,7 @@ def links(docs: DataFrame, prof: DataFrame, classes: DataFrame, threshold: Thres
         some = at.groupBy("block", "component").agg(F.min("rep").alias("rep"))
         lone = some.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
         some = some.join(lone, "block").withColumn("part", F.pmod(F.xxhash64("rep", "n"), F.ceil(F.col("n") / CHUNK)).cast("int")).withColumn("asks", F.lit(False))
-        new = staged(_chunk_links(some.join(sets, "rep"), threshold), "links")
+        new = staged(_chunk_links(sets.join(sized(some), "rep"), threshold), "links")
         if new.isEmpty():
             break
         found = staged(found.unionByName(new), "links")
@@ -329,7 +329,7 @@ def links(docs: DataFrame, prof: DataFrame, classes: DataFrame, threshold: Thres
     main = share.groupBy("block").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k")).where("k > 1")
     asking = at.join(main, "block").where("component <> main").select("block", "rep", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / CHUNK).cast("int") - 1)).alias("part"), F.lit(True).alias("asks"))
     index = large.join(main.select("block"), "block", "left_semi").select("block", "rep", "part", "asks")
-    return found.unionByName(_chunk_links(index.unionByName(asking).join(sets, "rep"), threshold))
+    return found.unionByName(_chunk_links(sets.join(sized(index.unionByName(asking)), "rep"), threshold))
 
 
 def _labelled(large: DataFrame, found: DataFrame) -> DataFrame:
