@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, pieces, substring, token_binary
+from . import fingerprints, langid, pieces, substring, token_binary
 from .common import table
 from .ngram_join import jaccard_components
 
@@ -22,6 +22,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.spans(table(spark, sf_dir, "documents"))
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.written_and_read(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end=2)
 
