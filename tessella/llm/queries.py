@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, langid, pieces, substring, token_binary, topk, toxicity
+from . import fingerprints, langid, mixing, pieces, substring, token_binary, topk, toxicity
 from .common import table
 from .ngram_join import jaccard_components
 
@@ -44,6 +44,14 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
 
 
+#: Half of the tokens, more than half of them English and four fifths prose; the rest by tokens to the power 0.7.
+MIXTURE = mixing.Targets(share=0.5, power=0.7, weights={"lang": {"en": 0.55}, "topic": {mixing.PROSE: 0.8}})
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), MIXTURE)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
