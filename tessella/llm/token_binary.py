@@ -32,7 +32,7 @@ from .common import shared_dir, staged, tune
 #: Ids in a block, about; a longer document makes a longer block.
 BLOCK = 1 << 16
 #: Words that a worker remembers before it starts afresh.
-CACHE = 600_000
+CACHE = 1_200_000
 
 _LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
