@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import langid, mixing, ngram_join, pieces, substring
+from .common import drop_keys, staged
 
 #: A document whose language is less sure than this is rejected, as is one without letters.
 LEAST_SURE = 0.35
@@ -20,8 +21,8 @@ def keep_known_language(docs: DataFrame) -> DataFrame:
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     """Keeps the smallest doc_id of each component of near copies, and all documents without words."""
     found = ngram_join.jaccard_components(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    gone = staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    kept = drop_keys(docs, gone, "doc_id")
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
     # Rows that repeat a doc_id: the first stays.
