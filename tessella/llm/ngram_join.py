@@ -10,6 +10,8 @@ word shingles (five words, 75 of 100 by default). The join is exact:
 3. In a rare-first order of the shared offers all but the ``_need - 1`` most common
    are enough to meet every partner (prefix filter). Classes that meet under a shingle
    belong to the block named after its first class.
+   Members of blocks above CHUNK meet again by their whole sets: what they share has to be
+   three quarters of a set then, which no passage of unrelated documents is.
 4. Each block is cut into chunks of at most about CHUNK sets. A chunk stores its
    sets, globally ordered, in a path-compressed trie; every set walks it, sharing the
    overlap of common paths and leaving subtrees that their remaining length cannot
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep_keys, sized, staged, tune
@@ -105,22 +107,37 @@ def profiles(docs: DataFrame, threshold: Threshold) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_profiles(threshold), "doc_id long, n_shingles long, key long, offers array<long>")
 
 
-def blocks(prof: DataFrame, threshold: Threshold) -> DataFrame:
-    """key, block: the blocks in which each class can meet partners."""
-    offered = prof.where("offers is not null").select("key", F.col("n_shingles").cast("int").alias("n"), F.explode("offers").alias("token"))
+def blocks(offered: DataFrame, need: Column) -> DataFrame:
+    """node, block: the blocks in which each class can meet partners.
+
+    ``offered`` has node, n (size of the whole set) and token. Linked classes share at least ``need`` (over n)
+    of the tokens that either offers.
+    """
     by_token = Window.partitionBy("token")
     shared = (
-        offered.withColumns({"df": F.count("*").over(by_token), "low": F.min("key").over(by_token), "high": F.max("key").over(by_token)})
+        offered.withColumns({"df": F.count("*").over(by_token), "low": F.min("node").over(by_token), "high": F.max("node").over(by_token)})
         .where("low < high")
-        .groupBy("key")
+        .groupBy("node")
         .agg(F.max("n").alias("n"), F.collect_set(F.struct("df", "token", "low")).alias("shared"))
+        .withColumn("need", need)
+        .where(F.size("shared") >= F.col("need"))
     )
-    num, den = threshold.num, threshold.den
-    least = F.expr(f"cast(ceil(n * {num}L / {den}) as int)")
-    need = F.greatest(F.lit(1), ((F.col("least") - F.ceil(F.col("least") * num / den)) / 3).cast("int"))
-    kept = shared.withColumn("least", least).withColumn("need", need).where(F.size("shared") >= F.col("need"))
     few = F.slice(F.array_sort("shared"), F.lit(1), F.size("shared") - F.col("need") + 1)
-    return kept.select("key", F.explode(F.array_distinct(F.transform(few, lambda x: x["low"]))).alias("block"))
+    return shared.select("node", F.explode(F.array_distinct(F.transform(few, lambda x: x["low"]))).alias("block"))
+
+
+def first_blocks(prof: DataFrame, threshold: Threshold) -> DataFrame:
+    """Blocks by the offers of all classes."""
+    offered = prof.where("offers is not null").select(F.col("key").alias("node"), F.col("n_shingles").cast("int").alias("n"), F.explode("offers").alias("token"))
+    least = F.ceil(F.col("n") * threshold.num / threshold.den)
+    need = F.greatest(F.lit(1), ((least - F.ceil(least * threshold.num / threshold.den)) / 3).cast("int"))
+    return blocks(offered, need).withColumnRenamed("node", "key")
+
+
+def finer_blocks(sets: DataFrame, threshold: Threshold) -> DataFrame:
+    """rep, block: blocks by whole sets, so that a passage that many classes hold makes none."""
+    offered = sets.select(F.col("rep").alias("node"), F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    return blocks(offered, F.ceil(F.col("n") * threshold.num / threshold.den).cast("int")).withColumnRenamed("node", "rep")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +145,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [shingle_set(h) for _, _, _, h in words(batch.column(2))]
         # Of rows that share a doc_id only those with the class's text count.
         own = [i for i, (key, s) in enumerate(zip(batch.column(1).to_pylist(), sets, strict=True)) if len(s) and set_key(s) == key]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), pa.array([sets[i].tobytes() for i in own], pa.binary())], ["rep", "tokens"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), pa.array([sets[i].view(np.int64) for i in own], pa.list_(pa.int64()))], ["rep", "tokens"])
 
 
 class Trie:
@@ -280,11 +297,13 @@ def _chunks(threshold: Threshold):
         now, reps, sets, asks = None, [], [], []
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for block, part, rep, tokens, ask in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            lists = batch.column(3)
+            flat, at = lists.flatten().to_numpy(zero_copy_only=False).view(U), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            for i, (block, part, rep, ask) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4)), strict=True)):
                 if (block, part) != now:
                     found += links(reps, sets, asks)
                     now, reps, sets, asks = (block, part), [], [], []
-                reps.append(rep), sets.append(np.frombuffer(tokens, U)), asks.append(ask)
+                reps.append(rep), sets.append(flat[at[i] : at[i + 1]]), asks.append(ask)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
         found = list(links(reps, sets, asks))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
@@ -300,14 +319,18 @@ def _chunk_links(members: DataFrame, threshold: Threshold) -> DataFrame:
 
 def links(docs: DataFrame, prof: DataFrame, classes: DataFrame, threshold: Threshold) -> DataFrame:
     """Links a, b between class representatives that make the components of all links."""
-    member = staged(blocks(prof, threshold).join(classes.select("key", "rep"), "key"), "blocks")
-    size = member.groupBy("block").agg(F.count("*").alias("size")).where("size > 1")
-    member = staged(member.join(size, "block"), "members")
+    member = staged(first_blocks(prof, threshold).join(classes.select("key", "rep"), "key"), "blocks")
+    member = staged(_sized_blocks(member), "members")
     wanted = member.select(F.col("rep").alias("doc_id"), "key").distinct()
     texts = keep_keys(docs.select("doc_id", "text"), wanted, "doc_id")
-    sets = staged(texts.select(F.col("doc_id").alias("rep"), "key", "text").mapInArrow(_sets, "rep long, tokens binary"), "sets")
+    sets = staged(texts.select(F.col("doc_id").alias("rep"), "key", "text").mapInArrow(_sets, "rep long, tokens array<long>"), "sets")
+    hot = member.where(F.col("size") > CHUNK).select("rep").distinct()
+    if not hot.isEmpty():
+        # Who met in a large block meets again by whole sets.
+        finer = finer_blocks(sets.join(sized(hot), "rep"), threshold)
+        member = staged(_sized_blocks(member.where(F.col("size") <= CHUNK).select("rep", "block").unionByName(finer)), "members")
     parts = F.ceil(F.col("size") / CHUNK).cast("int")
-    member = member.withColumn("part", F.pmod(F.xxhash64("block", "key"), parts).cast("int")).withColumn("asks", F.lit(False))
+    member = member.withColumn("part", F.pmod(F.xxhash64("block", "rep"), parts).cast("int")).withColumn("asks", F.lit(False))
     found = staged(_chunk_links(sets.join(sized(member), "rep"), threshold), "links")
     large = member.where(F.col("size") > CHUNK)
     if large.isEmpty():
@@ -332,6 +355,11 @@ def links(docs: DataFrame, prof: DataFrame, classes: DataFrame, threshold: Thres
     return found.unionByName(_chunk_links(sets.join(sized(index.unionByName(asking)), "rep"), threshold))
 
 
+def _sized_blocks(member: DataFrame) -> DataFrame:
+    """Members of blocks of two and more, with the block's ``size``."""
+    return member.join(member.groupBy("block").agg(F.count("*").alias("size")).where("size > 1"), "block")
+
+
 def _labelled(large: DataFrame, found: DataFrame) -> DataFrame:
     labels = components(found)
     return large.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
