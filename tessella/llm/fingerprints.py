@@ -15,6 +15,8 @@ A fingerprint is the text of its sketches, 16 hex digits each: 5 bits name the s
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,8 +90,8 @@ def _bucket(bounds: list[int]) -> Column:
     return F.coalesce(F.when(F.col("doc_id").isNotNull(), found), F.lit(0))
 
 
-def with_next(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with ``next_<column>``: values of the next row in descending doc_id.
+def with_next(docs: DataFrame, prepare: Callable[[DataFrame], DataFrame], carry: list[str]) -> DataFrame:
+    """``docs`` (doc_id, text) after ``prepare``, which adds columns, with ``next_<column>`` of the next row in descending doc_id.
 
     After the last comes the first. Rows of one doc_id follow in the order of their texts' hashes,
     null doc_ids come last. Buckets of doc_ids, cut at quantiles, are sorted on their own; each
@@ -103,7 +105,7 @@ def with_next(docs: DataFrame, carry: list[str]) -> DataFrame:
     key = F.struct(F.col("doc_id").isNull().alias("n"), (-F.col("doc_id")).alias("d"), F.col("__tie").alias("t"))
     heads = sorted(rows.groupBy("__bucket").agg(F.min(key).alias("k")).collect(), key=lambda r: -r["__bucket"])
     if not heads:
-        return rows.drop("__bucket", "__tie").withColumns({f"next_{c}": F.col(c) for c in carry})
+        return prepare(rows.drop("__bucket", "__tie")).withColumns({f"next_{c}": F.col(c) for c in carry})
     before = [heads[-1], *heads[:-1]]
     guests = docs.sparkSession.createDataFrame(
         [(h["__bucket"], None if h.k.n else -h.k.d, h.k.t, b["__bucket"]) for h, b in zip(heads, before, strict=True)], "hb int, hd long, ht long, into int"
@@ -111,7 +113,8 @@ def with_next(docs: DataFrame, carry: list[str]) -> DataFrame:
     match = (F.col("__bucket") == F.col("hb")) & F.col("doc_id").eqNullSafe(F.col("hd")) & (F.col("__tie") == F.col("ht"))
     guest = rows.join(F.broadcast(guests), match).withColumn("__bucket", F.col("into")).drop("hb", "hd", "ht", "into").withColumn("__guest", F.lit(1))
     order = Window.partitionBy("__bucket").orderBy("__guest", F.col("doc_id").desc_nulls_last(), "__tie")
-    both = rows.withColumn("__guest", F.lit(0)).unionByName(guest)
+    # Prepared once the guests, few as they are, have been picked.
+    both = prepare(rows.withColumn("__guest", F.lit(0)).unionByName(guest))
     return both.withColumns({f"next_{c}": F.lead(c).over(order) for c in carry}).where("__guest = 0").drop("__bucket", "__tie", "__guest")
 
 
@@ -124,8 +127,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     have equal fingerprints. One document alone is its own next. Repeated rows stay,
     other columns don't matter, an empty table gives an empty result.
     """
-    base = sketches(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "sketch")
-    rows = with_next(base, ["text", "sketch"]).withColumn("n_chars", F.length("text").cast("long"))
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = with_next(base, lambda df: sketches(df, "text", "sketch"), ["text", "sketch"]).withColumn("n_chars", F.length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.col("text").substr(F.lit(1), F.col("n_chars").cast("int") - cut), F.col("next_text").substr(F.lit(1), cut)))
     rows = rows.select("doc_id", "n_chars", "edited", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "sketch", "next_sketch")
