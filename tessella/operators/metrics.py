@@ -1,4 +1,4 @@
-"""Evaluation metrics, paired comparison and shaped rewards over rollout rows.
+"""Evaluation metrics, and paired comparison over rollout rows.
 
 A rollout row has success, unsafe, termination, tool_calls and n_chars (tokens).
 """
@@ -38,23 +38,3 @@ def paired(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     rows = first.withColumnRenamed("ok", "a").join(second.withColumnRenamed("ok", "b"), key)
     a, b = F.col("a"), F.col("b")
     return rows.agg(F.count("*").alias("n"), F.count_if(b & ~a).alias("gains"), F.count_if(a & ~b).alias("losses"), F.count_if(a & b).alias("both"))
-
-
-# Reward weights by version, as the formula needs them. n is the most calls of an efficient episode.
-REWARDS = {
-    "default": {"success": 1.0, "efficient": 0.1, "n": 6, "terminal": 0.0, "tool_cost": 0.01, "token_cost": 1e-5, "unsafe": 1.0, "turn_limit": 0.3, "missing_submit": 0.2},
-    "v1": {"success": 1.0, "efficient": 0.1, "n": 7, "terminal": 0.2, "tool_cost": 0.01, "token_cost": 1e-5, "unsafe": 1.0, "turn_limit": 0.5, "missing_submit": 0.5},
-    "v2": {"success": 1.0, "efficient": 0.05, "n": 7, "terminal": 0.15, "tool_cost": 0.01, "token_cost": 1e-5, "unsafe": 1.0, "turn_limit": 0.5, "missing_submit": 0.5},
-    "v3": {"success": 1.0, "efficient": 0.05, "n": 7, "terminal": 0.15, "tool_cost": 0.01, "token_cost": 1e-5, "unsafe": 1.0, "turn_limit": 0.5, "missing_submit": 0.3},
-}
-
-
-def reward(version: str) -> Column:
-    """A rollout's score under the weights of a version: rewards less penalties, one pass of column math."""
-    w = REWARDS[version]
-    given = lambda condition, value: F.when(condition, F.lit(float(value))).otherwise(0.0)
-    ok = F.col("success")
-    gain = given(ok, w["success"]) + given(ok & (F.col("tool_calls") <= w["n"]), w["efficient"]) + given((F.col("termination") == "submitted") & ok, w["terminal"])
-    cost = F.lit(w["tool_cost"]) * F.col("tool_calls") + F.least(F.lit(0.1), F.lit(w["token_cost"]) * F.col("n_chars")) + given(F.col("unsafe"), w["unsafe"])
-    over = F.col("termination") == "turn_limit"
-    return gain - cost - given(over, w["turn_limit"]) - given(over, w["missing_submit"])

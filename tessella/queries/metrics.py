@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import metrics
+from tessella.operators import reward as rewards
 from tessella.registry import query, table
 
 #: Rollouts: a labelled document is an episode, its language the drift type, its source the variant's group.
@@ -138,32 +139,77 @@ def gap(spark: SparkSession, sf: str) -> DataFrame:
     return rollouts(spark, sf).groupBy("difficulty").agg(F.round(good, 6).alias("good"), F.round(bad, 6).alias("bad"), F.round(good - bad, 6).alias("gap"))
 
 
-_SCORE = """
-    SELECT doc_id, round(CASE WHEN success THEN {success} ELSE 0 END + CASE WHEN success AND tool_calls <= {n} THEN {efficient} ELSE 0 END + CASE WHEN termination = 'submitted' AND success THEN {terminal} ELSE 0 END
-        - {tool_cost} * tool_calls - least(0.1::DOUBLE, {token_cost} * n_chars) - CASE WHEN unsafe THEN {unsafe} ELSE 0 END - CASE WHEN termination = 'turn_limit' THEN {turn_limit} ELSE 0 END
-        - CASE WHEN termination = 'turn_limit' THEN {missing_submit} ELSE 0 END, 3) + 0.0::DOUBLE AS score FROM ({rows})"""
+#: Facts of episodes from events: a user is an episode, its events by time the calls.
+_FACTS = """
+    WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM events),
+    f AS (SELECT user_id, count(*) AS calls, sum(length(props)) * 10 AS tokens, user_id % 3 = 0 AS must_ask, user_id % 2 = 0 AS add_column, user_id % 5 <> 0 AS drifted,
+        coalesce(arg_max(value > 50, s) FILTER (event_type = 'purchase'), false) AS success, coalesce(bool_or(value > 40) FILTER (event_type = 'signup'), false) AS matched,
+        bool_or(event_type = 'signup') AS attempted, bool_or(event_type = 'purchase') AS executed, bool_or(event_type = 'click') AS inspected,
+        min(s) FILTER (event_type = 'view') AS v, min(s) FILTER (event_type = 'click') AS d, min(s) FILTER (event_type = 'signup') AS a,
+        coalesce(bool_or(value > 80) FILTER (event_type = 'purchase'), false) AS semantic_match, arg_min(event_type, s) = 'view' AS first_right, max(s) FILTER (event_type = 'error') AS submitted,
+        max(s) FILTER (event_type = 'purchase') AS p, count(*) FILTER (event_type = 'signup') AS asks, count(*) FILTER (event_type IN ('view', 'click')) AS retrievals, count(*) FILTER (value > 95) AS invalid_sql FROM e GROUP BY user_id),
+    g AS (SELECT *, coalesce(v < d, false) AS ordered_inspection, coalesce(p = a + 1, false) AS post_valid, coalesce(submitted > p, false) AS terminal_validated,
+        add_column AND coalesce(v < d AND d < p, false) AS complete, coalesce(p < d, true) AS premature FROM f)
+    SELECT *, success AND terminal_validated AND (NOT drifted OR ordered_inspection) AND (NOT must_ask OR (matched AND post_valid)) AND (NOT add_column OR complete) AS protocol FROM g"""
+
+
+def facts(spark: SparkSession, sf: str) -> DataFrame:
+    from tessella.operators.sessions import sequenced
+
+    e = sequenced(table(spark, sf, "events"), "user_id", ["ts", "event_id"]).withColumnRenamed("sequence", "s")
+    kind, value, s, user = F.col("event_type"), F.col("value"), F.col("s"), F.col("user_id")
+    when = lambda name, x: F.when(kind == name, x)
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    f = e.groupBy("user_id").agg(
+        F.count("*").alias("calls"), (F.sum(F.length("props")) * 10).alias("tokens"), F.coalesce(F.max_by(value > 50, when("purchase", s)), F.lit(False)).alias("success"),
+        some(when("signup", value > 40)).alias("matched"), some(kind == "signup").alias("attempted"), some(kind == "purchase").alias("executed"), some(kind == "click").alias("inspected"),
+        F.min(when("view", s)).alias("v"), F.min(when("click", s)).alias("d"), F.min(when("signup", s)).alias("a"), some(when("purchase", value > 80)).alias("semantic_match"),
+        (F.min_by("event_type", "s") == "view").alias("first_right"), F.max(when("error", s)).alias("submitted"), F.max(when("purchase", s)).alias("p"),
+        F.count_if(kind == "signup").alias("asks"), F.count_if(kind.isin("view", "click")).alias("retrievals"), F.count_if(value > 95).alias("invalid_sql"),
+    )
+    bought = f.withColumn("success", F.col("success") & F.col("executed"))
+    no = F.lit(False)
+    g = bought.withColumns({
+        "must_ask": user % 3 == 0, "add_column": user % 2 == 0, "drifted": user % 5 != 0, "ordered_inspection": F.coalesce(F.col("v") < F.col("d"), no), "post_valid": F.coalesce(F.col("p") == F.col("a") + 1, no),
+        "terminal_validated": F.coalesce(F.col("submitted") > F.col("p"), no), "complete": (user % 2 == 0) & F.coalesce((F.col("v") < F.col("d")) & (F.col("d") < F.col("p")), no), "premature": F.coalesce(F.col("p") < F.col("d"), F.lit(True)),
+        "format_valid": F.lit(True), "event_executed": F.col("executed"), "target_set": F.lit(True), "timed_out": F.col("calls") > 30, "turn_limited": F.col("calls") > 20, "no_submit": F.col("submitted").isNull(), "unsafe": user % 11 == 0,
+        "dup_questions": F.greatest(F.lit(0), F.col("asks") - 2), "dup_executions": F.lit(0), "excess_asks": F.greatest(F.lit(0), F.col("asks") - 1), "excess_retrievals": F.greatest(F.lit(0), F.col("retrievals") - 2), "unknown_tools": F.lit(0),
+    })
+    return g.withColumn("protocol", F.expr(rewards.PROTOCOL))
 
 
 def _score_sql(version: str) -> str:
-    w = metrics.REWARDS[version]
-    return _SCORE.format(rows=_ROWS, **{k: f"{v}::DOUBLE" for k, v in w.items()})
+    """The formula written out for one version, over the facts that vary here."""
+    w = lambda t: f"{rewards.weight(t, version)!r}::DOUBLE"
+    late, last = version in ("v2", "v3"), version == "v3"
+    one = lambda c: f"CAST(({c}) AS INTEGER)"
+    return f"""
+    SELECT user_id, round({w("success")} * {one("protocol" if last else "success")} + {w("clarify")} * {one("matched")} + {w("valid")} * {one("executed")}
+        + {w("efficient")} * {one(f"success AND calls <= {rewards.weight('calls', version)} AND asks <= 2" + (" AND protocol" if last else ""))} + {w("required_clarification")} * {one("must_ask AND matched")}
+        + {w("clarification_attempt")} * {one("must_ask AND attempted")} + {w("post_clarification")} * {one("must_ask AND post_valid" + (" AND matched" if late else ""))}
+        + {w("terminal")} * {one("terminal_validated" + (" AND success" if late else ""))} + {w("add_column_inspect")} * {one("add_column AND " + ("ordered_inspection" if late else "inspected"))}
+        + {w("semantic_candidate")} * {one("semantic_match" if late else "false")} + {w("add_column")} * {one("complete")} + {w("decision_action")} * {one("first_right")}
+        - {w("tool_cost")} * calls - least(0.1::DOUBLE, {w("token_cost")} * tokens) - {w("duplicate")} * greatest(0, asks - 2) - {w("repeated_tool")} * (greatest(0, asks - 1) + greatest(0, retrievals - 2))
+        - {w("invalid")} * invalid_sql - {w("timeout")} * {one("calls > 30")} - {w("turn_limit")} * {one("calls > 20")} - {w("missing_submit")} * {one("submitted IS NULL")} - {w("unsafe")} * {one("user_id % 11 = 0")}
+        - {w("missing_clarification")} * {one("must_ask AND NOT attempted")} - {w("unmatched_clarification")} * {one("must_ask AND attempted AND NOT matched")}
+        - {w("invalid_post_clarification")} * {one("must_ask AND attempted AND NOT post_valid")} - {w("add_column_protocol")} * {one("add_column AND NOT complete")} - {w("premature_stale")} * {one("add_column AND premature")}, 4) + 0.0::DOUBLE AS score FROM ({_FACTS})"""
 
 
-@query("a19_reward_default", _score_sql("default"))
-def reward(spark: SparkSession, sf: str) -> DataFrame:
-    return rollouts(spark, sf).select("doc_id", (F.round(metrics.reward("default"), 3) + 0.0).alias("score"))
+def _scored(version: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return facts(spark, sf).select("user_id", (rewards.score(version) + 0.0).alias("score"))
 
+    return run
 
-@query("a19_reward_v3", _score_sql("v3"))
-def reward_v3(spark: SparkSession, sf: str) -> DataFrame:
-    return rollouts(spark, sf).select("doc_id", (F.round(metrics.reward("v3"), 3) + 0.0).alias("score"))
 
+for _version in rewards.VERSIONS:
+    query(f"a19_reward_{_version}", _score_sql(_version))(_scored(_version))
 
-@query("a18_reward_delta", f"""
-    SELECT difficulty, round(avg(b.score - a.score), 5) AS delta FROM ({_score_sql("default")}) a JOIN ({_score_sql("v3")}) b USING (doc_id) JOIN ({_ROWS}) USING (doc_id) GROUP BY 1""")
+
+@query("a18_reward_delta", f"SELECT user_id % 3 = 0 AS must_ask, round(avg(b.score - a.score), 4) + 0.0::DOUBLE AS delta FROM ({_score_sql('v1')}) a JOIN ({_score_sql('v3')}) b USING (user_id) GROUP BY 1")
 def delta(spark: SparkSession, sf: str) -> DataFrame:
-    change = F.round(metrics.reward("v3"), 3) - F.round(metrics.reward("default"), 3)
-    return rollouts(spark, sf).groupBy("difficulty").agg(F.round(F.avg(change), 5).alias("delta"))
+    change = rewards.score("v3") - rewards.score("v1")
+    return facts(spark, sf).groupBy("must_ask").agg((F.round(F.avg(change), 4) + 0.0).alias("delta"))
 
 
 @query("j05_paired", "SELECT count(*) AS n, count(*) FILTER (quality = 1 AND toxic = 0) AS losses, count(*) FILTER (quality = 0 AND toxic = 1) AS gains, count(*) FILTER (quality = 1 AND toxic = 1) AS both FROM labels")
