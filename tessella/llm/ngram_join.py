@@ -5,18 +5,19 @@ word shingles (five words, 75 of 100 by default). The join is exact:
 
 1. Documents with equal sets become one class (a 64-bit key of the set).
 2. Each class offers the shingles with its smallest hashes, so many that any two
-   linked classes share at least ``_need`` of the offers of either. A window over the
+   linked classes share at least ``need`` of the offers of either. A window over the
    offers gives each shingle's count and first class; classes that share too few drop out.
-3. In a rare-first order of the shared offers all but the ``_need - 1`` most common
+3. The others meet by their whole sets in the same way: what a class shares has to be three
+   quarters of its set then, which no passage of unrelated documents is.
+   In a rare-first order of the shared shingles all but the ``need - 1`` most common
    are enough to meet every partner (prefix filter). Classes that meet under a shingle
    belong to the block named after its first class.
-   Members of blocks above CHUNK meet again by their whole sets: what they share has to be
-   three quarters of a set then, which no passage of unrelated documents is.
 4. Each block is cut into chunks of at most about CHUNK sets. A chunk stores its
    sets, globally ordered, in a path-compressed trie; every set walks it, sharing the
    overlap of common paths and leaving subtrees that their remaining length cannot
-   lift to the threshold. Links inside one component of a chunk are not repeated.
-5. Blocks of several chunks: one delegate of each component meets the others, then every class outside its block's largest component walks the tries of
+   lift to the threshold. A chunk gives its components as stars.
+5. Blocks of several chunks: the first class of each component meets the others, as long as that
+   halves their number; then every class outside its block's largest component walks the tries of
    all its block's chunks. So no link between components is lost, and no pairs within
    a large group of near copies are spelled out.
 
@@ -135,9 +136,9 @@ def first_blocks(prof: DataFrame, threshold: Threshold) -> DataFrame:
 
 
 def finer_blocks(sets: DataFrame, threshold: Threshold) -> DataFrame:
-    """rep, block: blocks by whole sets, so that a passage that many classes hold makes none."""
-    offered = sets.select(F.col("rep").alias("node"), F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    return blocks(offered, F.ceil(F.col("n") * threshold.num / threshold.den).cast("int")).withColumnRenamed("node", "rep")
+    """key, block: blocks by whole sets, so that a passage that many classes hold makes none."""
+    offered = sets.select(F.col("key").alias("node"), F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    return blocks(offered, F.ceil(F.col("n") * threshold.num / threshold.den).cast("int")).withColumnRenamed("node", "key")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +146,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [shingle_set(h) for _, _, _, h in words(batch.column(2))]
         # Of rows that share a doc_id only those with the class's text count.
         own = [i for i, (key, s) in enumerate(zip(batch.column(1).to_pylist(), sets, strict=True)) if len(s) and set_key(s) == key]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), pa.array([sets[i].view(np.int64) for i in own], pa.list_(pa.int64()))], ["rep", "tokens"])
+        at = pa.array(own, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([sets[i].view(np.int64) for i in own], pa.list_(pa.int64()))], ["rep", "key", "tokens"])
 
 
 class Trie:
@@ -227,6 +229,13 @@ class Trie:
                     stack.append((kid, now))
 
 
+def _find(root: list[int], i: int) -> int:
+    while root[i] != i:
+        root[i] = root[root[i]]
+        i = root[i]
+    return i
+
+
 def trie_links(index: list[np.ndarray], queries: list[np.ndarray] | None, threshold: Threshold) -> Iterator[tuple[int, int]]:
     """Links (query, index set) of one chunk, found by walking the trie of ``index``.
 
@@ -256,22 +265,14 @@ def trie_links(index: list[np.ndarray], queries: list[np.ndarray] | None, thresh
                 yield q, i
             held[r] = False
         return
-    root = list(range(len(index)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    parts = len(index)
+    root, parts = list(range(len(index))), len(index)
     for q, s in enumerate(index):
         if parts == 1:
             return
         r = ranks[q]
         held[r] = True
         for i in trie.search(r, len(s), held, sizes, threshold):
-            x, y = find(q), find(i)
+            x, y = _find(root, q), _find(root, i)
             if x != y:
                 root[x] = y
                 parts -= 1
@@ -280,89 +281,102 @@ def trie_links(index: list[np.ndarray], queries: list[np.ndarray] | None, thresh
 
 
 def _chunks(threshold: Threshold):
-    """Rows sorted by (block, part): rep, tokens, asks. Gives the links a, b of each chunk."""
-
-    def links(reps: list[int], sets: list[np.ndarray], asks: list[bool]) -> Iterator[tuple[int, int]]:
-        if any(asks):
-            index = [i for i, q in enumerate(asks) if not q]
-            query = [i for i, q in enumerate(asks) if q]
-            if index:
-                for q, i in trie_links([sets[i] for i in index], [sets[q] for q in query], threshold):
-                    yield reps[query[q]], reps[index[i]]
-        elif len(sets) > 1:
-            for q, i in trie_links(sets, None, threshold):
-                yield reps[q], reps[i]
+    """Rows sorted by (block, part): rep, tokens, asks. Gives the components of each chunk's links as stars: block, a, b."""
+
+    def stars(reps: list[int], sets: list[np.ndarray], asks: list[bool]) -> Iterator[tuple[int, int]]:
+        index, query = [i for i, q in enumerate(asks) if not q], [i for i, q in enumerate(asks) if q]
+        if query:
+            pairs = ((query[q], index[i]) for q, i in trie_links([sets[i] for i in index], [sets[q] for q in query], threshold)) if index else ()
+        else:
+            pairs = trie_links(sets, None, threshold) if len(sets) > 1 else ()
+        root = list(range(len(reps)))
+        for q, i in pairs:
+            root[_find(root, q)] = _find(root, i)
+        low: dict[int, int] = {}
+        for i, rep in enumerate(reps):
+            low[_find(root, i)] = min(rep, low.get(_find(root, i), rep))
+        for i, rep in enumerate(reps):
+            if rep != low[_find(root, i)]:
+                yield rep, low[_find(root, i)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, reps, sets, asks = None, [], [], []
+        now, reps, sets, asks = (None, None), [], [], []
+        found: list[tuple[int, int, int]] = []
+
+        def given() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(3)], ["block", "a", "b"])
+            found.clear()
+            return out
+
         for batch in batches:
-            found: list[tuple[int, int]] = []
             lists = batch.column(3)
             flat, at = lists.flatten().to_numpy(zero_copy_only=False).view(U), lists.offsets.to_numpy() - lists.offsets[0].as_py()
             for i, (block, part, rep, ask) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4)), strict=True)):
                 if (block, part) != now:
-                    found += links(reps, sets, asks)
+                    found += [(now[0], *x) for x in stars(reps, sets, asks)]
                     now, reps, sets, asks = (block, part), [], [], []
                 reps.append(rep), sets.append(flat[at[i] : at[i + 1]]), asks.append(ask)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
-        found = list(links(reps, sets, asks))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+            yield given()
+        found += [(now[0], *x) for x in stars(reps, sets, asks)]
+        yield given()
 
     return run
 
 
-def _chunk_links(members: DataFrame, threshold: Threshold) -> DataFrame:
-    """members: block, part, rep, tokens, asks."""
-    dealt = members.select("block", "part", "rep", "tokens", "asks").repartition("block", "part").sortWithinPartitions("block", "part")
-    return dealt.mapInArrow(_chunks(threshold), "a long, b long").where("a <> b")
+def _chunk_links(sets: DataFrame, members: DataFrame, threshold: Threshold) -> DataFrame:
+    """block, a, b: the stars of each chunk. members: block, part, rep, asks."""
+    dealt = sets.join(sized(members), "rep").select("block", "part", "rep", "tokens", "asks").repartition("block", "part").sortWithinPartitions("block", "part")
+    return dealt.mapInArrow(_chunks(threshold), "block long, a long, b long")
 
 
 def links(docs: DataFrame, prof: DataFrame, classes: DataFrame, threshold: Threshold) -> DataFrame:
     """Links a, b between class representatives that make the components of all links."""
-    member = staged(first_blocks(prof, threshold).join(classes.select("key", "rep"), "key"), "blocks")
-    member = staged(_sized_blocks(member), "members")
-    wanted = member.select(F.col("rep").alias("doc_id"), "key").distinct()
+    met = staged(first_blocks(prof, threshold).join(classes.select("key", "rep"), "key"), "blocks")
+    wanted = staged(_sized_blocks(met).select(F.col("rep").alias("doc_id"), "key").distinct(), "wanted")
     texts = keep_keys(docs.select("doc_id", "text"), wanted, "doc_id")
-    sets = staged(texts.select(F.col("doc_id").alias("rep"), "key", "text").mapInArrow(_sets, "rep long, tokens array<long>"), "sets")
-    hot = member.where(F.col("size") > CHUNK).select("rep").distinct()
-    if not hot.isEmpty():
-        # Who met in a large block meets again by whole sets.
-        finer = finer_blocks(sets.join(sized(hot), "rep"), threshold)
-        member = staged(_sized_blocks(member.where(F.col("size") <= CHUNK).select("rep", "block").unionByName(finer)), "members")
+    sets = staged(texts.select(F.col("doc_id").alias("rep"), "key", "text").mapInArrow(_sets, "rep long, key long, tokens array<long>"), "sets")
+    blocked = staged(finer_blocks(sets, threshold).join(sized(wanted.withColumnRenamed("doc_id", "rep")), "key"), "blocks")
     parts = F.ceil(F.col("size") / CHUNK).cast("int")
-    member = member.withColumn("part", F.pmod(F.xxhash64("block", "rep"), parts).cast("int")).withColumn("asks", F.lit(False))
-    found = staged(_chunk_links(sets.join(sized(member), "rep"), threshold), "links")
+    member = _sized_blocks(blocked).withColumn("part", F.pmod(F.xxhash64("block", "rep"), parts).cast("int")).withColumn("asks", F.lit(False))
+    member = staged(member.select("block", "size", "part", "rep", "asks"), "members")
+    found = staged(_chunk_links(sets, member, threshold), "links")
     large = member.where(F.col("size") > CHUNK)
     if large.isEmpty():
-        return found
-    large = staged(large, "large")
-    # Delegates: one class of each component of a large block meets the others, as long as that unites components.
-    at = _labelled(large, found)
+        return found.select("a", "b")
+    level = staged(_led(large.select("block", "size", "rep", F.col("rep").alias("root")), found), "level")
+    was = None
     while True:
-        some = at.groupBy("block", "component").agg(F.min("rep").alias("rep"))
-        lone = some.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
-        some = some.join(lone, "block").withColumn("part", F.pmod(F.xxhash64("rep", "n"), F.ceil(F.col("n") / CHUNK)).cast("int")).withColumn("asks", F.lit(False))
-        new = staged(_chunk_links(sets.join(sized(some), "rep"), threshold), "links")
-        if new.isEmpty():
+        top = staged(level.select("block", "root").distinct(), "top")
+        left = top.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
+        if was is not None:
+            left = left.join(sized(was), "block").where("was > n * 2").select("block", "n")
+        left = staged(left, "left")
+        if left.isEmpty():
             break
-        found = staged(found.unionByName(new), "links")
-        at = _labelled(large, found)
+        some = top.join(sized(left), "block").select("block", F.col("root").alias("rep"), F.pmod(F.xxhash64("root", "n"), F.ceil(F.col("n") / CHUNK)).cast("int").alias("part"), F.lit(False).alias("asks"))
+        new = staged(_chunk_links(sets, some, threshold), "links")
+        found, level = found.unionByName(new), staged(_led(level, new), "level")
+        # A block whose components met in one chunk is done.
+        was = left.where(F.col("n") > CHUNK).select("block", F.col("n").alias("was"))
     # Whatever is outside its block's largest component asks every chunk of the block.
-    share = at.groupBy("block", "component").agg(F.count("*").alias("n"))
-    main = share.groupBy("block").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k")).where("k > 1")
-    asking = at.join(main, "block").where("component <> main").select("block", "rep", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / CHUNK).cast("int") - 1)).alias("part"), F.lit(True).alias("asks"))
-    index = large.join(main.select("block"), "block", "left_semi").select("block", "rep", "part", "asks")
-    return found.unionByName(_chunk_links(sets.join(sized(index.unionByName(asking)), "rep"), threshold))
+    share = level.groupBy("block", "root").agg(F.count("*").alias("n"))
+    main = staged(share.groupBy("block").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("k")).where("k > 1"), "main")
+    if main.isEmpty():
+        return found.select("a", "b")
+    asking = level.join(sized(main), "block").where("root <> main").select("block", "rep", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(True).alias("asks"))
+    index = large.join(sized(main.select("block")), "block", "left_semi").select("block", "rep", "part", "asks")
+    return found.unionByName(_chunk_links(sets, index.unionByName(asking), threshold)).select("a", "b")
 
 
 def _sized_blocks(member: DataFrame) -> DataFrame:
-    """Members of blocks of two and more, with the block's ``size``."""
-    return member.join(member.groupBy("block").agg(F.count("*").alias("size")).where("size > 1"), "block")
+    """Members of blocks of two and more, with the block's ``size``; the members stay where they are if the blocks are few."""
+    return member.join(sized(member.groupBy("block").agg(F.count("*").alias("size")).where("size > 1")), "block")
 
 
-def _labelled(large: DataFrame, found: DataFrame) -> DataFrame:
-    labels = components(found)
-    return large.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+def _led(level: DataFrame, found: DataFrame) -> DataFrame:
+    """``level`` with the root of each member's root."""
+    above = found.select("block", F.col("a").alias("root"), F.col("b").alias("above"))
+    return level.join(sized(above), ["block", "root"], "left").withColumn("root", F.coalesce("above", "root")).drop("above")
 
 
 def jaccard_components(docs: DataFrame, threshold: Threshold | None = None) -> DataFrame:
