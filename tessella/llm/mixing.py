@@ -19,6 +19,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 #: Levels of source and of language that are told apart; rarer ones are REST.
 LEVELS = 200
 REST, NONE = "(rest)", "(none)"
@@ -99,11 +101,10 @@ def _levels(docs: DataFrame, column: str) -> list[str]:
 
 
 def _calibrated(docs: DataFrame, targets: Targets) -> DataFrame:
-    """``docs`` with __source, __lang, __topic (levels), __tokens, __weight, __p and __take."""
-    rows = docs.withColumns(
-        {"__source": F.coalesce(F.col("source").cast("string"), F.lit(NONE)), "__lang": F.coalesce(F.col("lang").cast("string"), F.lit(NONE)), "__topic": topic(), "__tokens": tokens()}
-    )
-    counted = rows.groupBy("__source", "__lang", "__topic").agg(F.sum("__tokens").alias("__tokens"))
+    """``docs``, which have __topic and __tokens, with __source and __lang (levels), __weight, __p and __take."""
+    rows = docs.withColumns({"__source": F.coalesce(F.col("source").cast("string"), F.lit(NONE)), "__lang": F.coalesce(F.col("lang").cast("string"), F.lit(NONE))})
+    # Written, so that levels and cells are counted without reading the texts again.
+    counted = staged(rows.groupBy("__source", "__lang", "__topic").agg(F.sum("__tokens").alias("__tokens")), "counted")
     for column in ("__source", "__lang"):
         keep = _levels(counted, column)
         level = F.when(F.col(column).isin(keep), F.col(column)).otherwise(REST)
@@ -139,11 +140,12 @@ def mixed(docs: DataFrame, targets: Targets | None = None) -> DataFrame:
     a cell; a null doc_id is drawn like any other. Other columns don't matter; an empty table gives
     an empty result.
     """
-    rows = _calibrated(docs.select("doc_id", "text", "source", "lang"), targets or Targets())
+    looked = staged(docs.select("doc_id", "source", "lang", topic().alias("__topic"), tokens().alias("__tokens")), "looked")
+    rows = _calibrated(looked, targets or Targets())
     names = [F.col(f"__{m}").alias(m) for m in MARGINS]
     return rows.select("doc_id", *names, F.col("__tokens").alias("n_tokens"), F.col("__weight").alias("weight"), F.col("__p").alias("probability"), F.col("__take").alias("selected"))
 
 
 def sampled(docs: DataFrame, targets: Targets | None = None) -> DataFrame:
     """The selected rows of ``docs``, with its columns."""
-    return _calibrated(docs, targets or Targets()).where("__take").select(docs.columns)
+    return _calibrated(docs.withColumns({"__topic": topic(), "__tokens": tokens()}), targets or Targets()).where("__take").select(docs.columns)
