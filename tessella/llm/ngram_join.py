@@ -336,6 +336,11 @@ def links(docs: DataFrame, prof: DataFrame, classes: DataFrame, threshold: Thres
     texts = keep_keys(docs.select("doc_id", "text"), wanted, "doc_id")
     sets = staged(texts.select(F.col("doc_id").alias("rep"), "key", "text").mapInArrow(_sets, "rep long, key long, tokens array<long>"), "sets")
     blocked = staged(finer_blocks(sets, threshold).join(sized(wanted.withColumnRenamed("doc_id", "rep")), "key"), "blocks")
+    return block_links(sets, blocked, threshold)
+
+
+def block_links(sets: DataFrame, blocked: DataFrame, threshold: Threshold) -> DataFrame:
+    """Links a, b that make the components of all links within blocks. sets: rep, tokens; blocked: block, rep."""
     parts = F.ceil(F.col("size") / CHUNK).cast("int")
     member = _sized_blocks(blocked).withColumn("part", F.pmod(F.xxhash64("block", "rep"), parts).cast("int")).withColumn("asks", F.lit(False))
     member = staged(member.select("block", "size", "part", "rep", "asks"), "members")

@@ -8,14 +8,13 @@ paragraph inside it, at the same words in both, so passages of 50 words and more
 are always cut alike. Steps:
 
 1. Each paragraph has an exact hash and ``BANDS`` MinHashes of its five-word shingles.
-   In all bands but the first, overlapping paragraphs of a document that share a MinHash offer
-   one of them under it, that of smallest exact hash.
-2. Bands of one row: documents that share a MinHash collide. Two paragraphs of
+2. Bands of one row: paragraphs that share a MinHash collide. Two paragraphs of
    Jaccard 0.75 collide in one of three bands with a chance of 1 - 0.25**3 = 98.4 %, and a
-   passage has several paragraphs. A member of a bucket meets the bucket's first document, or
-   the first that has the same paragraph, so a bucket of any size gives pairs in proportion.
-3. Equal paragraphs are verified by their hash; others by exact Jaccard over their
-   shingles, read again from the texts.
+   passage has several paragraphs. Buckets of one document are left.
+3. Equal paragraphs are verified by their hash. The distinct ones of all buckets that hold
+   several are joined by exact Jaccard over their shingles, read again from the texts: by
+   the rare-first prefixes, chunks and tries of ``ngram_join``, so a bucket of any size, made
+   by a common phrase, needs no leader and gives no pairs of unrelated surroundings.
 4. Components of the verified links are clusters; a cluster keeps its paragraphs in its
    first document and loses them elsewhere. Overlapping removals join to spans.
 """
@@ -23,6 +22,7 @@ are always cut alike. Steps:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 from .common import drop_keys, keep_keys, staged, tune
 from .graph import components
+from .ngram_join import Threshold, block_links, finer_blocks
 from .words import U, mix, shingles, words
 
 #: Words of a paragraph, and the stretch in which one anchor is chosen at least.
@@ -87,13 +88,9 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = _distinct(rows) >= LEAST
             a, rows = a[keep], rows[keep]
             key = exact_hash(rows).view(np.int64)
-            for band, salt in enumerate(_SALTS):
+            for salt in _SALTS:
                 low = mix(rows * salt).min(axis=1) ^ salt
-                # The first band holds every paragraph; the others one for each MinHash of the document.
-                one = order = np.lexsort((key, low))
-                if band and len(order):
-                    one = order[np.concatenate(([True], low[order][1:] != low[order][:-1]))]
-                for column, value in zip(found, (low[one].view(np.int64), key[one], np.full(len(one), ids[i]), a[one]), strict=True):
+                for column, value in zip(found, (low.view(np.int64), key, np.full(len(a), ids[i]), a), strict=True):
                     column.append(value)
         columns = [pa.array(np.concatenate([*c, np.zeros(0, np.int64)]).astype(np.int64)) for c in found]
         yield pa.RecordBatch.from_arrays(columns, ["low", "exact", "doc_id", "start"])
@@ -121,30 +118,24 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, start, keep_doc_id, cluster: every paragraph to remove, and the document that keeps its cluster."""
-    first = F.min(F.struct("doc_id", "start", "exact")).over(Window.partitionBy("low"))
-    # Where the bucket has the same paragraph of an earlier document, that one is met.
-    same = F.min(F.struct("doc_id", "start", "exact")).over(Window.partitionBy("low", "exact"))
-    met = paragraphs(docs).withColumns({"first": first, "same": same})
-    met = met.withColumn("first", F.when(F.col("same.doc_id") != F.col("doc_id"), F.col("same")).otherwise(F.col("first"))).where(F.col("doc_id") != F.col("first.doc_id"))
-    met = staged(met.select("doc_id", "start", "exact", F.col("first.doc_id").alias("to_doc"), F.col("first.start").alias("to_start"), F.col("first.exact").alias("to")).distinct(), "met")
-    pairs = met.where("exact <> to").select(F.least("exact", "to").alias("a"), F.greatest("exact", "to").alias("b")).distinct()
-    # Where the shingles of each paragraph that has to be verified stand: one place each.
-    ends = met.where("exact <> to").select(F.explode(F.array(F.struct("exact", "doc_id", "start"), F.struct(F.col("to").alias("exact"), F.col("to_doc").alias("doc_id"), F.col("to_start").alias("start")))).alias("x")).select("x.*")
-    place = ends.groupBy("exact").agg(F.min(F.struct("doc_id", "start")).alias("at"))
+    bucket = Window.partitionBy("low")
+    ends = {name: f("doc_id" if name[0] == "d" else "exact").over(bucket) for name, f in (("d0", F.min), ("d1", F.max), ("e0", F.min), ("e1", F.max))}
+    met = paragraphs(docs).withColumns(ends).where("d0 < d1").groupBy("doc_id", "start", "exact").agg(F.max(F.expr("e0 < e1")).alias("near"))
+    met = staged(met, "met")
+    # Where the shingles of each paragraph that meets different ones stand: one place each.
+    place = met.where("near").groupBy("exact").agg(F.min(F.struct("doc_id", "start")).alias("at"))
     wanted = place.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.array("at.start", "exact")).alias("wanted"))
     texts = keep_keys(docs.select("doc_id", "text"), staged(wanted, "wanted"), "doc_id")
     schema = T.StructType([T.StructField("exact", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
-    sets = staged(texts.select("doc_id", "wanted", "text").mapInArrow(_shingle_rows, schema).dropDuplicates(["exact"]), "sets")
-    both = pairs.join(sets.select(F.col("exact").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("exact").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    linked = staged(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "linked")
-    # Verified meetings: equal paragraphs and linked ones.
-    near = met.withColumns({"a": F.least("exact", "to"), "b": F.greatest("exact", "to")}).where("a <> b").join(linked, ["a", "b"], "left_semi")
-    found = met.where("exact = to").unionByName(near.select(met.columns))
-    labels = components(linked).withColumnRenamed("node", "exact")
-    found = found.join(labels, "exact", "left").withColumn("cluster", F.coalesce("component", "exact"))
-    kept = found.groupBy("cluster").agg(F.min("to_doc").alias("keep_doc_id"))
-    return found.select("doc_id", "start", "cluster").distinct().join(kept, "cluster").where("doc_id <> keep_doc_id")
+    sets = texts.select("doc_id", "wanted", "text").mapInArrow(_shingle_rows, schema).dropDuplicates(["exact"])
+    sets = staged(sets.select(F.col("exact").alias("rep"), F.col("exact").alias("key"), F.col("shingles").alias("tokens")), "sets")
+    share = Fraction(similarity).limit_denominator(10**6)
+    threshold = Threshold(share.numerator, share.denominator)
+    blocked = staged(finer_blocks(sets, threshold).select("block", F.col("key").alias("rep")), "blocks")
+    labels = components(block_links(sets, blocked, threshold)).withColumnRenamed("node", "exact")
+    found = met.join(labels, "exact", "left").select("doc_id", "start", F.coalesce("component", "exact").alias("cluster"))
+    kept = found.groupBy("cluster").agg(F.min("doc_id").alias("keep_doc_id"), F.max("doc_id").alias("last")).where("keep_doc_id < last").drop("last")
+    return found.distinct().join(kept, "cluster").where("doc_id <> keep_doc_id")
 
 
 def spans(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -3,8 +3,8 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from tessella.llm.substring import REACH, WORDS, anchors, drop_repeats, spans
-from tessella.llm.words import words
+from tessella.llm.substring import _SALTS, REACH, WORDS, anchors, drop_repeats, repeats, spans
+from tessella.llm.words import mix, shingles, words
 
 EXTRA = "doc_id long, text string, start string, exact int, n_chars long"
 
@@ -83,6 +83,46 @@ def test_near_passages(spark):
     assert {x.doc_id for x in spans(frame(spark, rows)).collect()} == set(range(1, 40))
 
 
+def test_bucket_led_by_an_unrelated_paragraph(spark):
+    r = random.Random(5)
+    v = vocabulary(r)
+    base = [r.choice(v) for _ in range(120)]
+    # Earlier documents have each five-word phrase of the passage in other surroundings.
+    rows = []
+    for at in range(116):
+        for _ in range(8):
+            rows.append((len(rows), " ".join([r.choice(v) for _ in range(40)] + base[at : at + 5] + [r.choice(v) for _ in range(40)])))
+    rows.append((5000, " ".join(base)))
+    rows += [(5001 + k, " ".join(w if (i + k) % 40 else f"edit{k}" for i, w in enumerate(base, 1))) for k in range(6)]
+    got = {(x.doc_id, x.start) for x in repeats(frame(spark, rows)).collect()}
+    assert got == brute_repeats(rows) and {i for i, _ in got} == set(range(5001, 5007))
+
+
+def brute_repeats(rows):
+    """doc_id, start of the removed paragraphs: all pairs that share a MinHash are compared."""
+    held, buckets = {}, {}
+    for i, _, _, h in words(pa.array([t for _, t in rows])):
+        sh = shingles(h)
+        for start in anchors(h).tolist():
+            row = sh[start : start + WORDS - 4]
+            held[rows[i][0], start] = set(row.tolist())
+            for salt in _SALTS:
+                buckets.setdefault(int(mix(row * salt).min() ^ salt), []).append((rows[i][0], start))
+    root = {x: x for x in held}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for members in buckets.values():
+        for x in members:
+            for y in members:
+                if x < y and len(held[x] & held[y]) >= 0.75 * len(held[x] | held[y]):
+                    root[max(find(x), find(y))] = min(find(x), find(y))
+    return {x for x in held if find(x)[0] != x[0]}
+
+
 def test_empty(spark):
     assert spans(frame(spark, [])).collect() == []
     assert drop_repeats(frame(spark, [])).collect() == []
