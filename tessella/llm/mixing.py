@@ -7,8 +7,8 @@ better, as a level may hold too little). A document is kept with the calibrated
 of its cell, the raked tokens over those there are, by a hash of doc_id, so the draw
 is reproducible and needs no shuffle.
 
-Cells stay few by construction: a margin keeps its ``LEVELS`` largest levels and the rest
-share one, so raking happens on at most ``(LEVELS + 1) ** 2`` times the topics.
+Every source and language is a level of its own, with its own target. Raking happens on
+the driver, on the cells that occur: columns of one number for each.
 """
 
 from __future__ import annotations
@@ -16,13 +16,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import sized, staged
 
-#: Levels of source and of language that are told apart; rarer ones are REST.
-LEVELS = 200
+#: Levels of source and of language that are told apart besides those named in the targets; rarer ones are REST. None: all are.
+LEVELS: int | None = None
 REST, NONE = "(rest)", "(none)"
 MARGINS = ("source", "lang", "topic")
 
@@ -105,30 +106,30 @@ def _calibrated(docs: DataFrame, targets: Targets) -> DataFrame:
     rows = docs.withColumns({"__source": F.coalesce(F.col("source").cast("string"), F.lit(NONE)), "__lang": F.coalesce(F.col("lang").cast("string"), F.lit(NONE))})
     # Written, so that levels and cells are counted without reading the texts again.
     counted = staged(rows.groupBy("__source", "__lang", "__topic").agg(F.sum("__tokens").alias("__tokens")), "counted")
-    for column in ("__source", "__lang"):
-        keep = _levels(counted, column)
+    for column in ("__source", "__lang") if LEVELS is not None else ():
+        keep = [*_levels(counted, column), *targets.weights.get(column[2:], {})]
         level = F.when(F.col(column).isin(keep), F.col(column)).otherwise(REST)
         rows, counted = rows.withColumn(column, level), counted.withColumn(column, level)
     names = [f"__{m}" for m in MARGINS]
-    cells = counted.groupBy(*names).agg(F.sum("__tokens").alias("n")).orderBy(*names).collect()  # few: see LEVELS
-    have = np.array([float(c.n) for c in cells])
+    cells = counted.groupBy(*names).agg(F.sum("__tokens").alias("n")).orderBy(*names).toArrow()
+    have = cells["n"].to_numpy().astype(np.float64)
     levels, shares = [], []
     for m in MARGINS:
-        sums: dict[str, float] = {}
-        for c in cells:
-            sums[c[f"__{m}"]] = sums.get(c[f"__{m}"], 0.0) + c.n
-        ordered = sorted(sums)
-        wanted = target_shares(sums, targets.weights.get(m, {}), targets.power)
-        levels.append(np.array([ordered.index(c[f"__{m}"]) for c in cells], int))
+        coded = cells[f"__{m}"].combine_chunks().dictionary_encode()
+        level, ordered = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        named = targets.weights.get(m, {})
+        absent = sorted(k for k, v in named.items() if v > 0 and k not in set(ordered))
+        if absent and len(have):
+            raise ValueError(f"the targets name a {m} that no document has: {', '.join(absent)}")
+        wanted = target_shares(dict(zip(ordered, np.bincount(level, have, len(ordered)).tolist(), strict=True)), named, targets.power)
+        levels.append(level)
         shares.append(np.array([wanted[k] for k in ordered]))
-    take = rake(have, levels, shares, targets.share * have.sum(), targets.rounds) if cells else have
+    take = rake(have, levels, shares, targets.share * have.sum(), targets.rounds) if len(have) else have
     probability = np.divide(take, have, out=np.zeros_like(have), where=have > 0)
     weight = probability / (take.sum() / have.sum() if take.sum() else 1.0)
-    table = docs.sparkSession.createDataFrame(
-        [(*c[:3], float(w), float(p)) for c, w, p in zip(cells, weight, probability, strict=True)], "__source string, __lang string, __topic string, __weight double, __p double"
-    )
+    table = docs.sparkSession.createDataFrame(cells.drop_columns(["n"]).append_column("__weight", pa.array(weight)).append_column("__p", pa.array(probability)))
     drawn = F.pmod(F.xxhash64(F.lit("mixing"), "doc_id"), F.lit(1 << 52)) / float(1 << 52)
-    return rows.join(F.broadcast(table), names).withColumn("__take", drawn < F.col("__p"))
+    return rows.join(sized(table), names).withColumn("__take", drawn < F.col("__p"))
 
 
 def mixed(docs: DataFrame, targets: Targets | None = None) -> DataFrame:

@@ -80,6 +80,20 @@ def test_rare_levels_share_one(spark, rows, monkeypatch):
     assert {x.source for x in got} == {"hot", REST, max("abc", key=lambda s: sum(len((r[1] or "").split()) for r in rows if r[3] == s))}
 
 
+def test_every_level_keeps_its_share(spark):
+    # 300 sources; the rarest is named, as in a corpus of many domains.
+    rows = [(k, "word " * (300 - k // 4 % 300 + 20), "en", f"s{k // 4 % 300}", "x", 1, 2, 3) for k in range(1200)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = mixed(docs, Targets(share=0.3, weights={"source": {"s299": 0.001}})).collect()
+    assert {x.source for x in got} == {f"s{k}" for k in range(300)}
+    taken = lambda s: sum(x.n_tokens * x.probability for x in got if s in (None, x.source))
+    assert taken("s299") == pytest.approx(0.001 * taken(None), rel=1e-6)
+    want = target_shares({f"s{k}": 4.0 * (300 - k + 20) for k in range(300)}, {"s299": 0.001}, 0.7)
+    assert all(taken(s) == pytest.approx(want[s] * taken(None), rel=1e-6) for s in ("s0", "s205", "s298"))
+    with pytest.raises(ValueError, match="absent"):
+        mixed(docs, Targets(weights={"source": {"absent": 0.1}}))
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert mixed(none).collect() == [] and sampled(none).collect() == []
