@@ -28,11 +28,15 @@ QUERIES, ROWS = 4096, 2048
 LEVELS = (4, 16)
 
 
+def _whole(floor: Column, v: Column) -> Column:
+    return F.when(F.abs(v.cast("double")) < F.lit(2.0**53), floor.cast("long")).otherwise(F.raise_error(F.lit("a component of 2**53 or more is beyond 64-bit integers")))
+
+
 def integers(embedding: str = "embedding") -> Column:
     """floor(1024 * x) of each component; null for a null or empty vector and any with a null or non-finite component."""
     x = F.col(embedding)
-    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) * 1024 >= F.lit(2.0**30)))
-    return F.when((F.size(x) > 0) & ~bad, F.transform(x, lambda v: F.floor(v.cast("double") * 1024).cast("int")))
+    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) == F.lit(float("inf"))))
+    return F.when((F.size(x) > 0) & ~bad, F.transform(x, lambda v: _whole(F.floor(v.cast("double") * 1024), v)))
 
 
 def statistics(v: np.ndarray) -> list[np.ndarray]:
@@ -42,9 +46,8 @@ def statistics(v: np.ndarray) -> list[np.ndarray]:
         cuts = np.unique(np.linspace(0, v.shape[1], min(parts, v.shape[1]) + 1).astype(int))
         size = np.diff(cuts)
         total = np.add.reduceat(v, cuts[:-1], axis=1)
-        square = np.add.reduceat(v * v, cuts[:-1], axis=1)
         mean = total / size
-        spread = np.sqrt(np.maximum(square / size - mean * mean, 0))
+        spread = np.sqrt(np.add.reduceat((v - np.repeat(mean, size, axis=1)) ** 2, cuts[:-1], axis=1) / size)
         out.append(np.concatenate((mean, spread), 1) * np.sqrt(np.concatenate((size, size))))
     return out
 
@@ -53,6 +56,16 @@ def _better(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
+def _products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Exact products: 64-bit integers, or Python's where these may overflow."""
+    out = rows @ query
+    wide = np.abs(rows).max(axis=1, initial=0).astype(np.float64) * float(np.abs(query).max(initial=0)) * len(query) >= 2.0**62
+    if wide.any():
+        out = out.astype(object)
+        out[wide] = rows[wide].astype(object) @ query.astype(object)
+    return out
+
+
 class Best:
     """The k best rows of each query among the chunks given so far."""
 
@@ -64,9 +77,9 @@ class Best:
         self.least = np.full(len(ids), -np.inf)
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        # Exact as long as no product can leave 53 bits; else with 64-bit integers.
-        small = float(np.abs(vectors).max(initial=1)) * float(np.abs(self.v).max(initial=1)) * self.v.shape[1] < 2.0**53
-        kind = np.float64 if small else np.int64
+        # Exact as long as no product can leave 53 bits; else with integers.
+        largest = float(np.abs(vectors).max(initial=1)) * float(np.abs(self.v).max(initial=1)) * self.v.shape[1]
+        kind = np.float64 if largest < 2.0**53 else np.int64
         rows, queries = vectors.astype(kind), self.v.astype(kind)
         stats = statistics(vectors.astype(np.float64))
         # Rounding of the bounds is far below this.
@@ -75,17 +88,19 @@ class Best:
         for mine, theirs in zip(self.stats, stats, strict=True):
             if not np.isinf(self.least).any():
                 alive &= mine @ theirs.T >= (self.least - slack)[:, None]
-        if alive.mean() > 0.3:  # one product of matrices beats picking
+        if largest < 2.0**62 and alive.mean() > 0.3:  # one product of matrices beats picking
             exact = queries @ rows.T
         else:
             exact = None
         for q in np.flatnonzero(alive.any(1)):
             at = np.flatnonzero(alive[q])
-            score = exact[q, at] if exact is not None else rows[at] @ queries[q]
-            keep = (score >= self.least[q]) & (ids[at] != self.ids[q])
+            score = exact[q, at] if exact is not None else _products(rows[at], queries[q]) if kind is np.int64 else rows[at] @ queries[q]
+            keep = ids[at] != self.ids[q]
+            if len(self.scores[q]) == self.k:
+                keep &= (score >= self.scores[q][-1]).astype(bool)
             if not keep.any():
                 continue
-            scores = np.concatenate((self.scores[q], score[keep].astype(np.int64)))
+            scores = np.concatenate((self.scores[q], score[keep] if score.dtype == object else score[keep].astype(np.int64)))
             found = np.concatenate((self.found[q], ids[at[keep]]))
             top = _better(scores, found, self.k)
             self.scores[q], self.found[q] = scores[top], found[top]
@@ -119,7 +134,11 @@ def _search(blocks: list[tuple[np.ndarray, np.ndarray]], k: int):
         for d, b in best.items():
             flush(d)
             query = np.repeat(b.ids, [len(x) for x in b.found])
-            yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(np.concatenate([*b.found, np.zeros(0, np.int64)]), pa.int64()), pa.array(np.concatenate([*b.scores, np.zeros(0, np.int64)]), pa.int64())], ["query_id", "vec_id", "score"])
+            score = np.concatenate([*b.scores, np.zeros(0, np.int64)])
+            # In two longs; the high part is clipped only where the score is far beyond 64 bits, an error if it ranks.
+            high, low = np.clip(score >> 62, -(1 << 60), 1 << 60), score & ((1 << 62) - 1)
+            columns = [query, np.concatenate([*b.found, np.zeros(0, np.int64)]), high, low]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["query_id", "vec_id", "high", "low"])
 
     return run
 
@@ -128,8 +147,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows with the highest inner product to each query, ties to the smaller vec_id.
 
     Both tables have vec_id and embedding. A row is no candidate for its own vec_id. Vectors that are null
-    or empty or hold null or non-finite components (or ones of 2**20 and more) take no part, nor do rows
-    without vec_id. Products join vectors of one length only. Rows that repeat a vec_id
+    or empty or hold null or non-finite components take no part, nor do rows
+    without vec_id. Components of 2**53 and more, and scores of the result beyond 64 bits, are errors. Products join vectors of one length only. Rows that repeat a vec_id
     count once each; a query given twice is answered once for each. Other columns
     don't matter; empty tables give an empty result.
     """
@@ -147,9 +166,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             if got.num_rows:
                 ids = got.column(0).to_numpy()
                 block = [(ids, got.column(1).combine_chunks().flatten().to_numpy().reshape(len(ids), d).astype(np.int64))]
-                part = rows.mapInArrow(_search(block, k), "query_id long, vec_id long, score long")
+                part = rows.mapInArrow(_search(block, k), "query_id long, vec_id long, high long, low long")
                 parts = part if parts is None else parts.unionByName(part)
     if parts is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    order = Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), "vec_id")
+    score = F.when(F.col("high").between(-2, 1), F.shiftleft("high", 62) + F.col("low")).otherwise(F.raise_error(F.lit("a score among the best is beyond 64 bits")))
+    return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.cast("long").alias("score"))

@@ -32,6 +32,22 @@ def test_against_brute_force(spark, monkeypatch):
     assert got == brute(rows, lambda q: q % 10 == 0, 10)
 
 
+def test_large_components(spark):
+    r = random.Random(2)
+    rows = [(i, [r.gauss(0, 0.2) for _ in range(24)]) for i in range(200)]
+    rows += [(300, [2.0**21] + [0.5] * 23), (301, [-(2.0**22)] * 24), (303, [3.0e6, *[1.0] * 23]), (310, [2.0**20] * 24)]
+    rows += [(311, [2.0**43] + [-0.25] * 23), (313, [0.0, -(2.0**42), *[0.0] * 22])]
+    docs = spark.createDataFrame([(i, e, 1, 2, 3, 4) for i, e in rows], SCHEMA).repartition(3)
+    got = sorted(tuple(x) for x in top_k(docs, docs.where("vec_id < 300 and vec_id % 10 = 0"), 10).collect())
+    assert got == brute(rows, lambda q: q < 300 and q % 10 == 0, 10)
+    got = sorted(tuple(x) for x in top_k(docs.where("vec_id < 311"), docs.where("vec_id in (300, 310)"), 10).collect())
+    assert got == brute(rows[:-2], lambda q: q in (300, 310), 10)
+    # Products of the outliers with one another leave 64 bits below the best ten.
+    few = [x for x in rows if x[0] < 20 or x[0] in (311, 301)]
+    got = sorted(tuple(x) for x in top_k(docs.where("vec_id < 20 or vec_id in (311, 301)"), docs.where("vec_id = 301"), 10).collect())
+    assert got == brute(few, lambda q: q == 301, 10)
+
+
 def test_bounds_hold():
     r = np.random.default_rng(1)
     a, b = r.normal(0, 300, (50, 30)), r.normal(50, 300, (60, 30))
