@@ -81,12 +81,27 @@ class Words:
         self.special = [t["content"] for t in spec.get("added_tokens") or []]
         self.pattern = self._pattern(spec)
         # Of the plain characters: 0 space, 1 letter, 2 digit, 3 other; 4 is not plain.
-        self.kind = np.full(0x180, 4, np.uint8)
+        self.classes = np.full(0x180, 4, np.uint8)
         for c in map(chr, range(0x180)):
             if self.PLAIN.match(c):
-                self.kind[ord(c)] = 0 if c.isspace() else 1 if regex.match(r"\p{L}", c) else 2 if regex.match(r"\p{N}", c) else 3
+                self.classes[ord(c)] = 0 if c.isspace() else 1 if regex.match(r"\p{L}", c) else 2 if regex.match(r"\p{N}", c) else 3
         self.memory: dict[str, bytes] = {}
         self.size = self.library.get_vocab_size()
+        self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
+        self.last = self._last(spec)
+
+    def _last(self, spec: dict) -> np.ndarray | None:
+        """Which ids end a word, where every word has one at its end and nowhere else: then words can be encoded joined by spaces."""
+        suffix, vocabulary = (spec.get("model") or {}).get("end_of_word_suffix"), self.library.get_vocab()
+        if self.pattern is None or not suffix or self.pattern.fullmatch(suffix):
+            return None
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        if any(c + x not in vocabulary for c in ByteLevel.alphabet() for x in ("", suffix)):
+            return None
+        last = np.zeros(self.size, bool)
+        last[[i for word, i in vocabulary.items() if word.endswith(suffix)]] = True
+        return last
 
     @staticmethod
     def _pattern(spec: dict):
@@ -106,7 +121,7 @@ class Words:
         if self.pattern is None or any(s in text for s in self.special):
             return None
         code = np.frombuffer(text.encode("utf-32-le"), "<u4")
-        if code.max() >= len(self.kind) or (kind := self.kind[code]).max() == 4:
+        if code.max() >= len(self.classes) or (kind := self.classes[code]).max() == 4:
             return None
         text = text.lower()
         if "'" in text:  # may be a contraction
@@ -117,15 +132,30 @@ class Words:
         last = np.append(first[1:], len(kind))
         return [text[a:b] for a, b in zip(first[word].tolist(), last[word].tolist(), strict=True)]
 
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """The ids of each word."""
+        if self.last is not None:
+            ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, self.kind)
+            stop = np.flatnonzero(self.last[ids]) + 1
+            if len(stop) == len(words) and stop[-1] == len(ids):
+                raw, size = ids.tobytes(), ids.itemsize
+                stops = (stop * size).tolist()
+                return [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch(words, add_special_tokens=False)]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without special tokens added; null is empty."""
+        return [np.frombuffer(x, self.kind).astype("<u4").tobytes() for x in self.packed(texts)]
+
+    def packed(self, texts: list[str | None]) -> list[bytes]:
+        """What ``encode`` gives, in ids of type ``kind``."""
         out: list[bytes] = [b""] * len(texts)
         memory, new, later = self.memory, {}, {}
         for i, text in enumerate(texts):
             if not text:
                 continue
             if (words := self.cut(text)) is None:
-                out[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                out[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
                 continue
             ids = list(map(memory.get, words))
             if None in ids:
@@ -136,8 +166,7 @@ class Words:
         names = list(new)
         for at in range(0, len(names), 4096):
             part = names[at : at + 4096]
-            for word, e in zip(part, self.library.encode_batch(part, add_special_tokens=False), strict=True):
-                new[word] = np.array(e.ids, "<u4").tobytes()
+            new.update(zip(part, self._encoded(part), strict=True))
         for i, words in later.items():
             out[i] = b"".join([new[w] if (x := memory.get(w)) is None else x for w in words])
         if len(memory) + len(new) > CACHE:
@@ -151,40 +180,42 @@ def load(path: str) -> Words:
     return Words(path)
 
 
+def _kind(path: str, end: int) -> str:
+    """The type that ids are kept as: unsigned 16-bit integers where the vocabulary allows, else 32-bit."""
+    return "<u4" if end >= 1 << 16 else load(path).kind
+
+
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = load(path)
-        kind = "<u2" if max(words.size, end + 1) <= 1 << 16 else "<u4"
-        tail = np.array([end], "<u4").tobytes()
+        words, kind, total = load(path), _kind(path, end), np.zeros(0, np.int64)
+        tail = np.array([end], kind).tobytes()
         for batch in batches:
-            ids = [np.frombuffer(x + tail, "<u4").astype(kind).tobytes() for x in words.encode(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            texts = words.packed(batch.column(1).to_pylist())
+            if kind != words.kind:
+                texts = [np.frombuffer(x, words.kind).astype(kind).tobytes() for x in texts]
+            ids = [x + tail for x in texts]
+            n = np.bincount(np.frombuffer(b"".join(ids), kind), minlength=len(total))
+            n[: len(total)] += total
+            total = n
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.list_(pa.int64()))], ["doc_id", "ids", "tally"])
+        row = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(row, ["doc_id", "ids", "tally"])
 
     return run
 
 
 def token_ids(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """doc_id and ids with the end id: unsigned 16-bit integers where the vocabulary allows, else 32-bit."""
+    """doc_id and ids with the end id of every row, and one more row for each task: ``tally``, how often each id came."""
     tune(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_encode(path, end), "doc_id long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(_encode(path, end), "doc_id long, ids binary, tally array<long>")
 
 
-def _count(kind: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1, np.int64)
-        for batch in batches:
-            n = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind))
-            total = np.concatenate((total, np.zeros(max(0, len(n) - len(total)), np.int64)))
-            total[: len(n)] += n
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
+def frequency_ranks(ids: DataFrame, kind: str = "") -> np.ndarray:
+    """Ids by falling count over all documents (ties: smaller id first); as many as the vocabulary at most.
 
-    return run
-
-
-def frequency_ranks(ids: DataFrame, kind: str) -> np.ndarray:
-    """Ids by falling count over all documents (ties: smaller id first); as many as the vocabulary at most."""
-    counts = ids.select("ids").mapInArrow(_count(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    The tallies of the tasks are added up, whatever ``kind`` the ids are of.
+    """
+    counts = ids.select(F.posexplode("tally").alias("id", "n")).groupBy("id").agg(F.sum("n").alias("n")).where("n > 0").collect()
     return np.array([r.id for r in sorted(counts, key=lambda r: (-r.n, r.id))], np.int64)
 
 
@@ -225,17 +256,15 @@ def write(docs: DataFrame, path: str, end: int, to: str | None = None) -> str:
     order of their ids. Other columns don't matter; an empty table gives empty files.
     """
     spark = docs.sparkSession
-    words = load(path)
-    kind = "<u2" if max(words.size, end + 1) <= 1 << 16 else "<u4"
     to = to or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     ids = staged(token_ids(docs, path, end), "token-ids")
-    by_rank = frequency_ranks(ids, kind)
+    by_rank = frequency_ranks(ids)
     rank = np.zeros(int(by_rank.max(initial=0)) + 1, np.int64)
     rank[by_rank] = np.arange(len(by_rank))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = ids.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered = ids.where("ids is not null").select("doc_id", "ids").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
     schema = "shard long, block long, before long, doc_ids array<long>, counts array<long>, control binary, data binary"
-    ordered.mapInArrow(_blocks(kind, rank), schema).write.option("compression", "zstd").parquet(f"{to}/blocks")
+    ordered.mapInArrow(_blocks(_kind(path, end), rank), schema).write.option("compression", "zstd").parquet(f"{to}/blocks")
     spark.createDataFrame([(by_rank.tolist(), end)], "ids array<long>, end long").coalesce(1).write.parquet(f"{to}/ranks")
     return to
 
