@@ -62,3 +62,28 @@ def test_bounds_hold():
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert top_k(none, none).collect() == []
+
+
+def test_bounds_leave_few_pairs_to_compute(monkeypatch):
+    monkeypatch.setattr(topk, "ROWS", 200)
+    r = np.random.default_rng(3)
+    centres = r.normal(0, 300, (30, 64))
+    rows = np.floor(centres[r.integers(0, 30, 3000)] + r.normal(0, 40, (3000, 64))).astype(np.int64)
+    best = topk.Best(np.arange(50), rows[:50], 10)
+    for chunk in topk._chunks([(np.arange(3000), rows)]):
+        best.add(chunk)
+    # Each level leaves fewer, and what is computed in the end is a small part of all.
+    assert best.pairs > best.left[0] > best.left[1] >= best.left[2]
+    assert best.left[-1] < 0.2 * best.pairs
+    for i in range(50):
+        s = rows @ rows[i]
+        want = sorted((-int(x), j) for j, x in enumerate(s) if j != i)[:10]
+        assert [(-int(x), int(j)) for x, j in zip(best.scores[i], best.found[i], strict=True)] == want
+
+
+def test_repeated_queries_and_rows(spark):
+    rows = [(100, [1.0, 0.5]), (100, [1.0, 0.5]), (100, [-1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [0.25, 0.0])]
+    docs = spark.createDataFrame([(i, e, 1, 2, 3, 4) for i, e in rows], SCHEMA)
+    got = sorted(tuple(x) for x in top_k(docs, docs.where("vec_id = 100"), 2).collect())
+    near = 512 * 1024 + 512 * 512
+    assert got == sorted([(100, 1, 1, near), (100, 2, 1, near)] * 2 + [(100, 1, 2, -256 * 1024), (100, 2, 1, -512 * 1024)])
