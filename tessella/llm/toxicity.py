@@ -1,15 +1,17 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words map to symbols (insult, threat, target, negation, report, ...) by a lexicon with
-weights. Small transducers over these symbols are composed: the *reading* transducer
+Words map to symbols (insult, slur, hint, threat, target, negation, report, ...) by a lexicon of four
+languages. Small weighted transducers over these symbols are composed: the *reading* transducer
 turns a clause into marked symbols (after a negation or a verb of report, what follows
 is marked, up to the end of its scope); the *match* transducer accepts clauses
-with an insult or a threat, with or without a target beside it, and gives each accepted
-pattern its weight. A document's score comes from its matched clauses, not from
-isolated words.
-
-Seed words are fixed; further insults, as words or as stems, are learned from a bounded
-sample of labelled rows (``Settings.per_class``), and so are the patterns' weights, by logistic regression.
+with an insult or a threat, with or without a target beside it. An arc that completes a piece of
+harm gives the piece's name out and has a weight, and composing adds weights. A document's log-odds are
+a bias plus the weights of the arcs that its clauses take; the n-th arc of one name counts log2((n + 1) / n)
+of its weight, so a long text isn't toxic by length. Words that no clause combines don't score.
+
+Seed words are fixed. Further insults, as words (slurs) or as stems (hints), are learned from a bounded
+sample of labelled rows (``Settings.per_class``), and so are the arcs' weights, by logistic
+regression over how often each kind of arc was taken.
 """
 
 from __future__ import annotations
@@ -28,14 +30,38 @@ from .common import tune
 
 WORD = re.compile(r"[^\W\d_]+|[.!?;:\n]+")
 
-#: Seed lexicon: symbols and their words.
+#: Seed lexicon: symbols and their words, English, French, German, Spanish.
 SEEDS = {
-    "insult": "idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting clown clowns dumb fool imbecile garbage vermin",
-    "threat": "kill hurt beat destroy shoot stab punch crush burn hunt",
-    "target": "you your yours youre they them he she him her these those people everyone",
-    "negation": "not no never neither nor isnt arent wasnt dont doesnt didnt",
-    "report": "said says told called wrote claimed reported quoted according",
-    "intent": "will gonna shall should must deserve deserves",
+    "insult": """
+        idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting clown clowns dumb fool imbecile garbage vermin
+        idiote imbécile imbéciles stupide crétin crétins abruti débile ordure ordures pathétique minable
+        dummkopf depp trottel abschaum erbärmlich wertlos dumm versager idioten ekelhaft
+        idiota idiotas estúpido estúpida imbécil basura patético patética inútil payaso tonto tonta escoria""",
+    "threat": """
+        kill hurt beat destroy shoot stab punch crush burn hunt
+        tuer tue tuerai frapper frapperai détruire détruirai brûler
+        töten töte umbringen schlagen vernichten verbrennen erschießen
+        matar mataré mato golpear golpearé destruir quemar""",
+    "target": """
+        you your yours youre they them he she him her these those people everyone
+        tu te toi vous ils elles eux
+        du dich dir ihr euch sie ihn bist
+        tú ti usted ustedes ellos vosotros eres""",
+    "negation": """
+        not no never neither nor isnt arent wasnt dont doesnt didnt isn aren wasn don doesn didn won wouldn
+        ne n pas jamais aucun aucune
+        nicht kein keine keinen niemals nie
+        nunca jamás tampoco""",
+    "report": """
+        said says told called wrote claimed reported quoted according
+        dit disait déclaré écrit affirme selon
+        sagte sagt schrieb behauptete laut berichtete meinte
+        dijo dice escribió afirmó según""",
+    "intent": """
+        will gonna shall should must deserve deserves
+        vais va vas dois devrait mérites
+        werde wird sollte muss verdienst
+        voy debo debería mereces""",
 }
 
 #: Words after a negation that it covers, and after a verb of report.
@@ -44,13 +70,11 @@ SCOPE = {"negation": 3, "report": 12}
 
 @dataclass(frozen=True)
 class Settings:
-    """``per_class``: labelled rows of each class used to learn (about; twice as many at most), of
-    which the first ``characters`` are read. A word or stem is an insult if it stands between at
+    """``per_class``: labelled rows of each class used to learn, at most. A word or stem is an insult if it stands between at
     least ``least`` different pairs of neighbours in toxic texts, and in as many as ``often`` of all toxic
     texts (copies of a text repeat their neighbours and don't count), and if at most ``impure`` of its rate is clean."""
 
     per_class: int = 3000
-    characters: int = 20_000
     least: int = 4
     often: float = 0.015
     impure: float = 0.03
@@ -67,18 +91,23 @@ class Transducer:
     final: dict[str, float] = field(default_factory=dict)
 
     def step(self, state: str, symbol: str) -> tuple[str, str, float]:
+        """Where the symbol's arc leads, what it gives out, and its weight."""
         arc = self.arcs.get((state, symbol)) or self.arcs.get((state, "*"))
         to, out, weight = arc or (state, symbol, 0.0)
         return to, symbol if out == "=" else out, weight
 
 
+#: Symbols of harm.
+HARM = ("insult", "slur", "hint", "threat")
+
+
 def reading() -> Transducer:
-    """Marks insults and threats under negation (``not:``) and report (``told:``)."""
+    """Marks harm under negation (``not:``) and report (``told:``)."""
     arcs: dict[tuple[str, str], tuple[str, str, float]] = {}
     mark = {"0": ""} | {f"n{k}": "not:" for k in range(1, SCOPE["negation"] + 1)} | {f"r{k}": "told:" for k in range(1, SCOPE["report"] + 1)}
     for state, prefix in mark.items():
         after = "0" if state in ("0", "n1", "r1") else f"{state[0]}{int(state[1:]) - 1}"
-        for symbol in ("insult", "threat"):
+        for symbol in HARM:
             arcs[state, symbol] = (after, prefix + symbol, 0.0)
         arcs[state, "negation"] = (f"n{SCOPE['negation']}", "=", 0.0)
         arcs[state, "report"] = (f"r{SCOPE['report']}", "=", 0.0)
@@ -86,31 +115,52 @@ def reading() -> Transducer:
     return Transducer(arcs)
 
 
-#: Patterns that the match transducer tells apart, the strongest last.
-PATTERNS = ("told:threat", "not:threat", "told:insult", "not:insult", "threat", "intent threat", "insult", "insult target", "threat target")
+#: What an arc of harm may give out, with the log-odds that it starts from: bare, beside a target or an intent, marked.
+PIECES = {
+    "insult": 4.0, "insult target": 5.0, "target of insult": 1.0,
+    "slur": 3.0, "slur target": 3.5, "target of slur": 0.5,
+    "hint": 2.0, "hint target": 2.5, "target of hint": 0.5,
+    "threat": 1.5, "intent threat": 3.0, "threat target": 5.0, "target of threat": 3.0,
+    "not:insult": 0.3, "not:slur": 0.3, "not:hint": 0.3, "not:threat": 0.2, "told:insult": 0.3, "told:slur": 0.3, "told:hint": 0.3, "told:threat": 0.2,
+}
 
 
-def matching() -> Transducer:
-    """Accepts clauses; its state names the strongest pattern so far and whether a target or an intent has come."""
-    arcs: dict[tuple[str, str], tuple[str, str, float]] = {}
-    for seen in ("", *PATTERNS):
-        for has in ("", "t", "i", "ti"):
-            state = f"{seen}|{has}"
-            for symbol in ("told:threat", "not:threat", "told:insult", "not:insult", "threat", "insult"):
-                new = symbol
-                if symbol == "insult" and "t" in has:
-                    new = "insult target"
-                elif symbol == "threat":
-                    new = "threat target" if has == "ti" else "intent threat" if "i" in has else "threat"
-                arcs[state, symbol] = (f"{_stronger(seen, new)}|{has}", new, 0.0)
-            late = {"insult": "insult target", "intent threat": "threat target"}.get(seen, seen)
-            arcs[state, "target"] = (f"{late}|{''.join(sorted({*has, 't'}, reverse=True))}", "=", 0.0)
-            arcs[state, "intent"] = (f"{seen}|{''.join(sorted({*has, 'i'}, reverse=True))}", "=", 0.0)
-    return Transducer(arcs, start="|")
+#: Names of a clause by its strongest piece, the strongest last.
+PATTERNS = (
+    *(mark + harm for harm in ("threat", "hint", "slur", "insult") for mark in ("told:", "not:")),
+    *("threat", "hint", "slur", "intent threat", "insult", "hint target", "slur target", "insult target", "threat target"),
+)
 
 
-def _stronger(a: str, b: str) -> str:
-    return max(a, b, key=lambda p: PATTERNS.index(p) if p else -1)
+def matching(weights: dict[str, float] = PIECES) -> Transducer:
+    """Weighs the pieces of harm of a clause.
+
+    A state has the harm that awaits a target, and what has come: t a target, i an intent, ti both in this order,
+    it a target after the intent (whom it is meant for).
+    """
+    arcs: dict[tuple[str, str], tuple[str, str, float]] = {}
+
+    def arc(piece: str, to: str) -> tuple[str, str, float]:
+        return to, piece, weights[piece]
+
+    with_target = {"": "t", "t": "t", "i": "it", "ti": "it", "it": "it"}
+    with_intent = {"": "i", "t": "ti", "i": "i", "ti": "ti", "it": "it"}
+    for bare in ("", *HARM):
+        for has in with_target:
+            state = f"{bare}|{has}"
+            for symbol in HARM:
+                if symbol == "threat":
+                    intent = "threat target" if has == "it" else "intent threat"
+                    arcs[state, symbol] = arc(intent, f"threat|{has}") if "i" in has else arc(symbol, state)
+                elif "t" in has:
+                    arcs[state, symbol] = arc(f"{symbol} target", state)
+                else:
+                    arcs[state, symbol] = arc(symbol, f"{symbol}|{has}")
+                for mark in ("not:", "told:"):
+                    arcs[state, mark + symbol] = arc(mark + symbol, state)
+            arcs[state, "target"] = arc(f"target of {bare}", f"|{with_target[has]}") if bare else (f"|{with_target[has]}", "=", 0.0)
+            arcs[state, "intent"] = (f"{bare}|{with_intent[has]}", "=", 0.0)
+    return Transducer(arcs, start="|")
 
 
 def compose(first: Transducer, second: Transducer) -> Transducer:
@@ -135,56 +185,54 @@ def compose(first: Transducer, second: Transducer) -> Transducer:
 
 @dataclass
 class Grammar:
-    """A lexicon (words and stems to symbols), the composed transducer, and pattern weights."""
+    """A lexicon (words and stems to symbols), the composed transducer with weighted arcs, and the bias."""
 
     words: dict[str, str]
     stems: set[str]
     stem: int
-    machine: Transducer = field(default_factory=lambda: compose(reading(), matching()))
-    weights: dict[str, float] = field(default_factory=dict)
+    weights: dict[str, float] = field(default_factory=lambda: dict(PIECES))
     bias: float = -3.0
 
+    def __post_init__(self) -> None:
+        self.machine = compose(reading(), matching(self.weights))
+        self.harmful = {w for w, s in self.words.items() if s in HARM}
+
     def symbol(self, word: str) -> str:
-        return self.words.get(word) or ("insult" if len(word) > self.stem and word[: self.stem] in self.stems else "other")
+        return self.words.get(word) or ("hint" if len(word) > self.stem and word[: self.stem] in self.stems else "other")
 
-    def clauses(self, text: str) -> Counter:
-        """How many clauses match each pattern."""
-        text = text.lower()
-        listed = WORD.findall(text)
+    def pieces(self, text: str) -> Iterator[tuple[str, float, int]]:
+        """The pieces of harm that the text's clauses give out, in order, with their arcs' weights and the number of the clause."""
+        listed = WORD.findall(text.lower())
         found = set(listed)
         # Without an insult or a threat no clause matches.
         if self.harmful.isdisjoint(found) and self.stems.isdisjoint({w[: self.stem] for w in found}):
-            return Counter()
-        out: Counter = Counter()
-        state = self.machine.start
+            return
+        state, step, clause = self.machine.start, self.machine.step, 0
         for token in listed:
             if token[0] in ".!?;:\n":
-                if pattern := state.split("/")[1].split("|")[0]:
-                    out[pattern] += 1
-                state = self.machine.start
-            else:
-                state = self.machine.step(state, self.symbol(token))[0]
-        if pattern := state.split("/")[1].split("|")[0]:
-            out[pattern] += 1
-        return out
-
-    @property
-    def harmful(self) -> set[str]:
-        if "_harmful" not in self.__dict__:
-            self.__dict__["_harmful"] = {w for w, s in self.words.items() if s in ("insult", "threat")}
-        return self.__dict__["_harmful"]
+                state, clause = self.machine.start, clause + 1
+                continue
+            state, out, weight = step(state, self.symbol(token))
+            if out in PIECES:
+                yield out, weight, clause
+
+    def clauses(self, text: str) -> Counter:
+        """How many clauses match each of PATTERNS as their strongest."""
+        best: dict[int, str] = {}
+        for piece, _, clause in self.pieces(text):
+            name = f"{piece[10:]} target" if piece.startswith("target of ") else piece
+            best[clause] = max(name, best.get(clause, PATTERNS[0]), key=PATTERNS.index)
+        return Counter(best.values())
 
     def score(self, text: str | None) -> float:
         """The probability that a text is toxic; that of no match for an empty one."""
-        n = self.clauses(text) if text else {}
-        z = self.bias + sum(self.weights[p] * _strength(n[p]) for p in n)
+        z, times = self.bias, Counter()
+        for piece, weight, _ in self.pieces(text) if text else ():
+            times[piece] += 1
+            z += weight * np.log2((times[piece] + 1) / times[piece])
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def _strength(n: int) -> float:
-    return min(2.0, 1 + np.log10(n)) if n else 0.0
-
-
 def seeds() -> dict[str, str]:
     return {w: s for s, ws in SEEDS.items() for w in ws.split()}
 
@@ -206,31 +254,41 @@ def learn(texts: list[str], toxic: list[int], settings: Settings | None = None)
     n_bad, n_good = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
     # Rates, since the classes are sampled to like sizes.
     pure = lambda b, g: len(b) >= max(s.least, s.often * n_bad) and g / n_good <= s.impure * len(b) / n_bad
-    words |= {w: "insult" for w, near in bad.items() if w not in words and pure(near, good[w])}
+    words |= {w: "slur" for w, near in bad.items() if w not in words and pure(near, good[w])}
     # Seeds that the labels contradict aren't insults here.
     for w in list(words):
-        if words[w] in ("insult", "threat") and good[w] >= s.least and good[w] / n_good > 0.5 * len(bad.get(w, ())) / n_bad:
+        if words[w] in HARM and good[w] >= s.least and good[w] / n_good > 0.5 * len(bad.get(w, ())) / n_bad:
             del words[w]
     stems = {w for w, near in bad_stem.items() if pure(near, good_stem[w])}
     grammar = Grammar(words, stems, s.stem)
-    rows = [grammar.clauses(t) for t in texts]
-    x = np.array([[_strength(r[p]) for p in PATTERNS] for r in rows]).reshape(len(rows), len(PATTERNS))
-    y = np.array(toxic, float)
-    # Prior: each pattern of harm speaks for toxicity, marked ones less; labels move the weights.
-    prior = np.array([0.5 if ":" in p else 6.0 if p != "threat" else 2.0 for p in PATTERNS])
-    w, b = prior.copy(), -3.0
-    if 0 < y.sum() < len(y):
-        for _ in range(400):
-            p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-            h = np.append(((x * x) * (p * (1 - p))[:, None]).sum(0) + 1.0, (p * (1 - p)).sum() + 1.0)
-            g = np.append(x.T @ (p - y) + 0.05 * (w - prior), (p - y).sum())
-            step = 0.5 * g / h
-            w, b = np.maximum(w - step[:-1], 0.0), b - step[-1]
-    grammar.weights, grammar.bias = dict(zip(PATTERNS, w.tolist(), strict=True)), float(b)
-    # A target makes a pattern no weaker, however rare it is in the sample.
-    for p in ("insult target", "threat target"):
-        grammar.weights[p] = max(grammar.weights[p], grammar.weights["insult"])
-    return grammar
+    weights, bias = _fitted(grammar, texts, np.array(toxic, float))
+    # An insult to someone and an announced threat to someone are toxic by the grammar, however rare in the sample.
+    need = float(np.log((s.cut + 0.05) / (0.95 - s.cut))) - bias
+    weights["insult target"] = max(weights["insult target"], need)
+    weights["target of insult"] = max(weights["target of insult"], need - weights["insult"])
+    weights["intent threat"] = max(weights["intent threat"], 0.6 * need)
+    weights["threat target"] = max(weights["threat target"], need)
+    weights["target of threat"] = max(weights["target of threat"], need - weights["intent threat"])
+    return Grammar(words, stems, s.stem, weights, bias)
+
+
+def _fitted(grammar: Grammar, texts: list[str], y: np.ndarray) -> tuple[dict[str, float], float]:
+    """Weights of the pieces, none below 0, and the bias: logistic regression, drawn to PIECES; PIECES itself without both classes."""
+    names, prior, bias = list(PIECES), np.array(list(PIECES.values())), grammar.bias
+    w = prior.copy()
+    if not 0 < y.sum() < len(y):
+        return dict(PIECES), bias
+    times = [Counter(piece for piece, *_ in grammar.pieces(t)) for t in texts]
+    x = np.array([[np.log2(1 + c[n]) for n in names] for c in times])
+    # Seeds that are marked as negated or reported keep close to their prior: words meant so are rare in a sample.
+    pull = np.array([8.0 if n.endswith((":insult", ":threat")) else 0.1 for n in names])
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(x @ w + bias, -30, 30)))
+        h = np.append(((x * x) * (p * (1 - p))[:, None]).sum(0) + pull, (p * (1 - p)).sum() + 0.1)
+        g = np.append(x.T @ (p - y) + pull * (w - prior), (p - y).sum() + 0.1 * (bias + 3.0))
+        step = 0.4 * g / h
+        w, bias = np.maximum(w - step[:-1], 0.0), bias - step[-1]
+    return dict(zip(names, w.tolist(), strict=True)), float(bias)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -238,17 +296,13 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[list[str], list[int]]:
-    """About ``per_class`` labelled, not held out texts of each class, drawn by hash of doc_id."""
+    """The ``per_class`` labelled, not held out rows of each class with the smallest hashes of doc_id: whole texts."""
     known = labels.select("doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    count = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if not count:
-        return [], []
-    spread = 1 << 30
-    limit = F.create_map(*(F.lit(v) for k, n in count.items() for v in (k, min(spread, int(spread * settings.per_class / n) + 1))))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(spread)) < limit[F.col("toxic")]).limit(4 * settings.per_class)
-    texts = docs.select("doc_id", F.substring("text", 1, settings.characters).alias("text")).where("text is not null")
-    # At most 4 * per_class keys: a bounded broadcast.
-    got = sorted(texts.join(F.broadcast(drawn), "doc_id").limit(4 * settings.per_class).collect(), key=lambda x: (x.doc_id, x.text))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    drawn = known.where("toxic = 0").orderBy(*order).limit(settings.per_class).unionByName(known.where("toxic = 1").orderBy(*order).limit(settings.per_class))
+    # At most 2 * per_class keys: a bounded broadcast. Of rows that share a doc_id one text counts.
+    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), "doc_id")
+    got = sorted(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect(), key=lambda x: x.doc_id)
     return [x.text for x in got], [x.toxic for x in got]
 
 

@@ -90,3 +90,44 @@ def test_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {x.doc_id: x.predicted for x in toxicity(docs, none).collect()} == {1: 1, 2: 0}
     assert toxicity(docs.limit(0), none).collect() == []
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["You are an idiot.", "I will kill you", "Du bist ein Idiot.", "Ich werde dich töten!", "Tu es un imbécile.", "Je vais te tuer", "Eres un idiota.", "Ok. You are an idiot! Bye."],
+)
+def test_directed_harm_is_toxic_in_each_language(text):
+    rows, labels = corpus()
+    g = learn([t for _, t in rows], [y for _, _, y in labels])
+    assert g.score(text) >= 0.7
+
+
+@pytest.mark.parametrize("text", ["You are not an idiot.", "Du bist kein Idiot.", "Tu n'es pas un imbécile.", "No eres un idiota, dijo.", "She said he is an idiot.", "Er sagte, du bist ein Idiot.", "We beat the eggs.", ""])
+def test_negated_and_reported_harm_is_not(text):
+    rows, labels = corpus()
+    g = learn([t for _, t in rows], [y for _, _, y in labels])
+    assert g.score(text) < 0.7
+
+
+def test_weights_stand_on_the_arcs():
+    rows, labels = corpus()
+    g = learn([t for _, t in rows], [y for _, _, y in labels])
+    fitted = {out: w for _, out, w in g.machine.arcs.values() if w}
+    assert set(fitted) == {p for p, w in g.weights.items() if w} and fitted == {p: w for p, w in g.weights.items() if w}
+    assert fitted["insult"] > fitted.get("not:insult", 0) and len(set(fitted.values())) > 5
+    # A score is the bias and the weights of the arcs taken.
+    z = g.bias + fitted["insult"]
+    assert abs(g.score("the idiot left") - 1 / (1 + 2.718281828459045**-z)) < 1e-9
+
+
+def test_brute_force_of_the_query(spark):
+    """Every row of the query against the grammar applied to each text on its own."""
+    from tessella.llm.toxicity import Settings, sample
+
+    rows, labels = corpus(seed=8, n=200)
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    keep = {i: t for i, _, t in labels if zlib.crc32(str(i).encode()) % 3 != 1}
+    texts, y = sample(docs, known, Settings())
+    assert (texts, y) == ([t for i, t in rows if i in keep], [keep[i] for i, _ in rows if i in keep])
+    g = learn(texts, y)
+    assert {x.doc_id: x.score for x in toxicity(docs, known).collect()} == {i: g.score(t) for i, t in rows}
