@@ -3,7 +3,7 @@
 The network embeds the bytes of a fixed-length window, applies filters of several
 widths, takes each filter's maximum over the window, and ends in a softmax over the
 languages seen in training. Everything is numpy. Training uses a bounded sample of
-labelled rows (``Settings.per_language``) with Adam; prediction cuts every whole text
+labelled rows (``Settings.per_language``) and of windows spread over their whole texts, with Adam; prediction cuts every whole text
 into consecutive windows and averages their probabilities, weighted by bytes.
 """
 
@@ -25,8 +25,9 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """``per_language``: training rows of each language (about; twice as many at most), of
-    which the first ``characters`` are used. ``stride``: step of the filters along a window."""
+    """``per_language``: training texts of each language at most, those with the smallest hashes; ``pieces``: windows of
+    each, spread evenly over the whole text; ``languages``: how many are learned at most, the most frequent ones.
+    ``stride``: step of the filters along a window."""
 
     window: int = 128
     embed: int = 4
@@ -34,7 +35,8 @@ class Settings:
     filters: int = 8
     stride: int = 2
     per_language: int = 300
-    characters: int = 1024
+    pieces: int = 10
+    languages: int = 200
     epochs: int = 6
     batch: int = 64
     rate: float = 0.01
@@ -51,6 +53,13 @@ def windows(raw: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return out.reshape(n, size), held
 
 
+def spread(text: str, settings: Settings) -> np.ndarray:
+    """Windows for training, evenly spread over a whole text; a last one of few bytes only if it is alone."""
+    x, held = windows(np.frombuffer(text.strip().encode("utf-8", "replace"), np.uint8), settings.window)
+    x = x[held >= min(16, held[0])]
+    return x[np.unique(np.linspace(0, len(x) - 1, min(len(x), settings.pieces)).round().astype(int))]
+
+
 class Network:
     """Parameters and the forward pass."""
 
@@ -116,12 +125,14 @@ class Network:
 def train(texts: list[str], langs: list[str], settings: Settings | None = None) -> Network:
     """A network fitted to labelled texts; without any it knows no language."""
     s = settings or Settings()
+    return fit([spread(t, s) for t in texts], langs, s)
+
+
+def fit(pieces: list[np.ndarray], langs: list[str], settings: Settings | None = None) -> Network:
+    """A network fitted to the windows of labelled texts."""
+    s = settings or Settings()
     net = Network(sorted(set(langs)), s)
-    xs, ys = [], []
-    for text, lang in zip(texts, langs, strict=True):
-        x, held = windows(np.frombuffer(text[: s.characters].encode("utf-8", "replace"), np.uint8), s.window)
-        x = x[held >= min(16, held[0])]
-        xs.append(x), ys.append(np.full(len(x), net.languages.index(lang)))
+    xs, ys = pieces, [np.full(len(x), net.languages.index(lang)) for x, lang in zip(pieces, langs, strict=True)]
     if len(net.languages) < 2:
         return net
     x, y = np.concatenate(xs), np.concatenate(ys)
@@ -147,19 +158,33 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, settings: Settings) -> tuple[list[str], list[str]]:
-    """About ``per_language`` texts of each language: those with the smallest hashes of text and doc_id."""
-    rows = docs.where(~held_out()).where("lang is not null and text is not null and length(text) > 0")
-    count = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+def _spread(settings: Settings):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [spread(t, settings).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary())], ["lang", "place", "windows"])
+
+    return run
+
+
+def sample(docs: DataFrame, settings: Settings) -> tuple[list[np.ndarray], list[str]]:
+    """Windows of the ``per_language`` texts of each language with the smallest hashes, and their languages; copies of a text count once."""
+    rows = docs.where(~held_out()).where("lang is not null and text is not null and length(text) > 0").select("lang", "text")
+    count = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(settings.languages).collect()}
     if not count:
         return [], []
-    spread = 1 << 30
-    limit = F.create_map(*(F.lit(v) for k, n in count.items() for v in (k, min(spread, int(spread * 1.0 * settings.per_language / n) + 1))))
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(spread))
-    # Leading spaces and blank lines tell nothing.
-    some = rows.where(drawn < limit[F.col("lang")]).select(F.substring(F.ltrim("text"), 1, settings.characters).alias("text"), "lang", "doc_id")
-    got = sorted(some.limit(2 * settings.per_language * len(count)).collect(), key=lambda x: (x.doc_id is not None, x.doc_id, x.text))
-    return [x.text for x in got], [x.lang for x in got]
+    # Half as many again as are wanted, since hashes vary; then the smallest.
+    spread_to = 1 << 30
+    limit = F.create_map(*(F.lit(v) for k, n in count.items() for v in (k, min(spread_to, int(spread_to * (1.5 * settings.per_language + 30) / n) + 1))))
+    place = F.xxhash64("text")
+    some = rows.withColumn("place", place).where(F.pmod("place", F.lit(spread_to)) < limit[F.col("lang")]).groupBy("lang", "place").agg(F.min("text").alias("text"))
+    got = some.select("lang", "place", "text").mapInArrow(_spread(settings), "lang string, place long, windows binary").collect()
+    pieces, langs, taken = [], [], dict.fromkeys(count, 0)
+    for r in sorted(got, key=lambda r: (r.lang, r.place % spread_to, r.place)):
+        if taken[r.lang] < settings.per_language:
+            taken[r.lang] += 1
+            pieces.append(np.frombuffer(r.windows, np.uint8).reshape(-1, settings.window)), langs.append(r.lang)
+    return pieces, langs
 
 
 def _predict(net: Network):
@@ -217,7 +242,7 @@ def identify(docs: DataFrame, net: Network, carry: tuple[str, ...] = ("doc_id",)
 def fitted(docs: DataFrame, settings: Settings | None = None) -> Network:
     """A network fitted to the labelled, not held out rows of ``docs``."""
     settings = settings or Settings()
-    return train(*sample(docs, settings), settings)
+    return fit(*sample(docs, settings), settings)
 
 
 def language_id(docs: DataFrame, settings: Settings | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tessella.llm.langid import Network, Settings, language_id, train, windows
+from tessella.llm.langid import Network, Settings, fitted, language_id, sample, spread, train, windows
 
 WORDS = {"aa": ["the", "and", "with", "shing", "ation"], "bb": ["der", "ung", "schei", "ßen", "über"], "cc": ["él", "ción", "que", "ñas", "llos"]}
 
@@ -68,3 +68,33 @@ def test_windows():
     x, held = windows(np.arange(1, 131).astype(np.uint8), 128)
     assert x.shape == (2, 128) and held.tolist() == [128, 2] and x[1, 2:].sum() == 0
     assert windows(np.zeros(0, np.uint8), 128)[1].tolist() == [0]
+
+
+def test_windows_are_spread_over_the_whole_text():
+    s = Settings(window=16, pieces=4)
+    x = spread("a" * 160 + "b" * 160, s)
+    assert [bytes(w) for w in x] == [b"a" * 16, b"a" * 16, b"b" * 16, b"b" * 16]
+    assert len(spread("ab", s)) == 1 and len(spread(" \n", s)) == 1 and len(spread("a" * 17, s)) == 1
+
+
+def test_sample_is_the_smallest_hashes(spark, rows):
+    docs = spark.createDataFrame(rows, SCHEMA)
+    s = Settings(per_language=20)
+    pieces, langs = sample(docs.repartition(5), s)
+    again = sample(docs.unionByName(docs).repartition(2), s)
+    assert langs == again[1] and all((a == b).all() for a, b in zip(pieces, again[0], strict=True))
+    assert {lang: langs.count(lang) for lang in langs} == dict.fromkeys(WORDS, 20)
+    assert set(sample(docs, Settings(languages=1))[1]) < set(WORDS)
+
+
+def test_brute_force_of_the_query(spark, rows):
+    """Each row's answer against the network applied to its windows alone."""
+    docs = spark.createDataFrame(rows, SCHEMA)
+    net = fitted(docs)
+    for x, (_, t, *_) in zip(sorted(language_id(docs).collect(), key=lambda x: (x.doc_id is None, x.doc_id)), rows, strict=True):
+        if not t or not any(map(str.isalpha, t)):
+            assert (x.lang_pred, x.score) == ("und", 0.0)
+            continue
+        w, held = windows(np.frombuffer(t.encode(), np.uint8), net.settings.window)
+        p = (net.probabilities(w) * held[:, None]).sum(0) / held.sum()
+        assert x.lang_pred == net.languages[p.argmax()] and abs(x.score - p.max()) < 1e-5
