@@ -1,10 +1,12 @@
 """Order MinHash fingerprints, natively in Spark SQL functions.
 
-A text is cut into tokens (runs of up to TOKEN characters without white space), and its
+A text is cut into tokens (runs of up to TOKEN characters without white space; in long runs, as in texts
+without spaces, a token starts at every character that more than SLIDE of its run are left at), and its
 k-mers are K tokens in a row, numbered by occurrence: the second time a k-mer comes it
-is another element. Each element has a 64-bit hash. The SKETCHES ranges of that hash
-are one-permutation sketches: in its range each sketch selects the two elements of
-smallest hash, puts them back in the order of the text, and hashes the pair. Two texts agree
+is another element. Each element has a hash of 40 bits. The SKETCHES ranges of that hash
+are one-permutation sketches: each range with an element selects its smallest and the next one in the order
+of hashes (of a later range if its own has no other, after the last the first), puts the two back in the order of
+the text, and hashes the pair. Two texts agree
 in a sketch only if they select the same elements in the same order, so the share of
 agreeing sketches falls with edit distance, moves of passages included, where plain MinHash
 sees the same set.
@@ -22,6 +24,10 @@ from pyspark.sql import functions as F
 
 #: Characters of a token at most, tokens of a k-mer, and sketches (a power of two).
 TOKEN, K, SKETCHES = 12, 3, 32
+#: A token starts at every character of a run up to its last so many.
+SLIDE = 24
+#: Captures a token and moves on by one character inside long runs, else by the token.
+PATTERN = rf"(?=(\S{{1,{TOKEN}}}))(?:(?=\S{{{SLIDE + 1}}})\S|\S{{1,{TOKEN}}})"
 
 _BITS = SKETCHES.bit_length() - 1
 #: An element is one long: 40 bits of hash, 24 of the place in the text (modulo 2**24).
@@ -36,22 +42,22 @@ def sketches(df: DataFrame, text: str, name: str) -> DataFrame:
     """Adds the column ``name``, array<bigint>: the sketches of ``text`` (null: empty)."""
     t, h, e = f"__{name}_t", f"__{name}_h", f"__{name}_e"
     picks = ", ".join(f"{t}[i + {k}]" for k in range(K))
-    hashes = f"""CASE WHEN size({t}) >= {K} THEN transform(sequence(0, size({t}) - {K}), i -> xxhash64({picks}))
-        WHEN size({t}) > 0 THEN array(xxhash64(array_join({t}, ' '))) ELSE array() END"""
-    packed = f"sort_array(transform({h}, (x, i) -> (x & {~_PLACE}L) | (i & {_PLACE}L)))"
+    hashes = f"""CASE WHEN size({t}) >= {K} THEN transform(sequence(0, size({t}) - {K}), i -> xxhash64({picks}) & {~_PLACE}L)
+        WHEN size({t}) > 0 THEN array(xxhash64(array_join({t}, ' ')) & {~_PLACE}L) ELSE array() END"""
+    packed = f"sort_array(transform({h}, (x, i) -> x | (i & {_PLACE}L)))"
     # Only texts that repeat a k-mer number the members of each run of equal hashes.
     starts = f"filter(sequence(0, size(s) - 1), i -> i = 0 OR (s[i] & {~_PLACE}L) <> (s[i - 1] & {~_PLACE}L))"
     run = f"""if(coalesce(get(r, k + 1), size(s)) = a + 1, array(s[a]),
         transform(slice(s, a + 1, coalesce(get(r, k + 1), size(s)) - a), (x, n) -> if(n = 0, x, (xxhash64(x & {~_PLACE}L, n) & {~_PLACE}L) | (x & {_PLACE}L))))"""
     numbered = f"sort_array(flatten(transform(array({packed}), s -> flatten(transform(array({starts}), r -> flatten(transform(r, (a, k) -> {run})))))))"
     elements = f"CASE WHEN size(array_distinct({h})) = size({h}) THEN {packed} ELSE {numbered} END"
-    # Sorted, a sketch is a stretch of one top-bits value; its first two elements are selected.
-    mine, other = f"x & {~_PLACE}L", f"get(s, i + 1) & {~_PLACE}L"
-    mixed = f"""if(i + 1 = size(s) OR {_top("get(s, i + 1)")} <> {_top("x")}, xxhash64({mine}),
-        if((x & {_PLACE}L) <= (get(s, i + 1) & {_PLACE}L), xxhash64({mine}, {other}), xxhash64({other}, {mine})))"""
+    # Sorted, a sketch is a stretch of one top-bits value; its first element and the next one are selected.
+    following = "s[(i + 1) % size(s)]"
+    mine, other = f"x & {~_PLACE}L", f"{following} & {~_PLACE}L"
+    mixed = f"""if(size(s) = 1, xxhash64({mine}), if((x & {_PLACE}L) <= ({following} & {_PLACE}L), xxhash64({mine}, {other}), xxhash64({other}, {mine})))"""
     word = f"if(i = 0 OR {_top('s[i - 1]')} <> {_top('x')}, shiftleft({_top('x')}, {64 - _BITS}) | shiftrightunsigned({mixed}, {_BITS}), NULL)"
     return (
-        df.withColumn(t, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"\S{{1,{TOKEN}}}"), F.lit(0)))
+        df.withColumn(t, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(PATTERN), F.lit(1)))
         .withColumn(h, F.expr(hashes).cast("array<bigint>"))
         .withColumn(e, F.expr(elements))
         .withColumn(name, F.expr(f"flatten(transform(array({e}), s -> array_compact(transform(s, (x, i) -> {word}))))"))
