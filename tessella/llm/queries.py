@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat, fingerprints, langid, mixing, pieces, substring, token_binary, topk, toxicity
 from .common import table
@@ -48,6 +49,31 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(table(spark, sf_dir, "conversations"))
 
 
+#: Fields of the records that conversations are written as, by conv_id modulo 3: the list, its roles, its texts.
+RECORDS = (("messages", "role", "content"), ("conversations", "from", "value"), ("messages", "role", "text"))
+
+
+def _message(role: str, text: str):
+    def made(turn):
+        name = turn["role"]
+        if role == "from":
+            name = F.when(name == "user", "human").when(name == "assistant", "gpt").otherwise(name)
+        return F.struct(name.alias(role), turn["text"].alias(text))
+
+    return made
+
+
+def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as JSON records of three layouts, told apart again by their fingerprints."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    as_json = F.lit(None).cast("string")
+    for k, (field, role, text) in enumerate(RECORDS):
+        listed = F.transform("turns", _message(role, text))
+        as_json = F.when(F.pmod("conv_id", F.lit(3)) == k, F.to_json(F.struct(listed.alias(field), F.struct("conv_id").alias("about")))).otherwise(as_json)
+    return chat.record_digests(turns.select("conv_id", as_json.alias("record")))
+
+
 #: Half of the tokens, more than half of them English and four fifths prose; the rest by tokens to the power 0.7.
 MIXTURE = mixing.Targets(share=0.5, power=0.7, weights={"lang": {"en": 0.55}, "topic": {mixing.PROSE: 0.8}})
 
@@ -65,7 +91,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if re.match(r"op\d+_", name)}
+    return {name: f for name, f in globals().items() if re.match(r"op\d+_|chat_records", name)}
 
 
 SQL = {
@@ -96,6 +122,19 @@ SQL = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(length(heading) + length(body) + 14) AS BIGINT) AS formatted_chars
         FROM shown GROUP BY conv_id""",
+    "chat_records": r"""
+        WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+        shown AS (
+            SELECT *, CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant'
+                      ELSE '=' || replace(replace(replace(replace(role, '\', '\'), '### ', '#\## '), '</turn>', '<\/turn>'), ':', '\;') END AS heading,
+                   replace(replace(replace(text, '\', '\'), '### ', '#\## '), '</turn>', '<\/turn>') AS body FROM rows
+        )
+        SELECT conv_id, CASE (conv_id % 3 + 3) % 3 WHEN 0 THEN 'messages' WHEN 1 THEN 'conversations' ELSE 'messages_text' END AS layout, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length(heading) + length(body) + 14) AS BIGINT) AS formatted_chars
+        FROM shown GROUP BY conv_id""",
     "op6_exact_top_k": """
         WITH good AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings

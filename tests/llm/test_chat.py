@@ -80,3 +80,26 @@ def test_tables_by_fingerprint(spark):
     with pytest.raises(ValueError, match="no layout"):
         mapping_of(df.select("id"))
     assert len({fingerprint(m.paths) for m in MAPPINGS}) == len(MAPPINGS)
+
+
+def test_extra_fields_of_other_layouts(spark):
+    """What has a layout's fields keeps it, whatever else stands beside them and however deep."""
+    deep = {"x": 1}
+    for _ in range(40):
+        deep = {"a": [deep]}
+    rows = {
+        "system_messages": {"messages": [{"role": "user", "content": "q", "text": None}], "system": "s"},
+        "messages": {"messages": [{"role": "user", "content": "q"}], "prompt": "p", "meta": deep},
+        "system_instruction_input_output": {"instruction": "i", "input": "x", "output": "o", "system": "s", "answer": "z"},
+        "system_conversations": {"conversations": [{"from": "human", "value": "q"}], "system": "s", "id": 1},
+        "system_instruction_output": {"instruction": "i", "output": "o", "system": None},
+    }
+    got = {x.name: x for x in canonical_records(spark.createDataFrame([(k, json.dumps(v)) for k, v in rows.items()], "name string, record string"), "record").collect()}
+    assert {k: got[k].layout for k in rows} == {k: k for k in rows}
+    assert [tuple(t) for t in got["system_messages"].turns] == [("system", "s"), ("user", "q")]
+    assert [tuple(t) for t in got["system_instruction_input_output"].turns] == [("system", "s"), ("user", "i\n\nx"), ("assistant", "o")]
+    assert [tuple(t) for t in got["system_instruction_output"].turns] == [("user", "i"), ("assistant", "o")]
+    df = spark.createDataFrame([("i", "o", "s", "z")], "instruction string, output string, system string, text string")
+    assert formatted_table(df).first().formatted == "### System: s</turn>\n### User: i</turn>\n### Assistant: o</turn>\n"
+    rows = spark.createDataFrame([(1, 0, "human", "q", "x"), (1, 1, "gpt", "a", "x")], "conversation_id long, index int, `from` string, value string, prompt string")
+    assert formatted_table(rows).first().formatted == "### User: q</turn>\n### Assistant: a</turn>\n"
