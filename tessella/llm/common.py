@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Most rows of a key table that a join may broadcast; above it the join shuffles.
@@ -68,3 +68,33 @@ def keep_keys(big: DataFrame, keys: DataFrame, on: str) -> DataFrame:
 def drop_keys(big: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """Rows of ``big`` whose ``on`` is not in ``keys``, broadcast like in keep_keys."""
     return big.join(sized(keys), on, "left_anti")
+
+
+#: A key is hot with so many rows among one of ONE_OF; the HOT_KEYS hottest are treated apart.
+HOT, HOT_KEYS, ONE_OF = 16, 2000, 16
+
+
+def hot_keys(rows: DataFrame, key: str, by: str) -> list:
+    """The hottest keys, HOT_KEYS at most, by the rows whose hash of ``by`` is one of ONE_OF."""
+    some = rows.where(F.pmod(F.xxhash64(F.lit("hot"), key, by), F.lit(ONE_OF)) == 0)
+    found = some.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") >= HOT) & F.col(key).isNotNull()).orderBy(F.desc("n"), key).limit(HOT_KEYS)
+    return [r[0] for r in found.collect()]
+
+
+def with_totals(rows: DataFrame, key: str, by: str, totals: dict[str, Column], hot: list | None = None) -> DataFrame:
+    """``rows`` with aggregates over the rows of the same key. ``rows`` are read several times: a staged table.
+    ``hot``: the hot keys, where they are known.
+
+    A window has no map-side combine and takes a key's rows in one task. So the hot keys' rows stay where they
+    are: their aggregates are combined ahead of the shuffle, and the few results are broadcast. Which
+    keys count as hot (``by``: a column that tells a key's rows apart) doesn't change the result.
+    """
+    window = Window.partitionBy(key)
+    over = {name: total.over(window) for name, total in totals.items()}
+    hot = hot_keys(rows, key, by) if hot is None else hot
+    if not hot:
+        return rows.withColumns(over)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    apart = rows.where(is_hot)
+    sums = apart.groupBy(key).agg(*(total.alias(name) for name, total in totals.items()))
+    return rows.where(~is_hot).withColumns(over).unionByName(apart.join(F.broadcast(sums), key))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import hot_keys, staged, with_totals
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
@@ -14,8 +14,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     Links are long ids in either direction; self links and repeated links are
     harmless, null ends are ignored, and nodes without links are absent. Each round
     every node points its larger neighbours at the smallest node it knows (large
-    star), then its smaller ones (small star). Both are a minimum with map-side
-    combining and an equi-join, so no neighbourhood is gathered in one place. Every
+    star), then its smaller ones (small star). The minimum of a hot node's neighbours is combined
+    where they are, so no large neighbourhood is gathered in one place. Every
     round is written to the shared folder; a round that leaves the count and the
     64-bit digest of the links as they were is the last.
     """
@@ -24,10 +24,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     was = _digest(links)
     for _ in range(most_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
+        # A node has no more rows among the large stars than it has neighbours.
+        hot = hot_keys(both, "u", "v")
+        led = with_totals(both, "u", "v", {"m": F.min("v")}, hot).where("v > u")
+        large = led.select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        small = with_totals(staged(large, "stars") if hot else large, "u", "v", {"m": F.min("v")}, hot).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
         links = staged(small.select("x.*").where("u > v").distinct(), "links")
         now = _digest(links)
         if now == was:

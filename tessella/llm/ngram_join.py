@@ -5,8 +5,8 @@ word shingles (five words, 75 of 100 by default). The join is exact:
 
 1. Documents with equal sets become one class (a 64-bit key of the set).
 2. Each class offers the shingles with its smallest hashes, so many that any two
-   linked classes share at least ``need`` of the offers of either. A window over the
-   offers gives each shingle's count and first class; classes that share too few drop out.
+   linked classes share at least ``need`` of the offers of either. Each shingle's count and first
+   class are added to its offers (hot shingles apart); classes that share too few drop out.
 3. The others meet by their whole sets in the same way: what a class shares has to be three
    quarters of its set then, which no passage of unrelated documents is.
    In a rare-first order of the shared shingles all but the ``need - 1`` most common
@@ -30,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_keys, sized, staged, tune
+from .common import keep_keys, sized, staged, tune, with_totals
 from .graph import components
 from .words import U, mix, shingle_set, words
 
@@ -114,9 +114,8 @@ def blocks(offered: DataFrame, need: Column) -> DataFrame:
     ``offered`` has node, n (size of the whole set) and token. Linked classes share at least ``need`` (over n)
     of the tokens that either offers.
     """
-    by_token = Window.partitionBy("token")
     shared = (
-        offered.withColumns({"df": F.count("*").over(by_token), "low": F.min("node").over(by_token), "high": F.max("node").over(by_token)})
+        with_totals(offered, "token", "node", {"df": F.count("*"), "low": F.min("node"), "high": F.max("node")})
         .where("low < high")
         .groupBy("node")
         .agg(F.max("n").alias("n"), F.collect_set(F.struct("df", "token", "low")).alias("shared"))

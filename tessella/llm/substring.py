@@ -17,6 +17,8 @@ are always cut alike. Steps:
    by a common phrase, needs no leader and gives no pairs of unrelated surroundings.
 4. Components of the verified links are clusters; a cluster keeps its paragraphs in its
    first document and loses them elsewhere. Overlapping removals join to spans.
+5. Both ends of a span move outwards, word by word, as long as the words agree with those about a like
+   paragraph of an earlier document: REACH - 1 words at most, since a longer agreement would hold another paragraph.
 """
 
 from __future__ import annotations
@@ -26,11 +28,11 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_keys, keep_keys, staged, tune
+from .common import drop_keys, hot_keys, keep_keys, staged, tune, with_totals
 from .graph import components
 from .ngram_join import Threshold, block_links, finer_blocks
 from .words import U, mix, shingles, words
@@ -39,8 +41,10 @@ from .words import U, mix, shingles, words
 WORDS, REACH = 25, 25
 #: MinHash bands of one row each, and the Jaccard similarity that counts as a repeat.
 BANDS, SIMILARITY = 3, 0.75
-#: Paragraphs of fewer distinct shingles (a word over and over) aren't passages.
-LEAST = 8
+#: Paragraphs of fewer distinct shingles (one word over and over) aren't passages.
+LEAST = 2
+#: Words on either side that are compared with those about the earlier paragraph.
+AROUND = REACH - 1
 
 _SALTS = [U(int(mix(np.array([0xB5 + 9 * k], U))[0]) | 1) for k in range(BANDS)]
 
@@ -79,7 +83,7 @@ def _distinct(window: np.ndarray) -> np.ndarray:
 def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_pylist()
-        found: list[list[np.ndarray]] = [[], [], [], []]
+        found: list[list[np.ndarray]] = [[] for _ in range(3 + BANDS)]
         for i, _, _, h in words(batch.column(1)):
             a = anchors(h)
             if not len(a) or ids[i] is None:
@@ -87,19 +91,17 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = np.lib.stride_tricks.sliding_window_view(shingles(h), WORDS - 4)[a]
             keep = _distinct(rows) >= LEAST
             a, rows = a[keep], rows[keep]
-            key = exact_hash(rows).view(np.int64)
-            for salt in _SALTS:
-                low = mix(rows * salt).min(axis=1) ^ salt
-                for column, value in zip(found, (low.view(np.int64), key, np.full(len(a), ids[i]), a), strict=True):
-                    column.append(value)
+            lows = [(mix(rows * salt).min(axis=1) ^ salt).view(np.int64) for salt in _SALTS]
+            for column, value in zip(found, (exact_hash(rows).view(np.int64), np.full(len(a), ids[i]), a, *lows), strict=True):
+                column.append(value)
         columns = [pa.array(np.concatenate([*c, np.zeros(0, np.int64)]).astype(np.int64)) for c in found]
-        yield pa.RecordBatch.from_arrays(columns, ["low", "exact", "doc_id", "start"])
+        yield pa.RecordBatch.from_arrays(columns, ["exact", "doc_id", "start", *(f"low{k}" for k in range(BANDS))])
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """low (MinHash), exact hash, doc_id, start (word) of the paragraphs that documents offer."""
+    """exact hash, doc_id, start (word) and the MinHashes low0, ... of the paragraphs of documents."""
     tune(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_paragraphs, "low long, exact long, doc_id long, start long")
+    return docs.select("doc_id", "text").mapInArrow(_paragraphs, "exact long, doc_id long, start long" + "".join(f", low{k} long" for k in range(BANDS)))
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,10 +119,10 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, start, keep_doc_id, cluster: every paragraph to remove, and the document that keeps its cluster."""
-    bucket = Window.partitionBy("low")
-    ends = {name: f("doc_id" if name[0] == "d" else "exact").over(bucket) for name, f in (("d0", F.min), ("d1", F.max), ("e0", F.min), ("e1", F.max))}
-    met = paragraphs(docs).withColumns(ends).where("d0 < d1").groupBy("doc_id", "start", "exact").agg(F.max(F.expr("e0 < e1")).alias("near"))
+    """doc_id, start, exact, cluster, keep_doc_id, like_doc_id, like_start, like_exact: every paragraph to remove, who keeps its cluster, and an earlier paragraph like it."""
+    offered = staged(paragraphs(docs), "paragraphs").select("doc_id", "start", "exact", F.explode(F.array(*(f"low{k}" for k in range(BANDS)))).alias("low"))
+    ends = {"d0": F.min("doc_id"), "d1": F.max("doc_id"), "e0": F.min("exact"), "e1": F.max("exact")}
+    met = with_totals(offered, "low", "doc_id", ends).where("d0 < d1").groupBy("doc_id", "start", "exact").agg(F.max(F.expr("e0 < e1")).alias("near"))
     met = staged(met, "met")
     # Where the shingles of each paragraph that meets different ones stand: one place each.
     place = met.where("near").groupBy("exact").agg(F.min(F.struct("doc_id", "start")).alias("at"))
@@ -133,9 +135,55 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     threshold = Threshold(share.numerator, share.denominator)
     blocked = staged(finer_blocks(sets, threshold).select("block", F.col("key").alias("rep")), "blocks")
     labels = components(block_links(sets, blocked, threshold)).withColumnRenamed("node", "exact")
-    found = met.join(labels, "exact", "left").select("doc_id", "start", F.coalesce("component", "exact").alias("cluster"))
-    kept = found.groupBy("cluster").agg(F.min("doc_id").alias("keep_doc_id"), F.max("doc_id").alias("last")).where("keep_doc_id < last").drop("last")
-    return found.distinct().join(kept, "cluster").where("doc_id <> keep_doc_id")
+    found = met.join(labels, "exact", "left").select("doc_id", "start", "exact", F.coalesce("component", "exact").alias("cluster")).distinct()
+    found = staged(found, "found")
+    first = F.min(F.struct("doc_id", "start", "exact"))
+    hot = hot_keys(found, "cluster", "doc_id")
+    found = with_totals(found, "exact", "doc_id", {"same": first})
+    found = with_totals(found, "cluster", "doc_id", {"k": first, "last": F.max("doc_id")}, hot).where("k.doc_id < last and doc_id <> k.doc_id")
+    # What stands about a paragraph is compared with what stands about an equal one, where an earlier document has it.
+    like = F.when(F.col("same.doc_id") < F.col("doc_id"), F.col("same")).otherwise(F.col("k"))
+    kept = {"keep_doc_id": F.col("k.doc_id"), "like_doc_id": like["doc_id"], "like_start": like["start"], "like_exact": like["exact"]}
+    return found.withColumns(kept).drop("k", "last", "same")
+
+
+def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, wanted = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        out: list[tuple] = []
+        for i, _, _, h in words(batch.column(2)):
+            short = (h >> U(33)).astype(np.int32)
+            for start, key in wanted[i]:
+                row = shingles(h[start : start + WORDS])
+                # Rows that share a doc_id: only the text that holds the paragraph counts.
+                if len(row) == WORDS - 4 and int(exact_hash(row[None]).view(np.int64)[0]) == key:
+                    out.append((ids[i], start, short[max(0, start - AROUND) : start][::-1], short[start + WORDS : start + WORDS + AROUND]))
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "start", "ahead", "after"])
+
+
+def _agreeing(mine: str, theirs: str) -> Column:
+    """How many words agree from the first on."""
+    n = F.least(F.size(mine), F.size(theirs))
+    differ = F.expr(f"array_position(zip_with({mine}, {theirs}, (x, y) -> coalesce(x <=> y, false)), false)")
+    return F.when(n <= 0, F.lit(0)).when(differ == 0, n).otherwise(F.least(n, differ.cast("int") - 1))
+
+
+def _joined(spans: DataFrame) -> DataFrame:
+    """Overlapping or touching spans of a document become one."""
+    of_doc = Window.partitionBy("doc_id").orderBy("start_word", "end_word")
+    before = F.max("end_word").over(of_doc.rowsBetween(Window.unboundedPreceding, -1))
+    return (
+        spans.withColumn("new", (F.col("start_word") > F.coalesce(before, F.lit(-1))).cast("int"))
+        .withColumn("span", F.sum("new").over(of_doc))
+        .groupBy("doc_id", "span")
+        .agg(
+            F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.min("keep_doc_id").alias("keep_doc_id"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("keep_doc_ids")))).alias("keep_doc_ids"), F.min("cluster").alias("cluster"),
+            F.min("first").alias("first"), F.max("last").alias("last"),
+        )
+    )
 
 
 def spans(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -147,15 +195,31 @@ def spans(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     (and rows that repeat a doc_id) are not repeats across documents.
     Other columns don't matter; an empty table gives no spans.
     """
-    of_doc = Window.partitionBy("doc_id").orderBy("start")
     found = repeats(docs, similarity)
-    return (
-        found.withColumn("new", (F.col("start") > F.coalesce(F.lag("start").over(of_doc) + WORDS, F.lit(-1))).cast("int"))
-        .withColumn("span", F.sum("new").over(of_doc))
-        .groupBy("doc_id", "span")
-        .agg(F.min("start").alias("start_word"), (F.max("start") + WORDS).alias("end_word"), F.min("keep_doc_id").alias("keep_doc_id"), F.array_sort(F.collect_set("keep_doc_id")).alias("keep_doc_ids"), F.min("cluster").alias("cluster"))
-        .select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "keep_doc_id", "keep_doc_ids", "cluster")
-    )
+    # Ends are found from the outermost paragraphs with an equal one in an earlier document, or else a near one.
+    equal, place = F.col("like_exact") == F.col("exact"), ["start", "exact", "like_doc_id", "like_start", "like_exact"]
+    ends = {"first": F.struct((~equal).alias("rank"), *place), "last": F.struct(equal.alias("rank"), *place)}
+    found = found.withColumns({"start_word": F.col("start"), "end_word": F.col("start") + WORDS, "keep_doc_ids": F.array("keep_doc_id"), **ends})
+    raw = staged(_joined(found), "spans")
+    # The words about those paragraphs, and about the earlier ones like them.
+    mine = [raw.select("doc_id", f"{e}.start", f"{e}.exact") for e in ("first", "last")]
+    like = [raw.select(F.col(f"{e}.like_doc_id").alias("doc_id"), F.col(f"{e}.like_start").alias("start"), F.col(f"{e}.like_exact").alias("exact")) for e in ("first", "last")]
+    wanted = mine[0].unionByName(mine[1]).unionByName(like[0]).unionByName(like[1]).distinct()
+    wanted = staged(wanted.groupBy("doc_id").agg(F.collect_list(F.array("start", "exact")).alias("wanted")), "wanted")
+    texts = keep_keys(docs.select("doc_id", "text"), wanted, "doc_id").select("doc_id", "wanted", "text")
+    near = texts.mapInArrow(_surroundings, "doc_id long, start long, ahead array<int>, after array<int>")
+    near = staged(near.groupBy("doc_id", "start").agg(F.min("ahead").alias("ahead"), F.min("after").alias("after")), "surroundings")
+    out = raw
+    for end, side in (("first", "ahead"), ("last", "after")):
+        here = near.select("doc_id", F.col("start").alias(f"{end}_start"), F.col(side).alias(f"{end}_mine"))
+        there = near.select(F.col("doc_id").alias(f"{end}_like"), F.col("start").alias(f"{end}_like_start"), F.col(side).alias(f"{end}_theirs"))
+        out = out.withColumns({f"{end}_start": F.col(f"{end}.start"), f"{end}_like": F.col(f"{end}.like_doc_id"), f"{end}_like_start": F.col(f"{end}.like_start")})
+        out = out.join(here, ["doc_id", f"{end}_start"], "left").join(there, [f"{end}_like", f"{end}_like_start"], "left")
+    moved = out.withColumns({
+        "start_word": F.least("start_word", F.col("first_start") - F.coalesce(_agreeing("first_mine", "first_theirs"), F.lit(0))),
+        "end_word": F.greatest("end_word", F.col("last_start") + WORDS + F.coalesce(_agreeing("last_mine", "last_theirs"), F.lit(0))),
+    })
+    return _joined(moved).select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "keep_doc_id", "keep_doc_ids", "cluster")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -130,3 +130,47 @@ def test_empty(spark):
 
 def test_short_texts_have_no_paragraph():
     assert all(len(anchors(h)) == 0 for _, _, _, h in words(pa.array(["a b c", None, ""])))
+
+
+def test_whole_passages_go(spark):
+    """A shared passage is cut to its last word, wherever its anchors are."""
+    r = random.Random(11)
+    v = vocabulary(r)
+    rows, passages = [], []
+    for p in range(40):
+        passage = [f"p{p}w{k}" + r.choice(v) for k in range(r.randint(50, 75))]
+        passages.append(passage)
+        for _ in range(2):
+            rows.append((len(rows), " ".join([*(f"a{len(rows)}x{k}" for k in range(r.randint(0, 40))), *passage, *(f"b{len(rows)}x{k}" for k in range(r.randint(0, 40)))])))
+    docs = frame(spark, rows)
+    found = spans(docs).collect()
+    assert len(found) == 40
+    for x in found:
+        w = dict(rows)[x.doc_id].split()[x.start_word : x.end_word]
+        # A paragraph that holds the passage's end is near another one, with some words of its own.
+        assert [y for y in w if y[0] == "p"] == passages[x.doc_id // 2] and len(w) - len(passages[x.doc_id // 2]) <= 12 and x.keep_doc_id == x.doc_id - 1
+
+
+def test_cycled_lines_repeated_rows_and_long_texts(spark):
+    r = random.Random(12)
+    v = vocabulary(r)
+    line = "one two three four five six "
+    own = lambda: " ".join(r.choice(v) for _ in range(60))
+    long = " ".join(r.choice(v) for _ in range(200_000))
+    rows = [(None, own()), (1, own() + " " + line * 12), (2, own() + " " + line * 12 + own()), (3, long), (4, long), (5, "x y " * 30 + own()), (5, "x y " * 30 + own())]
+    got = spans(frame(spark, rows)).collect()
+    by = {}
+    for x in got:
+        by.setdefault(x.doc_id, []).append(x.n_words)
+    assert set(by) == {2, 4} and by[4] == [200_000] and by[2][0] >= 48
+
+
+def test_hot_keys_change_nothing(spark, monkeypatch):
+    from tessella.llm import common
+
+    rows, _, _ = corpus(seed=7)
+    docs = frame(spark, rows)
+    plain = sorted(map(tuple, repeats(docs).collect()))
+    monkeypatch.setattr(common, "HOT", 1)
+    monkeypatch.setattr(common, "ONE_OF", 2)
+    assert sorted(map(tuple, repeats(docs).collect())) == plain
