@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_keys, staged, with_totals
+from .common import discard, hot_keys, staged, with_totals
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
@@ -28,8 +28,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         hot = hot_keys(both, "u", "v")
         led = with_totals(both, "u", "v", {"m": F.min("v")}, hot).where("v > u")
         large = led.select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-        small = with_totals(staged(large, "stars") if hot else large, "u", "v", {"m": F.min("v")}, hot).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
-        links = staged(small.select("x.*").where("u > v").distinct(), "links")
+        stars = staged(large, "stars") if hot else None
+        small = with_totals(stars if hot else large, "u", "v", {"m": F.min("v")}, hot).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
+        old, links = links, staged(small.select("x.*").where("u > v").distinct(), "links")
+        discard(old, *([stars] if hot else []))
         now = _digest(links)
         if now == was:
             break

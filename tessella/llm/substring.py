@@ -7,7 +7,8 @@ smallest hash within some stretch of REACH words (winnowing). Every stretch of
 paragraph inside it, at the same words in both, so passages of 50 words and more
 are always cut alike. Steps:
 
-1. Each paragraph has an exact hash and ``BANDS`` MinHashes of its five-word shingles.
+1. Each paragraph has an exact hash and ``BANDS`` MinHashes of its five-word shingles. Documents that
+   equal an earlier one word for word are set aside here: each loses all its words.
 2. Bands of one row: paragraphs that share a MinHash collide. Two paragraphs of
    Jaccard 0.75 collide in one of three bands with a chance of 1 - 0.25**3 = 98.4 %, and a
    passage has several paragraphs. Buckets of one document are left.
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_keys, hot_keys, keep_keys, staged, tune, with_totals
+from .common import discard, drop_keys, keep_keys, sized, staged, tune, with_totals
 from .graph import components
 from .ngram_join import Threshold, block_links, finer_blocks
 from .words import U, mix, shingles, words
@@ -83,7 +84,7 @@ def _distinct(window: np.ndarray) -> np.ndarray:
 def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_pylist()
-        found: list[list[np.ndarray]] = [[] for _ in range(3 + BANDS)]
+        found: list[list[np.ndarray]] = [[] for _ in range(5 + BANDS)]
         for i, _, _, h in words(batch.column(1)):
             a = anchors(h)
             if not len(a) or ids[i] is None:
@@ -91,17 +92,20 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = np.lib.stride_tricks.sliding_window_view(shingles(h), WORDS - 4)[a]
             keep = _distinct(rows) >= LEAST
             a, rows = a[keep], rows[keep]
+            # A hash of all words in order.
+            whole = mix(np.add.reduce(h * (2 * np.arange(len(h), dtype=U) + U(1)), keepdims=True) + U(len(h))).view(np.int64)
             lows = [(mix(rows * salt).min(axis=1) ^ salt).view(np.int64) for salt in _SALTS]
-            for column, value in zip(found, (exact_hash(rows).view(np.int64), np.full(len(a), ids[i]), a, *lows), strict=True):
+            for column, value in zip(found, (exact_hash(rows).view(np.int64), np.full(len(a), ids[i]), a, np.full(len(a), whole[0]), np.full(len(a), len(h)), *lows), strict=True):
                 column.append(value)
         columns = [pa.array(np.concatenate([*c, np.zeros(0, np.int64)]).astype(np.int64)) for c in found]
-        yield pa.RecordBatch.from_arrays(columns, ["exact", "doc_id", "start", *(f"low{k}" for k in range(BANDS))])
+        yield pa.RecordBatch.from_arrays(columns, ["exact", "doc_id", "start", "whole", "n_words", *(f"low{k}" for k in range(BANDS))])
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """exact hash, doc_id, start (word) and the MinHashes low0, ... of the paragraphs of documents."""
+    """exact hash, doc_id, start (word), the hash and number of all the document's words, and the MinHashes low0, ... of the paragraphs of documents."""
     tune(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_paragraphs, "exact long, doc_id long, start long" + "".join(f", low{k} long" for k in range(BANDS)))
+    schema = "exact long, doc_id long, start long, whole long, n_words long" + "".join(f", low{k} long" for k in range(BANDS))
+    return docs.select("doc_id", "text").mapInArrow(_paragraphs, schema)
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,10 +124,23 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, start, exact, cluster, keep_doc_id, like_doc_id, like_start, like_exact: every paragraph to remove, who keeps its cluster, and an earlier paragraph like it."""
-    offered = staged(paragraphs(docs), "paragraphs").select("doc_id", "start", "exact", F.explode(F.array(*(f"low{k}" for k in range(BANDS)))).alias("low"))
+    return _repeats(docs, staged(paragraphs(docs), "paragraphs"), similarity)
+
+
+def _copies(offered: DataFrame) -> DataFrame:
+    """doc_id, first_doc_id, n_words, cluster of the documents whose words all equal an earlier one's, among those with paragraphs; a doc_id with several texts is none."""
+    each = offered.groupBy("doc_id").agg(F.min("whole").alias("whole"), F.max("whole").alias("other"), F.max("n_words").alias("n_words"), F.min("exact").alias("cluster"))
+    each = staged(each, "wholes")
+    first = staged(each.groupBy("whole").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
+    return each.join(sized(first), "whole").where("doc_id <> first_doc_id and whole = other").select("doc_id", "first_doc_id", "n_words", "cluster")
+
+
+def _repeats(docs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    offered = rows.select("doc_id", "start", "exact", F.explode(F.array(*(f"low{k}" for k in range(BANDS)))).alias("low"))
     ends = {"d0": F.min("doc_id"), "d1": F.max("doc_id"), "e0": F.min("exact"), "e1": F.max("exact")}
     met = with_totals(offered, "low", "doc_id", ends).where("d0 < d1").groupBy("doc_id", "start", "exact").agg(F.max(F.expr("e0 < e1")).alias("near"))
     met = staged(met, "met")
+    discard(rows)
     # Where the shingles of each paragraph that meets different ones stand: one place each.
     place = met.where("near").groupBy("exact").agg(F.min(F.struct("doc_id", "start")).alias("at"))
     wanted = place.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.array("at.start", "exact")).alias("wanted"))
@@ -135,16 +152,16 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     threshold = Threshold(share.numerator, share.denominator)
     blocked = staged(finer_blocks(sets, threshold).select("block", F.col("key").alias("rep")), "blocks")
     labels = components(block_links(sets, blocked, threshold)).withColumnRenamed("node", "exact")
-    found = met.join(labels, "exact", "left").select("doc_id", "start", "exact", F.coalesce("component", "exact").alias("cluster")).distinct()
-    found = staged(found, "found")
+    # One label for each hash, so no row doubles. Copies of a paragraph may be many: Spark splits such a key where both sides are plain tables.
+    found = staged(met.join(sized(staged(labels, "labels")), "exact", "left").select("doc_id", "start", "exact", F.coalesce("component", "exact").alias("cluster")), "found")
     first = F.min(F.struct("doc_id", "start", "exact"))
-    hot = hot_keys(found, "cluster", "doc_id")
-    found = with_totals(found, "exact", "doc_id", {"same": first})
-    found = with_totals(found, "cluster", "doc_id", {"k": first, "last": F.max("doc_id")}, hot).where("k.doc_id < last and doc_id <> k.doc_id")
+    same = staged(found.groupBy("exact").agg(first.alias("same")), "same")
+    kept = staged(found.groupBy("cluster").agg(first.alias("k"), F.max("doc_id").alias("last")).where("k.doc_id < last").drop("last"), "kept")
+    found = found.join(kept, "cluster").where("doc_id <> k.doc_id").join(same, "exact")
     # What stands about a paragraph is compared with what stands about an equal one, where an earlier document has it.
     like = F.when(F.col("same.doc_id") < F.col("doc_id"), F.col("same")).otherwise(F.col("k"))
     kept = {"keep_doc_id": F.col("k.doc_id"), "like_doc_id": like["doc_id"], "like_start": like["start"], "like_exact": like["exact"]}
-    return found.withColumns(kept).drop("k", "last", "same")
+    return found.withColumns(kept).drop("k", "same")
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +212,11 @@ def spans(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     (and rows that repeat a doc_id) are not repeats across documents.
     Other columns don't matter; an empty table gives no spans.
     """
-    found = repeats(docs, similarity)
+    rows = staged(paragraphs(docs), "paragraphs")
+    copies = staged(_copies(rows), "copies")
+    distinct = staged(drop_keys(rows, copies.select("doc_id"), "doc_id"), "paragraphs")
+    discard(rows)
+    found = _repeats(docs, distinct, similarity)
     # Ends are found from the outermost paragraphs with an equal one in an earlier document, or else a near one.
     equal, place = F.col("like_exact") == F.col("exact"), ["start", "exact", "like_doc_id", "like_start", "like_exact"]
     ends = {"first": F.struct((~equal).alias("rank"), *place), "last": F.struct(equal.alias("rank"), *place)}
@@ -219,7 +240,14 @@ def spans(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         "start_word": F.least("start_word", F.col("first_start") - F.coalesce(_agreeing("first_mine", "first_theirs"), F.lit(0))),
         "end_word": F.greatest("end_word", F.col("last_start") + WORDS + F.coalesce(_agreeing("last_mine", "last_theirs"), F.lit(0))),
     })
-    return _joined(moved).select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "keep_doc_id", "keep_doc_ids", "cluster")
+    out = staged(_joined(moved).drop("first", "last", "span"), "spans")
+    # A copy goes as a whole; those who keep its words are its first document and those who keep parts of that.
+    parts = out.groupBy(F.col("doc_id").alias("first_doc_id")).agg(F.array_distinct(F.flatten(F.collect_list("keep_doc_ids"))).alias("__parts"))
+    parts = staged(parts.join(sized(copies.select("first_doc_id").distinct()), "first_doc_id"), "parts")
+    whole = copies.join(sized(parts), "first_doc_id", "left")
+    keepers = F.array_sort(F.array_union(F.array("first_doc_id"), F.coalesce("__parts", F.array().cast("array<bigint>"))))
+    whole = whole.select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n_words").alias("end_word"), F.array_min(keepers).alias("keep_doc_id"), keepers.alias("keep_doc_ids"), "cluster")
+    return out.select(whole.columns).unionByName(whole).select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "keep_doc_id", "keep_doc_ids", "cluster")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
