@@ -16,8 +16,9 @@ def hex_digest(*parts: Column | str) -> Column:
 
 
 def stable_order(key: str, seed: str = "") -> Column:
-    """A fixed pseudo-random order of keys."""
-    return F.sha2(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")), 256)
+    """A fixed pseudo-random order of keys: by the SHA-256 of the key, or of seed and key joined by ``:``."""
+    text = F.col(key).cast("string")
+    return F.sha2(F.concat_ws(":", F.lit(seed), text) if seed else text, 256)
 
 
 def stable_choice(key: Column, n: int) -> Column:

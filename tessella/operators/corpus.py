@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.hashing import digest_mod5, stable_order
+from tessella.operators.positions import ranked
+from tessella.sources.staging import staged
 
 
 def first_of_each(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -28,17 +31,42 @@ def grouped_copies(df: DataFrame, keys: Sequence[str], key_id: str) -> DataFrame
     return df.groupBy(*keys).agg(F.min(key_id).alias("representative"), F.count("*").alias("copies"), F.max(key_id).alias("last_id"))
 
 
+def _hash_ranked(df: DataFrame, strata: list[str], key: str, seed: str = "") -> DataFrame:
+    """``df`` with __rank in stable order within each stratum and __n, the stratum's rows."""
+    return ranked(df.withColumn("__order", stable_order(key, seed)), strata, ["__order", key], "__rank", "__n").drop("__order")
+
+
 def quotas(df: DataFrame, stratum: str, key: str, shares: Mapping[str, float], rest: str) -> DataFrame:
     """``profile`` by quota in each stratum: the first ``bround(share * n)`` keys in stable order, and so on."""
-    within = Window.partitionBy(stratum)
-    out = df.withColumns({"__rank": F.row_number().over(within.orderBy(stable_order(key), key)), "__n": F.count("*").over(within)})
-    profile, before = F.lit(rest), F.lit(0)
-    chosen = None
+    before, chosen = F.lit(0), None
     for name, share in shares.items():
-        upto = before + F.bround(F.col("__n") * F.lit(share)).cast("int")
+        upto = before + F.bround(F.col("__n") * F.lit(share)).cast("long")
         chosen = F.when(F.col("__rank") <= upto, name) if chosen is None else chosen.when(F.col("__rank") <= upto, name)
         before = upto
-    return out.withColumn("profile", chosen.otherwise(profile) if chosen is not None else profile).drop("__rank", "__n")
+    profile = chosen.otherwise(rest) if chosen is not None else F.lit(rest)
+    return _hash_ranked(df, [stratum], key).withColumn("profile", profile).drop("__rank", "__n")
+
+
+def residual_quotas(df: DataFrame, stratum: str, key: str, legacy: str, shares: Mapping[str, float], rest: str) -> DataFrame:
+    """``profile``: the legacy one where a row has it; the others fill up each stratum's quotas in stable order.
+
+    A stratum whose legacy rows exceed a quota is an error.
+    """
+    within = df.groupBy(stratum).agg(F.count("*").alias("__all"), *(F.count_if(F.col(legacy) == name).alias(f"__have_{i}") for i, name in enumerate(shares)), F.count_if(F.col(legacy) == rest).alias("__have_rest"))
+    left, total = {}, F.lit(0)
+    for i, share in enumerate(shares.values()):
+        wanted = F.bround(F.col("__all") * F.lit(share)).cast("long")
+        left[i], total = wanted - F.col(f"__have_{i}"), total + wanted
+    left["rest"] = F.col("__all") - total - F.col("__have_rest")
+    bad = F.least(*left.values(), F.lit(0)) < 0
+    within = within.select(stratum, *(F.when(bad, F.raise_error(F.lit("legacy profiles exceed a quota"))).otherwise(c).alias(f"__left_{i}") for i, c in left.items()))
+    new = _hash_ranked(df.where(F.col(legacy).isNull()), [stratum], key).join(within, stratum)
+    before, chosen = F.lit(0), None
+    for i, name in enumerate(shares):
+        before = before + F.col(f"__left_{i}")
+        chosen = F.when(F.col("__rank") <= before, name) if chosen is None else chosen.when(F.col("__rank") <= before, name)
+    filled = new.withColumn("profile", chosen.otherwise(rest)).select(*df.columns, "profile")
+    return filled.unionByName(df.where(F.col(legacy).isNotNull()).withColumn("profile", F.col(legacy)))
 
 
 def top_quota(df: DataFrame, stratum: Sequence[str], n: int, key: str, seed: str = "") -> DataFrame:
@@ -50,7 +78,8 @@ def top_quota(df: DataFrame, stratum: Sequence[str], n: int, key: str, seed: str
 def round_robin(df: DataFrame, stratum: Sequence[str], n: int, key: str, seed: str = "") -> DataFrame:
     """n rows, one of each stratum in turn; ``turn`` is the round. The limit is the operator's own."""
     order = Window.partitionBy(*stratum).orderBy(stable_order(key, seed), key)
-    return df.withColumn("turn", F.row_number().over(order)).orderBy("turn", *stratum).limit(n)
+    # No stratum gives more than n, so most rows go before the shuffle.
+    return df.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= n).orderBy("turn", *stratum).limit(n)
 
 
 def hash_split(df: DataFrame, group: str) -> DataFrame:
@@ -58,49 +87,105 @@ def hash_split(df: DataFrame, group: str) -> DataFrame:
     return df.withColumn("split", F.when(digest_mod5(F.col(group).cast("string")) == 0, "dev").otherwise("train"))
 
 
-def group_split(df: DataFrame, group: str, labels: Sequence[str], shares: Mapping[str, float]) -> DataFrame:
+def _group_counts(df: DataFrame, group: str, labels: Sequence[str]) -> tuple[list, np.ndarray, np.ndarray]:
+    """Groups (largest first), their rows, and their rows of each value of each label; at most MOST_GROUPS groups."""
+    if df.select(group).distinct().limit(MOST_GROUPS + 1).count() > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups: use hash_split")
+    sizes = {r[0]: r.n for r in df.groupBy(group).agg(F.count("*").alias("n")).collect()}
+    groups = sorted(sizes, key=lambda g: (-sizes[g], str(g)))
+    at = {g: i for i, g in enumerate(groups)}
+    columns = []
+    for label in labels:
+        cells: dict = {}
+        for r in df.groupBy(group, label).agg(F.count("*").alias("n")).collect():
+            cells.setdefault(r[1], np.zeros(len(groups)))[at[r[0]]] = r.n
+        columns += [cells[k] for k in sorted(cells, key=str)]
+    return groups, np.array([float(sizes[g]) for g in groups]), np.array(columns).reshape(len(columns), len(groups)).T
+
+
+def _imbalance(rows: np.ndarray, cells: np.ndarray, shares: np.ndarray, weight: float) -> float:
+    """Squared relative distance of splits from their shares: rows [split], cells [split, label value]."""
+    want, whole = rows.sum() * shares, cells.sum(0)[None] * shares[:, None]
+    return float(weight * (((rows - want) / np.maximum(want, 1)) ** 2).sum() + (((cells - whole) / np.maximum(whole, 3)) ** 2).sum())
+
+
+def group_split(df: DataFrame, group: str, labels: Sequence[str], shares: Mapping[str, float], frozen: Mapping | None = None, trials: int = 1, seed: int = 0) -> DataFrame:
     """group, split: whole groups dealt so that rows and labels come near their shares in every split.
 
     Label counts of each group are made in Spark; the greedy search goes over groups, largest first.
-    It needs the groups (databases or sources, not rows) on the driver, at most MOST_GROUPS.
+    It needs the groups (databases or sources, not rows) on the driver, at most MOST_GROUPS. ``frozen``: groups whose
+    split is given. Further trials take equal groups and equal splits in another order; the best of all counts.
     """
-    counts = df.groupBy(group, *labels).agg(F.count("*").alias("n"))
-    if df.select(group).distinct().limit(MOST_GROUPS + 1).count() > MOST_GROUPS:
-        raise ValueError(f"more than {MOST_GROUPS} groups: use hash_split")
-    sizes: dict = {}
-    cells: dict = {}
-    for label in labels:
-        for r in counts.groupBy(group, label).agg(F.sum("n").alias("n")).collect():
-            cells.setdefault(r[0], {})[label, r[1]] = r.n
-    for r in counts.groupBy(group).agg(F.sum("n").alias("n")).collect():
-        sizes[r[0]] = r.n
-    total = sum(sizes.values())
-    whole: dict = {}
-    for c in cells.values():
-        for k, n in c.items():
-            whole[k] = whole.get(k, 0) + n
-    have = {s: 0 for s in shares}
-    seen: dict = {s: {} for s in shares}
-
-    def cost(split: str, g) -> float:
-        out = 0.0
-        for s, share in shares.items():
-            rows = have[s] + (sizes[g] if s == split else 0)
-            out += 4 * ((rows - total * share) / max(total * share, 1)) ** 2
-            for k, n in whole.items():
-                now = seen[s].get(k, 0) + (cells.get(g, {}).get(k, 0) if s == split else 0)
-                out += ((now - n * share) / max(n * share, 3)) ** 2
-        return out
-
-    dealt = []
-    for g in sorted(sizes, key=lambda g: (-sizes[g], str(g))):
-        split = min(shares, key=lambda s: (cost(s, g), s))
-        have[split] += sizes[g]
-        for k, n in cells.get(g, {}).items():
-            seen[split][k] = seen[split].get(k, 0) + n
-        dealt.append((g, split))
+    groups, sizes, counts = _group_counts(df, group, labels)
+    splits, part, frozen = list(shares), np.array(list(shares.values())), dict(frozen or {})
+    best, least = [], np.inf
+    whole, total = counts.sum(0)[None] * part[:, None], sizes.sum() * part
+    for trial in range(max(1, trials)):
+        r = np.random.default_rng([seed, trial])
+        rows, cells, dealt = np.zeros(len(part)), np.zeros((len(part), counts.shape[1])), {}
+        for g, s in frozen.items():
+            if g in groups:
+                i, k = groups.index(g), splits.index(s)
+                rows[k] += sizes[i]
+                cells[k] += counts[i]
+                dealt[g] = s
+        free = [i for i, g in enumerate(groups) if g not in dealt]
+        for i in sorted(free, key=lambda i: (-sizes[i], r.random() if trial else i)):
+            # Only the split that takes the group changes its part of the sum.
+            now = 4 * ((rows - total) / np.maximum(total, 1)) ** 2 + (((cells - whole) / np.maximum(whole, 3)) ** 2).sum(1)
+            then = 4 * ((rows + sizes[i] - total) / np.maximum(total, 1)) ** 2 + (((cells + counts[i] - whole) / np.maximum(whole, 3)) ** 2).sum(1)
+            k = min(range(len(part)), key=lambda k: (then[k] - now[k], r.random() if trial else splits[k]))
+            rows[k] += sizes[i]
+            cells[k] += counts[i]
+            dealt[groups[i]] = splits[k]
+        if (cost := _imbalance(rows, cells, part, 4.0)) < least:
+            best, least = list(dealt.items()), cost
     kind = df.schema[group].dataType.simpleString()
-    return df.sparkSession.createDataFrame(dealt, f"{group} {kind}, split string")
+    return df.sparkSession.createDataFrame(best, f"{group} {kind}, split string")
+
+
+def exact_split(df: DataFrame, group: str, labels: Sequence[str], shares: Mapping[str, float], trials: int = 5000, seed: int = 0) -> DataFrame:
+    """group, split: so many whole groups to each split as its share says (one at least), the best of random deals.
+
+    Groups per split are rounded half to even, the last split has the rest. Counts are made in Spark, the search is on
+    the driver, over at most MOST_GROUPS groups.
+    """
+    groups, sizes, counts = _group_counts(df, group, labels)
+    splits, part = list(shares), np.array(list(shares.values()))
+    if len(groups) < len(splits):
+        raise ValueError("there are fewer groups than splits")
+    many, left = [], len(groups)
+    for k in range(len(splits) - 1):
+        many.append(min(max(round(len(groups) * part[k]), 1), left - (len(splits) - 1 - k)))
+        left -= many[-1]
+    bounds = np.cumsum([0, *many, left])
+    order = np.argsort([str(g) for g in groups], kind="stable")
+    best, least = None, np.inf
+    for trial in range(trials):
+        deal = np.random.default_rng([seed, trial]).permutation(order)
+        parts = [deal[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        cost = _imbalance(np.array([sizes[p].sum() for p in parts]), np.array([counts[p].sum(0) for p in parts]), part, 8.0)
+        if cost < least:
+            best, least = parts, cost
+    rows = [(groups[i], s) for s, p in zip(splits, best, strict=True) for i in p]
+    return df.sparkSession.createDataFrame(rows, f"{group} {df.schema[group].dataType.simpleString()}, split string")
+
+
+def allocate(df: DataFrame, key: str, rules: Sequence[tuple[str, Column, int]], rest: str) -> DataFrame:
+    """``split``: each rule (split, condition, n) takes the first n keys that it fits and no earlier rule took, in stable order seeded
+    by split and place of the rule; ``rest`` takes what is left. A rule that finds fewer than n is an error."""
+    taken = None
+    for i, (split, condition, n) in enumerate(rules):
+        pool = df.where(condition)
+        if taken is not None:
+            pool = pool.join(taken.select(key), key, "left_anti")
+        found = staged(pool.orderBy(stable_order(key, f"{split}-{i}"), key).limit(n).select(key, F.lit(split).alias("split")), "allocated")
+        if (got := found.count()) < n:
+            raise ValueError(f"rule {i} for {split} finds {got} of {n}")
+        taken = found if taken is None else taken.unionByName(found)
+    if taken is None:
+        return df.withColumn("split", F.lit(rest))
+    return df.join(taken, key, "left").withColumn("split", F.coalesce("split", F.lit(rest)))
 
 
 MOST_GROUPS = 10_000
@@ -135,14 +220,71 @@ def priority_buckets(df: DataFrame, buckets: Sequence[tuple[str, Column, int]],
     return rows.where(F.col("__rank") <= limit[F.col("bucket")]).drop("__rank")
 
 
+def capped_buckets(df: DataFrame, buckets: Sequence[tuple[str, Column, int]], key: str, group: str, cap: int, seed: str = "") -> DataFrame:
+    """``bucket``: for one bucket after the other its first n fitting rows in stable order, no row twice and at most ``cap`` of a group in all.
+
+    A row is taken if fewer than the group's remaining places lie ahead of it in its group, so the cap is a rank, not a loop.
+    """
+    picked = None
+    for name, condition, n in buckets:
+        pool = df.where(condition)
+        if picked is None:
+            pool = pool.withColumn("__used", F.lit(0))
+        else:
+            used = picked.groupBy(group).agg(F.count("*").alias("__used"))
+            pool = pool.join(picked.select(key), key, "left_anti").join(used, group, "left").withColumn("__used", F.coalesce("__used", F.lit(0)))
+        order = [stable_order(key, f"{seed}{name}"), F.col(key)]
+        rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+        some = pool.withColumn("__rank", rank).where(F.col("__rank") <= cap).where(F.col("__rank") + F.col("__used") <= cap)
+        found = staged(some.orderBy(*order).limit(n).select(*df.columns, F.lit(name).alias("bucket")), "bucket")
+        picked = found if picked is None else picked.unionByName(found)
+    return picked
+
+
+def disjoint_quotas(df: DataFrame, categories: Sequence[tuple[str, int]], key: str, order: Sequence[Column]) -> DataFrame:
+    """``category``: for one category after the other the first n rows with a positive count in its column, by that count and then ``order``;
+    a row that is taken is gone for the rest."""
+    picked = None
+    for name, n in categories:
+        pool = df.where(F.col(name) > 0)
+        if picked is not None:
+            pool = pool.join(picked.select(key), key, "left_anti")
+        found = staged(pool.orderBy(F.desc(name), *order, key).limit(n).select(key, F.lit(name).alias("category")), "category")
+        picked = found if picked is None else picked.unionByName(found)
+    return picked
+
+
 def with_replacement(df: DataFrame, stratum: str, n: int, key: str) -> DataFrame:
     """n rows of each stratum in stable order, going round again where it has fewer; ``turn`` is the round."""
-    within = Window.partitionBy(stratum)
-    rows = df.withColumns({"__rank": F.row_number().over(within.orderBy(stable_order(key), key)), "__n": F.count("*").over(within)}).where(F.col("__rank") <= n)
+    rows = _hash_ranked(df, [stratum], key).where(F.col("__rank") <= n)
     rounds = F.floor((F.lit(n) - F.col("__rank")) / F.col("__n")).cast("int")
     return rows.withColumn("turn", F.explode(F.sequence(F.lit(0), rounds))).drop("__rank", "__n")
 
 
+def replayed(base: DataFrame, extra: DataFrame, key: str, seed: str) -> DataFrame:
+    """Base rows and extra rows (with ``turn``, the round), ``role`` telling which, ordered by ``place``: a hash of key, role and round."""
+    rows = base.withColumns({"role": F.lit("base_unique"), "turn": F.lit(0)}).unionByName(extra.withColumn("role", F.lit("replay")))
+    return rows.withColumn("place", F.sha2(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"), "role", F.col("turn").cast("string")), 256))
+
+
+def coverage_plan(rows: Column, batch: Column, steps: Column) -> dict[str, Column]:
+    """What a loader that drops the last part of a batch covers."""
+    epoch = F.floor(rows / batch).cast("long")
+    covered = epoch * batch
+    return {
+        "steps_per_epoch": epoch, "covered_rows": covered, "dropped_rows": rows - covered, "prompt_slots": steps * batch,
+        "full_coverage": (rows == covered) & (steps >= epoch),
+    }
+
+
+def guarded(paths: Sequence[str], forbidden: Sequence[str]) -> list[str]:
+    """The paths, if none has a forbidden part (whole names between slashes, any case); else an error."""
+    bad = sorted({p for p in paths if {x.lower() for x in p.split("/")} & {f.lower() for f in forbidden}})
+    if bad:
+        raise ValueError(f"these sources aren't for training: {', '.join(bad)}")
+    return list(paths)
+
+
 def unique_first(df: DataFrame, task: str, key: str) -> DataFrame:
     """``place``: (0, ...) for the first row of each task, then the repeats, both in stable order."""
     order = Window.partitionBy(task).orderBy(key)
@@ -151,7 +293,8 @@ def unique_first(df: DataFrame, task: str, key: str) -> DataFrame:
 
 def same_multiset(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """equal: whether both hold the same texts as often."""
-    count = lambda d: d.groupBy(F.sha2(F.coalesce(F.col(column), F.lit("")), 256).alias("h")).agg(F.count("*").alias("n"))
+    # A null is no empty text.
+    count = lambda d: d.groupBy(F.coalesce(F.sha2(F.col(column), 256), F.lit("null")).alias("h")).agg(F.count("*").alias("n"))
     left, right = count(a), count(b)
     odd = left.join(right, ["h", "n"], "left_anti").unionByName(right.join(left, ["h", "n"], "left_anti"))
     return odd.agg((F.count("*") == 0).alias("equal"), F.count("*").alias("different"))
@@ -169,10 +312,43 @@ def record_audit(df: DataFrame, required: Sequence[str]) -> DataFrame:
     return df.withColumn("problems", F.array_compact(F.array(*checks))).where(F.size("problems") > 0)
 
 
-def ids_digest(df: DataFrame, key: str, buckets: int = 64) -> DataFrame:
-    """bucket, n, digest of the sorted ids in it; the digests together seal the whole set.
+#: Ids whose sorted list one task hashes, about.
+DIGEST_IDS = 50_000
+
+
+def ids_digest(df: DataFrame, key: str) -> DataFrame:
+    """n and digest: one SHA-256 that seals a set of integer ids, whatever their order.
 
-    A digest of one list of all ids would need all of them in one task; buckets by value keep each list small.
+    A digest of one sorted list of all ids would need all of them in one task. So ids are dealt to buckets by value, a power of two of
+    them, each for about DIGEST_IDS; each sorted bucket has a digest, and the digest of these, in order, is the result.
     """
-    at = F.pmod(F.col(key), F.lit(buckets)).alias("bucket")
-    return df.groupBy(at).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.lpad(F.col(key).cast("string"), 20, "0"))), "\n"), 256).alias("digest"))
+    n = df.count()
+    buckets = 1 << max(0, (max(1, n) // DIGEST_IDS).bit_length())
+    each = df.groupBy(F.pmod(F.col(key), F.lit(buckets)).alias("b")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x.cast("string")), "\n"), 256).alias("d"))
+    whole = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.array_sort(F.collect_list(F.struct("b", "d"))).alias("x"))
+    return whole.select("n", F.sha2(F.array_join(F.transform("x", lambda x: x["d"]), "\n"), 256).alias("digest"))
+
+
+def reusable(rows: DataFrame, verified: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """Keys of rows whose fields all equal those of a verified row; nulls are equal."""
+    same = F.col("a." + key) == F.col("b." + key)
+    for c in fields:
+        same &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return rows.alias("a").join(verified.alias("b"), same, "left_semi").select(key)
+
+
+def readiness(df: DataFrame, group: str, key: str, text: str) -> DataFrame:
+    """group, repeated (rows beyond the first of each key), empty (blank or null texts), ready."""
+    blank = F.col(text).isNull() | (F.trim(text) == "")
+    counts = df.groupBy(group).agg((F.count("*") - F.count_distinct(key)).alias("repeated"), F.count_if(blank).alias("empty"))
+    return counts.withColumn("ready", (F.col("repeated") == 0) & (F.col("empty") == 0))
+
+
+def checks(*found: DataFrame) -> DataFrame:
+    """gate, passed: a row for each column of one-row tables of booleans."""
+    out = None
+    for df in found:
+        names = ", ".join(f"'{c}', `{c}`" for c in df.columns)
+        rows = df.selectExpr(f"stack({len(df.columns)}, {names}) AS (gate, passed)")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -25,12 +25,12 @@ def evaluation() -> list[Column]:
     ]
 
 
-def wilson(good: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
-    """The Wilson interval of a rate."""
+def wilson(good: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
+    """The Wilson interval of a rate; (0, 0) of no rows."""
+    n = F.nullif(n, F.lit(0))
     p, zz = good / n, z * z
-    middle = p + zz / (2 * n)
-    half = z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))
-    return (middle - half) / (1 + zz / n), (middle + half) / (1 + zz / n)
+    middle, half = p + zz / (2 * n), z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))
+    return tuple(F.coalesce(x / (1 + zz / n), F.lit(0.0)) for x in (middle - half, middle + half))
 
 
 def paired(first: DataFrame, second: DataFrame, key: str) -> DataFrame:

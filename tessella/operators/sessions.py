@@ -47,47 +47,3 @@ def trace(df: DataFrame, session: str, sequence: str, action: str) -> DataFrame:
     """A session's actions in order, as text."""
     pairs = F.array_sort(F.collect_list(F.struct(sequence, action)))
     return df.groupBy(session).agg(F.array_join(F.transform(pairs, lambda p: p[action]), ">").alias("trace"))
-
-
-#: Which event stands for which tool.
-TOOLS = {"view": "get_schema_version", "click": "inspect_schema_diff", "signup": "ask_user", "purchase": "execute_sql", "error": "submit_solution"}
-ONE_SHOT = ("get_schema_version", "inspect_schema_diff", "ask_user")
-
-
-def allowed_actions(df: DataFrame, validated: str = "value > 50") -> DataFrame:
-    """user_id, allowed: tools still open, as text; only submit_solution once the newest execution is validated."""
-    called = {name: F.bool_or(F.col("event_type") == event) for event, name in TOOLS.items() if name in ONE_SHOT}
-    newest = F.max_by(F.expr(validated), F.when(F.col("event_type") == "purchase", F.col("sequence")))
-    facts = df.groupBy("user_id").agg(*(c.alias(n) for n, c in called.items()), newest.alias("validated"), F.bool_or(F.col("event_type") == "purchase").alias("executed"))
-    open_tools = F.array_compact(F.array(*(F.when(~F.col(t), t) for t in ONE_SHOT), F.lit("execute_sql")))
-    done = F.col("executed") & F.coalesce("validated", F.lit(False))
-    return facts.select("user_id", F.when(done, "submit_solution").otherwise(F.array_join(open_tools, ",")).alias("allowed"))
-
-
-def required_recovery(df: DataFrame) -> DataFrame:
-    """user_id, required: what a session that has failed owes: a version call after it, then a diff call after that."""
-    bad = F.max(F.when(F.col("event_type") == "error", F.col("sequence"))).over(Window.partitionBy("user_id"))
-    rows = df.withColumn("bad", bad).where("bad IS NOT NULL")
-    version = F.min(F.when((F.col("event_type") == "view") & (F.col("sequence") > F.col("bad")), F.col("sequence"))).over(Window.partitionBy("user_id"))
-    facts = rows.withColumn("v", version).groupBy("user_id").agg(F.max("v").alias("v"), F.min(F.when((F.col("event_type") == "click") & (F.col("sequence") > F.col("v")), F.col("sequence"))).alias("d"))
-    return facts.select("user_id", F.when(F.col("v").isNull(), "get_schema_version").when(F.col("d").isNull(), "inspect_schema_diff").otherwise("none").alias("required"))
-
-
-def failure_labels(df: DataFrame, success: str = "value > 50", most: int = 7) -> DataFrame:
-    """user_id, labels: every failure label that applies, in order of priority, as text."""
-    at = lambda event: F.max(F.when(F.col("event_type") == event, F.col("sequence")))
-    facts = df.groupBy("user_id").agg(
-        F.bool_or(F.col("event_type") == "error").alias("failed"),
-        F.bool_or((F.col("event_type") == "purchase") & F.expr(success)).alias("succeeded"),
-        F.count("*").alias("n"),
-        at("purchase").alias("executed"),
-        at("error").alias("submitted"),
-    )
-    labels = F.array_compact(
-        F.array(
-            F.when(F.coalesce("succeeded", F.lit(False)) & (F.coalesce("submitted", F.lit(0)) < F.col("executed")), "successful_execute_no_submit"),
-            F.when(F.col("failed") & ~F.coalesce("succeeded", F.lit(False)), "execution_failure"),
-            F.when(F.col("n") > most, "turn_limit"),
-        )
-    )
-    return facts.select("user_id", F.array_join(labels, ",").alias("labels"))

@@ -1,4 +1,4 @@
-"""Chat trajectories: identities, prefixes, divergence, tool calls, term overlap."""
+"""Chat trajectories: identities, prefixes, repetitions, terms."""
 
 from __future__ import annotations
 
@@ -20,11 +20,6 @@ def identities(df: DataFrame) -> DataFrame:
     return df.groupBy("conv_id").agg(F.sha2(F.array_join(F.transform(said, lambda x: x["said"]), "\n"), 256).alias("trajectory"))
 
 
-def first_divergence(df: DataFrame, key: str, at: str, action: str, expected: str) -> DataFrame:
-    """key, diverged_at: the first place where the action isn't the expected one (null: none)."""
-    return df.groupBy(key).agg(F.min(F.when(F.col(action) != F.col(expected), F.col(at))).alias("diverged_at"))
-
-
 def next_actions(df: DataFrame) -> DataFrame:
     """One row for each assistant turn with the size of the prefix it answers.
 
@@ -53,39 +48,12 @@ def terms(text: Column, pattern: str = "[a-z]+") -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)))
 
 
-def best_entries(questions: DataFrame, key: str, text: str, base: DataFrame, name: str, entry: str, k: int) -> DataFrame:
-    """key, name, overlap: the k entries of a base that share most terms with each question.
-
-    Base entries and questions meet by an inverted join on terms; entries without a common term follow by name.
-    The base is a small dimension (an agent's knowledge file).
-    """
-    asked = questions.select(key, F.explode(terms(F.col(text))).alias("term"))
-    held = base.select(name, F.explode(terms(F.col(entry))).alias("term"))
-    met = asked.join(held, "term").groupBy(key, name).agg(F.count("*").alias("overlap"))
-    every = questions.select(key).crossJoin(F.broadcast(base.select(name).orderBy(name).limit(MOST_ENTRIES)))
-    rows = every.join(met, [key, name], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0).cast("long")))
-    order = Window.partitionBy(key).orderBy(F.desc("overlap"), name)
-    return rows.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= k).drop("__k")
-
-
-#: Entries of a knowledge base.
-MOST_ENTRIES = 1000
-
-
 def traces(df: DataFrame, mark: Column) -> DataFrame:
     """conv_id, trace: a mark for each turn in order."""
     marks = F.array_sort(F.collect_list(F.struct("turn", mark.alias("mark"))))
     return df.groupBy("conv_id").agg(F.array_join(F.transform(marks, lambda x: x["mark"]), "").alias("trace"))
 
 
-def tool_calls(df: DataFrame, message: str) -> DataFrame:
-    """A row for each tagged call in a message: name and arguments, if they are an object with both."""
-    found = F.regexp_extract_all(F.col(message), F.lit(r"(?s)<tool_call>\s*(\{.*?\})\s*</tool_call>"), F.lit(1))
-    calls = df.withColumn("__call", F.explode(found))
-    name, arguments = F.get_json_object("__call", "$.name"), F.get_json_object("__call", "$.arguments")
-    return calls.withColumns({"name": name, "arguments": arguments}).where("name IS NOT NULL AND arguments LIKE '{%'").drop("__call")
-
-
 def last_json_line(text: Column) -> Column:
     """The last line that is a JSON object; null if none is."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.try_parse_json(x).isNotNull() & F.startswith(F.trim(x), F.lit("{")))

@@ -1,3 +1,3 @@
 """Queries over the provided tables; importing this package registers them all."""
 
-from . import corpus, drift, episodes, metrics, results, sessions, stores, trajectories  # noqa: F401
+from . import corpus, drift, episodes, metrics, records, results, rollouts, sessions, small, stores, texts, trajectories  # noqa: F401

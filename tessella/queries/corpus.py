@@ -15,11 +15,11 @@ def tasks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _TASKS = "SELECT doc_id AS task_id, source AS db_id, lang AS kind, text, n_chars FROM documents"
-_ORDER = "sha256(concat_ws(':', '{seed}', CAST(task_id AS VARCHAR)))"
 
 
-def ordered(seed: str = "") -> str:
-    return _ORDER.format(seed=seed)
+def ordered(seed: str = "", key: str = "task_id") -> str:
+    """SQL of the stable order."""
+    return f"sha256('{seed}:' || CAST({key} AS VARCHAR))" if seed else f"sha256(CAST({key} AS VARCHAR))"
 
 
 @query("e01_first_of_each", f"SELECT task_id, db_id FROM ({_TASKS}) QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY task_id) = 1")
@@ -62,9 +62,44 @@ def profiles(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.quotas(tasks(spark, sf).select("task_id", "kind"), "kind", "task_id", {"must_ask": 0.30, "knowledge_only": 0.25}, "schema_only")
 
 
+@query("e06_residual_quotas", f"""
+    WITH t AS (SELECT task_id, kind, CASE task_id % 20 WHEN 0 THEN 'must_ask' WHEN 1 THEN 'knowledge_only' WHEN 2 THEN 'schema_only' END AS legacy FROM ({_TASKS})),
+         w AS (SELECT kind, CAST(round_even(count(*) * 0.30::DOUBLE, 0) AS BIGINT) - count(*) FILTER (legacy = 'must_ask') AS a, CAST(round_even(count(*) * 0.25::DOUBLE, 0) AS BIGINT) - count(*) FILTER (legacy = 'knowledge_only') AS b FROM t GROUP BY 1),
+         r AS (SELECT t.*, row_number() OVER (PARTITION BY kind, legacy IS NULL ORDER BY {ordered()}) AS k FROM t)
+    SELECT task_id, kind, CASE WHEN legacy IS NOT NULL THEN legacy WHEN k <= a THEN 'must_ask' WHEN k <= a + b THEN 'knowledge_only' ELSE 'schema_only' END AS profile FROM r JOIN w USING (kind)""")
+def residual(spark: SparkSession, sf: str) -> DataFrame:
+    """Tasks of earlier versions keep their profile; new ones fill up the quotas."""
+    legacy = F.when(F.col("task_id") % 20 == 0, "must_ask").when(F.col("task_id") % 20 == 1, "knowledge_only").when(F.col("task_id") % 20 == 2, "schema_only")
+    rows = tasks(spark, sf).select("task_id", "kind").withColumn("legacy", legacy)
+    return corpus.residual_quotas(rows, "kind", "task_id", "legacy", {"must_ask": 0.30, "knowledge_only": 0.25}, "schema_only").drop("legacy")
+
+
+SHARES = {"train": 0.7, "tune": 0.15, "test": 0.15}
+
+
 @query("e07_group_split")
 def group_split(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.group_split(tasks(spark, sf), "db_id", ["kind"], {"train": 0.7, "tune": 0.15, "test": 0.15})
+    """Sources dealt whole, the smallest of them frozen in test; the best of 20 trials."""
+    last = tasks(spark, sf).agg(F.max("db_id")).first()[0]
+    return corpus.group_split(tasks(spark, sf), "db_id", ["kind"], SHARES, {last: "test"}, trials=20)
+
+
+# What doesn't depend on the search: how many groups each split has, and that none is cut.
+@query("e08_exact_split", "SELECT split, CAST(n AS BIGINT) AS groups FROM (SELECT count(DISTINCT source) AS g FROM documents), LATERAL (VALUES ('train', round_even(g * 0.7::DOUBLE, 0)), ('tune', round_even(g * 0.15::DOUBLE, 0)), ('test', g - round_even(g * 0.7::DOUBLE, 0) - round_even(g * 0.15::DOUBLE, 0))) v(split, n)")
+def exact_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of each split, by exact counts; the best of 300 deals."""
+    return corpus.exact_split(tasks(spark, sf), "db_id", ["kind"], SHARES, trials=300).groupBy("split").agg(F.count_distinct("db_id").alias("groups"))
+
+
+@query("e10_allocated", f"""
+    WITH d AS (SELECT DISTINCT db_id FROM ({_TASKS})), a AS (SELECT db_id FROM d WHERE db_id LIKE 'src1%' ORDER BY {ordered("train-0", "db_id")}, db_id LIMIT 4),
+         b AS (SELECT db_id FROM d WHERE db_id NOT IN (SELECT db_id FROM a) ORDER BY {ordered("dev-1", "db_id")}, db_id LIMIT 5),
+         c AS (SELECT db_id FROM d WHERE db_id > 'src2' AND db_id NOT IN (SELECT db_id FROM a UNION SELECT db_id FROM b) ORDER BY {ordered("train-2", "db_id")}, db_id LIMIT 3)
+    SELECT db_id, CASE WHEN db_id IN (SELECT db_id FROM a UNION SELECT db_id FROM c) THEN 'train' WHEN db_id IN (SELECT db_id FROM b) THEN 'dev' ELSE 'test' END AS split FROM d""")
+def allocated(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources to splits by provenance, each rule in its own stable order."""
+    rules = [("train", F.col("db_id").startswith("src1"), 4), ("dev", F.lit(True), 5), ("train", F.col("db_id") > "src2", 3)]
+    return corpus.allocate(tasks(spark, sf).select("db_id").distinct(), "db_id", rules, "test")
 
 
 _SPLIT = "CASE WHEN list_sum(list_transform(string_split(sha256(db_id), ''), lambda d: CAST(('0x' || d) AS INTEGER))) % 5 = 0 THEN 'dev' ELSE 'train' END"
@@ -86,10 +121,16 @@ def leaks(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.leaks(corpus.hash_split(tasks(spark, sf), "db_id"), "split", "kind")
 
 
-@query("e13_partition_complete", "SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra, CAST(0 AS BIGINT) AS repeated")
+@query("e13_partition_complete", """
+    WITH p AS (SELECT doc_id FROM documents WHERE doc_id % 7 <> 3 UNION ALL SELECT doc_id FROM documents WHERE doc_id % 11 = 0 AND doc_id % 7 <> 3 UNION ALL SELECT -1 - r_regionkey FROM region)
+    SELECT (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM p)) AS missing, (SELECT count(DISTINCT doc_id) FROM p WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS extra,
+           (SELECT count(*) FROM (SELECT doc_id FROM p GROUP BY 1 HAVING count(*) > 1)) AS repeated""")
 def complete(spark: SparkSession, sf: str) -> DataFrame:
-    rows = corpus.hash_split(tasks(spark, sf), "db_id")
-    return corpus.complete(rows.where("split = 'dev'").unionByName(rows.where("split = 'train'")), rows, "task_id")
+    """How parts with holes, repeats and strangers differ from the whole."""
+    rows = tasks(spark, sf).select("task_id")
+    some = rows.where("task_id % 7 <> 3")
+    strangers = table(spark, sf, "region").select((-1 - F.col("r_regionkey")).cast("long").alias("task_id"))
+    return corpus.complete(some.unionByName(some.where("task_id % 11 = 0")).unionByName(strangers), rows, "task_id")
 
 
 @query("e14_round_robin", f"""
@@ -106,13 +147,28 @@ def pilot(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.round_robin(tasks(spark, sf).select("task_id", "db_id", "kind"), ["db_id", "kind"], 120, "task_id", "e15")
 
 
-@query("e16_priority_buckets", f"""
-    WITH b AS (SELECT task_id, CASE WHEN n_chars > 8000 THEN 'long' WHEN kind <> 'en' THEN 'foreign' WHEN n_chars < 800 THEN 'short' END AS bucket FROM ({_TASKS})),
-         r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY {ordered("e16")}, task_id) AS k FROM b WHERE bucket IS NOT NULL)
-    SELECT task_id, bucket FROM r WHERE k <= CASE bucket WHEN 'long' THEN 40 WHEN 'foreign' THEN 100 ELSE 60 END""")
+_BUCKETS = (("long", "n_chars > 4000", 20), ("foreign", "kind <> 'en'", 30), ("short", "n_chars < 1500", 40))
+
+
+def _bucket_sql(cap: int) -> str:
+    """The buckets one after the other, as chained queries."""
+    out, before, used = [f"t AS ({_TASKS})"], "SELECT NULL::BIGINT AS task_id, NULL AS db_id WHERE false", "b0"
+    out.append(f"b0 AS ({before})")
+    for i, (name, condition, n) in enumerate(_BUCKETS, 1):
+        order = ordered(f"e16{name}")
+        out.append(f"""f{i} AS (SELECT t.task_id, t.db_id, row_number() OVER (PARTITION BY t.db_id ORDER BY {ordered(f"e16{name}", "t.task_id")}) + (SELECT count(*) FROM {used} u WHERE u.db_id = t.db_id) AS k
+            FROM t WHERE {condition} AND task_id NOT IN (SELECT task_id FROM {used}))""")
+        out.append(f"g{i} AS (SELECT task_id, db_id FROM f{i} WHERE k <= {cap} ORDER BY {order}, task_id LIMIT {n})")
+        out.append(f"b{i} AS (SELECT task_id, db_id FROM {used} UNION ALL SELECT task_id, db_id FROM g{i})")
+        used = f"b{i}"
+    return "WITH " + ", ".join(out) + " " + " UNION ALL ".join(f"SELECT task_id, '{name}' AS bucket FROM g{i}" for i, (name, *_) in enumerate(_BUCKETS, 1))
+
+
+@query("e16_priority_buckets", _bucket_sql(5))
 def buckets(spark: SparkSession, sf: str) -> DataFrame:
-    named = [("long", F.col("n_chars") > 8000, 40), ("foreign", F.col("kind") != "en", 100), ("short", F.col("n_chars") < 800, 60)]
-    return corpus.priority_buckets(tasks(spark, sf), named, "task_id", "e16").select("task_id", "bucket")
+    """Buckets by priority, no task twice, at most five of a source in all."""
+    named = [(name, F.expr(condition), n) for name, condition, n in _BUCKETS]
+    return corpus.capped_buckets(tasks(spark, sf), named, "task_id", "db_id", 5, "e16").select("task_id", "bucket")
 
 
 @query("e17_failure_ranking", """
@@ -125,6 +181,25 @@ def ranking(spark: SparkSession, sf: str) -> DataFrame:
     return rates.withColumns({"place": F.row_number().over(order), "rate": F.round(F.col("failures") / F.col("n"), 6)})
 
 
+_FLAGGED = """SELECT source AS db_id, count(*) AS n, count(*) FILTER (quality = 0) AS low_quality, count(*) FILTER (toxic = 1) AS toxic, count(*) FILTER (lang <> 'en') AS foreign_text,
+    CAST(count(*) FILTER (quality = 0 OR toxic = 1) AS DOUBLE) / count(*) AS rate FROM documents JOIN labels USING (doc_id) GROUP BY 1"""
+
+
+@query("e17_disjoint_quotas", f"""
+    WITH c AS ({_FLAGGED}), a AS (SELECT db_id FROM c WHERE low_quality > 0 ORDER BY low_quality DESC, rate DESC, n DESC, db_id LIMIT 4),
+         b AS (SELECT db_id FROM c WHERE toxic > 0 AND db_id NOT IN (SELECT db_id FROM a) ORDER BY toxic DESC, rate DESC, n DESC, db_id LIMIT 5),
+         d AS (SELECT db_id FROM c WHERE foreign_text > 0 AND db_id NOT IN (SELECT db_id FROM a UNION SELECT db_id FROM b) ORDER BY foreign_text DESC, rate DESC, n DESC, db_id LIMIT 6)
+    SELECT db_id, 'low_quality' AS category FROM a UNION ALL SELECT db_id, 'toxic' FROM b UNION ALL SELECT db_id, 'foreign_text' FROM d""")
+def disjoint(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources to look at, by kind of failure, none twice."""
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    counts = rows.groupBy(F.col("source").alias("db_id")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("quality") == 0).alias("low_quality"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("lang") != "en").alias("foreign_text"), (F.count_if(bad) / F.count("*")).alias("rate")
+    )
+    return corpus.disjoint_quotas(counts, [("low_quality", 4), ("toxic", 5), ("foreign_text", 6)], "db_id", [F.desc("rate"), F.desc("n")]).select("db_id", "category")
+
+
 @query("e18_with_replacement", f"""
     WITH r AS (SELECT task_id, db_id, kind, row_number() OVER (PARTITION BY db_id, kind ORDER BY {ordered()}, task_id) AS k, count(*) OVER (PARTITION BY db_id, kind) AS n FROM ({_TASKS}))
     SELECT task_id, db_id || kind AS stratum, CAST(unnest(range(0, CAST(floor((12 - k) / n) AS BIGINT) + 1)) AS INTEGER) AS turn FROM r WHERE k <= 12""")
@@ -133,6 +208,36 @@ def replacement(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.with_replacement(rows, "stratum", 12, "task_id")
 
 
+@query("e19_replayed", f"""
+    WITH r AS (SELECT task_id, db_id, row_number() OVER (PARTITION BY db_id ORDER BY {ordered()}, task_id) AS k, count(*) OVER (PARTITION BY db_id) AS n FROM ({_TASKS})),
+         u AS (SELECT task_id, 'base_unique' AS role, 0 AS turn FROM r UNION ALL SELECT task_id, 'replay', CAST(unnest(range(0, CAST(floor((3 - k) / n) AS BIGINT) + 1)) AS INTEGER) FROM r WHERE k <= 3)
+    SELECT task_id, role, turn, sha256('e19:' || task_id || ':' || role || ':' || turn) AS place FROM u""")
+def replayed(spark: SparkSession, sf: str) -> DataFrame:
+    """All tasks once, three more of each source, in one shuffled order."""
+    base = tasks(spark, sf).select("task_id", "db_id")
+    return corpus.replayed(base, corpus.with_replacement(base, "db_id", 3, "task_id"), "task_id", "e19").select("task_id", "role", "turn", "place")
+
+
+@query("e23_coverage_plan", """
+    WITH p AS (SELECT s_suppkey, s_suppkey * 7 AS n, 16 AS b, s_suppkey % 9 + 1 AS k FROM supplier)
+    SELECT s_suppkey, n // b AS steps_per_epoch, n // b * b AS covered_rows, n - n // b * b AS dropped_rows, k * b AS prompt_slots, n % b = 0 AND k >= n // b AS full_coverage FROM p""")
+def coverage(spark: SparkSession, sf: str) -> DataFrame:
+    plan = corpus.coverage_plan((F.col("s_suppkey") * 7).cast("long"), F.lit(16).cast("long"), (F.col("s_suppkey") % 9 + 1).cast("long"))
+    return table(spark, sf, "supplier").select("s_suppkey", *(c.alias(n) for n, c in plan.items()))
+
+
+@query("e29_source_guard", "SELECT 'data/train/a.jsonl' AS path, true AS allowed UNION ALL SELECT 'data/Test/b.jsonl', false UNION ALL SELECT 'data/latest/c.jsonl', true UNION ALL SELECT 'gate/d.jsonl', false")
+def guard(spark: SparkSession, sf: str) -> DataFrame:
+    """Which paths may be trained on."""
+    rows = []
+    for path in ("data/train/a.jsonl", "data/Test/b.jsonl", "data/latest/c.jsonl", "gate/d.jsonl"):
+        try:
+            rows.append((path, bool(corpus.guarded([path], ["dev", "test", "gate"]))))
+        except ValueError:
+            rows.append((path, False))
+    return spark.createDataFrame(rows, "path string, allowed boolean")
+
+
 @query("e20_category_quota", f"""
     SELECT task_id, kind FROM (SELECT task_id, kind, row_number() OVER (PARTITION BY kind ORDER BY {ordered("e20")}, task_id) AS k FROM ({_TASKS})) WHERE k <= 50""")
 def category(spark: SparkSession, sf: str) -> DataFrame:
@@ -170,10 +275,12 @@ def mixture(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("e26_interleaved", f"""
-    SELECT task_id, kind, CAST(row_number() OVER (PARTITION BY kind ORDER BY task_id) AS INTEGER) AS place FROM ({_TASKS})""")
+    SELECT task_id, kind, row_number() OVER (PARTITION BY kind ORDER BY task_id) AS place FROM ({_TASKS})""")
 def interleaved(spark: SparkSession, sf: str) -> DataFrame:
     """Place of each task within its family; sorting by (place, kind) interleaves the families."""
-    return tasks(spark, sf).select("task_id", "kind", F.row_number().over(Window.partitionBy("kind").orderBy("task_id")).alias("place"))
+    from tessella.operators.positions import ranked
+
+    return ranked(tasks(spark, sf).select("task_id", "kind"), ["kind"], ["task_id"], "place")
 
 
 @query("e27_marker_leaks", """
@@ -184,20 +291,34 @@ def markers(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.array_join("markers", ",").alias("markers"))
 
 
-@query("e28_same_multiset", "SELECT true AS equal, CAST(0 AS BIGINT) AS different")
+@query("e28_same_multiset", """
+    WITH a AS (SELECT coalesce(text, '(null)') AS t, count(*) AS n FROM documents GROUP BY 1),
+         b AS (SELECT coalesce(CASE WHEN doc_id % 10 = 3 THEN NULL WHEN doc_id % 10 = 4 THEN '' ELSE text END, '(null)') AS t, count(*) AS n FROM documents GROUP BY 1)
+    SELECT count(*) = 0 AS equal, count(*) AS different FROM (SELECT * FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT * FROM (SELECT * FROM b EXCEPT SELECT * FROM a))""")
 def multiset(spark: SparkSession, sf: str) -> DataFrame:
+    """How many texts come in other numbers once some are nulled and some emptied."""
     docs = table(spark, sf, "documents")
-    return corpus.same_multiset(docs, docs.orderBy(F.desc("doc_id")), "text")
+    changed = F.when(F.col("doc_id") % 10 == 3, F.lit(None)).when(F.col("doc_id") % 10 == 4, "").otherwise(F.col("text"))
+    return corpus.same_multiset(docs, docs.withColumn("text", changed), "text")
 
 
-@query("e30_record_audit", "SELECT conv_id, turn, CASE WHEN text IS NULL THEN 'missing:text' ELSE 'empty:text' END AS problem FROM conversations WHERE text IS NULL OR trim(text) = ''")
+@query("e30_record_audit", """
+    SELECT conv_id, turn, 'missing:text' AS problem FROM conversations WHERE turn % 5 = 2 UNION ALL SELECT conv_id, turn, 'empty:text' FROM conversations WHERE turn % 5 = 3
+    UNION ALL SELECT conv_id, turn, 'empty:role' FROM conversations WHERE conv_id % 9 = 0""")
 def audit(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.record_audit(table(spark, sf, "conversations"), ["role", "text"]).select("conv_id", "turn", F.explode("problems").alias("problem"))
+    """Problems of records of which some fields were taken away."""
+    text = F.when(F.col("turn") % 5 == 2, F.lit(None)).when(F.col("turn") % 5 == 3, "  ").otherwise(F.coalesce("text", F.lit("x")))
+    role = F.when(F.col("conv_id") % 9 == 0, "").otherwise(F.col("role"))
+    rows = table(spark, sf, "conversations").withColumns({"text": F.when(F.trim(text) == "", F.when(text.isNotNull(), F.when(F.col("turn") % 5 == 3, "  ").otherwise("x"))).otherwise(text), "role": role})
+    return corpus.record_audit(rows, ["role", "text"]).select("conv_id", "turn", F.explode("problems").alias("problem"))
 
 
-@query("e31_duplicate_ids", "SELECT text AS text, count(*) AS n FROM benchmark GROUP BY 1 HAVING count(*) > 1")
+@query("e31_duplicate_ids", """
+    WITH r AS (SELECT source, count(*) AS n, count(DISTINCT text) AS texts, count(*) FILTER (text IS NULL OR trim(text) = '') AS empty FROM documents GROUP BY 1)
+    SELECT source, n - texts AS repeated, empty, n = texts AND empty = 0 AS ready FROM r""")
 def duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "benchmark").groupBy("text").agg(F.count("*").alias("n")).where("n > 1")
+    """Readiness of each source: repeated texts and empty ones."""
+    return corpus.readiness(table(spark, sf, "documents"), "source", "text", "text")
 
 
 @query("e32_overlap", "SELECT o_custkey AS custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
@@ -206,18 +327,29 @@ def overlap(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.overlap(orders.where("o_orderstatus = 'F'"), orders.where("o_orderstatus = 'P'"), "custkey")
 
 
-@query("e33_release_gates", """
-    SELECT 'unique_ids' AS gate, count(*) = count(DISTINCT doc_id) AS passed FROM documents
-    UNION ALL SELECT 'no_null_text', count(*) FILTER (text IS NULL) = 0 FROM documents
-    UNION ALL SELECT 'labels_known', count(*) = 0 FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
-    UNION ALL SELECT 'lengths_match', count(*) FILTER (length(text) <> n_chars) = 0 FROM documents""")
+@query("e33_release_gates", f"""
+    WITH d AS (SELECT *, {_SPLIT.replace("db_id", "source")} AS split FROM documents)
+    SELECT 'unique_ids' AS gate, count(*) = count(DISTINCT doc_id) AS passed FROM d
+    UNION ALL SELECT 'no_null_text', count(*) FILTER (text IS NULL) = 0 FROM d
+    UNION ALL SELECT 'labels_known', count(*) = 0 FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM d)
+    UNION ALL SELECT 'lengths_match', count(*) FILTER (length(text) <> n_chars) = 0 FROM d
+    UNION ALL SELECT 'group_isolation', count(*) = 0 FROM (SELECT source FROM d GROUP BY 1 HAVING count(DISTINCT split) > 1)
+    UNION ALL SELECT 'both_splits', count(DISTINCT split) = 2 FROM d
+    UNION ALL SELECT 'no_marker_leaks', count(*) FILTER (contains(lower(text), 'api_key')) = 0 FROM d
+    UNION ALL SELECT 'sizes', count(*) BETWEEN 100 AND 1000000 FROM d
+    UNION ALL SELECT 'benchmark_unseen', count(*) = 0 FROM d WHERE text IN (SELECT text FROM benchmark)""")
 def gates(spark: SparkSession, sf: str) -> DataFrame:
-    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    checks = docs.agg(
-        (F.count("*") == F.count_distinct("doc_id")).alias("unique_ids"), (F.count_if(F.col("text").isNull()) == 0).alias("no_null_text"), (F.count_if(F.length("text") != F.col("n_chars")) == 0).alias("lengths_match")
+    """Nine checks before a release, one row each."""
+    docs, labels = corpus.hash_split(table(spark, sf, "documents"), "source"), table(spark, sf, "labels")
+    n = F.count("*")
+    once = docs.agg(
+        (n == F.count_distinct("doc_id")).alias("unique_ids"), (F.count_if(F.col("text").isNull()) == 0).alias("no_null_text"), (F.count_if(F.length("text") != F.col("n_chars")) == 0).alias("lengths_match"),
+        (F.count_distinct("split") == 2).alias("both_splits"), (F.count_if(F.contains(F.lower("text"), F.lit("api_key"))) == 0).alias("no_marker_leaks"), n.between(100, 1_000_000).alias("sizes"),
+    )
+    none = lambda df, gate: df.agg((F.count("*") == 0).alias(gate))
+    return corpus.checks(
+        once, none(labels.join(docs, "doc_id", "left_anti"), "labels_known"), none(corpus.leaks(docs, "split", "source"), "group_isolation"), none(docs.join(table(spark, sf, "benchmark"), "text", "left_semi"), "benchmark_unseen")
     )
-    known = labels.join(docs.select("doc_id"), "doc_id", "left_anti").agg((F.count("*") == 0).alias("labels_known"))
-    return checks.crossJoin(known).selectExpr("stack(4, 'unique_ids', unique_ids, 'no_null_text', no_null_text, 'labels_known', labels_known, 'lengths_match', lengths_match) AS (gate, passed)")
 
 
 @query("e34_described", """
@@ -230,19 +362,34 @@ def described(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("e35_ids_digest", """
-    SELECT doc_id % 64 AS bucket, count(*) AS n, sha256(string_agg(lpad(CAST(doc_id AS VARCHAR), 20, '0'), chr(10) ORDER BY lpad(CAST(doc_id AS VARCHAR), 20, '0'))) AS digest FROM documents GROUP BY 1""")
+    WITH n AS (SELECT count(*) AS n, CASE WHEN count(*) < 50000 THEN 1 ELSE 1 << CAST(floor(log2(count(*) // 50000)) + 1 AS INTEGER) END AS k FROM documents),
+         b AS (SELECT doc_id % k AS b, sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY doc_id)) AS d FROM documents, n GROUP BY 1)
+    SELECT (SELECT n FROM n) AS n, sha256(string_agg(d, chr(10) ORDER BY b)) AS digest FROM b""")
 def ids_digest(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.ids_digest(table(spark, sf, "documents"), "doc_id")
 
 
-@query("e36_reused", "SELECT a.o_orderkey FROM orders a JOIN orders b ON a.o_orderkey = b.o_orderkey AND a.o_custkey IS NOT DISTINCT FROM b.o_custkey AND a.o_orderstatus IS NOT DISTINCT FROM b.o_orderstatus WHERE b.o_orderpriority = '1-URGENT'")
+_SIX = ("o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority", "note")
+
+
+@query("e36_reused", "SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0")
 def reused(spark: SparkSession, sf: str) -> DataFrame:
-    a = table(spark, sf, "orders").alias("a")
-    b = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").alias("b")
-    same = F.col("a.o_orderkey") == F.col("b.o_orderkey")
-    for c in ("o_custkey", "o_orderstatus"):
-        same &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    return a.join(b, same).select("a.o_orderkey")
+    """Orders whose six fields are as verified before, where some were changed or lost since."""
+    rows = table(spark, sf, "orders").withColumn("note", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")))
+    changed = rows.withColumns({"o_custkey": F.when(F.col("o_orderkey") % 5 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")), "o_orderpriority": F.when(F.col("o_orderkey") % 7 == 0, F.lit(None)).otherwise(F.col("o_orderpriority"))})
+    return corpus.reusable(rows, changed, "o_orderkey", _SIX)
+
+
+@query("j08_index_lookup", """
+    WITH s AS (SELECT doc_id, lang, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS k FROM documents)
+    SELECT label_id, s.doc_id AS source_id, lang FROM (SELECT doc_id AS label_id, doc_id * 37 % (SELECT count(*) FROM documents) AS at_index FROM labels) l JOIN s ON s.k = l.at_index""")
+def lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that an index points at: an equi-join on the place."""
+    from tessella.operators.positions import numbered
+
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("source_id"), "lang")
+    index = table(spark, sf, "labels").select(F.col("doc_id").alias("label_id"), (F.col("doc_id") * 37 % docs.count()).alias("k"))
+    return numbered(docs, ["source_id"], "k").join(index, "k").select("label_id", "source_id", "lang")
 
 
 # Joins: labels are outcomes of tasks; customers and orders stand for other keyed rows.

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.operators import episodes
+from tessella.operators.rollouts import failure_labels
+from tessella.queries.rollouts import events as calls
+from tessella.queries.rollouts import runs
 from tessella.queries.sessions import _EVENTS, events
-from tessella.registry import query, table
+from tessella.registry import SQL, query, table
 
 
 @query("a10_ordered_inspection", f"""
@@ -17,16 +20,11 @@ def inspection(spark: SparkSession, sf: str) -> DataFrame:
     return episodes.inspection_summary(episodes.first_places(events(spark, sf)))
 
 
-@query("a13_label_counts", f"""
-    WITH s AS (SELECT user_id, bool_or(event_type = 'error') AS failed, coalesce(bool_or(event_type = 'purchase' AND value > 50), false) AS ok, count(*) AS n, max(sequence) FILTER (event_type = 'purchase') AS p, max(sequence) FILTER (event_type = 'error') AS e
-               FROM ({_EVENTS}) GROUP BY 1)
-    SELECT label, count(*) AS sessions FROM (SELECT unnest(list_filter([CASE WHEN ok AND coalesce(e, 0) < p THEN 'successful_execute_no_submit' END, CASE WHEN failed AND NOT ok THEN 'execution_failure' END, CASE WHEN n > 7 THEN 'turn_limit' END],
-        lambda x: x IS NOT NULL)) AS label FROM s) GROUP BY 1""")
-def labels(spark: SparkSession, sf: str) -> DataFrame:
-    from tessella.operators.sessions import failure_labels
-
-    rows = failure_labels(events(spark, sf)).where("labels <> ''")
-    return rows.select(F.explode(F.split("labels", ",")).alias("label")).groupBy("label").agg(F.count("*").alias("sessions"))
+@query("a13_label_counts", f"SELECT label, count(*) AS rollouts FROM (SELECT unnest(string_split(labels, ',')) AS label FROM ({SQL['t11_failure_labels']})) GROUP BY label")
+def label_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """How many failed rollouts have each label."""
+    found = failure_labels(runs(spark, sf), calls(spark, sf))
+    return found.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("rollouts"))
 
 
 @query("a23_free_query", f"""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import metrics
+from tessella.operators.corpus import checks
 from tessella.operators import reward as rewards
 from tessella.registry import query, table
 
@@ -83,12 +84,18 @@ def tools(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy(F.col("event_type").alias("tool")).agg(F.count("*").alias("calls"), F.count_distinct("user_id").alias("sessions"))
 
 
+_Z = "1.96::DOUBLE"
+
+
 @query("a08_wilson", f"""
-    SELECT lang, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS low, round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS high
-    FROM (SELECT lang, count(*)::DOUBLE AS n, count(*) FILTER (success)::DOUBLE / count(*) AS p, 1.959963984540054::DOUBLE AS z FROM ({_ROWS}) GROUP BY lang)""")
+    SELECT lang, coalesce(round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6), 0) AS low, coalesce(round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6), 0) AS high
+    FROM (SELECT lang, count(*)::DOUBLE AS n, count(*) FILTER (success)::DOUBLE / count(*) AS p, {_Z} AS z FROM ({_ROWS}) GROUP BY lang UNION ALL SELECT 'none', NULL, NULL, {_Z})""")
 def wilson(spark: SparkSession, sf: str) -> DataFrame:
+    """Intervals of success rates by language, and that of no rows."""
+    counts = rollouts(spark, sf).groupBy("lang").agg(F.count("*").alias("n"), F.count_if("success").alias("good"))
+    counts = counts.unionByName(spark.createDataFrame([("none", 0, 0)], "lang string, n long, good long"))
     low, high = metrics.wilson(F.col("good"), F.col("n"))
-    return rollouts(spark, sf).groupBy("lang").agg(F.count("*").alias("n"), F.count_if("success").alias("good")).select("lang", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+    return counts.select("lang", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
 @query("a09_usage", "SELECT event_type, round(avg(coalesce(value, 0)), 6) AS mean_value FROM events GROUP BY 1")
@@ -104,10 +111,12 @@ def checkpoint(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("a12_candidate_gate", f"""
     WITH m AS (SELECT {_METRICS} FROM ({_ROWS}))
-    SELECT 'success' AS gate, success_rate >= 0.7 AS passed FROM m UNION ALL SELECT 'precision', submit_precision >= 0.8 FROM m UNION ALL SELECT 'unsafe', unsafe = 0 FROM m UNION ALL SELECT 'tools', mean_tools <= 7 FROM m""")
+    SELECT 'success' AS gate, success_rate >= 0.7 AS passed FROM m UNION ALL SELECT 'precision', submit_precision >= 0.8 FROM m UNION ALL SELECT 'unsafe', unsafe = 0 FROM m UNION ALL SELECT 'tools', mean_tools <= 7 FROM m
+    UNION ALL SELECT 'size', n >= 100 FROM m UNION ALL SELECT 'all', success_rate >= 0.7 AND submit_precision >= 0.8 AND unsafe = 0 AND mean_tools <= 7 AND n >= 100 FROM m""")
 def gate(spark: SparkSession, sf: str) -> DataFrame:
     m = rollouts(spark, sf).agg(*metrics.evaluation())
-    return m.selectExpr("stack(4, 'success', success_rate >= 0.7, 'precision', submit_precision >= 0.8, 'unsafe', unsafe = 0, 'tools', mean_tools <= 7) AS (gate, passed)")
+    m = m.select((F.col("success_rate") >= 0.7).alias("success"), (F.col("submit_precision") >= 0.8).alias("precision"), (F.col("unsafe") == 0).alias("unsafe"), (F.col("mean_tools") <= 7).alias("tools"), (F.col("n") >= 100).alias("size"))
+    return checks(m.withColumn("all", F.expr(" AND ".join(m.columns))))
 
 
 @query("a13_exposures", "SELECT n AS exposures, count(*) AS tasks FROM (SELECT sha256(text) AS h, count(*) AS n FROM documents GROUP BY 1) GROUP BY n")

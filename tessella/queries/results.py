@@ -70,13 +70,6 @@ def residue(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select("c_custkey", digest_mod5(F.col("c_custkey").cast("string")).cast("int").alias("residue"))
 
 
-@query("r23_sql_extraction", r"""
-    SELECT conv_id, turn, nullif(trim(regexp_extract(text, '(?is)<solution>(.*?)</solution>', 1)), '') AS tagged, regexp_matches(text, '(?is)^\s*(select|with)\b') AS leading FROM conversations""")
-def extraction(spark: SparkSession, sf: str) -> DataFrame:
-    tagged = F.nullif(F.trim(F.regexp_extract("text", r"(?is)<solution>(.*?)</solution>", 1)), F.lit(""))
-    return table(spark, sf, "conversations").select("conv_id", "turn", tagged.alias("tagged"), F.col("text").rlike(r"(?is)^\s*(select|with)\b").alias("leading"))
-
-
 @query("r22_sql_normalisation", r"SELECT doc_id, lower(regexp_replace(regexp_replace(text, ';+$', ''), '^\s+|\s+$', '', 'g')) AS normal FROM documents")
 def normalised(spark: SparkSession, sf: str) -> DataFrame:
     text = F.lower(F.regexp_replace(F.regexp_replace("text", r";+$", ""), r"^\s+|\s+$", ""))

@@ -86,6 +86,15 @@ def stream(spark: SparkSession, sf: str) -> DataFrame:
     return running_totals(spark, sf)
 
 
+@query("h10_windowed_stream", """
+    SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY 1, 2""")
+def windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Events by hour as a stream with a watermark appends them."""
+    from tessella.streaming.events import windowed_store
+
+    return windowed_store(spark, sf)
+
+
 @query("h12_candidates", f"""
     SELECT user_id, 'p4r_' || substr(sha256(string_agg(event_type, '>' ORDER BY sequence)), 1, 16) AS candidate FROM ({_EVENTS}) GROUP BY 1""")
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,11 +102,15 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("h13_review_integrity", """
-    WITH r AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS decision, arg_max(event_id, (ts, event_id)) AS event_id FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1)
-    SELECT user_id, decision, event_id % 2 = 0 AS intact FROM r""")
+    WITH r AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS decision, arg_max(sha256(props), (ts, event_id)) AS seen FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1),
+         n AS (SELECT user_id, arg_max(sha256(props), (ts, event_id)) AS now FROM events GROUP BY 1)
+    SELECT user_id, decision, seen = now AS intact FROM r JOIN n USING (user_id)""")
 def reviews(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "events").where("event_type IN ('purchase', 'error')")
-    return sessions.latest(rows, "user_id", ["ts", "event_id"], ["event_type"]).select("user_id", F.col("event_type").alias("decision"), (F.col("event_id") % 2 == 0).alias("intact"))
+    """The last decision on each session, and whether what was reviewed is still its newest state, by hash."""
+    rows = table(spark, sf, "events").withColumn("hash", F.sha2("props", 256))
+    last = sessions.latest(rows.where("event_type IN ('purchase', 'error')"), "user_id", ["ts", "event_id"], ["event_type", "hash"])
+    now = sessions.latest(rows, "user_id", ["ts", "event_id"], ["hash"]).select("user_id", F.col("hash").alias("now"))
+    return last.join(now, "user_id").select("user_id", F.col("event_type").alias("decision"), (F.col("hash") == F.col("now")).alias("intact"))
 
 
 @query("h14_catalogue", "SELECT n_regionkey AS db_id, array_to_string(list_sort(list(DISTINCT n_name)), ',') AS names, count(*) AS n FROM nation GROUP BY 1")
@@ -124,36 +137,3 @@ def last_success(spark: SparkSession, sf: str) -> DataFrame:
     from tessella.operators.results import last_success as last
 
     return last(events(spark, sf), "user_id", ["sequence"], "event_type = 'purchase' AND value > 50", "event_id")
-
-
-@query("t03_allowed_actions", f"""
-    WITH f AS (SELECT user_id, bool_or(event_type = 'signup') AS asked, bool_or(event_type = 'view') AS versioned, bool_or(event_type = 'click') AS inspected,
-                      arg_max(value > 50, sequence) FILTER (event_type = 'purchase') AS validated FROM ({_EVENTS}) GROUP BY 1)
-    SELECT user_id, CASE WHEN coalesce(validated, false) THEN 'submit_solution'
-        ELSE array_to_string(list_filter(['get_schema_version', 'inspect_schema_diff', 'ask_user', 'execute_sql'],
-             lambda t: NOT ((t = 'get_schema_version' AND versioned) OR (t = 'inspect_schema_diff' AND inspected) OR (t = 'ask_user' AND asked))), ',') END AS allowed FROM f""")
-def allowed(spark: SparkSession, sf: str) -> DataFrame:
-    """What a session may do next: one-shot tools once, and only a submission after a validated execution."""
-    return sessions.allowed_actions(events(spark, sf))
-
-
-@query("t04_mandatory_recovery", f"""
-    WITH e AS (SELECT user_id, sequence, event_type, value FROM ({_EVENTS})),
-         last_bad AS (SELECT user_id, max(sequence) AS bad FROM e WHERE event_type = 'error' GROUP BY 1),
-         f AS (SELECT b.user_id, min(e.sequence) FILTER (e.event_type = 'view' AND e.sequence > bad) AS v FROM last_bad b LEFT JOIN e ON e.user_id = b.user_id GROUP BY 1),
-         g AS (SELECT f.user_id, f.v, min(e.sequence) FILTER (e.event_type = 'click' AND e.sequence > f.v) AS d FROM f LEFT JOIN e ON e.user_id = f.user_id GROUP BY 1, 2)
-    SELECT user_id, CASE WHEN v IS NULL THEN 'get_schema_version' WHEN d IS NULL THEN 'inspect_schema_diff' ELSE 'none' END AS required FROM g""")
-def recovery(spark: SparkSession, sf: str) -> DataFrame:
-    """After a session's last failure: a version call, then a diff call, is due."""
-    return sessions.required_recovery(events(spark, sf))
-
-
-@query("t11_failure_labels", f"""
-    WITH s AS (SELECT user_id, bool_or(event_type = 'error') AS has_error, bool_or(event_type = 'purchase' AND value > 50) AS has_success, count(*) AS n,
-                      max(sequence) FILTER (event_type = 'purchase') AS last_execute, max(sequence) FILTER (event_type = 'error') AS last_submit FROM ({_EVENTS}) GROUP BY 1)
-    SELECT user_id, array_to_string(list_filter([
-        CASE WHEN has_success AND coalesce(last_submit, 0) < last_execute THEN 'successful_execute_no_submit' END,
-        CASE WHEN has_error AND NOT has_success THEN 'execution_failure' END,
-        CASE WHEN n > 7 THEN 'turn_limit' END], lambda x: x IS NOT NULL), ',') AS labels FROM s""")
-def labels(spark: SparkSession, sf: str) -> DataFrame:
-    return sessions.failure_labels(events(spark, sf))

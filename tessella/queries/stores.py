@@ -16,6 +16,85 @@ def _place(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _text(df: DataFrame, line: str, to: str) -> str:
+    """Lines of text as one file of a small table."""
+    df.selectExpr(line).coalesce(1).write.text(to)
+    return to
+
+
+@query("s01_jsonl_scan", "SELECT n_nationkey AS id, n_name AS name FROM nation")
+def jsonl_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """JSONL with blank lines between."""
+    lines = table(spark, sf, "nation").selectExpr("explode(array('', to_json(named_struct('id', n_nationkey, 'name', n_name)), '   ')) AS value")
+    lines.write.text(to := _place(spark, "lines"))
+    return files.read_jsonl(spark, to, "id int, name string")
+
+
+@query("s02_json_array", "SELECT r_regionkey AS id, r_name AS name FROM region")
+def json_array(spark: SparkSession, sf: str) -> DataFrame:
+    """One JSON array, over several lines, and read as such by its suffix."""
+    rows = table(spark, sf, "region").agg(F.array_sort(F.collect_list(F.struct(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name")))).alias("a"))
+    return files.read_records(spark, _text(rows, "replace(to_json(a), ',', ',\n') AS value", f"{_place(spark, 'array')}.json"), "id int, name string")
+
+
+@query("s03_bad_lines", """SELECT CAST(k AS BIGINT) AS line, CASE n_nationkey % 3 WHEN 1 THEN 'not JSON' ELSE 'a value of another type' END AS error FROM (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) * 2 AS k FROM nation) WHERE n_nationkey % 3 > 0""")
+def bad_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines that are no records, by number: broken JSON, and a text where a number should be."""
+    rows = table(spark, sf, "nation").coalesce(1).sortWithinPartitions("n_nationkey")
+    value = "explode(array('', CASE n_nationkey % 3 WHEN 0 THEN to_json(named_struct('id', n_nationkey)) WHEN 1 THEN '{broken' ELSE '{\"id\": \"zz\"}' END)) AS value"
+    good, bad = files.read_with_errors(spark, _text(rows, value, _place(spark, "lines")), "id long")
+    return bad.select("line", "error")
+
+
+@query("s03_good_lines", "SELECT CAST(n_nationkey AS BIGINT) AS id FROM nation WHERE n_nationkey % 3 = 0")
+def good_lines(spark: SparkSession, sf: str) -> DataFrame:
+    value = "CASE n_nationkey % 3 WHEN 0 THEN to_json(named_struct('id', n_nationkey)) WHEN 1 THEN '{broken' ELSE '{\"id\": \"zz\"}' END AS value"
+    return files.read_with_errors(spark, _text(table(spark, sf, "nation"), value, _place(spark, "lines")), "id long")[0]
+
+
+@query("s08_guarded_sink", "SELECT r_regionkey, true AS refused FROM region")
+def guarded_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """A second write is refused, and what was there stays."""
+    from pyspark.errors import AnalysisException
+
+    files.write_parquet(table(spark, sf, "region"), to := _place(spark, "once"))
+    try:
+        files.write_parquet(table(spark, sf, "nation"), to)
+        refused = False
+    except AnalysisException:
+        refused = True
+    return files.read_parquet(spark, to).select("r_regionkey", F.lit(refused).alias("refused"))
+
+
+@query("s10_ordered_columns", "SELECT * FROM (VALUES (0, 'r_regionkey'), (1, 'r_name')) t(position, column_name)")
+def ordered_columns(spark: SparkSession, sf: str) -> DataFrame:
+    return files.columns_of({"region": table(spark, sf, "region")}, spark).select("position", "column_name")
+
+
+@query("s13_ddl_with_samples", """SELECT 'CREATE TABLE `region` (`r_regionkey` INT, `r_name` STRING)' || chr(10) || 'r_regionkey | r_name' || chr(10) || string_agg(r_regionkey || ' | ' || r_name, chr(10) ORDER BY r_regionkey) AS shown
+    FROM (SELECT * FROM region ORDER BY r_regionkey LIMIT 3)""")
+def samples(spark: SparkSession, sf: str) -> DataFrame:
+    """A definition with its first rows, as a prompt shows them."""
+    return spark.createDataFrame([(files.ddl_with_samples("region", table(spark, sf, "region"), ["r_regionkey"]),)], "shown string")
+
+
+@query("s14_listed_files", "SELECT * FROM (VALUES ('a.txt', CAST(6 AS BIGINT))) t(name, length)")
+def listed(spark: SparkSession, sf: str) -> DataFrame:
+    """Files by pattern and size, contents unread."""
+    to = _place(spark, "listed")
+    for name, text in (("a", "hello"), ("b", "a longer line")):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{to}/{name}")
+    found = files.list_files(spark, to, "*.txt", 10)
+    return found.select(F.concat(F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1), F.lit(".txt")).alias("name"), "length")
+
+
+@query("s17_schema_of_ddl", "SELECT * FROM (VALUES (0, 'id', 'bigint'), (1, 'name', 'string'), (2, 'tags', 'array<string>')) t(position, column_name, data_type)")
+def schema_of_ddl(spark: SparkSession, sf: str) -> DataFrame:
+    """A schema from its definition, without any data."""
+    fields = files.schema_of("id bigint, name string, tags array<string>").fields
+    return spark.createDataFrame([(i, f.name, f.dataType.simpleString()) for i, f in enumerate(fields)], "position int, column_name string, data_type string")
+
+
 @query("s04_parquet_scan", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01'")
 def scan(spark: SparkSession, sf: str) -> DataFrame:
     return files.read_parquet(spark, f"{sf}/orders.parquet").where("o_orderdate >= TIMESTAMP '1997-01-01'").select("o_orderkey", "o_orderpriority")

@@ -19,15 +19,6 @@ def identities(spark: SparkSession, sf: str) -> DataFrame:
     return trajectories.identities(turns(spark, sf))
 
 
-@query("t14_first_divergence", """
-    WITH e AS (SELECT conv_id, turn, role, CASE WHEN turn % 2 = 0 THEN 'user' ELSE 'assistant' END AS expected FROM conversations)
-    SELECT conv_id, min(turn) FILTER (role <> expected) AS diverged_at FROM e GROUP BY conv_id""")
-def divergence(spark: SparkSession, sf: str) -> DataFrame:
-    """The first turn that isn't the one expected: user and assistant by turns."""
-    expected = F.when(F.col("turn") % 2 == 0, "user").otherwise("assistant")
-    return trajectories.first_divergence(turns(spark, sf).withColumn("expected", expected), "conv_id", "turn", "role", "expected")
-
-
 @query("t18_next_actions", """
     SELECT conv_id, turn AS target_turn, (SELECT count(*) FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn < c.turn) AS prefix_turns,
            (SELECT sum(length(coalesce(p.text, ''))) FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn < c.turn) AS prefix_chars FROM conversations c WHERE role = 'assistant'""")
@@ -54,17 +45,6 @@ def expected(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.array_join(trajectories.expected_tools(profile), ">").alias("tools"))
 
 
-@query("t27_knowledge_top_k", r"""
-    WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS terms FROM benchmark),
-         k AS (SELECT r_regionkey, r_name, list_distinct(regexp_extract_all(lower(r_name || ' the of and is'), '[a-z]+')) AS terms FROM region),
-         s AS (SELECT item_id, r_name, len(list_intersect(q.terms, k.terms)) AS overlap FROM q CROSS JOIN k)
-    SELECT item_id, r_name, overlap FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, r_name) <= 2""")
-def knowledge(spark: SparkSession, sf: str) -> DataFrame:
-    """The two entries of a small knowledge base that share most terms with each question."""
-    base = table(spark, sf, "region").select("r_name", F.concat("r_name", F.lit(" the of and is")).alias("entry"))
-    return trajectories.best_entries(table(spark, sf, "benchmark").select("item_id", "text"), "item_id", "text", base, "r_name", "entry", 2)
-
-
 @query("t29_terms", r"SELECT item_id, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))) AS n_terms FROM benchmark")
 def terms(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select("item_id", F.size(trajectories.terms(F.col("text"), "[a-z0-9_]+")).cast("long").alias("n_terms"))
@@ -81,23 +61,8 @@ def traces(spark: SparkSession, sf: str) -> DataFrame:
     return trajectories.traces(turns(spark, sf), F.upper(F.substring("role", 1, 1)))
 
 
-@query("t01_tool_calls")
-def tool_calls(spark: SparkSession, sf: str) -> DataFrame:
-    """Tool calls found in messages to which each turn's text is an argument."""
-    said = F.concat(F.lit("thinking <tool_call>"), F.to_json(F.struct(F.lit("execute_sql").alias("name"), F.struct(F.length("text").alias("size")).alias("arguments"))), F.lit("</tool_call> done"))
-    return trajectories.tool_calls(turns(spark, sf).select("conv_id", "turn", said.alias("message")), "message").select("conv_id", "turn", "name", "arguments")
-
-
 @query("z23_last_json_line", """SELECT conv_id, turn, CAST(length(text) AS BIGINT) AS size FROM conversations""")
 def last_line(spark: SparkSession, sf: str) -> DataFrame:
     """The last line of a message that parses as a JSON object."""
     said = F.concat(F.lit("not json\n"), F.to_json(F.struct(F.length("text").alias("size"))), F.lit("\n{broken"))
     return turns(spark, sf).select("conv_id", "turn", F.get_json_object(trajectories.last_json_line(said), "$.size").cast("long").alias("size"))
-
-
-@query("t28_packed_context", """
-    WITH r AS (SELECT source, doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS total FROM documents) SELECT source, doc_id FROM r WHERE total <= 6144""")
-def packed(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents of each source in order of size while they fit a budget."""
-    order = Window.partitionBy("source").orderBy("n_chars", "doc_id")
-    return table(spark, sf, "documents").withColumn("total", F.sum("n_chars").over(order)).where("total <= 6144").select("source", "doc_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,13 +17,24 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType | str) ->
     return spark.read.schema(schema).json(path, multiLine=path.endswith(".json"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1) and value of every line, read in splits: a row for each split tells how many lines of its file lie ahead."""
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value").withColumn("id", F.monotonically_increasing_id())
+    splits = text.groupBy("file", "split").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.withColumn("ahead", before).drop("n")
+    return text.join(F.broadcast(splits), ["file", "split"]).select("file", (F.col("ahead") + F.col("id") - F.col("first") + 1).alias("line"), "value")
+
+
 def read_with_errors(spark: SparkSession, path: str, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
-    """Good rows, and the text of malformed ones."""
+    """Good rows; and file, line, text and error of every line that isn't one: no JSON object, or a value of another type. Blank lines are neither."""
     wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    rows = spark.read.schema(T.StructType([*wanted, T.StructField("_bad", T.StringType())])).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
-    text = spark.read.text(path).where(F.trim("value") != "")
-    bad = text.where(F.try_parse_json("value").isNull()).select(F.col("value").alias("text"))
-    return rows.where(F.col("_bad").isNull()).drop("_bad"), bad
+    read = T.StructType([*wanted, T.StructField("_bad", T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    rows = numbered_lines(spark, path).where(F.trim("value") != "").withColumn("row", F.from_json("value", read, options))
+    fails = F.col("row").isNull() | F.col("row._bad").isNotNull()
+    error = F.when(F.try_parse_json("value").isNull(), "not JSON").otherwise("a value of another type")
+    return rows.where(~fails).select(*(F.col(f"row.`{f.name}`") for f in wanted)), rows.where(fails).select("file", "line", F.col("value").alias("text"), error.alias("error"))
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -50,12 +61,14 @@ def not_yet(df: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def read_meanings(spark: SparkSession, path: str) -> DataFrame:
-    """db_id, table_name and the columns of CSV files in ``<db_id>/.../<table>.csv``; malformed lines are dropped."""
-    rows = spark.read.csv(path, header=True, mode="DROPMALFORMED", recursiveFileLookup=True, pathGlobFilter="*.csv", encoding="UTF-8")
-    file = F.input_file_name()
-    root = path.rstrip("/").rsplit("/", 1)[-1]
-    clean = [F.col(f"`{c}`").alias(c.lstrip("﻿")) for c in rows.columns]
-    return rows.select(F.regexp_extract(file, rf"{root}/([^/]+)/", 1).alias("db_id"), F.regexp_extract(file, r"([^/]+)\.csv$", 1).alias("table_name"), *clean)
+    """db_id, table_name, the columns of CSV files in ``<db_id>/.../<table>.csv``, and ``_bad``: a malformed line as it stands, else null."""
+    options = {"header": True, "recursiveFileLookup": True, "pathGlobFilter": "*.csv", "encoding": "UTF-8"}
+    names = spark.read.csv(path, **options).columns
+    schema = T.StructType([*(T.StructField(n, T.StringType()) for n in names), T.StructField("_bad", T.StringType())])
+    rows = spark.read.csv(path, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", enforceSchema=True, **options)
+    file, root = F.input_file_name(), path.rstrip("/").rsplit("/", 1)[-1]
+    clean = [F.col(f"`{c}`").alias(c.lstrip("\ufeff")) for c in names]
+    return rows.select(F.regexp_extract(file, rf"{root}/([^/]+)/", 1).alias("db_id"), F.regexp_extract(file, r"([^/]+)\.csv$", 1).alias("table_name"), *clean, "_bad")
 
 
 def list_files(spark: SparkSession, path: str, glob: str = "*", most_bytes: int | None = None) -> DataFrame:

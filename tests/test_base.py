@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import tessella.queries  # noqa: F401
 from tessella import registry
 from tessella.functions.hashing import digest_mod5, multiset_fingerprint, ordered_fingerprint, same_result, stable_choice
-from tessella.operators import corpus, metrics, sessions
+from tessella.operators import corpus, metrics, rollouts
 from tessella.operators.positions import numbered
 from tessella.plans import drift
 from tessella.sources import files
@@ -127,11 +127,67 @@ def test_completeness_and_wilson(spark):
     assert (round(low, 3), round(high, 3)) == (0.448, 0.536)
 
 
+def call_rows(kinds):
+    """Event rows from short notations: tool names, ``!`` marks a failed and ``~`` a mismatched execution, ``_`` a masked call."""
+    full = {"v": "get_schema_version", "d": "inspect_schema_diff", "k": "get_knowledge_definition", "a": "ask_user", "e": "execute_sql", "s": "submit_solution", "g": "get_schema"}
+    rows = []
+    for r, calls in kinds.items():
+        for at, c in enumerate(calls.split(), 1):
+            rows.append((r, at, full.get(c[0], c), "!" not in c, "_" in c, "+" in c, False if "~" in c else None, f"SELECT {c}", "u" not in c[1:], "=" in c, False))
+    return rows
+
+
+def calls(spark, kinds):
+    return spark.createDataFrame(call_rows(kinds), "rollout long, at long, tool string, ok boolean, masked boolean, validated boolean, contract boolean, sql string, read_only boolean, matches boolean, error boolean")
+
+
 def test_required_recovery(spark):
-    kinds = {1: ["error"], 2: ["error", "view"], 3: ["view", "error", "view", "click"], 4: ["error", "click", "view"], 5: ["view"]}
-    rows = [(u, i, k) for u, ks in kinds.items() for i, k in enumerate(ks)]
-    events = sessions.sequenced(spark.createDataFrame(rows, "user_id long, event_id long, event_type string"), "user_id", ["event_id"])
-    assert {x.user_id: x.required for x in sessions.required_recovery(events).collect()} == {1: "get_schema_version", 2: "inspect_schema_diff", 3: "none", 4: "inspect_schema_diff"}
+    kinds = {1: "e!", 2: "e! v", 3: "v e! v d", 4: "e! d v", 5: "v", 6: "v d e!", 7: "e~ v d e~", 8: "e!_ v", 9: "e e~", 10: "e! v d v d e!"}
+    want = {1: "get_schema_version", 2: "inspect_schema_diff", 4: "inspect_schema_diff", 9: "get_schema_version"}
+    assert {x.rollout: x.required for x in rollouts.required_recovery(calls(spark, kinds)).collect()} == {k: want.get(k, "none") for k in kinds}
+
+
+def test_allowed_tools(spark):
+    got = {x.rollout: set(x.allowed) for x in rollouts.allowed_tools(calls(spark, {1: "v d e+", 2: "v d a", 3: "v d a k", 4: "e!", 5: "v d e+ e", 6: "v_ d"})).collect()}
+    every = set(rollouts.TOOLS)
+    assert got == {1: {"submit_solution"}, 2: {"get_knowledge_definition", "execute_sql"}, 3: every - {"get_schema_version", "inspect_schema_diff", "ask_user"}, 4: {"get_schema_version"}, 5: every - {"get_schema_version", "inspect_schema_diff"}, 6: every - {"inspect_schema_diff"}}
+    got = {x.rollout: set(x.allowed) for x in rollouts.allowed_tools(calls(spark, {1: "e+", 2: "g e+", 3: "g v"}), execution_only=True).collect()}
+    assert got == {1: {"get_schema"}, 2: {"submit_solution"}, 3: every - {"get_schema_version", "submit_solution"}}
+
+
+def test_failures_divergence_and_recovery(spark):
+    kinds = {1: "v d a e s", 2: "v d e", 3: "v d k e s", 4: "e! e!", 5: "v a d a e!", 6: "v d Ask-User e! s", 7: "v d e="}
+    rows = [(1, "must_ask", "atomic", "submitted", False, False), (2, "schema_only", "compound", "turn_limit", False, False), (3, "schema_only", "atomic", "submitted", False, True)]
+    rows += [(4, "direct_clean", "atomic", "error", False, False), (5, "must_ask", "atomic", "error", False, False), (6, "must_ask", "atomic", None, False, None), (7, "schema_only", None, None, True, None), (8, "knowledge_only", None, None, False, True), (9, None, None, None, None, None)]
+    runs = spark.createDataFrame(rows, "rollout long, profile string, scenario string, termination string, success boolean, unsafe boolean")
+    got = {x.rollout: (x.labels, x.primary_failure, x.must_ask) for x in rollouts.failure_labels(runs, calls(spark, kinds)).collect()}
+    assert got == {
+        1: (["must_ask_error", "wrong_submit"], "must_ask_error", ["asked_but_recovery_failed"]),
+        2: (["successful_execute_no_submit", "compound_recovery", "turn_limit"], "successful_execute_no_submit", []),
+        3: (["post_diff_wrong_retrieval", "wrong_submit", "unsafe"], "post_diff_wrong_retrieval", []),
+        4: (["execution_failure"], "execution_failure", []),
+        5: (["must_ask_error", "execution_failure"], "must_ask_error", ["ask_before_diff", "repeated_ask"]),
+        6: (["post_diff_wrong_retrieval", "must_ask_error", "invalid_tool_alias", "execution_failure"], "post_diff_wrong_retrieval", ["required_ask_omitted", "malformed_ask_tool"]),
+        8: (["unsafe"], "unsafe", []),
+        9: (["other"], "other", []),
+    }
+    runs = runs.where("profile is not null")
+    assert {x.rollout: (x.error_at, x.kind) for x in rollouts.first_divergence(runs, calls(spark, kinds)).collect()} == {
+        1: (4, "outcome_mismatch"), 2: (3, "premature_termination"), 3: (2, "action_name"), 4: (1, "action_name"), 5: (1, "action_name"), 6: (2, "action_name"), 7: (3, "premature_termination"), 8: (0, "premature_termination"),
+    }
+    target = {x.rollout: (x.target, x.target_action) for x in rollouts.recovery_target(runs, calls(spark, kinds)).collect()}
+    assert target == {1: (3, "execute_sql"), 2: (2, "execute_sql"), 3: (2, "execute_sql"), 4: (0, "execute_sql"), 5: (3, "execute_sql"), 6: (2, "ask_user"), 7: (3, "submit_solution"), 8: (0, "get_schema_version")}
+    assert [tuple(x) for x in rollouts.terminal_recovery(runs, calls(spark, kinds)).collect()] == [(7, 2, 3)]
+
+
+def test_recorded_decisions(spark):
+    kinds = {1: "e=", 2: "d e=", 3: "d eu e=", 4: "d e= eu", 5: "d e!= e", 6: "e= d"}
+    runs = spark.createDataFrame([(k,) for k in [*kinds, 7]], "rollout long")
+    got = {x.rollout: (x.accepted, x.reason, x.event_at) for x in rollouts.contract_decisions(calls(spark, kinds), runs).collect()}
+    assert got == {
+        1: (False, "schema_diff_not_inspected", None), 2: (True, "contract_validated", 1), 3: (False, "unsafe_post_diff_candidate", None), 4: (True, "contract_validated", 1),
+        5: (False, "result_contract_mismatch", None), 6: (False, "result_contract_mismatch", None), 7: (False, "schema_diff_not_inspected", None),
+    }
 
 
 def test_files(spark, tmp_path):
