@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Most rows of a key table that a join may broadcast; above it the join shuffles.
@@ -80,15 +80,16 @@ def drop_keys(big: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return big.join(sized(keys), on, "left_anti")
 
 
-#: A key is hot with so many rows among one of ONE_OF; the HOT_KEYS hottest are treated apart.
-HOT, HOT_KEYS, ONE_OF = 16, 2000, 16
+#: A key is hot with more than half of a task's even share of the rows, and HOT among one of ONE_OF at least.
+HOT, ONE_OF = 16, 16
 
 
 def hot_keys(rows: DataFrame, key: str, by: str) -> list:
-    """The hottest keys, HOT_KEYS at most, by the rows whose hash of ``by`` is one of ONE_OF."""
-    some = rows.where(F.pmod(F.xxhash64(F.lit("hot"), key, by), F.lit(ONE_OF)) == 0)
-    found = some.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") >= HOT) & F.col(key).isNotNull()).orderBy(F.desc("n"), key).limit(HOT_KEYS)
-    return [r[0] for r in found.collect()]
+    """The hot keys, two for each shuffle partition at most, by the rows whose hash of ``by`` is one of ONE_OF."""
+    parts, seen = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), Observation()
+    some = rows.where(F.pmod(F.xxhash64(F.lit("hot"), key, by), F.lit(ONE_OF)) == 0).observe(seen, F.count(F.lit(1)).alias("n"))
+    found = some.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") >= HOT) & F.col(key).isNotNull()).orderBy(F.desc("n"), key).limit(2 * parts).collect()
+    return [r[0] for r in found if r.n * 2 * parts > seen.get["n"]]
 
 
 def with_totals(rows: DataFrame, key: str, by: str, totals: dict[str, Column], hot: list | None = None) -> DataFrame:

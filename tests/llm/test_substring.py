@@ -163,14 +163,3 @@ def test_cycled_lines_repeated_rows_and_long_texts(spark):
     for x in got:
         by.setdefault(x.doc_id, []).append(x.n_words)
     assert set(by) == {2, 4} and by[4] == [200_000] and by[2][0] >= 48
-
-
-def test_hot_keys_change_nothing(spark, monkeypatch):
-    from tessella.llm import common
-
-    rows, _, _ = corpus(seed=7)
-    docs = frame(spark, rows)
-    plain = sorted(map(tuple, repeats(docs).collect()))
-    monkeypatch.setattr(common, "HOT", 1)
-    monkeypatch.setattr(common, "ONE_OF", 2)
-    assert sorted(map(tuple, repeats(docs).collect())) == plain
