@@ -14,8 +14,11 @@ LEAST_SURE = 0.35
 
 def keep_known_language(docs: DataFrame) -> DataFrame:
     """Drops documents without a letter or of no language that the network is sure of."""
-    rows = langid.identify(docs, langid.fitted(docs), tuple(c for c in docs.columns if c != "text"))
-    return rows.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SURE)).select(docs.columns)
+    # Under names of their own, so that no column clashes with the answer's.
+    names = {c: f"__c{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    rows = langid.identify(docs.withColumnsRenamed(names), langid.fitted(docs), tuple(names.values()))
+    kept = rows.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SURE)).drop("lang_pred", "score")
+    return kept.withColumnsRenamed({v: k for k, v in names.items()}).select(docs.columns)
 
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:

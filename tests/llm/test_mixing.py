@@ -97,3 +97,39 @@ def test_every_level_keeps_its_share(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert mixed(none).collect() == [] and sampled(none).collect() == []
+
+
+def test_brute_force_of_the_query(spark, rows):
+    """Cells, probabilities and the draw by plain Python."""
+    from tests.llm.test_fingerprints import signed, spark_hash
+
+    def topic(t):
+        if len(t or "") < 80:
+            return "short"
+        for name, pattern, per in mixing.TOPICS:
+            if len(re.findall(pattern, t)) * 100 >= per * len(t):
+                return name
+        return PROSE
+
+    targets = Targets(share=0.4, weights={"lang": {"fr": 0.45}, "topic": {PROSE: 0.6}})
+    cell = lambda x: (x[3] or NONE, x[2] or NONE, topic(x[1]))
+    have = {}
+    for x in rows:
+        have[cell(x)] = have.get(cell(x), 0) + len((x[1] or "").split())
+    names = sorted(have)
+    n = np.array([have[c] for c in names], float)
+    levels, shares = [], []
+    for m, margin in enumerate(mixing.MARGINS):
+        known = sorted({c[m] for c in names})
+        levels.append(np.array([known.index(c[m]) for c in names]))
+        wanted = target_shares({k: float(sum(have[c] for c in names if c[m] == k)) for k in known}, targets.weights.get(margin, {}), targets.power)
+        shares.append(np.array([wanted[k] for k in known]))
+    p = dict(zip(names, rake(n, levels, shares, 0.4 * n.sum(), 200) / np.maximum(n, 1), strict=True))
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = mixed(docs, targets).collect()
+    by = {}
+    for x in got:
+        by.setdefault(x.doc_id, []).append(x)
+    for x in rows:
+        draw = None if x[0] is None else (signed(spark_hash("mixing", x[0])) % (1 << 52)) / (1 << 52)
+        assert any((y.source, y.lang, y.topic) == cell(x) and y.probability == pytest.approx(p[cell(x)], rel=1e-9) and (draw is None or y.selected == (draw < p[cell(x)])) for y in by[x[0]])
