@@ -64,7 +64,8 @@ def ordered_fingerprint(df: DataFrame, *order: str) -> DataFrame:
     from tessella.operators.positions import numbered
 
     keys = [f"__o{i}" for i in range(len(order))]
-    rows = df.select(canonical_row(df).alias("__row"), *(F.col(c).alias(k) for c, k in zip(order, keys, strict=True)))
+    # Rows are hashed first, so that only digests are dealt out and written.
+    rows = df.select(F.sha2(canonical_row(df), 256).alias("__row"), *(F.col(c).alias(k) for c, k in zip(order, keys, strict=True)))
     placed = F.concat_ws("#", F.col("__place").cast("string"), "__row")
     part = F.conv(F.substring(F.sha2(placed, 256), 1, 12), 16, 10).cast("decimal(38,0)")
     return numbered(rows, [*keys, "__row"], "__place").agg(F.count("*").alias("row_count"), F.coalesce(F.sum(part), F.lit(0)).cast("string").alias("value_sum"))

@@ -83,8 +83,10 @@ def round_robin(df: DataFrame, stratum: Sequence[str], n: int, key: str, seed: s
 
 
 def hash_split(df: DataFrame, group: str) -> DataFrame:
-    """``split``: dev for groups whose digest is 0 modulo 5, else train; a group is never cut."""
-    return df.withColumn("split", F.when(digest_mod5(F.col(group).cast("string")) == 0, "dev").otherwise("train"))
+    """``split``: dev for groups whose digest is 0 modulo 5, else train; a group is never cut. Where no group is dev, the last one is."""
+    dev = digest_mod5(F.col(group).cast("string")) == 0
+    last = None if not df.where(dev).isEmpty() else df.agg(F.max(group)).first()[0]
+    return df.withColumn("split", F.when(dev if last is None else F.col(group) == last, "dev").otherwise("train"))
 
 
 def _group_counts(df: DataFrame, group: str, labels: Sequence[str]) -> tuple[list, np.ndarray, np.ndarray]:

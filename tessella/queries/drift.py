@@ -92,6 +92,24 @@ def metric(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(*(v.cast("double").alias(k) for k, v in definitions.items()))
 
 
+_PARTS = "CAST(sum(CAST(('0x' || substr(sha256(l_returnflag || '|' || CAST({} AS VARCHAR)), 1, 12)) AS BIGINT)) AS VARCHAR)"
+_OLD, _NEW = "CAST(old_metric AS DECIMAL(18,2))", "CAST(new_metric AS DECIMAL(18,2))"
+
+
+@query("k05_metric_fingerprints", f"""
+    WITH m AS (SELECT l_returnflag, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS old_metric, sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS new_metric FROM lineitem GROUP BY 1)
+    SELECT count(*) AS row_count, {_PARTS.format(_OLD)} AS old_sum, {_PARTS.format(_NEW)} AS new_sum, {_PARTS.format(_OLD)} <> {_PARTS.format(_NEW)} AS differ FROM m""")
+def metric_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Both definitions of a metric run, and their results differ."""
+    from tessella.functions.hashing import multiset_fingerprint
+
+    price, rate = F.col("l_extendedprice").cast("decimal(18,2)"), F.col("l_discount").cast("decimal(4,2)")
+    both = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.sum(price).cast("decimal(18,2)").alias("old_metric"), F.sum(price * (1 - rate)).cast("decimal(18,2)").alias("new_metric"))
+    old = multiset_fingerprint(both.select("l_returnflag", "old_metric")).withColumnRenamed("value_sum", "old_sum")
+    new = multiset_fingerprint(both.select("l_returnflag", "new_metric")).select(F.col("value_sum").alias("new_sum"))
+    return old.crossJoin(new).withColumn("differ", F.col("old_sum") != F.col("new_sum"))
+
+
 @query("k14_drift_smoke")
 def smoke(spark: SparkSession, sf: str) -> DataFrame:
     """A stale query fails on the new version, the repaired one gives the old result: error class, counts, equality."""

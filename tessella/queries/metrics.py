@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.operators import metrics
@@ -60,12 +60,10 @@ def slices(spark: SparkSession, sf: str) -> DataFrame:
 @query("a05_ranking", f"""
     SELECT source, CAST(row_number() OVER (ORDER BY success_rate DESC, unsafe, mean_tools, n DESC, source) AS INTEGER) AS place FROM (SELECT source, {_METRICS} FROM ({_ROWS}) GROUP BY source)""")
 def ranking(spark: SparkSession, sf: str) -> DataFrame:
-    """Places of the variants: one row each, few by nature."""
-    from tessella.operators.positions import numbered
-
+    """Places of the variants: one row each, few by nature, so one window over the aggregates."""
     rows = rollouts(spark, sf).groupBy("source").agg(*metrics.evaluation())
-    rows = rows.withColumns({"worse": -F.col("success_rate"), "fewer": -F.col("n")})
-    return numbered(rows, ["worse", "unsafe", "mean_tools", "fewer", "source"], "k").select("source", (F.col("k") + 1).cast("int").alias("place"))
+    order = Window.orderBy(F.desc("success_rate"), "unsafe", "mean_tools", F.desc("n"), "source")
+    return rows.select("source", F.row_number().over(order).alias("place"))
 
 
 @query("a06_recovery", f"""
@@ -142,10 +140,11 @@ def groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("a17_reward_gap", f"""
-    SELECT difficulty, round(avg(tool_calls) FILTER (success), 6) AS good, round(avg(tool_calls) FILTER (NOT success), 6) AS bad, round(avg(tool_calls) FILTER (success) - avg(tool_calls) FILTER (NOT success), 6) AS gap FROM ({_ROWS}) GROUP BY 1""")
+    SELECT difficulty, round(avg(tool_calls) FILTER (success), 6) AS good, round(avg(tool_calls) FILTER (NOT success), 6) AS bad, round(avg(tool_calls) FILTER (success) - avg(tool_calls) FILTER (NOT success), 6) AS gap,
+           coalesce(avg(tool_calls) FILTER (success) < avg(tool_calls) FILTER (NOT success), false) AS passed FROM ({_ROWS}) GROUP BY 1""")
 def gap(spark: SparkSession, sf: str) -> DataFrame:
     good, bad = F.avg(F.when(F.col("success"), F.col("tool_calls"))), F.avg(F.when(~F.col("success"), F.col("tool_calls")))
-    return rollouts(spark, sf).groupBy("difficulty").agg(F.round(good, 6).alias("good"), F.round(bad, 6).alias("bad"), F.round(good - bad, 6).alias("gap"))
+    return rollouts(spark, sf).groupBy("difficulty").agg(F.round(good, 6).alias("good"), F.round(bad, 6).alias("bad"), F.round(good - bad, 6).alias("gap"), F.coalesce(good < bad, F.lit(False)).alias("passed"))
 
 
 #: Facts of episodes from events: a user is an episode, its events by time the calls.

@@ -24,7 +24,7 @@ def fingerprint_orders(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("x01_ordered_fingerprint", f"""
-    SELECT count(*) AS row_count, CAST(sum({_PART.format("concat_ws('#', CAST(r AS VARCHAR), concat_ws('|', CAST(o_orderkey AS VARCHAR), o_orderpriority))")}) AS VARCHAR) AS value_sum
+    SELECT count(*) AS row_count, CAST(sum({_PART.format("concat_ws('#', CAST(r AS VARCHAR), sha256(concat_ws('|', CAST(o_orderkey AS VARCHAR), o_orderpriority)))")}) AS VARCHAR) AS value_sum
     FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders)""")
 def fingerprint_ordered(spark: SparkSession, sf: str) -> DataFrame:
     return ordered_fingerprint(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey")

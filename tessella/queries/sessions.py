@@ -96,9 +96,10 @@ def windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("h12_candidates", f"""
-    SELECT user_id, 'p4r_' || substr(sha256(string_agg(event_type, '>' ORDER BY sequence)), 1, 16) AS candidate FROM ({_EVENTS}) GROUP BY 1""")
+    SELECT user_id, 'p4r_' || substr(sha256(string_agg(event_type || ':' || props, '>' ORDER BY sequence)), 1, 16) AS candidate FROM ({_EVENTS}) GROUP BY 1""")
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return sessions.trace(events(spark, sf), "user_id", "sequence", "event_type").select("user_id", F.concat(F.lit("p4r_"), F.substring(F.sha2("trace", 256), 1, 16)).alias("candidate"))
+    rows = events(spark, sf).withColumn("event", F.concat("event_type", F.lit(":"), "props"))
+    return sessions.trace(rows, "user_id", "sequence", "event").select("user_id", F.concat(F.lit("p4r_"), F.substring(F.sha2("trace", 256), 1, 16)).alias("candidate"))
 
 
 @query("h13_review_integrity", """

@@ -26,9 +26,12 @@ def next_actions(spark: SparkSession, sf: str) -> DataFrame:
     return trajectories.next_actions(turns(spark, sf)).select("conv_id", F.col("turn").alias("target_turn"), "prefix_turns", "prefix_chars")
 
 
-@query("t19_targets", "SELECT conv_id, turn, '{\"role\":\"' || role || '\",\"size\":' || length(text) || '}' AS target FROM conversations WHERE role = 'assistant'")
+@query("t19_targets", """SELECT conv_id, turn, sha256(rtrim(text, ' ' || chr(10)) || chr(10) || '{"name":"say","arguments":{"size":' || length(text) || '}}') AS target FROM conversations WHERE role = 'assistant'""")
 def targets(spark: SparkSession, sf: str) -> DataFrame:
-    return turns(spark, sf).where("role = 'assistant'").select("conv_id", "turn", F.to_json(F.struct("role", F.length("text").alias("size"))).alias("target"))
+    """What an assistant said, followed by its call as plain JSON; shown as a digest."""
+    call = F.to_json(F.struct(F.lit("say").alias("name"), F.struct(F.length("text").alias("size")).alias("arguments")))
+    target = F.concat(F.regexp_replace("text", r"[ \n]+$", ""), F.lit("\n"), call)
+    return turns(spark, sf).where("role = 'assistant'").select("conv_id", "turn", F.sha2(target, 256).alias("target"))
 
 
 @query("t20_repeated", "SELECT conv_id, turn, CAST(unnest(range(CASE WHEN role = 'assistant' THEN 3 WHEN role = 'system' THEN 1 ELSE 2 END)) AS INTEGER) AS copy FROM conversations")

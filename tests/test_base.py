@@ -227,3 +227,58 @@ def test_entry(spark):
     row = __spark_entry__.entry(spark).first()
     assert row.stale_error == "UNRESOLVED_COLUMN" and row.equal
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_hash_split_always_has_a_dev_group(spark):
+    import hashlib
+
+    five = [g for g in (f"g{i}" for i in range(200)) if int(hashlib.sha256(g.encode()).hexdigest(), 16) % 5]
+    rows = spark.createDataFrame([(g,) for g in five[:9]], "g string")
+    got = {x.g: x.split for x in corpus.hash_split(rows, "g").collect()}
+    assert [g for g, s in got.items() if s == "dev"] == [max(five[:9])]
+    assert corpus.hash_split(rows.limit(0), "g").collect() == []
+
+
+def test_quota_order_is_the_digest_of_the_id(spark):
+    import hashlib
+
+    rows = spark.createDataFrame([("a" if i % 3 else "b", f"t{i}") for i in range(50)], "family string, task_id string")
+    got = {x.task_id: x.profile for x in corpus.quotas(rows, "family", "task_id", {"must_ask": 0.30, "knowledge_only": 0.25}, "schema_only").collect()}
+    for family in "ab":
+        ids = sorted((f"t{i}" for i in range(50) if ("a" if i % 3 else "b") == family), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+        ask, know = round(0.30 * len(ids)), round(0.25 * len(ids))
+        assert [got[t] for t in ids] == ["must_ask"] * ask + ["knowledge_only"] * know + ["schema_only"] * (len(ids) - ask - know)
+
+
+def test_splits_and_residual_quotas(spark):
+    r = random.Random(3)
+    rows = [(i, f"g{r.randrange(20):02}", r.choice("ab")) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, g string, label string")
+    shares = {"train": 0.6, "tune": 0.2, "test": 0.2}
+    frozen = {x.g: x.split for x in corpus.group_split(df, "g", ["label"], shares, {"g03": "test", "g07": "test"}, trials=10).collect()}
+    assert frozen["g03"] == frozen["g07"] == "test" and set(frozen) == {g for _, g, _ in rows}
+    exact = [x.split for x in corpus.exact_split(df, "g", ["label"], shares, trials=50).collect()]
+    assert {s: exact.count(s) for s in shares} == {"train": 12, "tune": 4, "test": 4}
+    old = df.withColumn("legacy", F.when(F.col("id") < 700, "x"))
+    with pytest.raises(Exception, match="legacy profiles exceed"):
+        corpus.residual_quotas(old, "label", "id", "legacy", {"x": 0.3}, "y").collect()
+
+
+def test_tool_calls(spark):
+    from tessella.functions.texts import tool_calls, without_calls
+
+    said = {
+        "tag": '<think>Look.</think><tool_call>{"name": "inspect_schema_diff", "arguments": {}}</tool_call>',
+        "fence": 'Plan.\n```json\n{\n  "name": "get_schema_version",\n  "arguments": {}\n}\n```',
+        "quote": "<function name=\"ask_user\" arguments='{\"question\": \"What does 'region' mean?\"}' />",
+        "inner": "<function name=\"get_knowledge_definition\" arguments='{\"name\": \"net revenue\"}' />",
+        "mixed": '{"name":"a","arguments":{}}\n{"db_id": "x"}\n{"operations":[{"kind":"y"}]} {"name": "b", "arguments": "{\\"k\\": [1]}"} {"name": "", "arguments": {}} {"name": "c", "arguments": 3}',
+        "none": "{{{{", "empty": "",
+    }
+    df = spark.createDataFrame([*said.items(), ("null", None)], "k string, t string").withColumn("calls", tool_calls("t"))
+    got = {x.k: x for x in df.withColumn("rest", without_calls("t", "calls")).collect()}
+    assert {k: [(c.name, c.arguments) for c in x.calls] for k, x in got.items() if k != "null"} == {
+        "tag": [("inspect_schema_diff", "{}")], "fence": [("get_schema_version", "{}")], "quote": [("ask_user", '{"question":"What does \'region\' mean?"}')],
+        "inner": [("get_knowledge_definition", '{"name":"net revenue"}')], "mixed": [("a", "{}"), ("b", '{"k":[1]}')], "none": [], "empty": [],
+    }
+    assert got["null"].calls is None and got["tag"].rest == "<think>Look.</think>" and got["fence"].rest == "Plan." and got["quote"].rest == ""
