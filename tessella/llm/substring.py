@@ -114,7 +114,7 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         exact, rows = [], []
         for i, _, _, h in words(batch.column(2)):
             sh = shingles(h)
-            for start, key in wanted[i]:
+            for start, key in zip(wanted[i][::2], wanted[i][1::2], strict=True):
                 row = sh[start : start + WORDS - 4]
                 # Rows that share a doc_id: only the text that holds the paragraph counts.
                 if len(row) == WORDS - 4 and int(exact_hash(row[None]).view(np.int64)[0]) == key:
@@ -143,7 +143,7 @@ def _repeats(docs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     discard(rows)
     # Where the shingles of each paragraph that meets different ones stand: one place each.
     place = met.where("near").groupBy("exact").agg(F.min(F.struct("doc_id", "start")).alias("at"))
-    wanted = place.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.array("at.start", "exact")).alias("wanted"))
+    wanted = place.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.flatten(F.collect_list(F.array("at.start", "exact"))).alias("wanted"))
     texts = keep_keys(docs.select("doc_id", "text"), staged(wanted, "wanted"), "doc_id")
     schema = T.StructType([T.StructField("exact", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
     sets = texts.select("doc_id", "wanted", "text").mapInArrow(_shingle_rows, schema).dropDuplicates(["exact"])
@@ -170,7 +170,7 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         out: list[tuple] = []
         for i, _, _, h in words(batch.column(2)):
             short = (h >> U(33)).astype(np.int32)
-            for start, key in wanted[i]:
+            for start, key in zip(wanted[i][::2], wanted[i][1::2], strict=True):
                 row = shingles(h[start : start + WORDS])
                 # Rows that share a doc_id: only the text that holds the paragraph counts.
                 if len(row) == WORDS - 4 and int(exact_hash(row[None]).view(np.int64)[0]) == key:
@@ -226,7 +226,7 @@ def spans(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     mine = [raw.select("doc_id", f"{e}.start", f"{e}.exact") for e in ("first", "last")]
     like = [raw.select(F.col(f"{e}.like_doc_id").alias("doc_id"), F.col(f"{e}.like_start").alias("start"), F.col(f"{e}.like_exact").alias("exact")) for e in ("first", "last")]
     wanted = mine[0].unionByName(mine[1]).unionByName(like[0]).unionByName(like[1]).distinct()
-    wanted = staged(wanted.groupBy("doc_id").agg(F.collect_list(F.array("start", "exact")).alias("wanted")), "wanted")
+    wanted = staged(wanted.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array("start", "exact"))).alias("wanted")), "wanted")
     texts = keep_keys(docs.select("doc_id", "text"), wanted, "doc_id").select("doc_id", "wanted", "text")
     near = texts.mapInArrow(_surroundings, "doc_id long, start long, ahead array<int>, after array<int>")
     near = staged(near.groupBy("doc_id", "start").agg(F.min("ahead").alias("ahead"), F.min("after").alias("after")), "surroundings")
