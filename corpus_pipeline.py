@@ -44,12 +44,17 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-#: No SQL: learned models and MinHash stand in the stages; tests compare with a brute-force version.
+#: No SQL: learned models and MinHash stand in the stages; tests compare stages with brute force where there is one.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written as Parquet in the shared folder and read again."""
+    """All stages over ``documents``; each is written as Parquet in the shared folder and read again.
+
+    Null texts and texts without a letter go in the first stage; rows without doc_id pass all stages and are drawn like others;
+    of rows that repeat a doc_id the second stage keeps the first by text; null languages and sources are levels of
+    their own; extra columns are carried up to the last stage; an empty table gives an empty result.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
