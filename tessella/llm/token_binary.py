@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, staged, tune
+from .common import discard, shared_dir, staged, tune
 
 #: Ids in a block, about; a longer document makes a longer block.
 BLOCK = 1 << 16
@@ -265,6 +265,7 @@ def write(docs: DataFrame, path: str, end: int, to: str | None = None) -> str:
     ordered = ids.where("ids is not null").select("doc_id", "ids").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
     schema = "shard long, block long, before long, doc_ids array<long>, counts array<long>, control binary, data binary"
     ordered.mapInArrow(_blocks(_kind(path, end), rank), schema).write.option("compression", "zstd").parquet(f"{to}/blocks")
+    discard(ids)
     spark.createDataFrame([(by_rank.tolist(), end)], "ids array<long>, end long").coalesce(1).write.parquet(f"{to}/ranks")
     return to
 
