@@ -111,3 +111,16 @@ def with_totals(rows: DataFrame, key: str, by: str, totals: dict[str, Column], h
     apart = rows.where(is_hot)
     sums = apart.groupBy(key).agg(*(total.alias(name) for name, total in totals.items()))
     return rows.where(~is_hot).withColumns(over).unionByName(apart.join(F.broadcast(sums), key))
+
+
+def split_join(rows: DataFrame, side: DataFrame, on: str, by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``side``, which has one row for each ``on`` at most; ``how``: inner or left.
+
+    ``rows`` are read several times (a staged table) and may hold hot keys, told apart by ``by``: those rows stay where they are, and
+    the few rows of ``side`` for them, two for each shuffle partition at most, are broadcast.
+    """
+    hot = hot_keys(rows, on, by)
+    if not hot:
+        return rows.join(side, on, how)
+    is_hot = F.coalesce(F.col(on).isin(hot), F.lit(False))
+    return rows.where(~is_hot).join(side, on, how).unionByName(rows.where(is_hot).join(F.broadcast(side.where(F.col(on).isin(hot))), on, how))

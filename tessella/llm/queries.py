@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, langid, mixing, pieces, substring, token_binary, topk, toxicity
+from . import chat, fingerprints, langid, mixing, near_dedup, pieces, substring, token_binary, topk, toxicity
 from .common import table
 from .ngram_join import jaccard_components
 
@@ -90,6 +90,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if re.match(r"op\d+_|chat_records", name)}
 
@@ -135,6 +139,22 @@ SQL = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(length(heading) + length(body) + 14) AS BIGINT) AS formatted_chars
         FROM shown GROUP BY conv_id""",
+    "op13_minhash_near_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])
+                                                WHEN len(w) = 1 THEN w ELSE [] END) AS g FROM w
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        r AS (SELECT doc_id, g, n, row_number() OVER (PARTITION BY doc_id ORDER BY df, g) AS k FROM s JOIN n USING (doc_id) JOIN (SELECT g, count(*) AS df FROM s GROUP BY 1) f USING (g)),
+        p AS (SELECT doc_id, g, n FROM r WHERE k <= n - (n * 80 + 99) // 100 + 1),
+        c AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny FROM p a JOIN p b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+        i AS (SELECT x, y, any_value(nx) AS nx, any_value(ny) AS ny, count(*) AS k FROM c JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y AND b.g = a.g GROUP BY 1, 2),
+        e AS (SELECT x, y FROM i WHERE 100 * k >= 80 * (nx + ny - k)),
+        ends AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+        t AS (SELECT doc_id AS node, doc_id AS reach FROM documents UNION SELECT t.node, ends.y FROM t JOIN ends ON t.reach = ends.x)
+        SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(t.reach) AS component_id, d.doc_id = min(t.reach) AS kept
+        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN t ON t.node = d.doc_id GROUP BY d.doc_id""",
     "op6_exact_top_k": """
         WITH good AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
