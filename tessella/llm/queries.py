@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, langid, merkle, mixing, near_dedup, pieces, substring, token_binary, topk, toxicity
+from . import chat, fingerprints, langid, merkle, mixing, near_dedup, pieces, spelling, substring, token_binary, topk, toxicity
 from .common import table
 from .merkle_sql import manifest
 from .ngram_join import jaccard_components
@@ -91,6 +91,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.checked(table(spark, sf_dir, "documents"))
 
@@ -104,6 +108,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 SQL = {
+    "op11_spelling_variants": r"""
+        WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+        runs AS (
+            SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+        ), each AS (SELECT id, run, count(*) AS k, hex(encode(id || ':' || run)) AS x FROM runs GROUP BY 1, 2),
+        hashed AS (
+            SELECT run, k, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(x), 2), lambda i: ('0x' || substr(x, i + 1, 2))::BIGINT)),
+                                           lambda s, c: xor(t[(xor(s, c) & 255) + 1], s >> 8)), 4294967295) AS h FROM each, crc
+        ), printed AS (
+            SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed
+        ), words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM printed WHERE length(word) >= 5 GROUP BY 1 HAVING sum(k) >= 3),
+        cut AS (SELECT DISTINCT word, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(0, length(word))) AS i FROM words)),
+        longer AS (SELECT DISTINCT c.word AS a, w.word AS b FROM cut c JOIN words w ON w.word = c.rest),
+        pairs AS (SELECT a, b FROM longer UNION ALL SELECT b, a FROM longer UNION ALL SELECT x.word, y.word FROM cut x JOIN cut y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word),
+        near AS (SELECT a AS word, count(*) AS n_near, arg_min({'w': b, 'n': n}, {'n': -n, 'w': encode(b)}) AS best FROM pairs JOIN words ON word = b GROUP BY 1),
+        forms AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 2 * n THEN best END AS form FROM words w LEFT JOIN near ON near.word = w.word),
+        way AS (SELECT word, word AS last, 0 AS step FROM words UNION ALL SELECT way.word, form.w, step + 1 FROM way JOIN forms ON forms.word = way.last WHERE form IS NOT NULL)
+        SELECT f.word, form.w AS form, root, n, n_near, form.n AS form_n FROM forms f JOIN (SELECT word, arg_max(last, step) AS root FROM way GROUP BY 1) r ON r.word = f.word""",
     "op12_merkle_manifest": manifest(),
     "op5_ngram_jaccard_join": r"""
         WITH RECURSIVE w AS (
