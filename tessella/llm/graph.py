@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import discard, hot_keys, staged, with_totals
@@ -20,8 +20,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     64-bit digest of the links as they were is the last.
     """
     links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    links = staged(links, "links")
-    was = _digest(links)
+    links, was = _written(links)
     for _ in range(most_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # A node has no more rows among the large stars than it has neighbours.
@@ -30,9 +29,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         large = led.select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         stars = staged(large, "stars") if hot else None
         small = with_totals(stars if hot else large, "u", "v", {"m": F.min("v")}, hot).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
-        old, links = links, staged(small.select("x.*").where("u > v").distinct(), "links")
+        old, (links, now) = links, _written(small.select("x.*").where("u > v").distinct())
         discard(old, *([stars] if hot else []))
-        now = _digest(links)
         if now == was:
             break
         was = now
@@ -42,5 +40,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _digest(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _written(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """The links, staged, and their count and digest, which are taken as they are written."""
+    seen = Observation()
+    out = staged(links.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("digest")), "links")
+    return out, (seen.get["n"], seen.get["digest"])

@@ -12,7 +12,7 @@ Two documents link when ``den * |x & y| >= num * |x | y|`` for their sets of dis
 3. The sketches of both ends decide what an edge can mean. From ``LINK`` equal bytes on it may be a link. Members below that are
    a bucket of their own with its own hub, and so on. Between are members that can't link with the
    hub, but, by the triangle inequality of Jaccard distances, with its partners: from ``RING`` equal bytes on.
-4. Edges that may be links are confirmed on the full sets: first the best one of each class, then those between components.
+4. Edges that may be links are confirmed on the full sets.
 5. Where a hub's surroundings still lie in several components, all of them meet on the full sets by
    the chunked prefix trees of ``ngram_join``. So the stars lose no link.
 """
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, keep_keys, sized, split_join, staged, tune, with_totals
@@ -35,7 +35,7 @@ from .words import U, mix, shingle_set, words
 WORDS, BANDS, ROWS = 2, 35, 5
 BINS = BANDS * ROWS
 #: Rounds of stars, after which a bucket's rest meets by its full sets, and members of a hub that one task confirms.
-ROUNDS, PART = 4, 256
+ROUNDS, PART = 2, 256
 
 _DEAL = U(0xD6E8FEB86659FD93)
 _COEF = mix(np.arange(1, ROWS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
@@ -111,8 +111,8 @@ def stars(classes: DataFrame, threshold: Threshold) -> tuple[DataFrame, DataFram
         met = with_totals(offers, "band", "node", {"hub": F.min("node"), "last": F.max("node")})
         met = staged(met.where("hub < last and node > hub").select("band", "node", "hub"), "met")
         discard(offers)
-        pairs = staged(met.select("node", "hub").distinct().join(sides, "node"), "pairs")
-        both = split_join(pairs, sides.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("sketch").alias("hub_sketch")), "hub", "node")
+        pairs = staged(met.select("node", "hub").distinct(), "pairs")
+        both = split_join(pairs, sides.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("sketch").alias("hub_sketch")), "hub", "node").join(sides, "node")
         fits = F.least("n", "hub_n") * threshold.den >= F.greatest("n", "hub_n") * threshold.num
         told = both.select("node", "hub", "sketch", "hub_sketch", fits.alias("fits")).mapInArrow(_equal_bytes, "node long, hub long, equal int, fits boolean")
         told = staged(told, "told")
@@ -163,47 +163,42 @@ def confirmed(edges: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFr
     parts = edges.groupBy("hub").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     dealt = staged(split_join(edges, parts, "hub", "node").select("hub", F.pmod(F.xxhash64("node", "hub"), F.col("parts")).cast("int").alias("part"), "node", F.lit(False).alias("own")), "dealt")
     hubs = dealt.select("hub", "part").distinct().select("hub", "part", F.col("hub").alias("node"), F.lit(True).alias("own"))
-    rows = staged(dealt.unionByName(hubs), "ends")
-    rows = split_join(rows, sets, "node", "part").select("hub", "part", "node", "own", "tokens").repartition("hub", "part").sortWithinPartitions("hub", "part", F.desc("own"))
+    # A class has at most one row for each of its bands, and as a hub one for each PART members.
+    rows = dealt.unionByName(hubs).join(sets, "node").select("hub", "part", "node", "own", "tokens").repartition("hub", "part").sortWithinPartitions("hub", "part", F.desc("own"))
     return rows.mapInArrow(_confirm(threshold), "a long, b long")
 
 
-def links(docs: DataFrame, classes: DataFrame, threshold: Threshold) -> DataFrame:
-    """Links a, b between classes that make the components of all links. classes: node, rep, n, sketch, bands."""
+def linked(docs: DataFrame, classes: DataFrame, threshold: Threshold) -> DataFrame:
+    """node, component of every class that has links. classes: node, rep, n, sketch, bands."""
     edges, left = stars(classes, threshold)
     edges, left = staged(edges.groupBy("node", "hub").agg(F.max("equal").alias("equal"), F.max("may_link").alias("may_link")), "edges"), staged(left, "left")
     wanted = edges.select("node").union(edges.select("hub")).union(left.select("node")).distinct()
     wanted = staged(wanted.join(classes.select("node", "rep"), "node").select(F.col("rep").alias("doc_id"), "node"), "wanted")
     sets = keep_keys(docs.select("doc_id", "text"), wanted, "doc_id").select("node", "text").mapInArrow(_sets, "node long, tokens array<long>")
     sets = staged(sets.dropDuplicates(["node"]), "sets")
-    best = Window.partitionBy("node").orderBy(F.desc("equal"), "hub")
-    first = staged(edges.where("may_link").withColumn("k", F.row_number().over(best)).where("k = 1").select("node", "hub"), "first")
-    found = staged(confirmed(first, sets, threshold), "links")
-    # The others matter where the first ones left several components.
-    open_ = _between(edges.where("may_link").select("node", "hub"), components(found)).join(first, ["node", "hub"], "left_anti")
-    open_ = staged(open_, "open")
-    if not open_.isEmpty():
-        found = found.unionByName(staged(confirmed(open_, sets, threshold), "links"))
+    found = staged(confirmed(edges.where("may_link").select("node", "hub"), sets, threshold), "links")
+    labels = staged(components(found), "labels")
     # Surroundings of a hub in several components, and what the stars left over, meet as blocks.
     around = edges.select(F.col("hub").alias("block"), "node").unionByName(edges.select(F.col("hub").alias("block"), F.col("hub").alias("node")).distinct()).unionByName(left)
-    of = _labelled(around, components(found))
-    ends = of.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high and size > 2").select("block")
+    ends = _labelled(around, labels).groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
+    ends = ends.where("low < high and size > 2").select("block")
     blocked = staged(around.join(sized(staged(ends, "several")), "block").select("block", F.col("node").alias("rep")), "blocked")
     if blocked.isEmpty():
-        return found
-    return found.unionByName(block_links(sets.select(F.col("node").alias("rep"), "tokens"), blocked, threshold))
+        return labels
+    new = block_links(sets.select(F.col("node").alias("rep"), "tokens"), blocked, threshold)
+    # Of these links only those between components are new.
+    mine = staged(_labelled(new.withColumnRenamed("a", "node"), labels).select(F.col("component").alias("x"), F.col("b").alias("node")), "mine")
+    new = staged(_labelled(mine, labels).select("x", F.col("component").alias("y")).where("x <> y").distinct(), "new")
+    if new.isEmpty():
+        return labels
+    top = staged(components(new, "x", "y").select(F.col("node").alias("component"), F.col("component").alias("top")), "top")
+    # Both ends of a new link may be classes that had none.
+    labels = labels.unionByName(top.join(labels, top.component == labels.node, "left_anti").select(F.col("component").alias("node"), "component"))
+    return labels.join(sized(top), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    return rows.join(sized(staged(labels, "labels")), "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-
-def _between(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Edges whose ends lie in different components."""
-    labels = staged(labels, "labels")
-    mine = _labelled(edges, labels).withColumnRenamed("component", "mine")
-    theirs = split_join(staged(mine, "mine"), labels.select(F.col("node").alias("hub"), F.col("component").alias("theirs")), "hub", "node", "left")
-    return theirs.where(F.col("mine") != F.coalesce("theirs", "hub")).select("node", "hub")
+    return rows.join(sized(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def near_dedup(docs: DataFrame, threshold: Threshold | None = None) -> DataFrame:
@@ -219,10 +214,9 @@ def near_dedup(docs: DataFrame, threshold: Threshold | None = None) -> DataFrame
     each = rows.where("node is not null").groupBy("node")
     classes = each.agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"), F.first("bands", ignorenulls=True).alias("bands"))
     classes = staged(classes.where("rep is not null"), "classes")
-    labels = staged(components(links(docs, classes, threshold)), "labels")
+    labels = linked(docs, classes, threshold).join(classes.select("node", "rep"), "node")
     # A component goes by the smallest doc_id of its classes.
-    low = labels.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("low"))
-    named = staged(split_join(labels, staged(low, "low"), "component", "node").select("node", "low"), "named")
+    named = with_totals(staged(labels, "labels"), "component", "node", {"low": F.min("rep")}).select("node", "low")
     of = staged(classes.select("node", "rep").join(named, "node", "left").select("node", F.coalesce("low", "rep").alias("component_id")), "of")
     out = split_join(rows.select("doc_id", "n_shingles", "node"), of, "node", "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
