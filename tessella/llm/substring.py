@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, drop_keys, keep_keys, sized, staged, tune, with_totals
+from .common import discard, drop_keys, keep_keys, sized, split_join, staged, tune, with_totals
 from .graph import components
 from .ngram_join import Threshold, block_links, finer_blocks
 from .words import U, mix, shingles, words
@@ -152,12 +152,13 @@ def _repeats(docs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     threshold = Threshold(share.numerator, share.denominator)
     blocked = staged(finer_blocks(sets, threshold).select("block", F.col("key").alias("rep")), "blocks")
     labels = components(block_links(sets, blocked, threshold)).withColumnRenamed("node", "exact")
-    # One label for each hash, so no row doubles. Copies of a paragraph may be many: Spark splits such a key where both sides are plain tables.
-    found = staged(met.join(sized(staged(labels, "labels")), "exact", "left").select("doc_id", "start", "exact", F.coalesce("component", "exact").alias("cluster")), "found")
+    # Labels and firsts stand with the distinct paragraphs; only the last join meets copies of a paragraph, which may be many.
     first = F.min(F.struct("doc_id", "start", "exact"))
-    same = staged(found.groupBy("exact").agg(first.alias("same")), "same")
-    kept = staged(found.groupBy("cluster").agg(first.alias("k"), F.max("doc_id").alias("last")).where("k.doc_id < last").drop("last"), "kept")
-    found = found.join(kept, "cluster").where("doc_id <> k.doc_id").join(same, "exact")
+    each = met.groupBy("exact").agg(first.alias("same"), F.max("doc_id").alias("last"))
+    each = staged(each.join(sized(staged(labels, "labels")), "exact", "left").select("exact", "same", "last", F.coalesce("component", "exact").alias("cluster")), "each")
+    kept = staged(each.groupBy("cluster").agg(F.min("same").alias("k"), F.max("last").alias("last")).where("k.doc_id < last").drop("last"), "kept")
+    of = staged(split_join(each.drop("last"), kept, "cluster", "exact"), "of")
+    found = split_join(met.drop("near"), of, "exact", "doc_id").where("doc_id <> k.doc_id")
     # What stands about a paragraph is compared with what stands about an equal one, where an earlier document has it.
     like = F.when(F.col("same.doc_id") < F.col("doc_id"), F.col("same")).otherwise(F.col("k"))
     kept = {"keep_doc_id": F.col("k.doc_id"), "like_doc_id": like["doc_id"], "like_start": like["start"], "like_exact": like["exact"]}
