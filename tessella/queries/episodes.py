@@ -11,6 +11,7 @@ from tessella.queries.rollouts import events as calls
 from tessella.queries.rollouts import runs
 from tessella.queries.sessions import _EVENTS, events
 from tessella.registry import SQL, query, table
+from tessella.streaming import sessions as live
 
 
 @query("a10_ordered_inspection", f"""
@@ -36,15 +37,26 @@ def free_query(spark: SparkSession, sf: str) -> DataFrame:
     return facts.select("user_id", F.coalesce((F.col("x") == F.col("y")) & F.col("a") & F.col("b"), F.lit(False)).alias("same"))
 
 
-@query("h11_terminations", f"""
+_ENDINGS = f"""
     WITH r AS (SELECT user_id, sequence, event_type, count(*) OVER w AS calls, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER w AS runs FROM ({_EVENTS}) WINDOW w AS (PARTITION BY user_id ORDER BY sequence)),
          x AS (SELECT user_id, sequence, CASE WHEN event_type = 'error' THEN 'submitted' WHEN runs > 3 THEN 'sql_budget' WHEN calls > 7 THEN 'turn_limit' END AS reason FROM r)
-    SELECT user_id, coalesce(arg_min(reason, sequence) FILTER (reason IS NOT NULL), 'running') AS reason FROM x GROUP BY user_id""")
+    SELECT user_id, coalesce(arg_min(reason, sequence) FILTER (reason IS NOT NULL), 'running') AS reason FROM x GROUP BY user_id"""
+
+
+@query("h11_terminations", _ENDINGS)
 def terminations(spark: SparkSession, sf: str) -> DataFrame:
     """How a session ends: the first of a submission and the budgets of calls and executions."""
     return episodes.terminations(events(spark, sf), most_calls=7, most_runs=3)
 
 
+@query("h11_streamed_terminations", _ENDINGS)
+def streamed_terminations(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by a stream in three runs, from the last row of each session."""
+    rows = live.events_with_times(spark, sf).select("event_id", "user_id", "event_type", "ts", "at")
+    found = live.in_cuts(rows, "event_id", 3, lambda stream: live.folded(stream, "user_id", live.Ending(7, 3), ["at", "event_id"]))
+    return found.groupBy("user_id").agg(F.max_by("reason", "calls").alias("reason"))
+
+
 @query("t17_recovery_contexts", f"""
     SELECT user_id, unnest(['pre_error', 'post_error', 'terminal']) AS context, first_error FROM (SELECT user_id, min(sequence) AS first_error FROM ({_EVENTS}) WHERE event_type = 'error' GROUP BY 1)""")
 def contexts(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import rollouts, sessions
 from tessella.registry import query, table
+from tessella.streaming import sessions as live
 
 _EVENT = """
     user_id * 10 + (day(ts) - 1) DIV 3 AS rollout, event_id, ts, user_id,
@@ -101,19 +102,30 @@ def recovery(spark: SparkSession, sf: str) -> DataFrame:
     return rollouts.required_recovery(events(spark, sf))
 
 
-@query("t03_allowed_tools", f"""{_OWED},
+_ALLOWED = f"""{_OWED},
     s AS (SELECT rollout, arg_max(validated, pos) FILTER (tool = 'execute_sql' AND NOT masked) AS validated, max(pos) FILTER (tool = 'ask_user' AND NOT masked) AS asked,
                  max(pos) FILTER (tool IN ('get_knowledge_definition', 'execute_sql') AND NOT masked) AS followed,
                  list(DISTINCT tool) FILTER (NOT masked AND tool IN ('get_schema_version', 'inspect_schema_diff', 'ask_user')) AS used FROM e GROUP BY 1)
     SELECT rollout, CASE WHEN required <> 'none' THEN required WHEN coalesce(validated, false) THEN 'submit_solution'
         WHEN asked IS NOT NULL AND coalesce(followed, 0) < asked THEN 'execute_sql,get_knowledge_definition'
         ELSE array_to_string(list_filter(['ask_user', 'execute_sql', 'get_knowledge_definition', 'get_schema', 'get_schema_version', 'inspect_schema_diff', 'submit_solution'],
-                             lambda x: NOT coalesce(list_contains(used, x), false)), ',') END AS allowed FROM s JOIN owed USING (rollout)""")
+                             lambda x: NOT coalesce(list_contains(used, x), false)), ',') END AS allowed FROM s JOIN owed USING (rollout)"""
+
+
+@query("t03_allowed_tools", _ALLOWED)
 def allowed(spark: SparkSession, sf: str) -> DataFrame:
     """What a rollout may do next."""
     return rollouts.allowed_tools(events(spark, sf)).select("rollout", F.array_join("allowed", ",").alias("allowed"))
 
 
+@query("t03_streamed_tools", _ALLOWED)
+def streamed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by a stream in three runs, from the last row of each rollout."""
+    rows = live.events_with_times(spark, sf).selectExpr("event_id", "ts", "at", *(c for c in _split(_EVENT.replace("DIV", "div")) if c.split()[-1] in ("rollout", "tool", "ok", "masked", "validated", "contract")))
+    found = live.in_cuts(rows, "event_id", 3, lambda stream: live.folded(stream, "rollout", live.Tools(), ["at", "event_id"]))
+    return found.groupBy("rollout").agg(F.max_by("allowed", "at").alias("allowed"))
+
+
 @query("t03_execution_only", f"""{_E},
     s AS (SELECT rollout, arg_max(validated, pos) FILTER (tool = 'execute_sql' AND NOT masked) AS validated, count(*) FILTER (tool = 'get_schema' AND ok AND NOT masked) AS schemas,
                  list(DISTINCT tool) FILTER (NOT masked AND tool IN ('get_schema_version', 'inspect_schema_diff', 'ask_user')) AS used FROM e GROUP BY 1)

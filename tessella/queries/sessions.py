@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.operators import sessions
 from tessella.registry import query, table
+from tessella.sources.staging import shared_dir
+from tessella.streaming import sessions as live
+from tessella.streaming import store
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
@@ -21,6 +26,19 @@ def sequenced(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).select("user_id", "event_id", "sequence")
 
 
+_ARRIVED = "SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3, ts, event_id) AS BIGINT) AS sequence FROM events"
+
+
+@query("h01_appended", f"SELECT user_id, event_id, sequence FROM ({_ARRIVED})")
+def appended(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers in a store that grows by three batches, the second of which comes twice."""
+    to = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    rows = table(spark, sf, "events").select("user_id", "event_id", "ts")
+    for number in (0, 1, 1, 2):
+        store.append(to, rows.where(F.col("event_id") % 3 == number), number, "user_id", ["ts", "event_id"])
+    return store.stored(spark, to, "user_id long, event_id long, sequence long")
+
+
 @query("h02_resume", f"SELECT user_id, sequence, event_type FROM ({_EVENTS}) WHERE sequence > 5")
 def resume(spark: SparkSession, sf: str) -> DataFrame:
     return sessions.after(events(spark, sf), 5).select("user_id", "sequence", "event_type")
@@ -95,6 +113,20 @@ def windows(spark: SparkSession, sf: str) -> DataFrame:
     return windowed_store(spark, sf)
 
 
+# What readers get: events up to the first error, a sign of life for every 12 hours of silence, as far as the watermark has come.
+@query("h10_followed", f"""
+    WITH e AS (SELECT *, min(sequence) FILTER (event_type = 'error') OVER (PARTITION BY user_id) AS stop, lead(ts) OVER (PARTITION BY user_id ORDER BY sequence) AS next FROM ({_EVENTS})),
+         o AS (SELECT *, CASE WHEN sequence = stop THEN ts WHEN next IS NULL THEN date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL 10 MINUTE ELSE next END AS until FROM e WHERE stop IS NULL OR sequence <= stop)
+    SELECT user_id, 'event' AS kind, sequence, ts AS "at", event_type FROM o UNION ALL SELECT user_id, 'end', sequence, ts, NULL FROM o WHERE sequence = stop
+    UNION ALL SELECT user_id, 'keepalive', sequence, beat, NULL FROM (SELECT *, unnest(generate_series(ts + INTERVAL 12 HOUR, until, INTERVAL 12 HOUR)) AS beat FROM o) WHERE beat < until""")
+def followed(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions as their readers see them, by a stream in three runs that goes on where the last one stopped."""
+    rows = live.events_with_times(spark, sf).select("event_id", "user_id", "event_type", "ts", "at")
+    fold = live.Follow(12 * 3600 * 10**6, ["error"])
+    found = live.in_cuts(rows, "event_id", 3, lambda stream: live.folded(stream, "user_id", fold, ["at", "event_id"]))
+    return found.select("user_id", "kind", "sequence", F.timestamp_micros("at").cast("timestamp_ntz").alias("at"), "event_type")
+
+
 @query("h12_candidates", f"""
     SELECT user_id, 'p4r_' || substr(sha256(string_agg(event_type || ':' || props, '>' ORDER BY sequence)), 1, 16) AS candidate FROM ({_EVENTS}) GROUP BY 1""")
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
