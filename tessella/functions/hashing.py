@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: How a null is written in a canonical row.
-NULL = "\\N"
-
 
 def hex_digest(*parts: Column | str) -> Column:
     """SHA-256 of the parts joined by ``:``, in lower-case hex."""
@@ -38,39 +35,6 @@ def short_id(prefix: str, *parts: str) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.to_json(F.array(*(F.col(p).cast("string") for p in parts))), 256), 1, 16))
 
 
-def canonical_value(name: str, kind: T.DataType) -> Column:
-    """A value as text that doesn't depend on an engine's way of printing floats."""
-    c = F.col(name)
-    if isinstance(kind, (T.DoubleType, T.FloatType)):
-        c = F.round(c, 10).cast("decimal(38,10)")
-    elif isinstance(kind, T.StringType):
-        pass
-    return F.coalesce(c.cast("string"), F.lit(NULL))
-
-
-def canonical_row(df: DataFrame) -> Column:
-    """A row's values in column order; names don't enter."""
-    return F.concat_ws("|", *(canonical_value(f.name, f.dataType) for f in df.schema))
-
-
-def multiset_fingerprint(df: DataFrame) -> DataFrame:
-    """row_count and value_sum: one pass with partial sums; rows count as often as they come, in any order."""
-    part = F.conv(F.substring(F.sha2(canonical_row(df), 256), 1, 12), 16, 10).cast("decimal(38,0)")
-    return df.select(part.alias("h")).agg(F.count("*").alias("row_count"), F.coalesce(F.sum("h"), F.lit(0)).cast("string").alias("value_sum"))
-
-
-def ordered_fingerprint(df: DataFrame, *order: str) -> DataFrame:
-    """row_count and value_sum where order counts: each row is hashed with its place in ``order``."""
-    from tessella.operators.positions import numbered
-
-    keys = [f"__o{i}" for i in range(len(order))]
-    # Rows are hashed first, so that only digests are dealt out and written.
-    rows = df.select(F.sha2(canonical_row(df), 256).alias("__row"), *(F.col(c).alias(k) for c, k in zip(order, keys, strict=True)))
-    placed = F.concat_ws("#", F.col("__place").cast("string"), "__row")
-    part = F.conv(F.substring(F.sha2(placed, 256), 1, 12), 16, 10).cast("decimal(38,0)")
-    return numbered(rows, [*keys, "__row"], "__place").agg(F.count("*").alias("row_count"), F.coalesce(F.sum(part), F.lit(0)).cast("string").alias("value_sum"))
-
-
 def normalized(df: DataFrame) -> DataFrame:
     """Values for comparing results: numbers as doubles to 10 places, text trimmed in lower case; distinct rows."""
     out = []

@@ -5,32 +5,73 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions.hashing import canonical_row, digest_mod5, multiset_fingerprint, ordered_fingerprint, same_result, short_id, stable_choice
+from tessella.functions.hashing import digest_mod5, same_result, short_id, stable_choice
+from tessella.functions.seals import canonical_row, changed_keys, differing_ranges, multiset_fingerprint, ordered_fingerprint
 from tessella.registry import query, table
 
-_PART = "CAST(('0x' || substr(sha256({}), 1, 12)) AS BIGINT)"
 
+def field_sql(kind: str, value: str) -> str:
+    """A value of a canonical row in DuckDB's SQL; kind: i, n, s."""
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE '{kind}' || strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR) END"
 
-@query("x01_multiset_fingerprint", f"""
-    SELECT count(*) AS row_count, CAST(sum({_PART.format("concat_ws('|', CAST(n_nationkey AS VARCHAR), n_name, CAST(n_regionkey AS VARCHAR))")}) AS VARCHAR) AS value_sum FROM nation""")
+
+def sealed_sql(rows: str, *fields: tuple[str, str]) -> str:
+    """row_count and value_hash of rows (a FROM clause), for up to 4096**2 different rows."""
+    row = " || ".join(field_sql(*f) for f in fields)
+    return f"""
+    (WITH each AS (SELECT sha256({row}) AS h, count(*) AS n FROM {rows} GROUP BY 1),
+          node AS (SELECT CASE WHEN (SELECT count(*) FROM each) > 4096 THEN left(h, 3) ELSE '' END AS p, sha256(string_agg(sha256(h || ':' || n), '' ORDER BY h)) AS d, sum(n) AS n FROM each GROUP BY 1)
+     SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS row_count, CASE WHEN max(p) = '' THEN max(d) ELSE sha256(coalesce(string_agg(d, '' ORDER BY p), '')) END AS value_hash FROM node)"""
+
+
+@query("x01_multiset_fingerprint", f"SELECT * FROM {sealed_sql('nation', ('i', 'n_nationkey'), ('s', 'n_name'), ('i', 'n_regionkey'))}")
 def fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return multiset_fingerprint(table(spark, sf, "nation"))
 
 
-@query("x01_multiset_fingerprint_orders", f"""
-    SELECT count(*) AS row_count, CAST(sum({_PART.format("concat_ws('|', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR))")}) AS VARCHAR) AS value_sum FROM orders""")
+@query("x01_multiset_fingerprint_orders", f"SELECT * FROM {sealed_sql('orders', ('i', 'o_orderkey'), ('i', 'o_custkey'), ('n', 'CAST(o_totalprice AS DECIMAL(18,2))'))}")
 def fingerprint_orders(spark: SparkSession, sf: str) -> DataFrame:
     return multiset_fingerprint(table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("decimal(18,2)").alias("price")))
 
 
 @query("x01_ordered_fingerprint", f"""
-    SELECT count(*) AS row_count, CAST(sum({_PART.format("concat_ws('#', CAST(r AS VARCHAR), sha256(concat_ws('|', CAST(o_orderkey AS VARCHAR), o_orderpriority)))")}) AS VARCHAR) AS value_sum
-    FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders)""")
+    WITH r AS (SELECT sha256({field_sql("i", "o_orderkey")} || {field_sql("s", "o_orderpriority")}) AS d, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders),
+         a AS (SELECT i // 4096 AS i, sha256(string_agg(d, '' ORDER BY i)) AS d, count(*) AS n FROM r GROUP BY 1)
+    SELECT CAST(sum(n) AS BIGINT) AS row_count, CASE WHEN count(*) = 1 THEN max(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS value_hash FROM a""")
 def fingerprint_ordered(spark: SparkSession, sf: str) -> DataFrame:
     return ordered_fingerprint(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey")
 
 
-@query("x06_canonical_rows", "SELECT sha256(concat_ws('|', CAST(s_suppkey AS VARCHAR), s_name)) AS row_hash FROM supplier")
+_PRICED = f"{field_sql('i', 'c_custkey')} || {field_sql('s', 'c_name')} || {field_sql('i', 'c_nationkey')}"
+
+
+@query("x01_differing_ranges", f"""
+    WITH a AS (SELECT sha256({field_sql("i", "c_custkey")}) || sha256({_PRICED}) AS h FROM customer),
+         c AS (SELECT c_custkey, CASE WHEN c_custkey % 500 = 1 THEN upper(c_name) ELSE c_name END AS c_name, c_nationkey FROM customer WHERE c_custkey % 700 <> 2),
+         b AS (SELECT sha256({field_sql("i", "c_custkey")}) || sha256({_PRICED}) AS h FROM c),
+         x AS (SELECT left(h, k) AS range, string_agg(h, '' ORDER BY h) AS d, count(*) AS n FROM a, (SELECT CASE WHEN count(*) > 4096 THEN 6 ELSE 3 END AS k FROM a) GROUP BY 1),
+         y AS (SELECT left(h, k) AS range, string_agg(h, '' ORDER BY h) AS d, count(*) AS n FROM b, (SELECT CASE WHEN count(*) > 4096 THEN 6 ELSE 3 END AS k FROM a) GROUP BY 1)
+    SELECT range, coalesce(x.n, 0) AS old_rows, coalesce(y.n, 0) AS new_rows FROM x FULL JOIN y USING (range) WHERE x.d IS DISTINCT FROM y.d""")
+def ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Where two versions of the customers differ, by ranges of keys."""
+    return differing_ranges(*_versions(spark, sf), "c_custkey")
+
+
+@query("x01_changed_keys", f"""
+    SELECT sha256({field_sql("i", "c_custkey")}) AS key, CASE WHEN c_custkey % 700 = 2 THEN 'removed' ELSE 'changed' END AS change FROM customer
+    WHERE c_custkey % 700 = 2 OR (c_custkey % 500 = 1 AND upper(c_name) <> c_name)""")
+def keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Which customers differ between two versions."""
+    return changed_keys(*_versions(spark, sf), "c_custkey")
+
+
+def _versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    old = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
+    name = F.when(F.col("c_custkey") % 500 == 1, F.upper("c_name")).otherwise(F.col("c_name"))
+    return old, old.where("c_custkey % 700 <> 2").withColumn("c_name", name)
+
+
+@query("x06_canonical_rows", f"SELECT sha256({field_sql('i', 's_suppkey')} || {field_sql('s', 's_name')}) AS row_hash FROM supplier")
 def rows(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "supplier").select("s_suppkey", "s_name")
     return df.select(F.sha2(canonical_row(df), 256).alias("row_hash"))
