@@ -11,67 +11,80 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CALL = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("arguments", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-_TAG = re.compile(r"<function\b(.*?)/\s*>", re.IGNORECASE | re.DOTALL)
-_NAME = re.compile(r"""\bname\s*=\s*(?:"([^"']+)"|'([^"']+)')""", re.IGNORECASE)
-_ARGUMENTS = re.compile(r"\barguments\s*=\s*([\"'])", re.IGNORECASE)
 
 
-def _object(value) -> dict | None:
-    """Arguments as an object: one written as text is read, a missing one is empty."""
-    if isinstance(value, str):
-        try:
-            value = json.loads(value)
-        except ValueError:
-            return None
-    return {} if value is None else value if isinstance(value, dict) else None
+class _Calls:
+    """Reads the calls of a text from left to right: whatever opens one is read as far as it goes, and reading goes on behind it.
+
+    An opening is a brace (a JSON object) or ``<function``, whose attributes are read one by one up to ``/>``: a value that is a JSON object
+    ends where the object does, whatever quotes it holds, any other at the next quote of its kind.
+    """
 
+    openings = re.compile(r"\{|<function(?=\s)", re.IGNORECASE)
+    attribute = re.compile(r"\s*([A-Za-z_][\w-]*)\s*=\s*([\"'])")
+    closing = re.compile(r"\s*/\s*>")
+    json = json.JSONDecoder()
 
-def _json_calls(text: str, hidden: list[tuple[int, int]]):
-    """Calls among the JSON objects of a text, those inside hidden spans left out."""
-    read, at = json.JSONDecoder().raw_decode, 0
-    while (at := text.find("{", at)) >= 0:
-        if span := next((s for s in hidden if s[0] <= at < s[1]), None):
-            at = span[1]
-            continue
+    def __init__(self, text: str):
+        self.text, self.found = text, []
+        behind = 0
+        for opening in self.openings.finditer(text):
+            if opening.start() >= behind:
+                read = self.object if opening[0] == "{" else self.element
+                behind = read(opening) or behind
+
+    def value(self, at: int) -> tuple[dict, int] | None:
+        """The JSON object that begins at a place, and its end."""
         try:
-            value, end = read(text, at)
+            value, end = self.json.raw_decode(self.text, at)
         except (ValueError, RecursionError):
-            at += 1
-            continue
-        call = value["function"] if isinstance(value.get("function"), dict) else value
-        name, arguments = call.get("name"), _object(call.get("arguments", {}))
-        if isinstance(name, str) and name.strip() and arguments is not None:
-            yield name.strip(), arguments, at, end
-        at = end
-
-
-def _tag_calls(text: str, tags: list[re.Match]):
-    """Calls written as tags with attributes; the arguments end at the last quote of their kind."""
-    for tag in tags:
-        inside = tag[1]
-        name, opening = _NAME.search(inside), _ARGUMENTS.search(inside)
-        if name and opening and (close := inside.rfind(opening[1])) >= opening.end():
-            try:
-                arguments = json.loads(inside[opening.end() : close])
-            except ValueError:
-                continue
-            if isinstance(arguments, dict):
-                yield (name[1] or name[2]).strip(), arguments, tag.start(), tag.end()
+            return None
+        return (value, end) if isinstance(value, dict) else None
+
+    def object(self, opening: re.Match) -> int | None:
+        if read := self.value(opening.start()):
+            outer, end = read
+            inner = outer.get("function")
+            call = inner if isinstance(inner, dict) else outer
+            self.add(call.get("name"), call.get("arguments"), opening.start(), end)
+            return end
+
+    def element(self, opening: re.Match) -> int | None:
+        at, held = opening.end(), {}
+        while attribute := self.attribute.match(self.text, at):
+            quote, at = attribute[2], attribute.end()
+            read = self.value(at) if self.text[at : at + 1] == "{" else None
+            end = read[1] if read else self.text.find(quote, at)
+            if end < 0 or self.text[end : end + 1] != quote:
+                return None
+            held[attribute[1].lower()] = read[0] if read else self.text[at:end]
+            at = end + 1
+        if closed := self.closing.match(self.text, at):
+            if isinstance(held.get("arguments"), dict):
+                self.add(held.get("name"), held["arguments"], opening.start(), closed.end())
+            return closed.end()
+
+    def add(self, name, arguments, start: int, end: int) -> None:
+        """Keeps a call with a name, whose arguments are an object, nothing, or a text that is one."""
+        if isinstance(arguments, str):
+            read = self.whole(arguments)
+            arguments = read if isinstance(read, dict) else 0
+        if isinstance(name, str) and name.strip() and isinstance(arguments, dict | None):
+            written = json.dumps(arguments or {}, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+            self.found.append({"name": name.strip(), "arguments": written, "start": start, "end": end})
+
+    @staticmethod
+    def whole(text: str):
+        try:
+            return json.loads(text)
+        except (ValueError, RecursionError):
+            return None
 
 
 @F.pandas_udf(CALL)
 def tool_calls(texts: pd.Series) -> pd.Series:
-    """The tool calls of each text, tagged, fenced, bare or as a function tag, by place; null for a null text."""
-
-    def found(text: str | None) -> list[dict] | None:
-        if text is None:
-            return None
-        tags = list(_TAG.finditer(text))
-        calls = [*_tag_calls(text, tags), *_json_calls(text, [t.span() for t in tags])]
-        write = lambda a: json.dumps(a, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
-        return [{"name": n, "arguments": write(a), "start": s, "end": e} for n, a, s, e in sorted(calls, key=lambda c: c[2])]
-
-    return texts.map(found, na_action="ignore").astype(object).where(texts.notna(), None)
+    """The tool calls of each text, tagged, fenced, bare or as a function element, by place; null for a null text."""
+    return texts.map(lambda text: _Calls(text).found, na_action="ignore").astype(object).where(texts.notna(), None)
 
 
 def without_calls(text: str, calls: str) -> Column:
@@ -86,50 +99,73 @@ def _stripped(c: Column, also: str = "") -> Column:
     return F.regexp_replace(c, rf"^[\s{also}]+|[\s{also}]+$", "")
 
 
-def _last(text: Column, pattern: str) -> Column:
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    return F.when(F.size(found) > 0, _stripped(F.get(found, F.size(found) - 1)))
+# What stands about SQL in an answer, the words it begins with, what ends it where it stands bare, and how actions are named.
+SOLUTION, SQL_FENCE, ANY_FENCE, SQL_TAG, PLAN_TAG = ("<solution>", "</solution>"), ("```sql", "```"), ("```", "```"), ("<sql>", "</sql>"), ("<plan>", "</plan>")
+STATEMENTS = ("select", "with")
+BARE_ENDS = ("\n```", "<final>", "</final>", "<answer>", "</answer>")
+OPEN_ENDS = ("<plan>", "</plan>", "<answer>", "</answer>", "<final>", "</final>")
+ACTIONS, HEADINGS = ("execute_sql", "submit_solution"), ("action", "tool")
+
+
+def _text(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(""))
+
+
+def _split(text: Column, *marks: str) -> Column:
+    """The parts of a text between marks in any case."""
+    return F.split(text, "(?i)" + "|".join(map(re.escape, marks)))
+
+
+def _enclosed(text: Column, marks: tuple[str, str]) -> Column:
+    """What stands between an opening and the next closing mark, each time."""
+    opening, closing = marks
+    if opening == closing:
+        parts = _split(text, opening)
+        return F.filter(parts, lambda p, i: (i % 2 == 1) & (i < F.size(parts) - 1))
+    rest = _split(text, opening)
+    pieces = F.transform(F.slice(rest, 2, F.size(rest)), lambda p: _split(p, closing))
+    return F.transform(F.filter(pieces, lambda p: F.size(p) > 1), lambda p: p[0])
+
+
+def _newest(pieces: Column, also: str = "") -> Column:
+    return F.when(F.size(pieces) > 0, _stripped(F.element_at(pieces, -1), also))
 
 
 def candidate_sql(text: str, calls: str) -> Column:
-    """The SQL that a message offers: in its last submission (or else execution) call, solution tag, fence, or from a leading keyword on; else empty."""
-    def of(tool: str) -> Column:
-        mine = F.filter(calls, lambda c: c["name"] == tool)
-        sql = F.transform(mine, lambda c: F.coalesce(F.nullif(_stripped(F.get_json_object(c["arguments"], "$.sql")), F.lit("")), F.nullif(_stripped(F.get_json_object(c["arguments"], "$.sql_list[0]")), F.lit(""))))
-        some = F.array_compact(sql)
-        return F.get(some, F.size(some) - 1)
-
-    t = F.coalesce(F.col(text), F.lit(""))
+    """The SQL that a message offers: in its last submission (or else execution) call, solution, fence, or from a leading keyword on; else empty."""
+    given = lambda c, path: F.nullif(_stripped(F.get_json_object(c["arguments"], path)), F.lit(""))
+    of = lambda tool: F.array_compact(F.transform(F.filter(calls, lambda c: c["name"] == tool), lambda c: F.coalesce(given(c, "$.sql"), given(c, "$.sql_list[0]"))))
     submits = F.exists(calls, lambda c: c["name"] == "submit_solution")
-    from_calls = F.when(submits, of("submit_solution")).otherwise(of("execute_sql"))
-    leading = F.regexp_extract(_stripped(t), r"(?is)\b((?:select|with)\b.*)$", 1)
-    leading = _stripped(F.split(leading, r"\n```|</?(?:final|answer)>")[0], "`")
-    return F.coalesce(from_calls, _last(t, r"(?is)<solution>(.*?)</solution>"), _last(t, r"(?is)```sql\s*(.*?)```"), leading)
+    called = F.when(submits, of("submit_solution")).otherwise(of("execute_sql"))
+    t = _text(text)
+    bare = F.regexp_extract(t, rf"(?is)\b(?:{'|'.join(STATEMENTS)})\b.*", 0)
+    return F.coalesce(F.get(called, F.size(called) - 1), _newest(_enclosed(t, SOLUTION)), _newest(_enclosed(t, SQL_FENCE)), _stripped(_split(bare, *BARE_ENDS)[0], "`"))
 
 
 def reasoning_sql(text: str, calls: str) -> Column:
-    """The SQL of a reasoned answer: its last closed sql tag, an open one up to the next closing part, or ``candidate_sql``."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    opened = F.split(F.regexp_extract(t, r"(?is)<sql>\s*(.*)", 1), r"</?(?:plan|answer|final)>")[0]
-    return F.coalesce(_stripped(_last(t, r"(?is)<sql>\s*(.*?)\s*</sql>"), "`"), F.when(t.rlike(r"(?i)<sql>"), _stripped(opened, "`")), candidate_sql(text, calls))
+    """The SQL of a reasoned answer: its last closed sql tag, an open one up to the next part, or ``candidate_sql``."""
+    t = _text(text)
+    opened = _split(t, SQL_TAG[0])
+    left_open = F.when(F.size(opened) > 1, _stripped(_split(F.get(opened, F.lit(1)), *OPEN_ENDS)[0], "`"))
+    return F.coalesce(_newest(_enclosed(t, SQL_TAG), "`"), left_open, candidate_sql(text, calls))
 
 
 def reasoning_format(text: str) -> dict[str, Column]:
     """Whether a text has a plan, closed SQL, and both."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    plan, sql = t.rlike(r"(?is)<plan>\s*(.*?)\s*</plan>"), t.rlike(r"(?is)<sql>\s*(.*?)\s*</sql>")
+    plan, sql = (F.size(_enclosed(_text(text), marks)) > 0 for marks in (PLAN_TAG, SQL_TAG))
     return {"plan_tag": plan, "sql_tag": sql, "exact_wrapper": plan & sql}
 
 
 def fallback_action(text: str, default_tool: str | None = None) -> Column:
-    """tool, sql, submits of an action in looser syntax: an element named after the tool, or a named action with a fence; null tool if none."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    element = r"(?is)<(execute_sql|submit_solution)>\s*(.*?)\s*</\1>"
-    tag = F.lower(F.nullif(F.regexp_extract(t, element, 1), F.lit("")))
-    fence = r"(?is)```(?:sql)?\s*(.*?)```"
-    named = F.lower(F.nullif(F.regexp_extract(t, r"(?i)(?:Action|Tool)\s*:\s*(execute_sql|submit_solution)", 1), F.lit("")))
-    tool = F.coalesce(tag, F.when(t.rlike(fence), F.coalesce(named, F.lit(default_tool).cast("string"))))
-    sql = F.when(tag.isNotNull(), F.regexp_extract(t, element, 2)).otherwise(F.regexp_extract(t, fence, 1))
+    """tool, sql, submits of an action in looser syntax: the first element named after a tool, or a fence with a tool named ahead or beside it; null tool if none."""
+    t = _text(text)
+    low = F.lower(t)
+    elements = F.array(*(F.struct(F.instr(low, f"<{tool}>").alias("at"), F.lit(tool).alias("tool"), F.get(_enclosed(t, (f"<{tool}>", f"</{tool}>")), 0).alias("sql")) for tool in ACTIONS))
+    element = F.array_min(F.filter(elements, lambda e: e["sql"].isNotNull()))
+    fenced = F.regexp_replace(F.get(_enclosed(t, ANY_FENCE), 0), "^(?i:sql)", "")
+    named = F.nullif(F.regexp_extract(low, rf"(?:{'|'.join(HEADINGS)})\s*:\s*({'|'.join(ACTIONS)})", 1), F.lit(""))
+    tool = F.coalesce(element["tool"], F.when(fenced.isNotNull(), F.coalesce(named, F.lit(default_tool).cast("string"))))
+    sql = F.when(element.isNotNull(), element["sql"]).otherwise(fenced)
     return F.struct(tool.alias("tool"), F.when(tool.isNotNull(), F.nullif(_stripped(sql), F.lit(""))).alias("sql"), F.coalesce(tool == "submit_solution", F.lit(False)).alias("submits"))
 
 
@@ -161,17 +197,18 @@ def clarification_term(evidence: Column, question: Column, kind: Column, old_nam
     return F.when(F.coalesce(F.trim(evidence), F.lit("")) != "", told).otherwise(changed)
 
 
-def resolved_references(text: Column, references: Column) -> Column:
-    """A text whose paths are replaced, the longest first. ``references``: array of (path, text)."""
-    longest = F.array_sort(F.transform(references, lambda r: F.struct((-F.length(r["path"])).alias("n"), r["path"].alias("path"), r["text"].alias("text"))))
-    return F.aggregate(longest, text, lambda t, r: F.replace(t, r["path"], r["text"]))
-
-
-#: Tokens that a translation must not touch: paths, quoted text, names with underscores, numbers.
-PROTECTED = r"@[A-Za-z0-9_/]+|'[^']*'|\"[^\"]*\"|`[^`]*`|\b[A-Za-z][A-Za-z0-9]*_[A-Za-z0-9_]*\b|\b\d+(?:\.\d+)?\b"
+#: What a translation must not touch, by kind, the earlier kind first where several begin at one place.
+PROTECTED = {
+    "fence": r"```(?s:.*?)```",
+    "code": r"`[^`\n]+`",
+    "statement": r"(?i:\b(?:SELECT|WITH|INSERT|UPDATE|DELETE|CREATE|DROP|ALTER)\b)[^，。！？；\n]*",
+    "path": r"@[A-Za-z0-9_./-]+",
+    "name": r"\b[A-Za-z][A-Za-z0-9]*(?:[_.$/-][A-Za-z0-9_.$/-]+)+\b",
+    "number": r"\b\d+(?:\.\d+)?\b",
+}
 
 
-def masked(text: Column, pattern: str = PROTECTED) -> Column:
+def masked(text: Column, pattern: str = "|".join(PROTECTED.values())) -> Column:
     """text and kept: protected tokens become <KEEP_0>, <KEEP_1>, ..."""
     kept, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
     held = F.transform(parts, lambda p, i: F.concat(p, F.when(i < F.size(parts) - 1, F.concat(F.lit("<KEEP_"), i.cast("string"), F.lit(">"))).otherwise("")))
@@ -182,7 +219,10 @@ def unmasked(text: Column, kept: Column) -> Column:
     """The tokens back in their places; null if one is missing or came twice."""
     marks = F.transform(kept, lambda k, i: F.struct(F.concat(F.lit("<KEEP_"), i.cast("string"), F.lit(">")).alias("mark"), k.alias("token")))
     whole = F.forall(marks, lambda m: F.size(F.split(text, m["mark"])) == 2)
-    return F.when(whole, F.aggregate(marks, text, lambda t, m: F.replace(t, m["mark"], m["token"])))
+    # The text is cut at all marks at once, so that a token that looks like a mark stays as it is.
+    parts, order = F.split(text, r"<KEEP_\d+>"), F.regexp_extract_all(text, F.lit(r"<KEEP_(\d+)>"), F.lit(1))
+    put = F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(kept, F.get(order, i).cast("int")), F.lit(""))))
+    return F.when(whole & (F.size(order) == F.size(kept)), F.array_join(put, ""))
 
 
 def search_terms(text: Column) -> Column:

@@ -291,6 +291,18 @@ def markers(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.array_join("markers", ",").alias("markers"))
 
 
+@query("e27_benchmark_markers", """
+    WITH m AS (SELECT DISTINCT lower(left(text, 40)) AS marker FROM benchmark WHERE length(text) >= 40)
+    SELECT doc_id, marker FROM documents JOIN m ON contains(lower(text), marker)""")
+def benchmark_markers(spark: SparkSession, sf: str) -> DataFrame:
+    """Beginnings of benchmark items in documents: one pass with an automaton of all of them."""
+    from tessella.functions import matching
+
+    markers = table(spark, sf, "benchmark").where("length(text) >= 40").select(F.lower(F.substring("text", 1, 40)).alias("marker"))
+    docs = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
+    return matching.present(docs, "doc_id", "text", markers, "marker").select(F.col("key").alias("doc_id"), F.col("pattern").alias("marker"))
+
+
 @query("e28_same_multiset", """
     WITH a AS (SELECT coalesce(text, '(null)') AS t, count(*) AS n FROM documents GROUP BY 1),
          b AS (SELECT coalesce(CASE WHEN doc_id % 10 = 3 THEN NULL WHEN doc_id % 10 = 4 THEN '' ELSE text END, '(null)') AS t, count(*) AS n FROM documents GROUP BY 1)

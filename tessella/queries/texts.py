@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions import texts
+from tessella.functions import matching, texts
 from tessella.registry import query, table
 
 # A message for each turn: a tagged, fenced, bare and tag-like call, one with arguments as text, and none.
@@ -98,22 +98,32 @@ def clarifications(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select("item_id", texts.clarification_term(evidence, F.col("text"), kind, F.lit("old_col")).alias("term"))
 
 
-@query("r29_resolved_references", """
-    SELECT c_custkey, 'Of the selected database take column "name" in table "users" and table "users" and @shop/other ' || c_custkey AS question FROM customer""")
+@query("r29_resolved_references", f"""
+    WITH g AS (SELECT n_nationkey, '@geo/' || lower(replace(r_name, ' ', '_')) AS r, '@geo/' || lower(replace(r_name, ' ', '_')) || '/' || lower(replace(n_name, ' ', '_')) AS p, n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey)
+    SELECT c_custkey, 'Of the selected database take column "' || n_name || '" in table "' || r_name || '", table "' || r_name || '" (@geo) and the selected database/none ' || c_custkey || '.' AS question FROM customer JOIN g ON n_nationkey = c_nationkey""")
 def references(spark: SparkSession, sf: str) -> DataFrame:
-    """Paths in a question said as words, the longest first."""
-    refs = F.array(*(F.struct(F.lit(p).alias("path"), F.lit(t).alias("text")) for p, t in (("@shop/users", 'table "users"'), ("@shop/users/name", 'column "name" in table "users"'), ("@mart", "the selected database"))))
-    asked = F.concat(F.lit("Of @mart take @shop/users/name and @shop/users and @shop/other "), F.col("c_custkey").cast("string"))
-    return table(spark, sf, "customer").select("c_custkey", texts.resolved_references(asked, refs).alias("question"))
+    """Paths in a question said as words, the longest at each place; a replacement that holds a path stays as it is."""
+    geo = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    low = lambda c: F.lower(F.replace(F.col(c), F.lit(" "), F.lit("_")))
+    geo = geo.withColumns({"region": F.concat(F.lit("@geo/"), low("r_name")), "path": F.concat(F.lit("@geo/"), low("r_name"), F.lit("/"), low("n_name"))})
+    paths = geo.select("path", F.concat(F.lit('column "'), "n_name", F.lit('" in table "'), "r_name", F.lit('"')).alias("said"))
+    paths = paths.unionByName(geo.select(F.col("region").alias("path"), F.concat(F.lit('table "'), "r_name", F.lit('" (@geo)')).alias("said")).distinct())
+    paths = paths.unionByName(spark.range(1).select(F.lit("@geo").alias("path"), F.lit("the selected database").alias("said")))
+    asked = F.concat(F.lit("Of @geo take "), "path", F.lit(", "), "region", F.lit(" and @geo/none "), F.col("c_custkey").cast("string"), F.lit("."))
+    rows = table(spark, sf, "customer").join(F.broadcast(geo.select("n_nationkey", "path", "region")), F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", asked.alias("question"))
+    return matching.replaced(rows, "c_custkey", "question", paths, "path", "said")
 
 
 @query("r30_masked_tokens", """
-    SELECT o_orderkey, 'show <KEEP_0> of <KEEP_1> in <KEEP_2>' AS masked, CASE WHEN o_orderkey % 3 > 0 THEN 'in ' || o_orderkey || ' of ''x y'' show total_sum' END AS back FROM orders""")
+    SELECT o_orderkey, 'zeige <KEEP_0> von <KEEP_1>, dann <KEEP_2>' || chr(10) || '<KEEP_3>' || chr(10) || 'und <KEEP_4> ab <KEEP_5>.' AS masked,
+           CASE WHEN o_orderkey % 3 > 0 THEN 'from ' || o_orderkey || ' on show total_sum of @shop/orders, then SELECT a, "b c" FROM t_1' || chr(10) || '```sql' || chr(10) || 'SELECT `x` -- <KEEP_0>' || chr(10) || '```' || chr(10) || 'and `plain \\ code`.' END AS back FROM orders""")
 def masked(spark: SparkSession, sf: str) -> DataFrame:
-    """Tokens kept out of a translation, and put back where none was lost."""
-    said = F.concat(F.lit("show total_sum of 'x y' in "), F.col("o_orderkey").cast("string"))
+    """Tokens kept out of a translation whole, fences and statements too, and put back where none was lost."""
+    fence = "```sql\nSELECT `x` -- <KEEP_0>\n```"
+    said = F.concat(F.lit(f'zeige total_sum von @shop/orders, dann SELECT a, "b c" FROM t_1\n{fence}\nund `plain \\ code` ab '), F.col("o_orderkey").cast("string"), F.lit("."))
     rows = table(spark, sf, "orders").select("o_orderkey", texts.masked(said).alias("m"))
-    translated = F.when(F.col("o_orderkey") % 3 == 0, "in <KEEP_2> show <KEEP_0>").otherwise("in <KEEP_2> of <KEEP_1> show <KEEP_0>")
+    whole = "from <KEEP_5> on show <KEEP_0> of <KEEP_1>, then <KEEP_2>\n<KEEP_3>\nand <KEEP_4>."
+    translated = F.when(F.col("o_orderkey") % 3 == 0, "show <KEEP_0> of <KEEP_1>").otherwise(whole)
     return rows.select("o_orderkey", F.col("m.text").alias("masked"), texts.unmasked(translated, F.col("m.kept")).alias("back"))
 
 

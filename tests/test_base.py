@@ -1,5 +1,6 @@
 """Operators on small fixtures, and every query against DuckDB on the smallest tables."""
 
+import hashlib
 import json
 import os
 import random
@@ -271,15 +272,17 @@ def test_tool_calls(spark):
     said = {
         "tag": '<think>Look.</think><tool_call>{"name": "inspect_schema_diff", "arguments": {}}</tool_call>',
         "fence": 'Plan.\n```json\n{\n  "name": "get_schema_version",\n  "arguments": {}\n}\n```',
-        "quote": "<function name=\"ask_user\" arguments='{\"question\": \"What does 'region' mean?\"}' />",
+        "quote": "<function name=\"ask_user\" arguments='{\"question\": \"Is 'net' the sum less tax?\"}' />",
         "inner": "<function name=\"get_knowledge_definition\" arguments='{\"name\": \"net revenue\"}' />",
         "mixed": '{"name":"a","arguments":{}}\n{"db_id": "x"}\n{"operations":[{"kind":"y"}]} {"name": "b", "arguments": "{\\"k\\": [1]}"} {"name": "", "arguments": {}} {"name": "c", "arguments": 3}',
+        "broken": "<function name='a' arguments='{oops' /> <function name=\"b\" arguments='{\"x\": \"/>\"}' > <FUNCTION arguments='{}' name='c d'/>",
         "none": "{{{{", "empty": "",
     }
     df = spark.createDataFrame([*said.items(), ("null", None)], "k string, t string").withColumn("calls", tool_calls("t"))
     got = {x.k: x for x in df.withColumn("rest", without_calls("t", "calls")).collect()}
     assert {k: [(c.name, c.arguments) for c in x.calls] for k, x in got.items() if k != "null"} == {
-        "tag": [("inspect_schema_diff", "{}")], "fence": [("get_schema_version", "{}")], "quote": [("ask_user", '{"question":"What does \'region\' mean?"}')],
+        "tag": [("inspect_schema_diff", "{}")], "fence": [("get_schema_version", "{}")], "quote": [("ask_user", '{"question":"Is \'net\' the sum less tax?"}')],
         "inner": [("get_knowledge_definition", '{"name":"net revenue"}')], "mixed": [("a", "{}"), ("b", '{"k":[1]}')], "none": [], "empty": [],
+        "broken": [("c d", "{}")],
     }
     assert got["null"].calls is None and got["tag"].rest == "<think>Look.</think>" and got["fence"].rest == "Plan." and got["quote"].rest == ""
