@@ -85,6 +85,7 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_pylist()
         found: list[list[np.ndarray]] = [[] for _ in range(5 + BANDS)]
+        ahead: list[np.ndarray] = []
         for i, _, _, h in words(batch.column(1)):
             a = anchors(h)
             if not len(a) or ids[i] is None:
@@ -97,12 +98,14 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lows = [(mix(rows * salt).min(axis=1) ^ salt).view(np.int64) for salt in _SALTS]
             for column, value in zip(found, (exact_hash(rows).view(np.int64), np.full(len(a), ids[i]), a, np.full(len(a), whole[0]), np.full(len(a), len(h)), *lows), strict=True):
                 column.append(value)
-        columns = [pa.array(np.concatenate([*c, np.zeros(0, np.int64)]).astype(np.int64)) for c in found]
+            ahead.append(np.arange(len(a)) > 0)
+        later = np.concatenate([*ahead, np.zeros(0, bool)])
+        columns = [pa.array(np.concatenate([*c, np.zeros(0, np.int64)]).astype(np.int64), mask=later if k in (3, 4) else None) for k, c in enumerate(found)]
         yield pa.RecordBatch.from_arrays(columns, ["exact", "doc_id", "start", "whole", "n_words", *(f"low{k}" for k in range(BANDS))])
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """exact hash, doc_id, start (word), the hash and number of all the document's words, and the MinHashes low0, ... of the paragraphs of documents."""
+    """exact hash, doc_id, start (word), the hash and number of all the document's words (with its first paragraph; null elsewhere), and the MinHashes low0, ... of the paragraphs of documents."""
     tune(docs.sparkSession)
     schema = "exact long, doc_id long, start long, whole long, n_words long" + "".join(f", low{k} long" for k in range(BANDS))
     return docs.select("doc_id", "text").mapInArrow(_paragraphs, schema)
@@ -129,14 +132,16 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def _copies(offered: DataFrame) -> DataFrame:
     """doc_id, first_doc_id, n_words, cluster of the documents whose words all equal an earlier one's, among those with paragraphs; a doc_id with several texts is none."""
-    each = offered.groupBy("doc_id").agg(F.min("whole").alias("whole"), F.max("whole").alias("other"), F.max("n_words").alias("n_words"), F.min("exact").alias("cluster"))
+    each = offered.where("whole is not null").groupBy("doc_id").agg(F.min("whole").alias("whole"), F.max("whole").alias("other"), F.max("n_words").alias("n_words"), F.min("exact").alias("cluster"))
     each = staged(each, "wholes")
     first = staged(each.groupBy("whole").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
     return each.join(sized(first), "whole").where("doc_id <> first_doc_id and whole = other").select("doc_id", "first_doc_id", "n_words", "cluster")
 
 
-def _repeats(docs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    offered = rows.select("doc_id", "start", "exact", F.explode(F.array(*(f"low{k}" for k in range(BANDS)))).alias("low"))
+def _repeats(docs: DataFrame, rows: DataFrame, similarity: float, apart: DataFrame | None = None) -> DataFrame:
+    """What ``repeats`` says by the staged paragraphs ``rows``, without those of the documents ``apart``."""
+    kept = rows if apart is None else drop_keys(rows, apart, "doc_id")
+    offered = kept.select("doc_id", "start", "exact", F.explode(F.array(*(f"low{k}" for k in range(BANDS)))).alias("low"))
     ends = {"d0": F.min("doc_id"), "d1": F.max("doc_id"), "e0": F.min("exact"), "e1": F.max("exact")}
     met = with_totals(offered, "low", "doc_id", ends).where("d0 < d1").groupBy("doc_id", "start", "exact").agg(F.max(F.expr("e0 < e1")).alias("near"))
     met = staged(met, "met")
@@ -146,7 +151,8 @@ def _repeats(docs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     wanted = place.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.flatten(F.collect_list(F.array("at.start", "exact"))).alias("wanted"))
     texts = keep_keys(docs.select("doc_id", "text"), staged(wanted, "wanted"), "doc_id")
     schema = T.StructType([T.StructField("exact", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
-    sets = texts.select("doc_id", "wanted", "text").mapInArrow(_shingle_rows, schema).dropDuplicates(["exact"])
+    sets = texts.select("doc_id", "wanted", "text").mapInArrow(_shingle_rows, schema)
+    # A paragraph that comes twice, from rows that share a doc_id, meets itself without effect.
     sets = staged(sets.select(F.col("exact").alias("rep"), F.col("exact").alias("key"), F.col("shingles").alias("tokens")), "sets")
     share = Fraction(similarity).limit_denominator(10**6)
     threshold = Threshold(share.numerator, share.denominator)
@@ -215,9 +221,7 @@ def spans(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     rows = staged(paragraphs(docs), "paragraphs")
     copies = staged(_copies(rows), "copies")
-    distinct = staged(drop_keys(rows, copies.select("doc_id"), "doc_id"), "paragraphs")
-    discard(rows)
-    found = _repeats(docs, distinct, similarity)
+    found = _repeats(docs, rows, similarity, copies.select("doc_id"))
     # Ends are found from the outermost paragraphs with an equal one in an earlier document, or else a near one.
     equal, place = F.col("like_exact") == F.col("exact"), ["start", "exact", "like_doc_id", "like_start", "like_exact"]
     ends = {"first": F.struct((~equal).alias("rank"), *place), "last": F.struct(equal.alias("rank"), *place)}
