@@ -26,8 +26,7 @@ UNKNOWN = "und"
 @dataclass(frozen=True)
 class Settings:
     """``per_language``: training texts of each language at most, those with the smallest hashes; ``pieces``: windows of
-    each, spread evenly over the whole text; ``languages``: how many are learned at most, the most frequent ones.
-    ``stride``: step of the filters along a window."""
+    each, spread evenly over the whole text; every language that has a label is learned. ``stride``: step of the filters along a window."""
 
     window: int = 128
     embed: int = 4
@@ -36,7 +35,6 @@ class Settings:
     stride: int = 2
     per_language: int = 300
     pieces: int = 10
-    languages: int = 200
     epochs: int = 6
     batch: int = 64
     rate: float = 0.01
@@ -170,7 +168,7 @@ def _spread(settings: Settings):
 def sample(docs: DataFrame, settings: Settings) -> tuple[list[np.ndarray], list[str]]:
     """Windows of the ``per_language`` texts of each language with the smallest hashes, and their languages; copies of a text count once."""
     rows = docs.where(~held_out()).where("lang is not null and text is not null and length(text) > 0").select("lang", "text")
-    count = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(settings.languages).collect()}
+    count = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()}
     if not count:
         return [], []
     # Half as many again as are wanted, since hashes vary; then the smallest.

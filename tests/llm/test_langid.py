@@ -84,7 +84,9 @@ def test_sample_is_the_smallest_hashes(spark, rows):
     again = sample(docs.unionByName(docs).repartition(2), s)
     assert langs == again[1] and all((a == b).all() for a, b in zip(pieces, again[0], strict=True))
     assert {lang: langs.count(lang) for lang in langs} == dict.fromkeys(WORDS, 20)
-    assert set(sample(docs, Settings(languages=1))[1]) < set(WORDS)
+    # Every label is learned, however many there are and however rare.
+    many = spark.createDataFrame([(i, f"{'abcdefghij'[i % 10]}x " * 9 + str(i), f"l{i}", "s", 9) for i in range(230)], docs.schema)
+    assert set(sample(many, s)[1]) == {f"l{i}" for i in range(230) if zlib.crc32(str(i).encode()) % 5}
 
 
 def test_brute_force_of_the_query(spark, rows):
