@@ -4,7 +4,7 @@ Documents fall into cells of source, language and topic. The tokens of each cell
 raked: in turn each margin's weights are scaled so that its levels reach their target
 shares, with no cell above the tokens it has, until all margins fit (or can't fit
 better, as a level may hold too little). A document is kept with the calibrated probability
-of its cell, the raked tokens over those there are, by a hash of doc_id, so the draw
+of its cell, the raked tokens over those there are, by a hash of doc_id and text, so the draw
 is reproducible and needs no shuffle.
 
 Every source and language is a level of its own, with its own target. Raking happens on
@@ -22,9 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import sized, staged
 
-#: Levels of source and of language that are told apart besides those named in the targets; rarer ones are REST. None: all are.
-LEVELS: int | None = None
-REST, NONE = "(rest)", "(none)"
+#: The level of rows without a source or language.
+NONE = "(none)"
 MARGINS = ("source", "lang", "topic")
 
 #: Topics by the look of a text, the first that applies: name, pattern, and the least matches among 100 characters.
@@ -96,20 +95,16 @@ def rake(have: np.ndarray, levels: list[np.ndarray], shares: list[np.ndarray], t
     return take
 
 
-def _levels(docs: DataFrame, column: str) -> list[str]:
-    rows = docs.groupBy(column).agg(F.sum("__tokens").alias("n")).orderBy(F.desc("n"), column).limit(LEVELS).collect()
-    return [r[0] for r in rows]
+def draw() -> Column:
+    """A fixed number from 0 to 1 for each document: by doc_id and text, so rows without doc_id are drawn one by one."""
+    return F.pmod(F.xxhash64(F.lit("mixing"), "doc_id", "text"), F.lit(1 << 52)) / float(1 << 52)
 
 
 def _calibrated(docs: DataFrame, targets: Targets) -> DataFrame:
-    """``docs``, which have __topic and __tokens, with __source and __lang (levels), __weight, __p and __take."""
+    """``docs``, which have __topic, __tokens and __draw, with __source and __lang (levels), __weight, __p and __take."""
     rows = docs.withColumns({"__source": F.coalesce(F.col("source").cast("string"), F.lit(NONE)), "__lang": F.coalesce(F.col("lang").cast("string"), F.lit(NONE))})
     # Written, so that levels and cells are counted without reading the texts again.
     counted = staged(rows.groupBy("__source", "__lang", "__topic").agg(F.sum("__tokens").alias("__tokens")), "counted")
-    for column in ("__source", "__lang") if LEVELS is not None else ():
-        keep = [*_levels(counted, column), *targets.weights.get(column[2:], {})]
-        level = F.when(F.col(column).isin(keep), F.col(column)).otherwise(REST)
-        rows, counted = rows.withColumn(column, level), counted.withColumn(column, level)
     names = [f"__{m}" for m in MARGINS]
     cells = counted.groupBy(*names).agg(F.sum("__tokens").alias("n")).orderBy(*names).toArrow()
     have = cells["n"].to_numpy().astype(np.float64)
@@ -128,8 +123,7 @@ def _calibrated(docs: DataFrame, targets: Targets) -> DataFrame:
     probability = np.divide(take, have, out=np.zeros_like(have), where=have > 0)
     weight = probability / (take.sum() / have.sum() if take.sum() else 1.0)
     table = docs.sparkSession.createDataFrame(cells.drop_columns(["n"]).append_column("__weight", pa.array(weight)).append_column("__p", pa.array(probability)))
-    drawn = F.pmod(F.xxhash64(F.lit("mixing"), "doc_id"), F.lit(1 << 52)) / float(1 << 52)
-    return rows.join(sized(table), names).withColumn("__take", drawn < F.col("__p"))
+    return rows.join(sized(table), names).withColumn("__take", F.col("__draw") < F.col("__p"))
 
 
 def mixed(docs: DataFrame, targets: Targets | None = None) -> DataFrame:
@@ -137,11 +131,11 @@ def mixed(docs: DataFrame, targets: Targets | None = None) -> DataFrame:
 
     ``weight`` is the cell's share of the mixture over its share of the corpus. Null sources and
     languages are the level (none); a null or empty text has no tokens, topic short and the probability of its
-    cell (0 where the cell has no tokens). Rows that repeat a doc_id share their fate if they share
-    a cell; a null doc_id is drawn like any other. Other columns don't matter; an empty table gives
+    cell (0 where the cell has no tokens). Rows that repeat a doc_id and its text share their fate if they share
+    a cell; rows without doc_id are drawn by their texts. Other columns don't matter; an empty table gives
     an empty result.
     """
-    looked = staged(docs.select("doc_id", "source", "lang", topic().alias("__topic"), tokens().alias("__tokens")), "looked")
+    looked = staged(docs.select("doc_id", "source", "lang", topic().alias("__topic"), tokens().alias("__tokens"), draw().alias("__draw")), "looked")
     rows = _calibrated(looked, targets or Targets())
     names = [F.col(f"__{m}").alias(m) for m in MARGINS]
     return rows.select("doc_id", *names, F.col("__tokens").alias("n_tokens"), F.col("__weight").alias("weight"), F.col("__p").alias("probability"), F.col("__take").alias("selected"))
@@ -149,4 +143,4 @@ def mixed(docs: DataFrame, targets: Targets | None = None) -> DataFrame:
 
 def sampled(docs: DataFrame, targets: Targets | None = None) -> DataFrame:
     """The selected rows of ``docs``, with its columns."""
-    return _calibrated(docs.withColumns({"__topic": topic(), "__tokens": tokens()}), targets or Targets()).where("__take").select(docs.columns)
+    return _calibrated(docs.withColumns({"__topic": topic(), "__tokens": tokens(), "__draw": draw()}), targets or Targets()).where("__take").select(docs.columns)
