@@ -65,8 +65,9 @@ def _message(role: str, text: str):
 
 
 def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as JSON records of three layouts, told apart again by their fingerprints."""
+    """Conversations, and one with backslashes, as JSON records of three layouts, told apart again by their fingerprints."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.unionByName(spark.createDataFrame([(-8, 0, "user", r"a\b \\ </turn>"), (-8, 1, "assistant", r'\### "x" \n')], rows.schema))
     turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     as_json = F.lit(None).cast("string")
     for k, (field, role, text) in enumerate(RECORDS):
@@ -155,11 +156,14 @@ SQL = {
                CAST(sum(length(heading) + length(body) + 14) AS BIGINT) AS formatted_chars
         FROM shown GROUP BY conv_id""",
     "chat_records": r"""
-        WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+        WITH rows AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -8, 0, 'user', 'a\b \\ </turn>' UNION ALL SELECT -8, 1, 'assistant', '\### "x" \n'
+        ),
         shown AS (
             SELECT *, CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant'
-                      ELSE '=' || replace(replace(replace(replace(role, '\', '\'), '### ', '#\## '), '</turn>', '<\/turn>'), ':', '\;') END AS heading,
-                   replace(replace(replace(text, '\', '\'), '### ', '#\## '), '</turn>', '<\/turn>') AS body FROM rows
+                      ELSE '=' || replace(replace(replace(replace(role, '\', '\\'), '### ', '#\## '), '</turn>', '<\/turn>'), ':', '\;') END AS heading,
+                   replace(replace(replace(text, '\', '\\'), '### ', '#\## '), '</turn>', '<\/turn>') AS body FROM rows
         )
         SELECT conv_id, CASE (conv_id % 3 + 3) % 3 WHEN 0 THEN 'messages' WHEN 1 THEN 'conversations' ELSE 'messages_text' END AS layout, count(*) AS n_turns,
                sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
