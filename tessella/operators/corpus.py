@@ -287,6 +287,11 @@ def guarded(paths: Sequence[str], forbidden: Sequence[str]) -> list[str]:
     return list(paths)
 
 
+def is_guarded(path: Column, forbidden: Sequence[str]) -> Column:
+    """Whether a path has a forbidden part, for tables of paths; a null path has none."""
+    return F.coalesce(F.arrays_overlap(F.split(F.lower(path), "/"), F.array(*(F.lit(f.lower()) for f in forbidden))), F.lit(False))
+
+
 def unique_first(df: DataFrame, task: str, key: str) -> DataFrame:
     """``place``: (0, ...) for the first row of each task, then the repeats, both in stable order."""
     order = Window.partitionBy(task).orderBy(key)

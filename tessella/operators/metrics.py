@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.positions import ranked
+
 #: Terminations that submitted something.
 SUBMITTED = ("submitted", "fallback_submitted", "contract_validated_auto_submit")
 
@@ -38,3 +40,22 @@ def paired(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     rows = first.withColumnRenamed("ok", "a").join(second.withColumnRenamed("ok", "b"), key)
     a, b = F.col("a"), F.col("b")
     return rows.agg(F.count("*").alias("n"), F.count_if(b & ~a).alias("gains"), F.count_if(a & ~b).alias("losses"), F.count_if(a & b).alias("both"))
+
+
+def quantiles(df: DataFrame, group: str, value: str, points: dict[str, float]) -> DataFrame:
+    """group and a column for each point (name to share, 0 to 1): exact quantiles, between two values in proportion; null values don't count.
+
+    Values are ranked by ranges of (group, value), so a group may be as large as the table: a range and one row for each
+    range and group in it is all that a task holds. Only the two rows about each point are gathered.
+    """
+    ranks = ranked(df.select(group, F.col(value).cast("double").alias("__v")).where("__v is not null"), [group], ["__v"], "__r", "__n")
+    at = {name: share * (F.col("__n") - 1) + 1 for name, share in points.items()}
+    near = None
+    for place in at.values():
+        here = F.col("__r").isin(F.floor(place), F.ceil(place))
+        near = here if near is None else near | here
+    out = []
+    for name, place in at.items():
+        low, high = (F.max(F.when(F.col("__r") == f(place), F.col("__v"))) for f in (F.floor, F.ceil))
+        out.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
+    return ranks.where(near).groupBy(group).agg(*out)

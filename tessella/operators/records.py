@@ -66,22 +66,6 @@ def clarified(questions: DataFrame, key: str, order: str, ambiguities: DataFrame
     return out.withColumn("outcome", outcome).select(key, "term", "outcome")
 
 
-def ranked_blocks(questions: DataFrame, key: str, query: str, blocks: DataFrame, most_chars: int) -> DataFrame:
-    """key, blocks (names in order, as text), truncated: the schema blocks (place, name, block; a small dimension) that share terms with each question, most first.
-
-    A question that shares none gets all, in their order; blocks are joined by blank lines and cut at ``most_chars``.
-    """
-    held = F.array_sort(F.collect_list(F.struct("place", "name", F.length("block").alias("size"), search_terms(F.col("block")).alias("terms"))))
-    every = blocks.agg(held.alias("held"))
-    rows = questions.select(key, search_terms(F.col(query)).alias("asked")).crossJoin(F.broadcast(every))
-    scored = F.transform("held", lambda b: F.struct((-F.array_size(F.array_intersect("asked", b["terms"]))).alias("s"), b["place"].alias("place"), b["name"].alias("name"), b["size"].alias("size")))
-    rows = rows.withColumn("scored", F.array_sort(scored))
-    some = F.filter("scored", lambda b: b["s"] < 0)
-    rows = rows.withColumn("chosen", F.when(F.size(some) > 0, some).otherwise(F.col("scored")))
-    total = F.aggregate("chosen", F.lit(0), lambda a, b: a + b["size"]) + 2 * (F.size("chosen") - 1)
-    return rows.select(key, F.array_join(F.transform("chosen", lambda b: b["name"]), ",").alias("blocks"), (total > most_chars).alias("truncated"))
-
-
 def packed_context(questions: DataFrame, key: str, text: str, needed: str, objects: DataFrame, budget: int) -> DataFrame:
     """key, chosen: names of the objects (name, ddl; a small dimension) that go into a prompt, sorted: the needed ones, then others by shared terms (the
     shorter, then the later name first among equals) as far as each fits the budget; one that doesn't fit is passed over."""
@@ -94,23 +78,3 @@ def packed_context(questions: DataFrame, key: str, text: str, needed: str, objec
     begin = F.struct(F.aggregate("start", F.lit(0), lambda a, o: a + o["size"]).alias("used"), F.transform("start", lambda o: o["name"]).alias("names"))
     add = lambda a, o: F.when(a["used"] - o["z"] <= budget, F.struct((a["used"] - o["z"]).alias("used"), F.array_append(a["names"], o["name"]).alias("names"))).otherwise(a)
     return rows.select(key, F.array_sort(F.aggregate("others", begin, add)["names"]).alias("chosen"))
-
-
-#: Entries of a knowledge base at most; a larger one is an error, as it is held beside each question.
-MOST_ENTRIES = 10_000
-
-
-def best_entries(questions: DataFrame, key: str, text: str, base: DataFrame, k: int) -> DataFrame:
-    """key, knowledge, phrase, overlap: the k entries of a knowledge base (knowledge, entry) that fit each question best.
-
-    Whole phrases first (the name in the question or the question in the name), then by shared terms, then by name;
-    entries that share nothing are left out.
-    """
-    if base.limit(MOST_ENTRIES + 1).count() > MOST_ENTRIES:
-        raise ValueError(f"a knowledge base of more than {MOST_ENTRIES} entries")
-    held = F.collect_list(F.struct("knowledge", search_terms(F.concat_ws(" ", "knowledge", "entry")).alias("terms")))
-    rows = questions.select(key, F.lower(F.trim(text)).alias("q"), search_terms(F.col(text)).alias("asked")).where("q <> ''").crossJoin(F.broadcast(base.agg(held.alias("held"))))
-    phrase = lambda e: (F.contains(F.lower(e["knowledge"]), F.col("q")) | F.contains(F.col("q"), F.lower(e["knowledge"]))).cast("int")
-    fit = F.transform("held", lambda e: F.struct((-phrase(e)).alias("p"), (-F.array_size(F.array_intersect("asked", e["terms"]))).alias("o"), e["knowledge"].alias("knowledge")))
-    best = F.slice(F.array_sort(F.filter(fit, lambda e: (e["p"] < 0) | (e["o"] < 0))), 1, k)
-    return rows.select(key, F.explode(best).alias("e")).select(key, "e.knowledge", (F.col("e.p") < 0).alias("phrase"), (-F.col("e.o")).alias("overlap"))

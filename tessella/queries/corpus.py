@@ -226,16 +226,11 @@ def coverage(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "supplier").select("s_suppkey", *(c.alias(n) for n, c in plan.items()))
 
 
-@query("e29_source_guard", "SELECT 'data/train/a.jsonl' AS path, true AS allowed UNION ALL SELECT 'data/Test/b.jsonl', false UNION ALL SELECT 'data/latest/c.jsonl', true UNION ALL SELECT 'gate/d.jsonl', false")
+@query("e29_source_guard", """
+    SELECT page_id, len(list_filter(string_split(lower(url), '/'), lambda x: x IN ('fr', 'de', 'gate'))) = 0 AS allowed FROM pages""")
 def guard(spark: SparkSession, sf: str) -> DataFrame:
-    """Which paths may be trained on."""
-    rows = []
-    for path in ("data/train/a.jsonl", "data/Test/b.jsonl", "data/latest/c.jsonl", "gate/d.jsonl"):
-        try:
-            rows.append((path, bool(corpus.guarded([path], ["dev", "test", "gate"]))))
-        except ValueError:
-            rows.append((path, False))
-    return spark.createDataFrame(rows, "path string, allowed boolean")
+    """Which pages may be trained on, by the parts of their addresses."""
+    return table(spark, sf, "pages").select("page_id", (~corpus.is_guarded(F.col("url"), ["FR", "de", "gate"])).alias("allowed"))
 
 
 @query("e20_category_quota", f"""

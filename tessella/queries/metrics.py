@@ -131,7 +131,16 @@ def errors(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("a15_length_spread", "SELECT lang, min(n_chars) AS low, CAST(median(n_chars) AS DOUBLE) AS mid, max(n_chars) AS high FROM documents GROUP BY lang")
 def lengths(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").groupBy("lang").agg(F.min("n_chars").alias("low"), F.median("n_chars").alias("mid"), F.max("n_chars").alias("high"))
+    """The least, the middle and the largest text length of each language."""
+    return metrics.quantiles(table(spark, sf, "documents"), "lang", "n_chars", {"low": 0.0, "mid": 0.5, "high": 1.0}).select("lang", F.col("low").cast("long").alias("low"), "mid", F.col("high").cast("long").alias("high"))
+
+
+@query("a15_price_quantiles", """
+    SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 6) AS p10, round(median(l_extendedprice), 6) AS p50, round(quantile_cont(l_extendedprice, 0.99), 6) AS p99 FROM lineitem GROUP BY 1""")
+def prices(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact quantiles of a few very large groups."""
+    found = metrics.quantiles(table(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice", {"p10": 0.1, "p50": 0.5, "p99": 0.99})
+    return found.select("l_returnflag", *(F.round(c, 6).alias(c) for c in ("p10", "p50", "p99")))
 
 
 @query("a16_prompt_groups", "SELECT regexp_replace(replace(url, '/', '_'), '_[^_]*_[^_]*$', '') AS prompt_group, count(*) AS n FROM pages GROUP BY 1")

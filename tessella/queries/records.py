@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators import records
+from tessella.operators import records, retrieval
 from tessella.registry import query, table
 
 _DDL = {
@@ -93,23 +93,49 @@ def clarified(spark: SparkSession, sf: str) -> DataFrame:
     return records.clarified(asked, "item_id", "item_id", terms, 2)
 
 
+_RANKED = """
+         p AS (SELECT *, max(k) OVER (PARTITION BY item_id) AS best FROM s),
+         c AS (SELECT *, row_number() OVER w AS n, sum(size + 2) OVER w - 2 AS until FROM p WHERE k > 0 OR best = 0 WINDOW w AS (PARTITION BY item_id ORDER BY k DESC, place))
+    SELECT item_id, string_agg(name, ',' ORDER BY n) FILTER (until - size < {0}) AS blocks, max(until) > {0} AS truncated FROM c GROUP BY 1"""
+
+
 @query("t26_schema_blocks", f"""
-    WITH s AS (SELECT item_id, place, name, length(block) AS size, len(list_intersect({_TERMS.format("text")}, {_TERMS.format("block")})) AS k FROM benchmark CROSS JOIN {_BLOCKS}),
-         p AS (SELECT *, max(k) OVER (PARTITION BY item_id) AS best FROM s)
-    SELECT item_id, string_agg(name, ',' ORDER BY k DESC, place) AS blocks, sum(size) + 2 * (count(*) - 1) > 150 AS truncated FROM p WHERE k > 0 OR best = 0 GROUP BY 1""")
+    WITH s AS (SELECT item_id, place, name, length(block) AS size, len(list_intersect({_TERMS.format("text")}, {_TERMS.format("block")})) AS k FROM benchmark CROSS JOIN {_BLOCKS}),{_RANKED.format(150)}""")
 def schema_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Parts of a schema for each question, by shared terms."""
-    return records.ranked_blocks(table(spark, sf, "benchmark"), "item_id", "text", blocks(spark), 150)
+    return retrieval.ranked_blocks(table(spark, sf, "benchmark"), "item_id", "text", blocks(spark), 150)
+
+
+@query("t26_document_blocks", f"""
+    WITH d AS (SELECT doc_id AS place, 'd' || doc_id AS name, left(text, 400) AS block FROM documents WHERE length(text) > 0),
+         s AS (SELECT item_id, place, name, length(block) AS size, len(list_intersect({_TERMS.format("text")}, {_TERMS.format("block")})) AS k FROM benchmark CROSS JOIN d),{_RANKED.format(1500)}""")
+def document_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over a base that grows with the data: the beginnings of all documents."""
+    base = table(spark, sf, "documents").where("length(text) > 0").select(F.col("doc_id").alias("place"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), F.substring("text", 1, 400).alias("block"))
+    return retrieval.ranked_blocks(table(spark, sf, "benchmark"), "item_id", "text", base, 1500)
+
+
+_BEST = """
+         s AS (SELECT item_id, knowledge, contains(q, lower(knowledge)) OR contains(lower(knowledge), q) AS phrase, CAST(len(list_intersect(t, u)) AS INTEGER) AS overlap FROM q CROSS JOIN k)
+    SELECT * FROM s WHERE phrase OR overlap > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY phrase DESC, overlap DESC, knowledge) <= {}"""
+_ASKED = f"q AS (SELECT item_id, lower(trim(text)) AS q, {_TERMS.format('text')} AS t FROM benchmark)"
 
 
 @query("t27_knowledge_top_k", f"""
-    WITH k AS (SELECT name AS knowledge, block FROM {_BLOCKS} UNION ALL SELECT 'hea', 'x'), q AS (SELECT item_id, lower(trim(text)) AS q, {_TERMS.format("text")} AS t FROM benchmark),
-         s AS (SELECT item_id, knowledge, contains(q, knowledge) OR contains(knowledge, q) AS phrase, CAST(len(list_intersect(t, {_TERMS.format("knowledge || ' ' || block")})) AS INTEGER) AS overlap FROM q CROSS JOIN k)
-    SELECT * FROM s WHERE phrase OR overlap > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY phrase DESC, overlap DESC, knowledge) <= 2""")
+    WITH k AS (SELECT knowledge, {_TERMS.format("knowledge || ' ' || block")} AS u FROM (SELECT name AS knowledge, block FROM {_BLOCKS} UNION ALL SELECT 'hea', 'x')), {_ASKED},{_BEST.format(2)}""")
 def knowledge(spark: SparkSession, sf: str) -> DataFrame:
     """The two entries of a knowledge base that fit each question best."""
     base = blocks(spark).select(F.col("name").alias("knowledge"), F.col("block").alias("entry")).unionByName(spark.createDataFrame([("hea", "x")], "knowledge string, entry string"))
-    return records.best_entries(table(spark, sf, "benchmark"), "item_id", "text", base, 2)
+    return retrieval.best_entries(table(spark, sf, "benchmark"), "item_id", "text", base, 2)
+
+
+@query("t27_document_knowledge", f"""
+    WITH k AS (SELECT left(text, 20) || ' ' || doc_id AS knowledge, {_TERMS.format("left(text, 20) || ' ' || doc_id || ' ' || left(text, 400)")} AS u FROM documents WHERE text IS NOT NULL), {_ASKED},{_BEST.format(3)}""")
+def document_knowledge(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over a base that grows with the data: an entry for each document."""
+    name = F.concat(F.substring("text", 1, 20), F.lit(" "), F.col("doc_id").cast("string"))
+    base = table(spark, sf, "documents").where("text IS NOT NULL").select(name.alias("knowledge"), F.substring("text", 1, 400).alias("entry"))
+    return retrieval.best_entries(table(spark, sf, "benchmark"), "item_id", "text", base, 3)
 
 
 # Packed greedily in a recursive query: one object after the other, by rank.

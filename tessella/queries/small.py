@@ -30,11 +30,19 @@ def unique_names(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(b, tasks.unique_name(b, columns)) for b in ("n_name", "N_NAME", "fresh")], "base string, name string")
 
 
-@query("h15_experiments", """SELECT * FROM (VALUES ('base_sft', 40, 0.25::DOUBLE, 0, 'SFT', false), ('long_grpo', 40, 0.5::DOUBLE, 1, 'GRPO', true), ('named', 8, 0.0::DOUBLE, 0, 'Special', false)) t(experiment_id, tasks, success_rate, unsafe, category, selected)""")
+@query("h15_experiments", """
+    WITH r AS (SELECT CASE WHEN o_custkey % 3 = 0 THEN 'base_' WHEN o_custkey % 3 = 1 THEN 'grpo_' ELSE 'named_' END || o_custkey AS experiment_id, o_custkey, count(*) AS tasks, count(*) FILTER (o_orderstatus = 'F') AS good, count(*) FILTER (o_orderstatus = 'P') AS unsafe FROM orders GROUP BY 1, 2)
+    SELECT experiment_id, CAST(tasks AS INTEGER) AS tasks, round(good / tasks, 4) AS success_rate, CAST(CASE WHEN o_custkey % 2 = 0 THEN unsafe ELSE 0 END AS INTEGER) AS unsafe,
+           CASE o_custkey % 3 WHEN 0 THEN 'SFT' WHEN 1 THEN 'GRPO' ELSE 'Special' END AS category, o_custkey % 3 = 1 AS selected FROM r""")
 def experiments(spark: SparkSession, sf: str) -> DataFrame:
-    """The catalogue of a manifest in its older form."""
-    manifest = """{"tune_selection": {"results": {"base_sft": {"tasks": 40, "task_success_rate": 0.25}, "long_grpo": {"tasks": 40, "task_success_rate": 0.5, "unsafe_tasks": 1}, "named": {"tasks": 8, "category": "Special"}}}, "candidate": {"experiment_id": "long_grpo"}}"""
-    return tasks.experiments(spark.createDataFrame([(manifest,)], "m string"), "m")
+    """The catalogue of many manifests in their older form, each with a customer's orders as its results."""
+    k = F.col("o_custkey") % 3
+    name = F.concat(F.when(k == 0, "base_").when(k == 1, "grpo_").otherwise("named_"), F.col("o_custkey").cast("string"))
+    rows = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("tasks"), F.round(F.count_if(F.col("o_orderstatus") == "F") / F.count("*"), 4).alias("rate"), F.count_if(F.col("o_orderstatus") == "P").alias("unsafe"))
+    result = F.struct(F.when(k == 2, "Special").alias("category"), "tasks", F.col("rate").alias("task_success_rate"), F.when(F.col("o_custkey") % 2 == 0, F.col("unsafe")).alias("unsafe_tasks"))
+    chosen = F.struct(F.when(k == 1, name).otherwise("another").alias("experiment_id"))
+    manifest = F.to_json(F.struct(F.struct(F.create_map(name, result).alias("results")).alias("tune_selection"), chosen.alias("candidate")))
+    return tasks.experiments(rows.select(manifest.alias("m")), "m")
 
 
 @query("k06_clean_control", f"SELECT *, true AS equal FROM {sealed_sql('customer', ('i', 'c_custkey'), ('s', 'c_name'))}")

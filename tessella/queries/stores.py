@@ -78,21 +78,25 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(files.ddl_with_samples("region", table(spark, sf, "region"), ["r_regionkey"]),)], "shown string")
 
 
-@query("s14_listed_files", "SELECT * FROM (VALUES ('a.txt', CAST(6 AS BIGINT))) t(name, length)")
+@query("s14_listed_files", """
+    SELECT 'region=' || n_regionkey AS name, CAST(sum(strlen(n_name) + 1) AS BIGINT) AS length FROM nation GROUP BY n_regionkey HAVING sum(strlen(n_name) + 1) <= 50""")
 def listed(spark: SparkSession, sf: str) -> DataFrame:
-    """Files by pattern and size, contents unread."""
-    to = _place(spark, "listed")
-    for name, text in (("a", "hello"), ("b", "a longer line")):
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{to}/{name}")
-    found = files.list_files(spark, to, "*.txt", 10)
-    return found.select(F.concat(F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1), F.lit(".txt")).alias("name"), "length")
+    """Files by pattern and size, contents unread: a file of names for each region."""
+    nations = table(spark, sf, "nation").select(F.col("n_name").alias("value"), F.col("n_regionkey").alias("region"))
+    nations.repartition(1).write.partitionBy("region").text(to := _place(spark, "listed"))
+    return files.list_files(spark, to, "*.txt", 50).select(F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("name"), "length")
 
 
-@query("s17_schema_of_ddl", "SELECT * FROM (VALUES (0, 'id', 'bigint'), (1, 'name', 'string'), (2, 'tags', 'array<string>')) t(position, column_name, data_type)")
+@query("s17_schema_of_ddl", """
+    SELECT table_name, CAST(ordinal_position - 1 AS INTEGER) AS position, column_name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' ELSE 'string' END AS data_type
+    FROM information_schema.columns WHERE table_name IN ('nation', 'region', 'supplier')""")
 def schema_of_ddl(spark: SparkSession, sf: str) -> DataFrame:
-    """A schema from its definition, without any data."""
-    fields = files.schema_of("id bigint, name string, tags array<string>").fields
-    return spark.createDataFrame([(i, f.name, f.dataType.simpleString()) for i, f in enumerate(fields)], "position int, column_name string, data_type string")
+    """Schemas read back from the tables' definitions, without their data."""
+    rows = []
+    for name in ("nation", "region", "supplier"):
+        said = files.ddl(name, table(spark, sf, name))
+        rows += [(name, i, f.name, f.dataType.simpleString()) for i, f in enumerate(files.schema_of(said[said.index("(") + 1 : -1]).fields)]
+    return spark.createDataFrame(rows, "table_name string, position int, column_name string, data_type string")
 
 
 @query("s04_parquet_scan", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01'")
