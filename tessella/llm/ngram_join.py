@@ -108,17 +108,19 @@ def profiles(docs: DataFrame, threshold: Threshold) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_profiles(threshold), "doc_id long, n_shingles long, key long, offers array<long>")
 
 
-def blocks(offered: DataFrame, need: Column) -> DataFrame:
+def blocks(offered: DataFrame, need: Column, plain: bool = False) -> DataFrame:
     """node, block: the blocks in which each class can meet partners.
 
     ``offered`` has node, n (size of the whole set) and token. Linked classes share at least ``need`` (over n)
-    of the tokens that either offers.
+    of the tokens that either offers. ``plain``: hardly a node offers a token twice, so they are listed as they come;
+    one that does comes to more blocks.
     """
+    each = F.struct("df", "token", "low")
     shared = (
         with_totals(offered, "token", "node", {"df": F.count("*"), "low": F.min("node"), "high": F.max("node")})
         .where("low < high")
         .groupBy("node")
-        .agg(F.max("n").alias("n"), F.collect_set(F.struct("df", "token", "low")).alias("shared"))
+        .agg(F.max("n").alias("n"), (F.collect_list(each) if plain else F.collect_set(each)).alias("shared"))
         .withColumn("need", need)
         .where(F.size("shared") >= F.col("need"))
     )
@@ -137,7 +139,7 @@ def first_blocks(prof: DataFrame, threshold: Threshold) -> DataFrame:
 def finer_blocks(sets: DataFrame, threshold: Threshold) -> DataFrame:
     """key, block: blocks by whole sets, so that a passage that many classes hold makes none."""
     offered = sets.select(F.col("key").alias("node"), F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    return blocks(offered, F.ceil(F.col("n") * threshold.num / threshold.den).cast("int")).withColumnRenamed("node", "key")
+    return blocks(offered, F.ceil(F.col("n") * threshold.num / threshold.den).cast("int"), plain=True).withColumnRenamed("node", "key")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
