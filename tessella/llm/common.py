@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Most rows of a key table that a join may broadcast; above it the join shuffles.
-BROADCAST_KEYS = 100_000
+BROADCAST_KEYS = 200_000
 
 #: Rows and bytes of one Arrow batch, so that a Python worker holds little at once.
 ARROW_ROWS, ARROW_BYTES = 512, 16 << 20
