@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,6 +81,19 @@ def round_robin(df: DataFrame, stratum: Sequence[str], n: int, key: str, seed: s
     return df.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= n).orderBy("turn", *stratum).limit(n)
 
 
+def one_each_then_fill(df: DataFrame, stratum: str, n: int, key: str, seed: str = "") -> DataFrame:
+    """n rows: the first of each stratum in stable order, by key, then others in stable order over all. The limit is the operator's own.
+
+    Firsts are minima with map-side combining; both cuts keep n rows a task.
+    """
+    rows = df.withColumn("__order", stable_order(key, seed))
+    first = rows.groupBy(stratum).agg(F.min(F.struct("__order", key)).alias("__first"))
+    firsts = staged(first.select(F.col(f"__first.{key}").alias(key)), "firsts")
+    left = max(0, n - firsts.count())
+    others = rows.join(firsts, key, "left_anti").orderBy("__order", key).limit(left)
+    return df.join(firsts.orderBy(key).limit(n).unionByName(others.select(key)), key, "left_semi")
+
+
 def hash_split(df: DataFrame, group: str) -> DataFrame:
     """``split``: dev for groups whose digest is 0 modulo 5, else train; a group is never cut. Where no group is dev, the last one is."""
     dev = digest_mod5(F.col(group).cast("string")) == 0
@@ -89,90 +101,6 @@ def hash_split(df: DataFrame, group: str) -> DataFrame:
     return df.withColumn("split", F.when(dev if last is None else F.col(group) == last, "dev").otherwise("train"))
 
 
-def _group_counts(df: DataFrame, group: str, labels: Sequence[str]) -> tuple[list, np.ndarray, np.ndarray]:
-    """Groups (largest first), their rows, and their rows of each value of each label; at most MOST_GROUPS groups."""
-    if df.select(group).distinct().limit(MOST_GROUPS + 1).count() > MOST_GROUPS:
-        raise ValueError(f"more than {MOST_GROUPS} groups: use hash_split")
-    sizes = {r[0]: r.n for r in df.groupBy(group).agg(F.count("*").alias("n")).collect()}
-    groups = sorted(sizes, key=lambda g: (-sizes[g], str(g)))
-    at = {g: i for i, g in enumerate(groups)}
-    columns = []
-    for label in labels:
-        cells: dict = {}
-        for r in df.groupBy(group, label).agg(F.count("*").alias("n")).collect():
-            cells.setdefault(r[1], np.zeros(len(groups)))[at[r[0]]] = r.n
-        columns += [cells[k] for k in sorted(cells, key=str)]
-    return groups, np.array([float(sizes[g]) for g in groups]), np.array(columns).reshape(len(columns), len(groups)).T
-
-
-def _imbalance(rows: np.ndarray, cells: np.ndarray, shares: np.ndarray, weight: float) -> float:
-    """Squared relative distance of splits from their shares: rows [split], cells [split, label value]."""
-    want, whole = rows.sum() * shares, cells.sum(0)[None] * shares[:, None]
-    return float(weight * (((rows - want) / np.maximum(want, 1)) ** 2).sum() + (((cells - whole) / np.maximum(whole, 3)) ** 2).sum())
-
-
-def group_split(df: DataFrame, group: str, labels: Sequence[str], shares: Mapping[str, float], frozen: Mapping | None = None, trials: int = 1, seed: int = 0) -> DataFrame:
-    """group, split: whole groups dealt so that rows and labels come near their shares in every split.
-
-    Label counts of each group are made in Spark; the greedy search goes over groups, largest first.
-    It needs the groups (databases or sources, not rows) on the driver, at most MOST_GROUPS. ``frozen``: groups whose
-    split is given. Further trials take equal groups and equal splits in another order; the best of all counts.
-    """
-    groups, sizes, counts = _group_counts(df, group, labels)
-    splits, part, frozen = list(shares), np.array(list(shares.values())), dict(frozen or {})
-    best, least = [], np.inf
-    whole, total = counts.sum(0)[None] * part[:, None], sizes.sum() * part
-    for trial in range(max(1, trials)):
-        r = np.random.default_rng([seed, trial])
-        rows, cells, dealt = np.zeros(len(part)), np.zeros((len(part), counts.shape[1])), {}
-        for g, s in frozen.items():
-            if g in groups:
-                i, k = groups.index(g), splits.index(s)
-                rows[k] += sizes[i]
-                cells[k] += counts[i]
-                dealt[g] = s
-        free = [i for i, g in enumerate(groups) if g not in dealt]
-        for i in sorted(free, key=lambda i: (-sizes[i], r.random() if trial else i)):
-            # Only the split that takes the group changes its part of the sum.
-            now = 4 * ((rows - total) / np.maximum(total, 1)) ** 2 + (((cells - whole) / np.maximum(whole, 3)) ** 2).sum(1)
-            then = 4 * ((rows + sizes[i] - total) / np.maximum(total, 1)) ** 2 + (((cells + counts[i] - whole) / np.maximum(whole, 3)) ** 2).sum(1)
-            k = min(range(len(part)), key=lambda k: (then[k] - now[k], r.random() if trial else splits[k]))
-            rows[k] += sizes[i]
-            cells[k] += counts[i]
-            dealt[groups[i]] = splits[k]
-        if (cost := _imbalance(rows, cells, part, 4.0)) < least:
-            best, least = list(dealt.items()), cost
-    kind = df.schema[group].dataType.simpleString()
-    return df.sparkSession.createDataFrame(best, f"{group} {kind}, split string")
-
-
-def exact_split(df: DataFrame, group: str, labels: Sequence[str], shares: Mapping[str, float], trials: int = 5000, seed: int = 0) -> DataFrame:
-    """group, split: so many whole groups to each split as its share says (one at least), the best of random deals.
-
-    Groups per split are rounded half to even, the last split has the rest. Counts are made in Spark, the search is on
-    the driver, over at most MOST_GROUPS groups.
-    """
-    groups, sizes, counts = _group_counts(df, group, labels)
-    splits, part = list(shares), np.array(list(shares.values()))
-    if len(groups) < len(splits):
-        raise ValueError("there are fewer groups than splits")
-    many, left = [], len(groups)
-    for k in range(len(splits) - 1):
-        many.append(min(max(round(len(groups) * part[k]), 1), left - (len(splits) - 1 - k)))
-        left -= many[-1]
-    bounds = np.cumsum([0, *many, left])
-    order = np.argsort([str(g) for g in groups], kind="stable")
-    best, least = None, np.inf
-    for trial in range(trials):
-        deal = np.random.default_rng([seed, trial]).permutation(order)
-        parts = [deal[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
-        cost = _imbalance(np.array([sizes[p].sum() for p in parts]), np.array([counts[p].sum(0) for p in parts]), part, 8.0)
-        if cost < least:
-            best, least = parts, cost
-    rows = [(groups[i], s) for s, p in zip(splits, best, strict=True) for i in p]
-    return df.sparkSession.createDataFrame(rows, f"{group} {df.schema[group].dataType.simpleString()}, split string")
-
-
 def allocate(df: DataFrame, key: str, rules: Sequence[tuple[str, Column, int]], rest: str) -> DataFrame:
     """``split``: each rule (split, condition, n) takes the first n keys that it fits and no earlier rule took, in stable order seeded
     by split and place of the rule; ``rest`` takes what is left. A rule that finds fewer than n is an error."""
@@ -190,9 +118,6 @@ def allocate(df: DataFrame, key: str, rules: Sequence[tuple[str, Column, int]],
     return df.join(taken, key, "left").withColumn("split", F.coalesce("split", F.lit(rest)))
 
 
-MOST_GROUPS = 10_000
-
-
 def leaks(df: DataFrame, split: str, group: str) -> DataFrame:
     """Groups that stand in more than one split."""
     return df.groupBy(group).agg(F.count_distinct(split).alias("splits")).where("splits > 1")

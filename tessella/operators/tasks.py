@@ -26,8 +26,9 @@ def next_batch(candidates: DataFrame, done: DataFrame, key: str, group: str, n:
     """The next n candidates that aren't done: groups with the fewest done come first, one of each in turn, by key."""
     have = done.groupBy(group).agg(F.count("*").alias("__have"))
     rows = candidates.join(done.select(key), key, "left_anti").join(have, group, "left")
-    turn = F.coalesce("__have", F.lit(0)) + F.row_number().over(Window.partitionBy(group).orderBy(key))
-    return rows.withColumn("turn", turn).drop("__have").orderBy("turn", group, key).limit(n)
+    # No group gives more than n, so tasks keep n rows of each ahead of the shuffle.
+    rows = rows.withColumn("__place", F.row_number().over(Window.partitionBy(group).orderBy(key))).where(F.col("__place") <= n)
+    return rows.withColumn("turn", F.coalesce("__have", F.lit(0)) + F.col("__place")).drop("__have", "__place").orderBy("turn", group, key).limit(n)
 
 
 def oracle_trajectory(tasks: DataFrame, key: str, profile: str, stale: str, repaired: str) -> DataFrame:

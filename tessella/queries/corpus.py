@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.hashing import stable_order
-from tessella.operators import corpus
+from tessella.operators import corpus, splits
 from tessella.registry import query, table
 
 
@@ -77,18 +76,55 @@ def residual(spark: SparkSession, sf: str) -> DataFrame:
 SHARES = {"train": 0.7, "tune": 0.15, "test": 0.15}
 
 
-@query("e07_group_split")
+# Sizes, label counts in one order, and all groups' label counts.
+_COUNTS = f"""
+    size AS (SELECT db_id, count(*) AS n FROM ({_TASKS}) GROUP BY 1), kinds AS (SELECT kind, count(*) AS whole FROM ({_TASKS}) GROUP BY 1),
+    cell AS (SELECT db_id, kind, count(*) AS n FROM ({_TASKS}) GROUP BY 1, 2),
+    each AS (SELECT db_id, kind, whole, coalesce(c.n, 0) AS n FROM size CROSS JOIN kinds LEFT JOIN cell c USING (db_id, kind)),
+    part(i, split, share) AS (VALUES (1, 'train', 0.7::DOUBLE), (2, 'tune', 0.15::DOUBLE), (3, 'test', 0.15::DOUBLE))"""
+
+
+@query("e07_group_split", f"""
+    WITH RECURSIVE {_COUNTS},
+         lists AS (SELECT db_id, list(CAST(n AS DOUBLE) ORDER BY kind) AS c, list(CAST(whole AS DOUBLE) ORDER BY kind) AS w FROM each GROUP BY 1),
+         total AS (SELECT CAST(sum(n) AS DOUBLE) AS total, max(db_id) AS frozen FROM size),
+         o AS (SELECT trial, db_id, n, c, w, db_id = frozen AS fixed, row_number() OVER (PARTITION BY trial ORDER BY db_id <> frozen, n DESC, sha256('0:' || trial || ':' || db_id), db_id) AS k
+               FROM range(20) t(trial), size JOIN lists USING (db_id), total),
+         run AS (
+           SELECT trial, CAST(0 AS BIGINT) AS k, [0, 0, 0]::DOUBLE[] AS had, list_transform([1, 2, 3], lambda s: list_transform(w, lambda x: 0::DOUBLE)) AS have, []::BIGINT[] AS dealt FROM o WHERE k = 1
+           UNION ALL
+           SELECT trial, k, list_transform([1, 2, 3], lambda s: had[s] + CASE WHEN s = i THEN n ELSE 0 END),
+                  list_transform([1, 2, 3], lambda s: list_transform(range(1, len(c) + 1), lambda l: have[s][l] + CASE WHEN s = i THEN c[l] ELSE 0 END)), list_append(dealt, i)
+           FROM (SELECT *, CASE WHEN fixed THEN 3 ELSE list_position(rise, list_min(rise)) END AS i FROM (
+             SELECT r.trial, o.k, r.had, r.have, r.dealt, o.n, o.c, o.fixed, list_transform([1, 2, 3], lambda s: round(
+                4 * (power(had[s] + n - total * [0.7, 0.15, 0.15][s], 2) - power(had[s] - total * [0.7, 0.15, 0.15][s], 2)) / power(greatest(total * [0.7, 0.15, 0.15][s], 1), 2)
+                + list_sum(list_transform(range(1, len(c) + 1), lambda l: (power(have[s][l] + c[l] - w[l] * [0.7, 0.15, 0.15][s], 2) - power(have[s][l] - w[l] * [0.7, 0.15, 0.15][s], 2)) / power(greatest(w[l] * [0.7, 0.15, 0.15][s], 3), 2))), 9)) AS rise
+             FROM run r JOIN o ON o.trial = r.trial AND o.k = r.k + 1, total))),
+         ended AS (SELECT r.*, round(list_sum(list_transform([1, 2, 3], lambda s: 4 * power((had[s] - total * [0.7, 0.15, 0.15][s]) / greatest(total * [0.7, 0.15, 0.15][s], 1), 2)
+                + list_sum(list_transform(range(1, len(w) + 1), lambda l: power((have[s][l] - w[l] * [0.7, 0.15, 0.15][s]) / greatest(w[l] * [0.7, 0.15, 0.15][s], 3), 2))))), 9) AS cost
+             FROM run r, total, (SELECT any_value(w) AS w FROM lists) WHERE k = (SELECT count(*) FROM size)),
+         best AS (SELECT * FROM ended ORDER BY cost, trial LIMIT 1)
+    SELECT o.db_id, p.split FROM o JOIN best b ON o.trial = b.trial JOIN part p ON p.i = b.dealt[o.k]""")
 def group_split(spark: SparkSession, sf: str) -> DataFrame:
-    """Sources dealt whole, the smallest of them frozen in test; the best of 20 trials."""
+    """Sources dealt whole, the last of them frozen in test; the best of 20 trials."""
     last = tasks(spark, sf).agg(F.max("db_id")).first()[0]
-    return corpus.group_split(tasks(spark, sf), "db_id", ["kind"], SHARES, {last: "test"}, trials=20)
-
-
-# What doesn't depend on the search: how many groups each split has, and that none is cut.
-@query("e08_exact_split", "SELECT split, CAST(n AS BIGINT) AS groups FROM (SELECT count(DISTINCT source) AS g FROM documents), LATERAL (VALUES ('train', round_even(g * 0.7::DOUBLE, 0)), ('tune', round_even(g * 0.15::DOUBLE, 0)), ('test', g - round_even(g * 0.7::DOUBLE, 0) - round_even(g * 0.15::DOUBLE, 0))) v(split, n)")
+    return splits.group_split(tasks(spark, sf), "db_id", ["kind"], SHARES, {last: "test"}, trials=20)
+
+
+@query("e08_exact_split", f"""
+    WITH {_COUNTS},
+         g AS (SELECT count(*) AS g, sum(n) AS total FROM size),
+         ends AS (SELECT total, greatest(CAST(round_even(g * 0.7::DOUBLE, 0) AS BIGINT), 1) AS a, greatest(CAST(round_even(g * 0.15::DOUBLE, 0) AS BIGINT), 1) AS b FROM g),
+         r AS (SELECT trial, db_id, n, row_number() OVER (PARTITION BY trial ORDER BY sha256('0:' || trial || ':' || db_id), db_id) AS k FROM range(300) t(trial), size),
+         d AS (SELECT trial, db_id, n, CASE WHEN k <= a THEN 1 WHEN k <= a + b THEN 2 ELSE 3 END AS i FROM r, ends),
+         rows AS (SELECT trial, sum(8 * power((n - total * share) / (total * share), 2)) AS cost FROM (SELECT trial, i, sum(n) AS n FROM d GROUP BY 1, 2) JOIN part USING (i), ends GROUP BY 1),
+         cells AS (SELECT trial, sum(power((n - whole * share) / greatest(whole * share, 3), 2)) AS cost
+                   FROM (SELECT trial, i, kind, any_value(whole) AS whole, sum(each.n) AS n FROM d JOIN each USING (db_id) GROUP BY 1, 2, 3) JOIN part USING (i) GROUP BY 1),
+         best AS (SELECT trial FROM rows JOIN cells USING (trial) ORDER BY round(rows.cost + cells.cost, 9), trial LIMIT 1)
+    SELECT db_id, split FROM d JOIN best USING (trial) JOIN part USING (i)""")
 def exact_split(spark: SparkSession, sf: str) -> DataFrame:
-    """Groups of each split, by exact counts; the best of 300 deals."""
-    return corpus.exact_split(tasks(spark, sf), "db_id", ["kind"], SHARES, trials=300).groupBy("split").agg(F.count_distinct("db_id").alias("groups"))
+    """Sources dealt by exact counts; the best of 300 deals."""
+    return splits.exact_split(tasks(spark, sf), "db_id", ["kind"], SHARES, trials=300)
 
 
 @query("e10_allocated", f"""
@@ -256,9 +292,7 @@ def unique_first(spark: SparkSession, sf: str) -> DataFrame:
     SELECT task_id, db_id FROM r ORDER BY k > 1, CASE WHEN k > 1 THEN {ordered("e24")} END, task_id LIMIT 90""")
 def fill(spark: SparkSession, sf: str) -> DataFrame:
     """One of each database first, then others by hash up to a target of 90."""
-    order = Window.partitionBy("db_id").orderBy(stable_order("task_id", "e24"), "task_id")
-    rows = tasks(spark, sf).select("task_id", "db_id").withColumn("k", F.row_number().over(order) > 1)
-    return rows.orderBy("k", F.when(F.col("k"), stable_order("task_id", "e24")), "task_id").limit(90).select("task_id", "db_id")
+    return corpus.one_each_then_fill(tasks(spark, sf).select("task_id", "db_id"), "db_id", 90, "task_id", "e24")
 
 
 @query("e25_mixture", "SELECT doc_id AS id, 'document' AS role, CAST(NULL AS INTEGER) AS toxic FROM documents UNION ALL SELECT doc_id, 'label', toxic FROM labels UNION ALL SELECT item_id, 'benchmark', NULL FROM benchmark")

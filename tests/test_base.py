@@ -14,7 +14,7 @@ import tessella.queries  # noqa: F401
 from tessella import registry
 from tessella.functions.hashing import digest_mod5, same_result, stable_choice
 from tessella.functions.seals import multiset_fingerprint, ordered_fingerprint
-from tessella.operators import corpus, metrics, rollouts
+from tessella.operators import corpus, metrics, rollouts, splits
 from tessella.operators.positions import numbered
 from tessella.plans import drift
 from tessella.sources import files
@@ -116,7 +116,7 @@ def test_numbered(spark):
 def test_group_split_keeps_groups_whole(spark):
     r = random.Random(2)
     rows = [(i, f"g{r.randrange(40)}", r.choice("ab")) for i in range(2000)]
-    split = {x.g: x.split for x in corpus.group_split(spark.createDataFrame(rows, "id long, g string, label string"), "g", ["label"], {"train": 0.6, "tune": 0.2, "test": 0.2}).collect()}
+    split = {x.g: x.split for x in splits.group_split(spark.createDataFrame(rows, "id long, g string, label string"), "g", ["label"], {"train": 0.6, "tune": 0.2, "test": 0.2}).collect()}
     sizes = {s: sum(split[g] == s for _, g, _ in rows) / 2000 for s in ("train", "tune", "test")}
     assert set(split) == {g for _, g, _ in rows} and abs(sizes["train"] - 0.6) < 0.03 and abs(sizes["tune"] - 0.2) < 0.03
 
@@ -257,9 +257,28 @@ def test_splits_and_residual_quotas(spark):
     rows = [(i, f"g{r.randrange(20):02}", r.choice("ab")) for i in range(1000)]
     df = spark.createDataFrame(rows, "id long, g string, label string")
     shares = {"train": 0.6, "tune": 0.2, "test": 0.2}
-    frozen = {x.g: x.split for x in corpus.group_split(df, "g", ["label"], shares, {"g03": "test", "g07": "test"}, trials=10).collect()}
+    frozen = {x.g: x.split for x in splits.group_split(df, "g", ["label"], shares, {"g03": "test", "g07": "test"}, trials=10).collect()}
     assert frozen["g03"] == frozen["g07"] == "test" and set(frozen) == {g for _, g, _ in rows}
-    exact = [x.split for x in corpus.exact_split(df, "g", ["label"], shares, trials=50).collect()]
+    def cost(deal, weight):
+        n, c = len(rows), 0.0
+        for s, share in shares.items():
+            c += weight * ((sum(deal[g] == s for _, g, _ in rows) - n * share) / (n * share)) ** 2
+            for v in "ab":
+                want = share * sum(x == v for *_, x in rows)
+                c += ((sum(x == v and deal[g] == s for _, g, x in rows) - want) / max(want, 3)) ** 2
+        return c
+
+    # The best of ten trials isn't worse than the first, and no random deal of this many is as good as the greedy one.
+    alone = {x.g: x.split for x in splits.group_split(df, "g", ["label"], shares, {"g03": "test", "g07": "test"}, trials=1).collect()}
+    assert cost(frozen, 4) <= cost(alone, 4) + 1e-9
+    dealt = {x.g: x.split for x in splits.exact_split(df, "g", ["label"], shares, trials=50, seed=3).collect()}
+    found = []
+    for trial in range(50):
+        order = sorted(dealt, key=lambda g: (hashlib.sha256(f"3:{trial}:{g}".encode()).hexdigest(), g))
+        deal = dict(zip(order, ["train"] * 12 + ["tune"] * 4 + ["test"] * 4, strict=True))
+        found.append((round(cost(deal, 8), 9), trial, deal))
+    assert dealt == min(found, key=lambda x: x[:2])[2]
+    exact = [x.split for x in splits.exact_split(df, "g", ["label"], shares, trials=50).collect()]
     assert {s: exact.count(s) for s in shares} == {"train": 12, "tune": 4, "test": 4}
     old = df.withColumn("legacy", F.when(F.col("id") < 700, "x"))
     with pytest.raises(Exception, match="legacy profiles exceed"):
@@ -286,3 +305,22 @@ def test_tool_calls(spark):
         "broken": [("c d", "{}")],
     }
     assert got["null"].calls is None and got["tag"].rest == "<think>Look.</think>" and got["fence"].rest == "Plan." and got["quote"].rest == ""
+
+
+def test_splits_of_odd_tables(spark):
+    shares = {"a": 0.5, "b": 0.5}
+    empty = spark.createDataFrame([], "g string, label string")
+    assert splits.group_split(empty, "g", ["label"], shares).count() == 0
+    with pytest.raises(ValueError, match="fewer groups"):
+        splits.exact_split(empty, "g", ["label"], shares)
+    odd = spark.createDataFrame([(None, None), (None, "x"), (1, None), (2, "x"), (2, None)], "g long, label string")
+    got = {x.g: x.split for x in splits.group_split(odd, "g", ["label", "g"], shares, {None: "b"}, trials=3).collect()}
+    assert set(got) == {None, 1, 2} and got[None] == "b"
+    assert splits.exact_split(odd, "g", ["label"], shares, trials=4).where("split = 'a'").count() in (1, 2)
+
+
+def test_splits_of_many_groups(spark):
+    """50,000 groups stream through the trials; shares come out to a hair."""
+    rows = spark.range(200_000).select((F.col("id") % 50_000).alias("g"), (F.col("id") % 7).cast("string").alias("label"))
+    got = splits.group_split(rows, "g", ["label"], {"train": 0.7, "test": 0.3}, trials=2)
+    assert got.count() == 50_000 and got.where("split = 'test'").count() == 15_000
