@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.hashing import stable_order
 from tessella.functions.seals import multiset_fingerprint
 from tessella.functions.texts import search_terms
-from tessella.operators import tasks
+from tessella.operators import generation, tasks
+from tessella.operators.positions import ranked
 from tessella.plans import drift
 from tessella.queries.results import sealed_sql
 from tessella.registry import query, table
+from tessella.sources.staging import shared_dir
 
 
 @query("d09_active_columns", """SELECT * FROM (VALUES (0, 'n_nationkey'), (1, 'n_name'), (2, 'n_regionkey'), (3, 'note'), (4, 'note_2')) t(position, column_name)""")
@@ -95,6 +99,30 @@ def batch(spark: SparkSession, sf: str) -> DataFrame:
     return tasks.next_batch(parts, parts.where("p_partkey % 3 = 0"), "p_partkey", "p_brand", 40)
 
 
+@query("k11_resumed_generation", """
+    WITH c AS (SELECT p_brand, p_partkey, p_size % 3 <> 0 AS ok, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS variant FROM part),
+         f AS (SELECT p_brand, min(variant) AS first FROM c WHERE ok GROUP BY 1),
+         r AS (SELECT c.*, variant - first - 1 AS turn, row_number() OVER (ORDER BY variant - first - 1, p_brand) AS k FROM c JOIN f USING (p_brand) WHERE ok AND variant > first)
+    SELECT p_brand, variant, CAST(-1 AS BIGINT) AS turn, p_partkey FROM c JOIN f USING (p_brand) WHERE variant = first
+    UNION ALL SELECT p_brand, variant, turn, p_partkey FROM r WHERE k <= (SELECT count(*) // 2 FROM part) - (SELECT count(*) FROM f)""")
+def resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """Tasks of each brand, covered first and then in rounds, made in two sittings that share nothing but the store."""
+    parts = table(spark, sf, "part").select("p_partkey", "p_size", F.col("p_brand").alias("brand"))
+    made = ranked(parts, ["brand"], ["p_partkey"], "place").withColumn("at", F.col("place") - 1)
+
+    def attempt(tries: DataFrame) -> DataFrame:
+        rows = tries.join(made, (F.col("group") == F.col("brand")) & (F.col("variant") == F.col("at")), "left")
+        ok = F.coalesce(F.col("p_size") % 3 != 0, F.lit(False))
+        error = F.when(F.col("p_partkey").isNull(), "no such part").when(~ok, "wrong size")
+        return rows.select("group", "variant", "turn", ok.alias("ok"), error.alias("error"), F.col("p_partkey").cast("string").alias("made"))
+
+    groups = parts.select(F.col("brand").alias("group"), F.lit(True).alias("repeats")).distinct()
+    to, n = f"{shared_dir(spark)}/generation-{uuid.uuid4().hex}", parts.count()
+    generation.grow(generation.Store(spark, to), groups, attempt, n // 3, rounds=40, most=n, dry=50)
+    rows = generation.grow(generation.Store(spark, to), groups, attempt, n // 2, rounds=50, most=n, dry=50)
+    return rows.select(F.col("group").alias("p_brand"), "variant", F.coalesce("turn", F.lit(-1).cast("long")).alias("turn"), F.col("made").cast("long").alias("p_partkey"))
+
+
 @query("z06_ordered_schema", "SELECT * FROM (VALUES ('region', 'r_regionkey,r_name'), ('nation', 'n_nationkey,n_name,n_regionkey')) t(table_name, columns)")
 def ordered_schema(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(t, ",".join(table(spark, sf, t).columns)) for t in ("region", "nation")], "table_name string, columns string")
