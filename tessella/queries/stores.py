@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.registry import query, table
-from tessella.sources import files
+from tessella.sources import files, ranges
 from tessella.sources.staging import shared_dir
 
 
@@ -145,10 +145,36 @@ def meanings(spark: SparkSession, sf: str) -> DataFrame:
     return files.read_meanings(spark, to).select("db_id", "column_name", "meaning")
 
 
-@query("s15_sealed_files")
+_ORDER_FILES = """f AS (SELECT o_orderkey % 4 AS step, string_agg('{"o_orderkey":' || o_orderkey || '}' || chr(10), '' ORDER BY o_orderkey) AS t FROM orders GROUP BY 1)"""
+
+
+def _order_files(spark: SparkSession, sf: str) -> str:
+    """Orders as four files with numbers for names."""
+    rows = table(spark, sf, "orders").select("o_orderkey")
+    ranges.write_numbered(rows, F.col("o_orderkey") % 4, F.to_json(F.struct("o_orderkey")), to := _place(spark, "numbered"), ["o_orderkey"])
+    return to
+
+
+@query("s15_sealed_files", f"WITH {_ORDER_FILES} SELECT step || '.jsonl' AS name, CAST(strlen(t) AS BIGINT) AS length, sha256(t) AS sha256 FROM f")
 def sealed(spark: SparkSession, sf: str) -> DataFrame:
-    """name, length and SHA-256 of a folder's small tables."""
-    return files.seal(spark, sf, "*nation*.parquet")
+    """name, length and SHA-256 of files, each read as a stream."""
+    return files.seal(spark, _order_files(spark, sf), "*.jsonl")
+
+
+@query("s15_sealed_blocks", f"""
+    WITH {_ORDER_FILES} SELECT step || '.jsonl' AS name, CAST(strlen(t) AS BIGINT) AS length, CAST(ceil(strlen(t) / 1000) AS BIGINT) AS blocks,
+        sha256(list_aggregate(list_transform(range(0, CAST(ceil(strlen(t) / 1000) AS BIGINT)), lambda i: sha256(substr(t, 1 + i * 1000, 1000))), 'string_agg', '')) AS root FROM f""")
+def sealed_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that no task reads whole: a digest of the digests of their blocks."""
+    blocks = ranges.file_digests(spark, _order_files(spark, sf), "*.jsonl", 1000)
+    return ranges.block_seals(blocks).select(F.regexp_extract("file", r"([^/]+)$", 1).alias("name"), "length", "blocks", "root")
+
+
+@query("s16_numbered_files", "SELECT o_orderkey % 4 AS step, row_number() OVER (PARTITION BY o_orderkey % 4 ORDER BY o_orderkey) AS line, o_orderkey FROM orders")
+def numbered_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files in the order of their numbers, read by byte ranges, with the number of each line."""
+    lines = ranges.with_line(ranges.read_numbered(spark, _order_files(spark, sf), range_bytes=20_000))
+    return lines.select("step", "line", F.get_json_object("value", "$.o_orderkey").cast("long").alias("o_orderkey"))
 
 
 @query("s18_health", "SELECT * FROM (VALUES ('nation', true), ('region', true), ('absent', false)) t(table_name, healthy)")

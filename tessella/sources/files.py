@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.sources.ranges import file_digests
+from tessella.sources.staging import staged
+
+
+#: Rows that are broadcast at most, one for each split of a text file.
+MOST_BROADCAST = 200_000
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Rows of a JSONL file or folder; blank lines are skipped."""
@@ -22,8 +29,11 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value").withColumn("id", F.monotonically_increasing_id())
     splits = text.groupBy("file", "split").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    splits = splits.withColumn("ahead", before).drop("n")
-    return text.join(F.broadcast(splits), ["file", "split"]).select("file", (F.col("ahead") + F.col("id") - F.col("first") + 1).alias("line"), "value")
+    splits = staged(splits.withColumn("ahead", before).drop("n"), "splits")
+    # Within this bound the lines stay where they are; beyond it the same join shuffles them.
+    if splits.count() <= MOST_BROADCAST:
+        splits = F.broadcast(splits)
+    return text.join(splits, ["file", "split"]).select("file", (F.col("ahead") + F.col("id") - F.col("first") + 1).alias("line"), "value")
 
 
 def read_with_errors(spark: SparkSession, path: str, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
@@ -78,15 +88,8 @@ def list_files(spark: SparkSession, path: str, glob: str = "*", most_bytes: int
 
 
 def seal(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """name, length, sha256 of files: a manifest to check them by later."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
-
-
-def read_numbered(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """JSONL files named ``<number>.jsonl``, with their number as ``step``."""
-    rows = spark.read.schema(schema).json(path, pathGlobFilter="*.jsonl")
-    return rows.withColumn("step", F.regexp_extract(F.input_file_name(), r"(\d+)\.jsonl$", 1).cast("long"))
+    """name, length, sha256 of files of any size: a manifest to check them by later."""
+    return file_digests(spark, path, glob).select(F.regexp_extract("file", r"([^/]+)$", 1).alias("name"), "length", "sha256")
 
 
 def columns_of(tables: dict[str, DataFrame], spark: SparkSession) -> DataFrame:

@@ -17,7 +17,7 @@ from tessella.functions.seals import multiset_fingerprint, ordered_fingerprint
 from tessella.operators import corpus, metrics, rollouts, splits
 from tessella.operators.positions import numbered
 from tessella.plans import drift
-from tessella.sources import files
+from tessella.sources import files, ranges
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -207,7 +207,7 @@ def test_files(spark, tmp_path):
     assert files.read_jsonl(spark, str(tmp_path / "cache"), "id long").count() == 4
     (tmp_path / "steps").mkdir()
     (tmp_path / "steps" / "12.jsonl").write_text('{"id": 1}\n')
-    assert files.read_numbered(spark, str(tmp_path / "steps"), "id long").first().step == 12
+    assert ranges.read_numbered(spark, str(tmp_path / "steps"), "id long").first().step == 12
     sealed = files.seal(spark, str(tmp_path), "b.json").first()
     import hashlib
 
