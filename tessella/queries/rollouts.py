@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.operators import rollouts, sessions
+from tessella.operators import rollouts, sessions, token_masks
 from tessella.registry import query, table
 from tessella.streaming import sessions as live
 
@@ -292,3 +292,28 @@ def latest(spark: SparkSession, sf: str) -> DataFrame:
     from tessella.operators.results import last_success
 
     return last_success(events(spark, sf), "rollout", ["at"], "tool = 'execute_sql' AND ok", "sql")
+
+
+_TOKENS = """t AS (SELECT doc_id, i, w, sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(w) - 1 AS s FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, unnest(range(0, len(string_split(text, ' ')))) AS i FROM documents)),
+         c AS (SELECT doc_id, k, ['ask_user', 'submit_solution', 'inspect_schema_diff', 'execute_sql', 'get_schema'][1 + (doc_id + k * k) % 5] AS name, (doc_id + k) % 3 = 0 AS masked, length(text) * k // 5 AS a, length(text) * (k + 1) // 5 AS b FROM documents, range(5) r(k))"""
+
+
+@query("t10_key_action_mask", f"""
+    WITH {_TOKENS},
+         g AS (SELECT c.*, EXISTS (SELECT 1 FROM c d WHERE d.doc_id = c.doc_id AND d.k < c.k AND d.name = 'inspect_schema_diff' AND NOT d.masked) AS later FROM c),
+         n AS (SELECT t.doc_id, t.i, g.k, row_number() OVER (PARTITION BY t.doc_id, g.k ORDER BY t.i DESC) AS back FROM t JOIN g ON g.doc_id = t.doc_id AND t.s < g.b AND t.s + length(t.w) > g.a AND g.a < g.b
+               WHERE name IN ('ask_user', 'submit_solution') OR (NOT masked AND (later OR name = 'execute_sql'))),
+         kept AS (SELECT DISTINCT doc_id, i FROM n WHERE back <= 12 AND i % 7 <> 3),
+         rest AS (SELECT doc_id, i FROM t WHERE i % 7 <> 3 AND doc_id NOT IN (SELECT doc_id FROM kept) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) <= 12)
+    SELECT doc_id, i AS place FROM kept UNION ALL SELECT doc_id, i FROM rest""")
+def key_action_mask(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens that train: the last twelve of each key action, where documents stand for rollouts of five calls."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    words = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "w"))
+    before = F.sum(F.length("w") + 1).over(Window.partitionBy("doc_id").orderBy("i")) - F.length("w") - 1
+    tokens = words.select("doc_id", before.alias("start_char"), (before + F.length("w")).alias("end_char"), (F.col("i") % 7 != 3).alias("active"))
+    names = F.array(*(F.lit(x) for x in ("ask_user", "submit_solution", "inspect_schema_diff", "execute_sql", "get_schema")))
+    each = docs.select("doc_id", F.length("text").cast("long").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    calls = each.select("doc_id", "k", F.get(names, ((F.col("doc_id") + F.col("k") * F.col("k")) % 5).cast("int")).alias("name"), ((F.col("doc_id") + F.col("k")) % 3 == 0).alias("masked"),
+                        F.expr("n * k div 5").alias("start_char"), F.expr("n * (k + 1) div 5").alias("end_char"))
+    return token_masks.key_action_mask(tokens, calls, "doc_id", "k", 12).where("trains").select("doc_id", "place")
