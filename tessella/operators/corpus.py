@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.hashing import digest_mod5, stable_order
-from tessella.operators.positions import ranked
+from tessella.operators.positions import numbered, ranked
 from tessella.sources.staging import staged
 
 
@@ -30,6 +30,16 @@ def grouped_copies(df: DataFrame, keys: Sequence[str], key_id: str) -> DataFrame
     return df.groupBy(*keys).agg(F.min(key_id).alias("representative"), F.count("*").alias("copies"), F.max(key_id).alias("last_id"))
 
 
+def copies_with_ids(df: DataFrame, keys: Sequence[str], key_id: str) -> DataFrame:
+    """keys, representative (the first id), copies, place (1, 2, ...) and id: a row for each id in the order of its group, which may be of any size."""
+    rows = ranked(df.select(*keys, key_id), list(keys), [key_id], "place", "copies")
+    first = rows.where("place = 1").select(*(F.col(k).alias(f"__{k}") for k in keys), F.col(key_id).alias("representative"))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return rows.join(first, same).select(*keys, "representative", "copies", "place", key_id)
+
+
 def _hash_ranked(df: DataFrame, strata: list[str], key: str, seed: str = "") -> DataFrame:
     """``df`` with __rank in stable order within each stratum and __n, the stratum's rows."""
     return ranked(df.withColumn("__order", stable_order(key, seed)), strata, ["__order", key], "__rank", "__n").drop("__order")
@@ -223,6 +233,19 @@ def unique_first(df: DataFrame, task: str, key: str) -> DataFrame:
     return df.withColumn("repeat", (F.row_number().over(order) > 1).cast("int")).withColumn("order_key", stable_order(key))
 
 
+def epoch_order(df: DataFrame, task: str, key: str, seed: str = "") -> DataFrame:
+    """key, ``repeat``, ``position`` (0, 1, ...): the first row of each task, by key, in stable order, then the repeats in stable order.
+
+    First rows are minima with map-side combining; positions come from sorted ranges, so no task orders an epoch or a task's repeats.
+    Null tasks are one task; rows that share task and key are in any order.
+    """
+    first = df.groupBy(F.col(task).alias("__task")).agg(F.min(key).alias(key))
+    heads = first.select("__task", key, F.lit(0).alias("repeat"))
+    told = df.select(task, key).join(heads.withColumnRenamed(key, "__key"), F.col(task).eqNullSafe(F.col("__task")) & (F.col(key) == F.col("__key")), "left")
+    rows = told.select(key, F.coalesce("repeat", F.lit(1)).alias("repeat"), stable_order(key, seed).alias("__order"))
+    return numbered(rows, ["repeat", "__order", key], "position").drop("__order")
+
+
 def same_multiset(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """equal: whether both hold the same texts as often."""
     # A null is no empty text.

@@ -38,6 +38,13 @@ def copies(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.grouped_copies(tasks(spark, sf).withColumn("signature", F.sha2("text", 256)), ["signature"], "task_id")
 
 
+@query("e02_copies_with_ids", f"""
+    SELECT sha256(text) AS signature, min(task_id) OVER g AS representative, count(*) OVER g AS copies, row_number() OVER (PARTITION BY sha256(text) ORDER BY task_id) AS place, task_id FROM ({_TASKS}) WINDOW g AS (PARTITION BY sha256(text))""")
+def copies_with_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Each group of copies with its ids in order."""
+    return corpus.copies_with_ids(tasks(spark, sf).withColumn("signature", F.sha2("text", 256)), ["signature"], "task_id")
+
+
 @query("e03_unique_ids", "SELECT count(*) AS n, count(DISTINCT doc_id) AS ids, count(*) = count(DISTINCT doc_id) AS is_unique FROM documents")
 def unique(spark: SparkSession, sf: str) -> DataFrame:
     return tasks(spark, sf).agg(F.count("*").alias("n"), F.count_distinct("task_id").alias("ids"), (F.count("*") == F.count_distinct("task_id")).alias("is_unique"))
@@ -287,6 +294,15 @@ def unique_first(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.unique_first(rows, "task", "task_id").select("task_id", "repeat", "order_key")
 
 
+@query("e22_epoch_order", f"""
+    SELECT task_id, repeat, row_number() OVER (ORDER BY repeat, {ordered("e22")}, task_id) - 1 AS position
+    FROM (SELECT task_id, CAST(row_number() OVER (PARTITION BY sha256(text) ORDER BY task_id) > 1 AS INTEGER) AS repeat FROM ({_TASKS}))""")
+def epoch_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The order of an epoch: every text once, then what repeats."""
+    rows = tasks(spark, sf).select("task_id", F.sha2("text", 256).alias("task"))
+    return corpus.epoch_order(rows, "task", "task_id", "e22")
+
+
 @query("e24_one_each_then_fill", f"""
     WITH r AS (SELECT task_id, db_id, row_number() OVER (PARTITION BY db_id ORDER BY {ordered("e24")}, task_id) AS k FROM ({_TASKS}))
     SELECT task_id, db_id FROM r ORDER BY k > 1, CASE WHEN k > 1 THEN {ordered("e24")} END, task_id LIMIT 90""")

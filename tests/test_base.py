@@ -324,3 +324,12 @@ def test_splits_of_many_groups(spark):
     rows = spark.range(200_000).select((F.col("id") % 50_000).alias("g"), (F.col("id") % 7).cast("string").alias("label"))
     got = splits.group_split(rows, "g", ["label"], {"train": 0.7, "test": 0.3}, trials=2)
     assert got.count() == 50_000 and got.where("split = 'test'").count() == 15_000
+
+
+def test_copies_and_epochs_of_odd_rows(spark):
+    df = spark.createDataFrame([(3, "a"), (1, "a"), (2, None), (5, None), (4, "b")], "id long, t string")
+    got = {(x.t, x.representative, x.copies, x.place, x.id) for x in corpus.copies_with_ids(df, ["t"], "id").collect()}
+    assert got == {("a", 1, 2, 1, 1), ("a", 1, 2, 2, 3), (None, 2, 2, 1, 2), (None, 2, 2, 2, 5), ("b", 4, 1, 1, 4)}
+    order = [(x.repeat, x.id) for x in corpus.epoch_order(df, "t", "id").orderBy("position").collect()]
+    assert {i for r, i in order[:3]} == {1, 2, 4} and {i for r, i in order[3:]} == {3, 5} and [r for r, _ in order] == [0, 0, 0, 1, 1]
+    assert corpus.epoch_order(df.limit(0), "t", "id").count() == 0 and corpus.copies_with_ids(df.limit(0), ["t"], "id").count() == 0
