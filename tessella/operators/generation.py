@@ -7,13 +7,18 @@ that was not give the same rows, whatever number of rounds a batch makes at once
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.operators.positions import ranked
 from tessella.sources.staging import staged
 
+#: Rounds of a group that one row stands for until they are dealt to tasks.
+STRETCH = 1000
+
 #: From (group, variant, turn) to the same rows with ``ok``, ``error`` (null where ok) and ``made``, a string.
 Attempt = Callable[[DataFrame], DataFrame]
 
@@ -54,14 +59,36 @@ def _covered(store: Store, open_groups: DataFrame, attempt: Attempt, rounds: int
     store.add(kept.select("group", "variant", "turn", "ok", "error", "made"))
 
 
-def _filled(store: Store, per: DataFrame, attempt: Attempt, upto: int, left: int) -> None:
-    """Makes the rounds up to ``upto``, each one attempt of every group, and keeps what lies up to the row that reaches the target."""
-    turns = per.select("group", "next", "turn", F.explode(F.sequence("turn", F.lit(upto).cast("long"))).alias("at"))
+def _dry(made: DataFrame, base: int, upto: int, dry: int) -> int | None:
+    """The turn that ends the first ``dry`` rounds in a row without a right row, up to ``upto``, if there are such; ``base`` is the last turn known to have one.
+
+    Turns go by blocks of ``dry``: only the last right turn of a block can be followed by so many dry ones, and what ends them stands in the next block.
+    """
+    turns = made.where("ok").select("turn").unionByName(made.sparkSession.createDataFrame([(base,)], "turn long"))
+    blocks = turns.groupBy(F.floor(F.col("turn") / dry).alias("block")).agg(F.min("turn").alias("low"), F.max("turn").alias("high"))
+    ahead = blocks.select((F.col("block") - 1).alias("block"), F.col("low").alias("after"))
+    ends = F.col("high") + dry
+    alone = (ends <= upto) & (F.col("after").isNull() | (F.col("after") > ends))
+    return blocks.join(ahead, "block", "left").where(alone).agg(F.min(ends)).first()[0]
+
+
+def _filled(store: Store, per: DataFrame, attempt: Attempt, turn: int, upto: int, left: int, base: int, dry: int) -> None:
+    """Makes the rounds ``turn`` to ``upto``, each one attempt of every group, and keeps what lies up to the row that reaches the target, or to the end of ``dry`` rounds in a row without one."""
+    last = F.lit(upto).cast("long")
+    # Many rounds of few groups would all stand in one task, so they are dealt by stretches.
+    stretches = per.where(F.col("turn") <= upto).select("group", "next", "turn", F.explode(F.sequence("turn", last, F.lit(STRETCH).cast("long"))).alias("from"))
+    if upto - turn >= STRETCH:
+        stretches = stretches.repartition("group", "from")
+    turns = stretches.select("group", "next", "turn", F.explode(F.sequence("from", F.least(F.col("from") + (STRETCH - 1), last))).alias("at"))
     made = staged(attempt(turns.select("group", (F.col("next") + F.col("at") - F.col("turn")).alias("variant"), F.col("at").alias("turn"))), "filling")
     rows = made.select("group", "variant", "turn", "ok", "error", "made")
-    if made.where("ok").count() > left:
-        # A sort and a limit keep ``left`` small rows a task.
-        end = made.where("ok").select("turn", "group").orderBy("turn", "group").limit(left).agg(F.max(F.struct("turn", "group")).alias("end")).first()["end"]
+    # As many rounds as can't hold a dry stretch need no look at them.
+    stop = _dry(made, base, upto, dry) if upto - base >= dry else None
+    if stop is not None:
+        rows = rows.where(F.col("turn") <= stop)
+    right = rows.where("ok").select("turn", "group")
+    if right.count() >= left:
+        end = ranked(right, [], ["turn", "group"], "rank").where(F.col("rank") == left).first()
         rows = rows.where((F.col("turn") < end["turn"]) | ((F.col("turn") == end["turn"]) & (F.col("group") <= end["group"])))
     store.add(rows)
 
@@ -73,7 +100,8 @@ def grow(store: Store, groups: DataFrame, attempt: Attempt, target: int, rounds:
     right. Then come rounds over the groups that repeat, in the order of ``group``, until the target is reached; covering may go beyond it.
     Rejections stay in the store with their errors. ``Exhausted``: a group without a right row after ``most_covering`` variants, ``dry``
     rounds in a row without one, or a group past ``most`` variants. ``attempt`` has to give the same answer for the same variant.
-    ``rounds`` is how many go into one batch; it changes nothing else.
+    ``rounds`` is how many go into the first batch; a later one has as many as the target seems to need, at most as many as have been
+    made so far, so the number of batches grows with the logarithm of the rounds. It changes nothing else.
     """
     while True:
         done = store.rows()
@@ -88,13 +116,17 @@ def grow(store: Store, groups: DataFrame, attempt: Attempt, target: int, rounds:
                 raise Exhausted(f"a group has no row after {most_covering} variants")
             _covered(store, bare, attempt, rounds, most_covering)
             continue
-        found, right = done.agg(F.count_if("ok"), F.max(F.when(F.col("ok"), F.col("turn")))).first()
+        found, right, rate = done.agg(F.count_if("ok"), F.max(F.when(F.col("ok"), F.col("turn"))), F.avg(F.when(F.col("turn").isNotNull(), F.col("ok").cast("int")))).first()
         if found >= target:
             return done.where("ok")
         pool = per.where("repeats")
-        turn, far = pool.agg(F.min("turn"), F.max("next")).first()
-        idle = turn - 1 - (-1 if right is None else min(right, turn - 1)) if turn is not None else dry
+        members, turn, far = pool.agg(F.count("*"), F.min("turn"), F.max("next")).first()
+        base = -1 if right is None else right
+        idle = max(0, turn - 1 - base) if turn is not None else dry
         if idle >= dry or far > most:
             errors = ", ".join(f"{r.error}: {r['count']}" for r in done.where("not ok").groupBy("error").count().orderBy(F.desc("count")).limit(5).collect())
             raise Exhausted(f"{found} of {target} rows; {errors}")
-        _filled(store, pool, attempt, turn + min(rounds, dry - idle, most + 1 - far) - 1, target - found)
+        # As many rounds as the share of right rows so far lets expect, and some more.
+        wanted = math.ceil(1.05 * (target - found) / (members * rate)) + 1 if rate else rounds
+        now = min(max(rounds, min(turn, wanted)), most + 1 - far)
+        _filled(store, pool, attempt, turn, turn + now - 1, target - found, base, dry)

@@ -80,3 +80,36 @@ def test_limits(spark, tmp_path):
         grow(Store(spark, f"file://{tmp_path}/c"), groups_of(spark), attempts(), 99, most=6, rounds=4)
     empty = grow(Store(spark, f"file://{tmp_path}/d"), groups_of(spark, ""), attempts(), 0)
     assert empty.count() == 0
+
+
+def test_batches_grow_with_the_rounds(spark, tmp_path):
+    """Some fifty rounds are a few batches, and give what single rounds give; groups that are a round ahead make no round twice."""
+    calls = []
+
+    def counted(tries):
+        calls.append(1)
+        return attempts()(tries)
+
+    to, want = f"file://{tmp_path}/s", plain("abcdef", right, 131, "abcde")
+    grow(Store(spark, to), groups_of(spark), counted, 12, rounds=1, most=200)
+    assert found(grow(Store(spark, to), groups_of(spark), counted, 131, rounds=1, most=200)) == want
+    assert len(calls) < 20  # of some fifty rounds
+    assert Store(spark, to).rows().groupBy("group", "variant").count().where("count > 1").count() == 0
+
+
+def test_a_dry_stretch_inside_a_batch(spark, tmp_path):
+    """Rounds behind a dry stretch count for nothing, however many a batch makes; one that is a round shorter is passed."""
+
+    def until(gap):
+        def attempt(tries):
+            ok = F.col("turn").isNull() | (F.col("turn") < 9) | (F.col("turn") >= 9 + gap)
+            return tries.select("group", "variant", "turn", ok.alias("ok"), F.when(~ok, "late").alias("error"), F.lit("x").alias("made"))
+
+        return attempt
+
+    for rounds in (1, 40):
+        to = f"file://{tmp_path}/{rounds}"
+        with pytest.raises(Exhausted, match="51 of 99 rows; late"):
+            grow(Store(spark, to), groups_of(spark), until(5), 99, rounds=rounds, dry=5)
+        assert Store(spark, to).rows().agg(F.max("turn")).first()[0] == 13
+        assert grow(Store(spark, f"{to}-passed"), groups_of(spark), until(4), 99, rounds=rounds, dry=5).count() == 99
