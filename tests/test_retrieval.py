@@ -68,6 +68,18 @@ def test_ranked_blocks(spark, most):
     assert got == expected
 
 
+def test_schema_blocks_are_all_named(spark, tmp_path):
+    """Blocks behind the cut are named too: a question with terms of all six gets six."""
+    import tessella.queries  # noqa: F401
+    from tessella.registry import QUERIES
+
+    asked = "of the in re p_partkey is"
+    spark.createDataFrame([(1, asked), (2, "Is it at"), (3, "none_of_it"), (4, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {x.item_id: (x.blocks, x.truncated) for x in QUERIES["t26_schema_blocks"](spark, str(tmp_path)).collect()}
+    every = "customer,events,nation,orders,part,region"
+    assert got == {1: ("nation,customer,events,orders,part,region", True), 2: ("region,orders", False), 3: (every, True), 4: (every, True)}
+
+
 def test_quantiles_equal_the_median(spark):
     import statistics
 
