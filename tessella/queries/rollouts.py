@@ -122,7 +122,7 @@ def allowed(spark: SparkSession, sf: str) -> DataFrame:
 def streamed(spark: SparkSession, sf: str) -> DataFrame:
     """The same by a stream in three runs, from the last row of each rollout."""
     rows = live.events_with_times(spark, sf).selectExpr("event_id", "ts", "at", *(c for c in _split(_EVENT.replace("DIV", "div")) if c.split()[-1] in ("rollout", "tool", "ok", "masked", "validated", "contract")))
-    found = live.in_cuts(rows, "event_id", 3, lambda stream: live.folded(stream, "rollout", live.Tools(), ["at", "event_id"]))
+    found = live.in_cuts(rows, "at", 3, lambda stream: live.folded(stream, "rollout", live.Tools(), ["at", "event_id"]))
     return found.groupBy("rollout").agg(F.max_by("allowed", "at").alias("allowed"))
 
 

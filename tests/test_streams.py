@@ -111,3 +111,14 @@ def test_store_as_a_stream(spark, tmp_path):
     got = store.stored(spark, to, "session long, at long, sequence long").orderBy("session", "sequence").collect()
     assert [r.sequence for r in got] == [*range(1, 10), *range(1, 7)]
     assert [r["at"] for r in got] == sorted(r["at"] for r in got if r.session == 0) + sorted(r["at"] for r in got if r.session == 1)
+
+
+def test_no_event_is_too_late_without_timers(spark):
+    """A stream whose later parts hold older events, of null sessions too, and events without a time: all are counted."""
+    rows = [(i, None if i % 5 == 0 else 2**60 + i % 5, "view", None if i == 39 else (40 - i) * HOUR) for i in range(40)]
+    got = live.in_cuts(table(spark, rows), "event_id", 2, lambda s: live.folded(s, "user_id", live.Ending(99, 9), ["at", "event_id"]))
+    found = {r.user_id: r.calls for r in got.groupBy("user_id").agg(F.max("calls").alias("calls")).collect()}
+    assert found == {u: 8 for u in (None, *(2**60 + k for k in range(1, 5)))}
+    # By time, rows without it come last.
+    got = live.in_cuts(table(spark, rows), "at", 3, lambda s: live.folded(s, "user_id", live.Ending(99, 9), ["at", "event_id"]))
+    assert got.groupBy("user_id").agg(F.max("calls").alias("calls")).where("calls = 8").count() == 5
