@@ -53,7 +53,7 @@ def terminations(spark: SparkSession, sf: str) -> DataFrame:
 def streamed_terminations(spark: SparkSession, sf: str) -> DataFrame:
     """The same by a stream in three runs, from the last row of each session."""
     rows = live.events_with_times(spark, sf).select("event_id", "user_id", "event_type", "ts", "at")
-    found = live.in_cuts(rows, "event_id", 3, lambda stream: live.folded(stream, "user_id", live.Ending(7, 3), ["at", "event_id"]))
+    found = live.in_cuts(rows, "at", 3, lambda stream: live.folded(stream, "user_id", live.Ending(7, 3), ["at", "event_id"]))
     return found.groupBy("user_id").agg(F.max_by("reason", "calls").alias("reason"))
 
 
