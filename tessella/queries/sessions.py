@@ -123,7 +123,7 @@ def followed(spark: SparkSession, sf: str) -> DataFrame:
     """Sessions as their readers see them, by a stream in three runs that goes on where the last one stopped."""
     rows = live.events_with_times(spark, sf).select("event_id", "user_id", "event_type", "ts", "at")
     fold = live.Follow(12 * 3600 * 10**6, ["error"])
-    found = live.in_cuts(rows, "event_id", 3, lambda stream: live.folded(stream, "user_id", fold, ["at", "event_id"]))
+    found = live.in_cuts(rows, "at", 3, lambda stream: live.folded(stream, "user_id", fold, ["at", "event_id"]))
     return found.select("user_id", "kind", "sequence", F.timestamp_micros("at").cast("timestamp_ntz").alias("at"), "event_type")
 
 
