@@ -309,7 +309,8 @@ _TOKENS = """t AS (SELECT doc_id, i, w, sum(length(w) + 1) OVER (PARTITION BY do
 def key_action_mask(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens that train: the last twelve of each key action, where documents stand for rollouts of five calls."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    words = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "w"))
+    # Dealt ahead of the words: a text is moved once, and not its words with their places for each use.
+    words = docs.repartition("doc_id").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "w"))
     before = F.sum(F.length("w") + 1).over(Window.partitionBy("doc_id").orderBy("i")) - F.length("w") - 1
     tokens = words.select("doc_id", before.alias("start_char"), (before + F.length("w")).alias("end_char"), (F.col("i") % 7 != 3).alias("active"))
     names = F.array(*(F.lit(x) for x in ("ask_user", "submit_solution", "inspect_schema_diff", "execute_sql", "get_schema")))

@@ -52,3 +52,13 @@ def test_edges(spark):
     assert key_action_mask(t.limit(0), none, "rollout", "call").count() == 0
     with pytest.raises(ValueError, match="one token"):
         key_action_mask(t, none, "rollout", "call", 0)
+
+
+def test_texts_move_ahead_of_their_words(spark, tmp_path):
+    """t10_key_action_mask deals texts, not words: each list of words stands on a text that has been dealt."""
+    import tessella.queries  # noqa: F401
+    from tessella.registry import QUERIES
+
+    spark.createDataFrame([(1, "a b c"), (2, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = QUERIES["t10_key_action_mask"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("Generate posexplode") == plan.count("RepartitionByExpression [doc_id")
