@@ -1,8 +1,8 @@
 """Retrieval by shared terms from a base of any size: an inverted index, joined, with bounds on what common terms can add.
 
-A question first meets the entries under its rarest terms, as many as BUDGET postings allow. The k-th best of those is a bar: an entry with
+A question first meets the entries under its rarest terms, as many as BUDGET postings allow. The best of those, as many as are wanted, set a bar: an entry with
 none of these terms has at most the others, so it matters only if they are as many as the bar is high. Questions
-where they are meet all entries but those that share only so few of the commonest terms that they stay below the bar. Nothing else is
+where they are meet all entries but those that share only so few of the commonest terms that they stay below the bar, and keep those that reach it. Nothing else is
 looked at, no question meets the base as a whole, and the result is that of comparing all with all.
 """
 
@@ -13,44 +13,58 @@ from pyspark.sql import functions as F
 
 from tessella.functions.matching import present
 from tessella.functions.texts import search_terms
+from tessella.sources.files import MOST_BROADCAST
 from tessella.sources.staging import staged
 
 #: Postings under a question's rare terms that are looked at first; the rarest term always is.
 BUDGET = 500
 
 
-def _entries(base: DataFrame, text: Column) -> DataFrame:
-    """The base with ``__entry``, a number for each row, and ``__terms``."""
-    return staged(base.withColumns({"__entry": F.monotonically_increasing_id(), "__terms": search_terms(F.coalesce(text, F.lit("")))}), "entries")
+def _entries(base: DataFrame, text: Column, fill: Column) -> DataFrame:
+    """The base with ``__entry``, a number for each row, ``__terms``, and ``__fill``, how much of what is wanted an entry makes up."""
+    return staged(base.withColumns({"__entry": F.monotonically_increasing_id(), "__terms": search_terms(F.coalesce(text, F.lit(""))), "__fill": fill.cast("long")}), "entries")
 
 
-def overlaps(questions: DataFrame, entries: DataFrame, k: int) -> DataFrame:
-    """__question, __entry, overlap (shared distinct terms, 1 at least): for each question all pairs that can be among its k best, ties included.
+def _few(df: DataFrame, name: str) -> DataFrame:
+    """Staged, and sent to the other side of a join where the rows are few."""
+    df = staged(df, name)
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
-    questions: __question, __asked (terms); entries: __entry, __terms.
+
+def overlaps(questions: DataFrame, entries: DataFrame, want: int) -> DataFrame:
+    """__question, __entry, overlap (shared distinct terms, 1 at least): for each question all pairs that can be among its best ones, up to the one with which their ``__fill`` is ``want``, ties included.
+
+    questions: __question, __asked (terms); entries: __entry, __terms, __fill.
     """
-    postings = staged(entries.select("__entry", F.explode("__terms").alias("term")), "postings")
-    length = postings.groupBy("term").agg(F.count("*").alias("df"))
-    asked = questions.select("__question", F.explode("__asked").alias("term")).join(length, "term")
-    rare_first = Window.partitionBy("__question").orderBy("df", "term")
+    terms = questions.select("__question", F.explode("__asked").alias("term"))
+    # Terms by number: of the entries only those that some question has.
+    words = _few(terms.select("term").distinct().withColumn("word", F.monotonically_increasing_id()), "words")
+    held = entries.select("__entry", "__fill", F.explode("__terms").alias("term")).join(words, "term")
+    held = staged(held.groupBy("__entry", "__fill").agg(F.collect_list("word").alias("__held")), "held")
+    length = held.select(F.explode("__held").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    asked = terms.join(words, "term").join(length, "word")
+    rare_first = Window.partitionBy("__question").orderBy("df", "word")
     asked = asked.withColumns({"place": F.row_number().over(rare_first), "so_far": F.sum("df").over(rare_first.rowsBetween(Window.unboundedPreceding, 0)), "m": F.count("*").over(Window.partitionBy("__question"))})
-    asked = staged(asked.withColumn("early", (F.col("place") == 1) | (F.col("so_far") <= BUDGET)), "asked")
-    first = staged(_scored(asked.where("early"), asked, postings), "first")
-    # The k-th best so far: with fewer, every shared term counts.
-    order = Window.partitionBy("__question").orderBy(F.desc("overlap"), "__entry")
-    bar = first.withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select("__question", F.col("overlap").alias("bar"))
+    asked = staged(asked.withColumn("early", (F.col("place") == 1) | (F.col("so_far") <= BUDGET)).drop("term"), "asked")
+    wanted = _few(asked.groupBy("__question").agg(F.collect_list("word").alias("__wanted")), "wanted")
+    first = staged(_scored(asked.where("early"), wanted, held), "first")
+    # What the last of the best so far shares; where they don't fill what is wanted, every shared term counts.
+    order = Window.partitionBy("__question").orderBy(F.desc("overlap"), "__entry").rowsBetween(Window.unboundedPreceding, 0)
+    bar = first.withColumn("filled", F.sum("__fill").over(order)).where(F.col("filled") >= want).groupBy("__question").agg(F.max("overlap").alias("bar"))
     late = asked.groupBy("__question").agg(F.count_if(~F.col("early")).alias("late")).join(bar, "__question", "left").fillna(1, ["bar"]).where("late >= bar")
-    late = staged(late.select("__question", "bar"), "late")
+    late = _few(late.select("__question", "bar"), "late")
     again = asked.join(late, "__question").where("place <= m - bar + 1")
-    more = _scored(again, asked, postings)
-    return first.join(late.select("__question"), "__question", "left_anti").unionByName(more)
+    more = _scored(again, wanted, held).join(late, "__question").where("overlap >= bar").drop("bar")
+    return first.join(late.select("__question"), "__question", "left_anti").unionByName(more).drop("__fill")
 
 
-def _scored(chosen: DataFrame, asked: DataFrame, postings: DataFrame) -> DataFrame:
-    """All shared terms of the pairs that share one of the chosen ones."""
-    pairs = chosen.select("__question", "term").join(postings, "term").select("__question", "__entry").distinct()
-    both = pairs.join(postings, "__entry").join(asked.select("__question", "term"), ["__question", "term"])
-    return both.groupBy("__question", "__entry").agg(F.count("*").cast("int").alias("overlap"))
+def _scored(chosen: DataFrame, wanted: DataFrame, held: DataFrame) -> DataFrame:
+    """__question, __entry, overlap, __fill of the pairs that share one of the chosen terms; all shared terms count."""
+    met = held.select("__entry", F.explode("__held").alias("word")).join(_few(chosen.select("__question", "word"), "chosen"), "word")
+    # Dealt by entry once: for the pairs and for the entries' terms.
+    pairs = met.select("__question", "__entry").repartition("__entry").distinct()
+    both = pairs.join(held, "__entry").join(wanted, "__question")
+    return both.select("__question", "__entry", F.array_size(F.array_intersect("__wanted", "__held")).alias("overlap"), "__fill")
 
 
 def best_entries(questions: DataFrame, key: str, text: str, base: DataFrame, k: int) -> DataFrame:
@@ -59,7 +73,7 @@ def best_entries(questions: DataFrame, key: str, text: str, base: DataFrame, k:
     Whole phrases first (the name in the question or the question in the name, in any case), then by shared terms, then by name;
     entries that share nothing are left out. A null or blank question has no entries, an entry without a name no phrase.
     """
-    entries = _entries(base.select("knowledge", "entry"), F.concat_ws(" ", "knowledge", "entry"))
+    entries = _entries(base.select("knowledge", "entry"), F.concat_ws(" ", "knowledge", "entry"), F.lit(1))
     rows = questions.select(F.col(key).alias("__question"), F.lower(F.trim(text)).alias("q"), search_terms(F.col(text)).alias("__asked")).where("q <> ''")
     rows = staged(rows, "questions")
     names = entries.select("__entry", F.lower("knowledge").alias("name"))
@@ -83,13 +97,14 @@ def ranked_blocks(questions: DataFrame, key: str, query: str, blocks: DataFrame,
     Blocks are joined by blank lines and cut at ``most_chars``; those that begin behind the cut aren't named. A question that shares no term, or is
     null, gets all in their order. Blocks aren't empty.
     """
-    entries = _entries(blocks.select("place", "name", F.length("block").alias("size"), "block"), F.col("block"))
+    entries = _entries(blocks.select("place", "name", F.length("block").alias("size"), "block"), F.col("block"), F.col("size") + 2)
     least = entries.agg(F.min("size")).first()[0] or 0
     # So many blocks fill the text, whichever they are.
     k = most_chars // (least + 2) + 2
     rows = staged(questions.select(F.col(key).alias("__question"), search_terms(F.coalesce(F.col(query), F.lit(""))).alias("__asked")), "questions")
     sizes = entries.select("__entry", "place", "name", "size")
-    shared = overlaps(rows, entries, k).join(sizes, "__entry")
+    # Filled by them, the text is longer than ``most_chars``: what comes behind is neither named nor seen.
+    shared = overlaps(rows, entries, most_chars + 3).join(sizes, "__entry")
     order = Window.partitionBy("__question").orderBy(F.desc("overlap"), "place", "__entry")
     shared = shared.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k)
     found = staged(_cut(shared, "__question", "__r", most_chars), "blocks")

@@ -68,6 +68,24 @@ def test_ranked_blocks(spark, most):
     assert got == expected
 
 
+def test_a_tiny_block_does_not_widen_the_search(spark, monkeypatch):
+    """The blocks that fill the text set the bar, not as many as the smallest one would need: blocks that share only what all have aren't paired."""
+    made, overlaps = [], retrieval.overlaps
+
+    def counted(*given):
+        made.append(overlaps(*given))
+        return made[-1]
+
+    monkeypatch.setattr(retrieval, "overlaps", counted)
+    monkeypatch.setattr(retrieval, "BUDGET", 60)
+    common = " ".join(f"all{i}" for i in range(10))
+    blocks = [(i, f"b{i}", f"{common} r{i % 200}") for i in range(2000)] + [(2000, "tiny", "zz")]
+    asked = spark.createDataFrame([(1, f"{common} r5 r7"), (2, "zz")], "id long, q string")
+    got = {x.id: (x.blocks, x.truncated) for x in retrieval.ranked_blocks(asked, "id", "q", spark.createDataFrame(blocks, "place int, name string, block string"), 300).collect()}
+    assert got == {1: ("b5,b7,b205,b207,b405,b407", True), 2: ("tiny", False)}
+    assert made[0].count() == 21
+
+
 def test_schema_blocks_are_all_named(spark, tmp_path):
     """Blocks behind the cut are named too: a question with terms of all six gets six."""
     import tessella.queries  # noqa: F401
