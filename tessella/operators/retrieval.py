@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.matching import present
 from tessella.functions.texts import search_terms
-from tessella.sources.files import MOST_BROADCAST
-from tessella.sources.staging import staged
+from tessella.sources.staging import few, staged
 
 #: Postings under a question's rare terms that are looked at first; the rarest term always is.
 BUDGET = 500
@@ -25,12 +24,6 @@ def _entries(base: DataFrame, text: Column, fill: Column) -> DataFrame:
     return staged(base.withColumns({"__entry": F.monotonically_increasing_id(), "__terms": search_terms(F.coalesce(text, F.lit(""))), "__fill": fill.cast("long")}), "entries")
 
 
-def _few(df: DataFrame, name: str) -> DataFrame:
-    """Staged, and sent to the other side of a join where the rows are few."""
-    df = staged(df, name)
-    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
-
-
 def overlaps(questions: DataFrame, entries: DataFrame, want: int) -> DataFrame:
     """__question, __entry, overlap (shared distinct terms, 1 at least): for each question all pairs that can be among its best ones, up to the one with which their ``__fill`` is ``want``, ties included.
 
@@ -38,7 +31,7 @@ def overlaps(questions: DataFrame, entries: DataFrame, want: int) -> DataFrame:
     """
     terms = questions.select("__question", F.explode("__asked").alias("term"))
     # Terms by number: of the entries only those that some question has.
-    words = _few(terms.select("term").distinct().withColumn("word", F.monotonically_increasing_id()), "words")
+    words = few(terms.select("term").distinct().withColumn("word", F.monotonically_increasing_id()), "words")
     held = entries.select("__entry", "__fill", F.explode("__terms").alias("term")).join(words, "term")
     held = staged(held.groupBy("__entry", "__fill").agg(F.collect_list("word").alias("__held")), "held")
     length = held.select(F.explode("__held").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
@@ -46,13 +39,13 @@ def overlaps(questions: DataFrame, entries: DataFrame, want: int) -> DataFrame:
     rare_first = Window.partitionBy("__question").orderBy("df", "word")
     asked = asked.withColumns({"place": F.row_number().over(rare_first), "so_far": F.sum("df").over(rare_first.rowsBetween(Window.unboundedPreceding, 0)), "m": F.count("*").over(Window.partitionBy("__question"))})
     asked = staged(asked.withColumn("early", (F.col("place") == 1) | (F.col("so_far") <= BUDGET)).drop("term"), "asked")
-    wanted = _few(asked.groupBy("__question").agg(F.collect_list("word").alias("__wanted")), "wanted")
+    wanted = few(asked.groupBy("__question").agg(F.collect_list("word").alias("__wanted")), "wanted")
     first = staged(_scored(asked.where("early"), wanted, held), "first")
     # What the last of the best so far shares; where they don't fill what is wanted, every shared term counts.
     order = Window.partitionBy("__question").orderBy(F.desc("overlap"), "__entry").rowsBetween(Window.unboundedPreceding, 0)
     bar = first.withColumn("filled", F.sum("__fill").over(order)).where(F.col("filled") >= want).groupBy("__question").agg(F.max("overlap").alias("bar"))
     late = asked.groupBy("__question").agg(F.count_if(~F.col("early")).alias("late")).join(bar, "__question", "left").fillna(1, ["bar"]).where("late >= bar")
-    late = _few(late.select("__question", "bar"), "late")
+    late = few(late.select("__question", "bar"), "late")
     again = asked.join(late, "__question").where("place <= m - bar + 1")
     more = _scored(again, wanted, held).join(late, "__question").where("overlap >= bar").drop("bar")
     return first.join(late.select("__question"), "__question", "left_anti").unionByName(more).drop("__fill")
@@ -60,7 +53,7 @@ def overlaps(questions: DataFrame, entries: DataFrame, want: int) -> DataFrame:
 
 def _scored(chosen: DataFrame, wanted: DataFrame, held: DataFrame) -> DataFrame:
     """__question, __entry, overlap, __fill of the pairs that share one of the chosen terms; all shared terms count."""
-    met = held.select("__entry", F.explode("__held").alias("word")).join(_few(chosen.select("__question", "word"), "chosen"), "word")
+    met = held.select("__entry", F.explode("__held").alias("word")).join(few(chosen.select("__question", "word"), "chosen"), "word")
     # Dealt by entry once: for the pairs and for the entries' terms.
     pairs = met.select("__question", "__entry").repartition("__entry").distinct()
     both = pairs.join(held, "__entry").join(wanted, "__question")

@@ -7,11 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.sources.ranges import file_digests
-from tessella.sources.staging import staged
-
-
-#: Rows that are broadcast at most, one for each split of a text file.
-MOST_BROADCAST = 200_000
+from tessella.sources.staging import few
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -29,10 +25,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value").withColumn("id", F.monotonically_increasing_id())
     splits = text.groupBy("file", "split").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    splits = staged(splits.withColumn("ahead", before).drop("n"), "splits")
-    # Within this bound the lines stay where they are; beyond it the same join shuffles them.
-    if splits.count() <= MOST_BROADCAST:
-        splits = F.broadcast(splits)
+    # Where the splits are few, the lines stay where they are.
+    splits = few(splits.withColumn("ahead", before).drop("n"), "splits")
     return text.join(splits, ["file", "split"]).select("file", (F.col("ahead") + F.col("id") - F.col("first") + 1).alias("line"), "value")
 
 

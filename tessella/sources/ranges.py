@@ -12,18 +12,24 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+
+from tessella.sources.staging import few
 
 #: Bytes that are read at a time.
 BUFFER = 1 << 20
 #: Bytes of a range where the caller doesn't say.
 RANGE = 128 << 20
-#: Ranges that one task digests at most.
+#: Ranges that one task reads at most.
 PACK = 256
 
 
@@ -117,26 +123,41 @@ class _Lines(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path, self.most = options["path"], int(options.get("rangeBytes", RANGE))
 
-    def partitions(self) -> list[_Range]:
+    def partitions(self) -> list[_Pack]:
         """Ranges in the order of the files' numbers, so partitions come in it too."""
         files = sorted(((n, f) for f in _files(self.path, "*.jsonl") if (n := _number(f.base_name)) is not None), key=lambda x: (x[0], x[1].path))
-        return [r for n, f in files for r in _ranges(f, n, self.most)]
+        return _packed(r for n, f in files for r in _ranges(f, n, self.most))
 
-    def read(self, partition: _Range | None) -> Iterator[tuple]:
-        """A line belongs to the range in which it begins; the last one may reach beyond it."""
+    def read(self, partition: _Pack | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # there are no files
             return
-        end = partition.start + partition.length
-        with _place(self.path)[0].open_input_file(partition.file) as raw:
-            place = max(0, partition.start - 1)
+        where = _place(self.path)[0]
+        for _, ranges in groupby(partition.ranges, lambda r: r.file):
+            yield from self._lines(where, list(ranges))
+
+    def _lines(self, where: fs.FileSystem, ranges: list[_Range]) -> Iterator[pa.RecordBatch]:
+        """Lines of neighbouring ranges. A line belongs to the range in which it begins; the last one may reach beyond it."""
+        file, number, begin, end = ranges[0].file, ranges[0].number, ranges[0].start, ranges[-1].start + ranges[-1].length
+        with where.open_input_file(file) as raw:
+            place = max(0, begin - 1)
             raw.seek(place)
             lines = io.BufferedReader(raw, BUFFER)
-            if partition.start:
+            if begin:
                 place += len(lines.readline())
-            at = 0
-            while place < end and (line := lines.readline()):
-                yield partition.number, partition.file, partition.start, at, line.rstrip(b"\r\n").decode()
-                place, at = place + len(line), at + 1
+            last, held = -1, 0
+            while place < end and (read := lines.readlines(BUFFER)):
+                sizes = np.fromiter(map(len, read), np.int64, len(read))
+                starts = place + np.cumsum(sizes) - sizes
+                place = int(starts[-1] + sizes[-1])
+                starts = starts[starts < end]
+                of = starts // self.most
+                _, first, which = np.unique(of, return_index=True, return_inverse=True)
+                at = np.arange(len(of)) - first[which]
+                at[of == last] += held  # the range goes on
+                last, held = int(of[-1]), int(at[-1]) + 1
+                values = [line.rstrip(b"\r\n").decode() for line in read[: len(of)]]
+                columns = [pa.array(np.full(len(of), number)), pa.array([file] * len(of)), pa.array(of * self.most), pa.array(at), pa.array(values, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["step", "file", "range", "at", "value"])
 
 
 @dataclass
@@ -144,28 +165,30 @@ class _Written(WriterCommitMessage):
     files: list[tuple[str, str]]
 
 
-class _NumberedWriter(DataSourceWriter):
+class _NumberedWriter(DataSourceArrowWriter):
     """Files are written aside and moved to their names once all tasks are done, so a task that is run again leaves nothing twice."""
 
     def __init__(self, options: dict, overwrite: bool) -> None:
         self.path, self.overwrite = options["path"], overwrite
         self.aside = f"_aside-{uuid.uuid4().hex}"
 
-    def write(self, iterator: Iterator) -> _Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         where, root = _place(self.path)
         where.create_dir(f"{root}/{self.aside}", recursive=True)
         files, number, out = [], None, None
         try:
-            for row in iterator:
-                if row.value is None or row.step is None or row.step < 0 or "\n" in row.value:
+            for batch in iterator:
+                steps, values = batch.column("step"), batch.column("value")
+                if steps.null_count or values.null_count or pc.any(pc.less(steps, 0)).as_py() or pc.any(pc.match_substring(values, "\n")).as_py():
                     raise ValueError("a line needs a number of 0 or more and a text without line feeds")
-                if row.step != number:
-                    if out:
-                        out.close()
-                    number, name = row.step, f"{root}/{self.aside}/{uuid.uuid4().hex}"
-                    out = io.BufferedWriter(where.open_output_stream(name), BUFFER)
-                    files.append((name, f"{root}/{number}.jsonl"))
-                out.write(row.value.encode() + b"\n")
+                for step, run in groupby(zip(steps.to_pylist(), values.to_pylist()), lambda x: x[0]):
+                    if step != number:
+                        if out:
+                            out.close()
+                        number, name = step, f"{root}/{self.aside}/{uuid.uuid4().hex}"
+                        out = io.BufferedWriter(where.open_output_stream(name), BUFFER)
+                        files.append((name, f"{root}/{number}.jsonl"))
+                    out.write("".join(f"{line}\n" for _, line in run).encode())
         finally:
             if out:
                 out.close()
@@ -202,7 +225,7 @@ class NumberedSource(DataSource):
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return _Lines(self.options)
 
-    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
         return _NumberedWriter(self.options, overwrite)
 
 
@@ -239,7 +262,8 @@ def with_line(lines: DataFrame) -> DataFrame:
     """``line``: each line's number in its file, from 1; one row for each range tells how many lines lie ahead."""
     counts = lines.groupBy(F.col("file").alias("f"), F.col("range").alias("r")).agg(F.count("*").alias("n"))
     ahead = F.coalesce(F.sum("n").over(Window.partitionBy("f").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.withColumn("ahead", ahead).drop("n")
+    # Where the ranges are few, the lines stay where they are.
+    counts = few(counts.withColumn("ahead", ahead).drop("n"), "counts")
     return lines.join(counts, (F.col("file") == F.col("f")) & (F.col("range") == F.col("r"))).withColumn("line", F.col("ahead") + F.col("at") + 1).drop("f", "r", "ahead")
 
 

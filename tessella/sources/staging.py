@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows that are broadcast at most.
+MOST_BROADCAST = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,3 +28,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def few(df: DataFrame, name: str) -> DataFrame:
+    """Staged, and sent to the other side of a join where the rows are few; beyond that the same join shuffles."""
+    df = staged(df, name)
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df

@@ -57,3 +57,22 @@ def test_files_in_the_order_of_their_numbers(spark, tmp_path):
     with pytest.raises(Exception, match="a line needs"):
         ranges.write_numbered(rows, F.lit(99), F.lit("two\nlines"), to, ["id"])
     assert not (tmp_path / "steps/99.jsonl").exists() and len(list((tmp_path / "steps").iterdir())) == 12
+
+
+def test_small_ranges_share_tasks(spark, tmp_path, monkeypatch):
+    """A task reads many ranges, so tasks don't grow with a file by its small ranges; the numbers of lines are those of single ranges."""
+    r = random.Random(5)
+    texts = {n: ["x" * r.choice([0, 3, 40, 700]) for _ in range(900)] for n in (1, 2, 10)}
+    for n, lines in texts.items():
+        (tmp_path / f"{n}.jsonl").write_text("".join(f"{x}\n" for x in lines))
+    read = ranges.read_numbered(spark, str(tmp_path), range_bytes=150)
+    assert 3_000 < sum(p.stat().st_size for p in tmp_path.iterdir()) // 150
+    assert read.rdd.getNumPartitions() < 40
+    got = sorted((x.step, x.line, x.value) for x in ranges.with_line(read).collect())
+    assert got == [(n, i + 1, x) for n, lines in texts.items() for i, x in enumerate(lines)]
+    places = [(x.step, x.range, x.at) for x in read.collect()]
+    assert places == sorted(places) and len(set(places)) == 2_700
+    # Read a few bytes at a time, a range goes on over many batches.
+    monkeypatch.setattr(ranges, "BUFFER", 64)
+    reader = ranges._Lines({"path": str(tmp_path), "rangeBytes": "150"})
+    assert [(x["step"], x["range"], x["at"]) for p in reader.partitions() for batch in reader.read(p) for x in batch.to_pylist()] == places
